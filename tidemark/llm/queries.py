@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .quality_sql import SQL as QUALITY_SQL
 
 
 def vocabulary(name: str) -> str:
@@ -21,6 +22,12 @@ def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets
 
@@ -33,11 +40,29 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_records(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import classify_held_out
+
+    return classify_held_out(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import COLUMNS, judge
+
+    return judge(table(spark, sf_dir, "documents")).select(*COLUMNS)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_skip_chain_pii, op5_assignment_secrets, op6_token_records, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_skip_chain_pii, op3_spaced_seed_decontamination, op5_assignment_secrets, op6_token_records, op7_setsketch_near_dedup, op8_language_id, op9_quality_divergence, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op9_quality_divergence": QUALITY_SQL}
