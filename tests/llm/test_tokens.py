@@ -18,7 +18,7 @@ def odd_texts(n, seed):
 
 def test_counts_of_odd_texts_equal_the_librarys():
     path = public_tokenizers.path("byte_bpe_50k.json")
-    lib, lengths = Tokenizer.from_file(path), token_counts.Lengths(path, {})
+    lib, lengths = Tokenizer.from_file(path), token_counts.Lengths(path)
     for t in odd_texts(5000, 1):
         cut = token_counts.pieces(t)
         assert "".join(map(token_counts.raw, cut)) == t

@@ -69,3 +69,46 @@ def hashed_sample(df: DataFrame, wanted: int, *key: str, by: str | None = None)
 def utf8(column: pa.Array) -> list:
     """The values as bytes, without decoding."""
     return column.cast(pa.binary()).to_pylist()
+
+
+class Generations(dict):
+    """A bounded cache: when the young half is full it becomes the old one, from which what is asked for again is taken back.
+
+    Subclasses give ``compute(key)``; ``fits(key)`` says whether a key may be kept.
+    """
+
+    def __init__(self, entries: int):
+        super().__init__()
+        self.most, self.old = entries // 2, {}
+
+    def fits(self, key) -> bool:
+        return len(key) <= 64
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if self.fits(key):
+            self.put(key, value)
+        return value
+
+    def missing(self, keys: set) -> set:
+        """Those in neither half."""
+        return keys - self.keys() - self.old.keys()
+
+
+_HELD: dict = {}
+
+
+def held(kind, *args):
+    """One ``kind(*args)`` for each Python worker, kept from task to task."""
+    key = (kind.__module__, kind.__qualname__, *args)
+    if key not in _HELD:
+        _HELD[key] = kind(*args)
+    return _HELD[key]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, texts, utf8
+from .common import Generations, held, kept, texts, utf8
 from .components import components
 
 SHINGLE, PERCENT = 3, 85
@@ -39,7 +39,7 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Pairs estimated this far below the threshold are not confirmed: over five standard errors.
 ESTIMATE_SLACK = 0.3
 CENTRES = 8
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 500_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -50,16 +50,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
+class WordHashes(Generations):
+    def __init__(self):
+        super().__init__(CACHE_ENTRIES)
+
+    def compute(self, word: bytes) -> int:
         import xxhash
 
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = h
-        return h
+        return xxhash.xxh64_intdigest(word)
 
 
 def shingles(text: bytes, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -133,7 +131,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("registers", pa.binary())])
 
     def run(batches):
-        hashes = WordHashes()
+        hashes = held(WordHashes)
         for b in batches:
             n, f1, f2, regs = [], [], [], []
             for t in utf8(b.column("text")):
@@ -162,7 +160,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, elements: the full sets of the documents in ids (their smallest row where ids repeat)."""
 
     def run(batches):
-        hashes = WordHashes()
+        hashes = held(WordHashes)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_packed(shingles(t, hashes)) for t in utf8(b.column("text"))], pa.binary())], ["id", "elements"])
 

@@ -3,8 +3,8 @@
 A byte-level BPE never merges across pre-tokens, so a text's count is a sum over its pieces.  Texts are cut where a single
 space or line feed stands between two non-space characters: the library's pre-tokenizer always ends a pre-token there, so
 pieces encode alone exactly as within the text.  Tier one is a broadcast table of the lengths of the most frequent pieces of a
-bounded sample of documents (``TABLE_ENTRIES`` at most; it only saves work); tier two is each worker's own cache, emptied when it holds
-``CACHE_ENTRIES``, whose misses the library encodes in blocks.  Pieces are never shuffled.
+bounded sample of documents (``TABLE_ENTRIES`` at most; it only saves work); tier two is each worker's own cache of ``CACHE_ENTRIES``
+at most, whose misses the library encodes in blocks.  Pieces are never shuffled.
 
 Null text counts as empty (0 tokens); one long run without such a place is one piece; repeated rows give repeated results; other
 columns are ignored.
@@ -18,10 +18,10 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import hashed_sample, texts, utf8
+from .common import Generations, hashed_sample, held, texts, utf8
 
 LIMIT = 1024
-TABLE_ENTRIES, TABLE_DOCUMENTS, CACHE_ENTRIES, LONGEST_KEY = 65_536, 2000, 1_200_000, 64
+TABLE_ENTRIES, TABLE_DOCUMENTS, CACHE_ENTRIES = 65_536, 2000, 600_000
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
@@ -48,36 +48,30 @@ def raw(piece: str) -> str:
     return piece[1:] if piece[0] == "\0" else piece if piece[0] == "\n" else " " + piece
 
 
-class Lengths(dict):
-    """piece -> number of tokens; misses go to the library and are kept while there is room."""
+class Lengths(Generations):
+    """piece -> number of tokens; misses of the broadcast table and of the cache go to the library."""
 
-    def __init__(self, path: str, frequent: dict[str, int]):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__(frequent)
-        self.encoder, self.frequent = Tokenizer.from_file(path), frequent
+        super().__init__(CACHE_ENTRIES)
+        self.encoder, self.frequent = Tokenizer.from_file(path), {}
         self.encoder.no_padding()
         self.encoder.no_truncation()
 
-    def __missing__(self, piece: str) -> int:
+    def compute(self, piece: str) -> int:
+        n = self.frequent.get(piece)
+        if n is not None:
+            return n
         if piece[-1] in ".," and piece[:-1].isalpha():  # a mark behind letters is a pre-token, and a token, of its own
             return self[piece[:-1]] + 1
-        n = len(self.encoder.encode(raw(piece), add_special_tokens=False).ids)
-        if len(piece) <= LONGEST_KEY:
-            if len(self) >= CACHE_ENTRIES + len(self.frequent):
-                self.clear()
-                self.update(self.frequent)
-            self[piece] = n
-        return n
-
-    def learn(self, new: list[str]) -> None:
+        return len(self.encoder.encode(raw(piece), add_special_tokens=False).ids)
+
+    def learn(self, new: set[str]) -> None:
         """Encode short misses as one block."""
-        new = list({p[:-1] if p[-1] in ".," and p[:-1].isalpha() else p for p in new} - self.keys())
-        if len(self) + len(new) > CACHE_ENTRIES + len(self.frequent):
-            self.clear()
-            self.update(self.frequent)
-        for piece, e in zip(new, self.encoder.encode_batch_fast([raw(p) for p in new], add_special_tokens=False), strict=True):
-            self[piece] = len(e.ids)
+        todo = list(self.missing({p[:-1] if p[-1] in ".," and p[:-1].isalpha() else p for p in new if self.fits(p)}) - self.frequent.keys())
+        for piece, e in zip(todo, self.encoder.encode_batch_fast([raw(p) for p in todo], add_special_tokens=False), strict=True):
+            self.put(piece, len(e.ids))
 
 
 def frequent_pieces(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES) -> dict[str, int]:
@@ -87,7 +81,7 @@ def frequent_pieces(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES) ->
         seen: Counter = Counter()
         for b in batches:
             for t in b.column("text").to_pylist():
-                seen.update(p for p in pieces(t) if len(p) <= LONGEST_KEY)
+                seen.update(p for p in pieces(t) if len(p) <= 64)
             if len(seen) > 4 * entries:
                 seen = Counter(dict(seen.most_common(entries)))
         top = seen.most_common(entries)
@@ -96,9 +90,9 @@ def frequent_pieces(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES) ->
     sample = hashed_sample(texts(docs), TABLE_DOCUMENTS, "doc_id").select("text").coalesce(8)
     total = sample.mapInArrow(count, "piece string, n long").groupBy("piece").sum("n").withColumnRenamed("sum(n)", "n")
     top = [r[0] for r in total.where("n > 1").orderBy("n", "piece", ascending=[False, True]).limit(entries).collect()]
-    lengths = Lengths(path, {})
-    lengths.learn(top)
-    return dict(list(lengths.items())[:entries])
+    lengths = Lengths(path)
+    lengths.learn(set(top))
+    return {p: lengths[p] for p in top}
 
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -110,16 +104,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches):
-        lengths = Lengths(path, table.value)
+        lengths = held(Lengths, path)
+        lengths.frequent = table.value
         for b in batches:
             n_bytes = [len(x) for x in utf8(b.column("text"))]
             n_tokens = []
             own = b.column("text").to_pylist()
             for i in range(0, len(own), 200):
                 cut = [pieces(t) for t in own[i : i + 200]]
-                new = {p for p in set().union(*cut) - lengths.keys() if len(p) <= LONGEST_KEY}
-                if new:
-                    lengths.learn(list(new))
+                lengths.learn(set().union(*cut) - lengths.keys())
                 n_tokens += [sum(map(lengths.__getitem__, c)) for c in cut]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())], schema=schema)
 

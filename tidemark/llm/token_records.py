@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, shared_path, texts
+from .common import Generations, held, kept, shared_path, texts
 
 END_ID = 1
-CACHE_ENTRIES, LONGEST_KEY = 1_000_000, 64
+CACHE_ENTRIES = 500_000
 _ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -67,13 +67,13 @@ def parse(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if flags & 1 else doc_id, np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=9)
 
 
-class WordIds(dict):
-    """word -> its ids as bytes; misses go to the library and are kept while there is room."""
+class WordIds(Generations):
+    """word -> its ids as bytes; misses go to the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(CACHE_ENTRIES)
         self.encoder = Tokenizer.from_file(path)
         self.encoder.no_padding()
         self.encoder.no_truncation()
@@ -82,37 +82,31 @@ class WordIds(dict):
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
+    def compute(self, word: str) -> bytes:
         low = word.lower() if word.isascii() else word
         if low != word and "<|" not in word:
             return self[low]
         if word[-1] in ".," and word[:-1].lower().isalpha():  # a mark behind letters is a pre-token of its own
             return self[word[:-1]] + self[word[-1]]
-        out = self._bytes(self.encoder.encode(word, add_special_tokens=False).ids)
-        if len(word) <= LONGEST_KEY:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[word] = out
-        return out
+        return self._bytes(self.encoder.encode(word, add_special_tokens=False).ids)
 
     def learn(self, words: set[str]) -> None:
+        """Encode short misses as one block."""
         new = set()
         for w in words:
             if w.isascii() and "<|" not in w:
                 w = w.lower()
             if w[-1] in ".," and w[:-1].lower().isalpha():
                 w = w[:-1]
-            if len(w) <= LONGEST_KEY:
+            if self.fits(w):
                 new.add(w)
-        todo = sorted(new - self.keys())
-        if len(self) + len(todo) > CACHE_ENTRIES:
-            self.clear()
+        todo = list(self.missing(new))
         for w, e in zip(todo, self.encoder.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-            self[w] = self._bytes(e.ids)
+            self.put(w, self._bytes(e.ids))
 
     def encode(self, found: list[str]) -> list[bytes]:
         cut = [None if _ODD.search(t) else t.split() for t in found]
-        self.learn(set().union(*(c for c in cut if c)) - self.keys())
+        self.learn(self.missing(set().union(*(c for c in cut if c))))
         return [b"".join(map(self.__getitem__, c)) if c is not None else b"".join(map(self.__getitem__, (w for w in t.split(" ") if w))) for c, t in zip(cut, found, strict=True)]
 
 
@@ -130,7 +124,7 @@ def write_records(docs: DataFrame, path: str, to: str, end_id: int = END_ID) ->
         place = out = index = store = None
         for b in batches:
             if b.num_rows and out is None:
-                words, (store, root) = WordIds(path), fs.FileSystem.from_uri(to)
+                words, (store, root) = held(WordIds, path), fs.FileSystem.from_uri(to)
                 place = f"{root}/{name}"
                 store.create_dir(root, recursive=True)
                 mine = f"{place}.try{task.taskAttemptId()}"
