@@ -28,6 +28,12 @@ def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_recurrent_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets
 
@@ -64,5 +70,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_skip_chain_pii, op3_spaced_seed_decontamination, op5_assignment_secrets, op6_token_records, op7_setsketch_near_dedup, op8_language_id, op9_quality_divergence, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_skip_chain_pii, op3_spaced_seed_decontamination, op4_recurrent_lm_score, op5_assignment_secrets, op6_token_records, op7_setsketch_near_dedup, op8_language_id, op9_quality_divergence, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op9_quality_divergence": QUALITY_SQL}
