@@ -22,6 +22,12 @@ def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import labelled, mix
+
+    return mix(table(spark, sf_dir, "documents"), labelled(table(spark, sf_dir, "labels")))
+
+
 def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated
 
@@ -70,5 +76,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_skip_chain_pii, op3_spaced_seed_decontamination, op4_recurrent_lm_score, op5_assignment_secrets, op6_token_records, op7_setsketch_near_dedup, op8_language_id, op9_quality_divergence, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_skip_chain_pii, op2_soft_mixing, op3_spaced_seed_decontamination, op4_recurrent_lm_score, op5_assignment_secrets, op6_token_records, op7_setsketch_near_dedup, op8_language_id, op9_quality_divergence, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op9_quality_divergence": QUALITY_SQL}
