@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.store import materialize
-from ..operators import context, graph, resolve, rules
+from ..operators import certify, changes, context, graph, repair, resolve, rules, sqlmodel
+from ..sources import files
 from ..sources import registry as reg
+from . import structural
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -467,3 +469,166 @@ def d21_dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = e.join(reg.table(spark, sf_dir, table).select(F.col(other).alias(key)), key, "left_anti").agg(F.count("*").alias("n_dangling")).select(F.lit(name).alias("invariant"), "n_dangling")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# --- schema changes, change requests, SQL models ---------------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey AS node, CASE WHEN p_partkey = 11 THEN 'renamed_11' ELSE 'col_' || p_partkey END AS field_path, CASE WHEN p_partkey = 11 THEN 'RENAMED' ELSE 'UNCHANGED' END AS identity,
+CASE WHEN p_partkey = 12 THEN 'TEXT' ELSE p_type END AS native_type FROM part WHERE p_partkey <> 13""")
+def c16_counterfactual_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schema after a rename, a type change and a delete, with each field's identity."""
+    s = reg.fields(spark, sf_dir).withColumn("normalized_type", F.lit("Unknown"))
+    s = changes.retype_field(changes.rename_field(s, "col_11", "renamed_11"), "col_12", "TEXT", "String")
+    return changes.delete_field(s, "col_13").select("node", "field_path", "identity", "native_type")
+
+
+_PATHS = """paths AS (SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'models/m' || o_orderkey || '.sql' WHEN 1 THEN 'dags/d' || o_orderkey || '.py' WHEN 2 THEN 'docs/x.md' WHEN 3 THEN 'models/schema.yml' WHEN 4 THEN 'contracts/c.json' WHEN 5 THEN 'conf/quality.yaml' WHEN 6 THEN 'pipelines/p.yaml' ELSE 'lib/x.bin' END AS path,
+CASE WHEN o_orderstatus = 'F' THEN 'select {{ ref() }}' ELSE 'select 1' END AS content FROM orders)"""
+
+
+@query(f"""WITH {_PATHS} SELECT CASE WHEN path LIKE '%.sql' THEN CASE WHEN contains(content, '{{{{') THEN 'DBT_MODEL' ELSE 'SQL_MODEL' END WHEN path LIKE 'dags/%.py' THEN 'PIPELINE_DAG' WHEN path LIKE '%.md' THEN 'DOCUMENTATION_ONLY' WHEN path LIKE '%/schema.yml' THEN 'DBT_SCHEMA' WHEN path LIKE 'contracts/%' THEN 'SCHEMA_CONTRACT'
+WHEN path LIKE '%quality.yaml' THEN 'QUALITY_CONFIG' WHEN path LIKE 'pipelines/%' THEN 'PIPELINE_CONFIG' ELSE 'UNSUPPORTED' END AS category, count(*) AS n FROM paths GROUP BY 1""")
+def c21_file_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by the category that their path and content give."""
+    k = F.col("o_orderkey") % 8
+    key = F.col("o_orderkey").cast("string")
+    path = F.when(k == 0, F.concat(F.lit("models/m"), key, F.lit(".sql"))).when(k == 1, F.concat(F.lit("dags/d"), key, F.lit(".py"))).when(k == 2, "docs/x.md").when(k == 3, "models/schema.yml").when(k == 4, "contracts/c.json").when(k == 5, "conf/quality.yaml").when(k == 6, "pipelines/p.yaml").otherwise("lib/x.bin")
+    own = reg.table(spark, sf_dir, "orders").select(path.alias("path"), F.when(F.col("o_orderstatus") == "F", "select {{ ref() }}").otherwise("select 1").alias("content"))
+    return own.groupBy(files.classify(F.col("path"), F.col("content")).alias("category")).agg(F.count("*").alias("n"))
+
+
+_CLAIMS = """claims AS (SELECT DISTINCT l_partkey AS current, 'v' || (l_suppkey % 2) AS future, 'file_' || l_suppkey AS file FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49),
+refs AS (SELECT DISTINCT 'file_' || l_suppkey AS file, l_partkey::VARCHAR AS value FROM lineitem WHERE l_quantity < 2 UNION SELECT DISTINCT 'doc_' || n_nationkey, 'v' || (n_nationkey % 3) FROM nation),
+groups AS (SELECT current, list_sort(list(DISTINCT future)) AS futures, list_sort(list(DISTINCT file)) AS files FROM claims GROUP BY 1),
+states AS (SELECT c.current, r.file, 'STALE' AS state FROM refs r JOIN claims c ON r.value = c.current::VARCHAR AND r.file <> c.file UNION SELECT c.current, r.file, 'ADAPTED' FROM refs r JOIN claims c ON r.value = c.future AND r.file <> c.file),
+counts AS (SELECT current, count(*) FILTER (WHERE state = 'STALE') AS n_stale, count(*) FILTER (WHERE state = 'ADAPTED') AS n_adapted FROM states GROUP BY 1),
+correlated AS (SELECT g.current, array_to_string(futures, ',') AS futures, len(files) AS n_files, coalesce(n_stale, 0) AS n_stale, coalesce(n_adapted, 0) AS n_adapted,
+  CASE WHEN len(futures) > 1 OR (coalesce(n_stale, 0) > 0 AND coalesce(n_adapted, 0) = 0) THEN 'INCONSISTENT' WHEN coalesce(n_stale, 0) > 0 THEN 'PARTIALLY_COHERENT' WHEN coalesce(n_adapted, 0) > 0 OR len(files) > 1 THEN 'COHERENT' ELSE 'UNRESOLVED' END AS coherence FROM groups g LEFT JOIN counts c ON c.current = g.current)"""
+
+
+def _correlated(spark, sf_dir):
+    lines = reg.table(spark, sf_dir, "lineitem")
+    file = F.concat(F.lit("file_"), F.col("l_suppkey").cast("string")).alias("file")
+    claims = lines.where("l_returnflag = 'R' and l_quantity >= 49").select(F.col("l_partkey").cast("string").alias("current"), F.concat(F.lit("v"), (F.col("l_suppkey") % 2).cast("string")).alias("future"), file).distinct()
+    refs = lines.where("l_quantity < 2").select(file, F.col("l_partkey").cast("string").alias("value"))
+    refs = refs.unionByName(reg.table(spark, sf_dir, "nation").select(F.concat(F.lit("doc_"), F.col("n_nationkey").cast("string")).alias("file"), F.concat(F.lit("v"), (F.col("n_nationkey") % 3).cast("string")).alias("value"))).distinct()
+    return claims, changes.correlated(claims, refs)
+
+
+@query(f"WITH {_CLAIMS} SELECT current::VARCHAR AS current, futures, n_files, n_stale, n_adapted, coherence FROM correlated")
+def m01_correlated_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of a change request by field, with stale and adapted references and coherence."""
+    _, g = _correlated(spark, sf_dir)
+    return g.select("current", F.array_join("futures", ",").alias("futures"), F.size("files").cast("long").alias("n_files"), "n_stale", "n_adapted", "coherence")
+
+
+@query(f"WITH {_CLAIMS} SELECT current::VARCHAR AS current, array_to_string(futures, ',') AS futures, array_to_string(files, ',') AS files FROM groups WHERE len(futures) > 1")
+def m02_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that two files rename differently."""
+    claims, _ = _correlated(spark, sf_dir)
+    return changes.conflicts(claims).select("current", F.array_join("futures", ",").alias("futures"), F.array_join("files", ",").alias("files"))
+
+
+@query(f"""WITH {_CLAIMS} SELECT CASE min(CASE coherence WHEN 'INCONSISTENT' THEN 1 WHEN 'PARTIALLY_COHERENT' THEN 2 WHEN 'UNRESOLVED' THEN 3 ELSE 4 END) WHEN 1 THEN 'INCONSISTENT' WHEN 2 THEN 'PARTIALLY_COHERENT' WHEN 3 THEN 'UNRESOLVED' ELSE 'COHERENT' END AS coherence,
+count(*) AS n_groups, sum(n_stale)::BIGINT AS n_stale, count(*) FILTER (WHERE contains(futures, ',')) AS n_conflicts, CASE WHEN count(*) = 0 THEN 'no_material_change' WHEN count(*) FILTER (WHERE contains(futures, ',')) > 0 THEN 'block_confirmed_incompatibility' ELSE 'hold_for_review' END AS decision FROM correlated""")
+def j15_change_request_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole request: the weakest coherence, and the decision."""
+    _, g = _correlated(spark, sf_dir)
+    return changes.overall_coherence(g).withColumn("decision", rules.change_request_decision(F.col("n_groups"), F.col("n_conflicts")))
+
+
+@query("""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 10), t AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_tax > 0.05),
+u AS (SELECT coalesce(a.k, b.k) AS k, a.k AS x, b.k AS y FROM a FULL JOIN b ON a.k = b.k) SELECT CASE WHEN x IS NULL THEN 'NEW' WHEN y IS NULL THEN 'CLOSED' WHEN t.k IS NOT NULL THEN 'STILL_OPEN' ELSE 'UNCHANGED' END AS state, count(*) AS n FROM u LEFT JOIN t ON t.k = u.k GROUP BY 1""")
+def h04_closed_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots before and after a repair."""
+    lines = reg.table(spark, sf_dir, "lineitem").withColumn("root_id", F.col("l_partkey"))
+    parts = [lines.where(c).select("root_id") for c in ("l_returnflag = 'A'", "l_linestatus = 'O' and l_quantity > 10", "l_tax > 0.05")]
+    return changes.closed_roots(*parts).groupBy("state").agg(F.count("*").alias("n"))
+
+
+#: Pairs of models and the deltas that they must give.
+MODELS = [
+    ("aggregate", "SELECT SUM(x) AS v FROM t", "SELECT AVG(x) AS v FROM t", [("AGGREGATION_CHANGE", "v", "function_changed")]),
+    ("distinct", "SELECT COUNT(x) AS v FROM t", "SELECT COUNT(DISTINCT x) AS v FROM t", [("AGGREGATION_CHANGE", "v", "distinct_changed")]),
+    ("input", "SELECT SUM(x) AS v FROM t", "SELECT SUM(y) AS v FROM t", [("AGGREGATION_CHANGE", "v", "input_changed")]),
+    ("filter_added", "SELECT a FROM t", "SELECT a FROM t WHERE a > 0", [("FILTER_CHANGE", None, "filter_added")]),
+    ("filter_literal", "SELECT a FROM t WHERE a > 0", "SELECT a FROM t WHERE a > 100", [("FILTER_CHANGE", None, "predicate_modified,literal_changed")]),
+    ("filter_operator", "SELECT a FROM t WHERE a > 0", "SELECT a FROM t WHERE a >= 0", [("FILTER_CHANGE", None, "predicate_modified,operator_changed")]),
+    ("join_type", "SELECT a.x FROM a LEFT JOIN b ON a.id = b.id", "SELECT a.x FROM a JOIN b ON a.id = b.id", [("JOIN_TYPE_CHANGE", None, "type_changed")]),
+    ("join_on", "SELECT a.x FROM a JOIN b ON a.id = b.id", "SELECT a.x FROM a JOIN b ON a.mail = b.mail", [("JOIN_PREDICATE_CHANGE", None, "predicate_changed")]),
+    ("join_to", "SELECT a.x FROM a JOIN b ON a.id = b.id", "SELECT a.x FROM a JOIN c ON a.id = c.id", [("JOINED_RELATION_CHANGE", None, "relation_changed"), ("JOIN_PREDICATE_CHANGE", None, "predicate_changed")]),
+    ("operator", "SELECT p * q AS v FROM t", "SELECT p + q AS v FROM t", [("DERIVED_EXPRESSION_CHANGE", "v", "operator_changed")]),
+    ("function", "SELECT LOWER(s) AS v FROM t", "SELECT UPPER(s) AS v FROM t", [("DERIVED_EXPRESSION_CHANGE", "v", "function_changed")]),
+    ("format_only", "SELECT  a , (b) AS c FROM t -- note", "select A, B as C\nfrom T", []),
+    ("renamed", "SELECT a AS x, b AS y FROM t", "SELECT a AS z, b AS y FROM t", [("OUTPUT_RENAME", "x", "renamed")]),
+    ("added", "SELECT a FROM t", "SELECT a, b FROM t", [("OUTPUT_ADD", "b", "added")]),
+    ("removed", "SELECT a, b FROM t", "SELECT a FROM t", [("OUTPUT_REMOVE", "b", "removed")]),
+    ("reordered", "SELECT a, b FROM t", "SELECT b, a FROM t", [("OUTPUT_REORDER", None, "reordered")]),
+    ("grouping", "SELECT a, SUM(x) AS v FROM t GROUP BY a", "SELECT a, SUM(x) AS v FROM t GROUP BY a, b", [("AGGREGATION_CHANGE", "v", "grouping_changed")]),
+    ("having", "SELECT a, SUM(x) AS v FROM t GROUP BY a HAVING SUM(x) > 1", "SELECT a, SUM(x) AS v FROM t GROUP BY a HAVING SUM(x) > 2", [("UNCLASSIFIED_CHANGE", None, "having")]),
+]
+_EXPECTED = ", ".join(f"('{m}', '{k}', '{'OUTPUT' if o else 'MODEL_WIDE'}', {f"'{o}'" if o else 'NULL'}, '{c}')" for m, _, _, ds in MODELS for k, o, c in ds)
+
+
+@query(f"SELECT * FROM (VALUES {_EXPECTED}) AS v(model, delta_type, scope, output, components)")
+def l01_model_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed between two versions of SQL models, by Catalyst's own trees."""
+    return sqlmodel.deltas_frame(spark, [m[:3] for m in MODELS])
+
+
+@query(f"""WITH {EDGES}, {GROUPS}, {LINKS} SELECT (SELECT count(*) FROM part) AS n_fields, (SELECT count(DISTINCT p_brand) FROM part) AS n_datasets, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM groups) AS n_groups, (SELECT count(*) FROM links) AS n_relationships, (SELECT count(DISTINCT target_key) FROM links) AS n_assets""")
+def f19_snapshot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return certify.snapshot_summary(reg.fields(spark, sf_dir), reg.lineage_edges(spark, sf_dir), reg.mapping_groups(spark, sf_dir), reg.relationships(spark, sf_dir))
+
+
+@query("""SELECT * FROM (VALUES ('fields are unique', true, '0 repeated', '0'), ('edges start at fields', true, '0 dangling', '0'), ('orders have customers', true, '0 dangling', '0'), ('names hold no secrets', true, '0 with secrets', '0'), ('fields equal themselves', true, '0 different', '0')) AS v(name, passed, expected, observed)""")
+def o01_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invariants of the registries as a table of checks."""
+    f = reg.fields(spark, sf_dir)
+    orders, customer = reg.table(spark, sf_dir, "orders"), reg.table(spark, sf_dir, "customer")
+    return certify.report(
+        certify.unique(f, ["node"], "fields are unique"), certify.references(reg.lineage_edges(spark, sf_dir), "src", f, "node", "edges start at fields"),
+        certify.references(orders.select(F.col("o_custkey").alias("c")), "c", customer.select(F.col("c_custkey").alias("c")), "c", "orders have customers"),
+        certify.without_secrets(f, ["description"], "names hold no secrets"), certify.same_rows(f, reg.fields(spark, sf_dir), "fields equal themselves"),
+    )
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {ROOT}, {DEPTHS}, {LINKS}, ex AS (SELECT node, p_brand AS dataset_urn FROM depths JOIN part ON p_partkey = node WHERE depth > 0),
+m AS (SELECT l.category, l.target_key FROM ex JOIN links l ON l.source_key = ex.dataset_urn UNION SELECT l.category, l.target_key FROM ex JOIN links l ON l.field_node = ex.node AND l.source_key IS NULL),
+s AS (SELECT (SELECT count(*) FROM ex) AS dependants, (SELECT count(DISTINCT dataset_urn) FROM ex) AS supporting_datasets, (SELECT count(DISTINCT target_key) FROM m) AS context_assets, (SELECT count(DISTINCT target_key) FROM m WHERE category IN ('pipeline', 'bi')) AS consumer_assets)
+SELECT dependants, supporting_datasets, context_assets, consumer_assets, 'INCOMPATIBLE' AS compatibility, 'CONFIRMED' AS technical, 'ELEVATED' AS criticality, CASE WHEN supporting_datasets >= 10 AND consumer_assets >= 10 AND context_assets >= 10 THEN 'WIDESPREAD' ELSE 'BROAD' END AS breadth, 'HIGH' AS severity, 'BLOCK' AS disposition FROM s""")
+def p31_structural_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field deletion end to end: reach, context, breadth, severity and the decision."""
+    edges, root = _graph(spark, sf_dir)
+    d = structural.analyse(edges, reg.fields(spark, sf_dir), reg.relationships(spark, sf_dir), root, "FIELD_DELETE")["decision"]
+    return d.select("dependants", "supporting_datasets", "context_assets", "consumer_assets", "compatibility", "technical", "criticality", "breadth", "severity", "disposition")
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {ROOT}, {DEPTHS} SELECT node, 'Field ' || node || ' of ' || p_brand || ' is reached ' || CASE WHEN depth = 1 THEN 'directly' ELSE 'through others' END || ', ' || depth || ' steps from the change.' AS statement FROM depths JOIN part ON p_partkey = node WHERE depth > 0""")
+def p01_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence for each exposed field."""
+    return structural.explanations(e06_reach_depths(spark, sf_dir).where("depth > 0"))
+
+
+@query(f"WITH {MAPPINGS} SELECT dataset_urn, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories, CASE WHEN bool_or(target_key = 'tag:1') THEN 'EXPLICIT' WHEN count(*) = 0 THEN 'UNKNOWN' WHEN bool_or(category = 'bi') AND count(DISTINCT category) >= 2 THEN 'ELEVATED' ELSE 'STANDARD' END AS criticality FROM mappings GROUP BY 1")
+def j07_criticality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How critical each dataset's context is; one tag stands for an explicit designation."""
+    m = _mappings(spark, sf_dir).groupBy("dataset_urn").agg(F.array_sort(F.collect_set("category")).alias("c"), F.bool_or(F.col("target_key") == "tag:1").alias("explicit"))
+    return m.select("dataset_urn", F.array_join("c", ",").alias("categories"), rules.criticality(F.col("explicit"), F.col("c")).alias("criticality"))
+
+
+@query()
+def n07_repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field names in configuration files replaced by a plan of actions, one file for each part; a diff that applies back for each."""
+    part = reg.table(spark, sf_dir, "part")
+    path = F.concat(F.lit("conf/"), F.col("p_partkey").cast("string"), F.lit(".yaml"))
+    own = part.select(path.alias("path"), F.format_string("field: col_%d  # kept\nowner: %s\n", "p_partkey", "p_brand").alias("content"))
+    todo = part.select(path.alias("path"), F.lit(1).alias("position"), F.lit("yaml").alias("editor"), F.lit("$.field").alias("location"), F.concat(F.lit("col_"), F.col("p_partkey").cast("string")).alias("current"), F.concat(F.lit("new_"), F.col("p_partkey").cast("string")).alias("future"))
+    return repair.apply_plan(own, todo)
+
+
+@query()
+def i04_table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fingerprint of a registry's rows that no ordering or partitioning changes."""
+    return ids.table_fingerprint(reg.fields(spark, sf_dir))
