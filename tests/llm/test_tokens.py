@@ -29,8 +29,8 @@ def test_ids_of_odd_texts_equal_the_librarys():
     path = public_tokenizers.path("word_bpe_49k.json")
     lib, words = Tokenizer.from_file(path), token_records.WordIds(path)
     found = odd_texts(5000, 2)
-    for t, x in zip(found, words.encode(found), strict=True):
-        assert np.frombuffer(x, words.kind).tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    for t in found:
+        assert np.frombuffer(words.encode(t), words.kind).tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 @pytest.fixture(scope="module")
