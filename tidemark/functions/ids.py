@@ -59,7 +59,7 @@ def dataset_urn(platform: Column, name: Column, environment: Column) -> Column:
 
 def documentation(content: Column) -> Column:
     """Lines trimmed, blank ones gone."""
-    return F.array_join(F.filter(F.transform(F.split(content, "\n"), F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(content, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def redacted(text: Column, secrets: list[str]) -> Column:
