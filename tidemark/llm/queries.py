@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .pairs_sql import CONTAMINATED, NEAR_DUPLICATES
 from .quality_sql import SQL as QUALITY_SQL
 
 
@@ -77,4 +78,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_skip_chain_pii, op2_soft_mixing, op3_spaced_seed_decontamination, op4_recurrent_lm_score, op5_assignment_secrets, op6_token_records, op7_setsketch_near_dedup, op8_language_id, op9_quality_divergence, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op9_quality_divergence": QUALITY_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_spaced_seed_decontamination": CONTAMINATED, "op7_setsketch_near_dedup": NEAR_DUPLICATES, "op9_quality_divergence": QUALITY_SQL}
