@@ -34,20 +34,22 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _windows(hashes: Column) -> Column:
-    """All (hash, place) of all masks."""
+def _seeds(hashes: str, at: str) -> Column:
+    """The hashes of the window at a place under all masks; plain array reads, so they stay in generated code."""
+    return F.array(*[F.xxhash64(F.lit(m), *[F.get(hashes, F.col(at) + k) for k, bit in enumerate(mask) if bit == "1"]) for m, mask in enumerate(MASKS)])
 
-    def at(i: Column) -> Column:
-        return F.array(*[F.struct(F.xxhash64(F.lit(m), *[F.get(hashes, i + k) for k, bit in enumerate(mask) if bit == "1"]).alias("seed"), i.alias("at")) for m, mask in enumerate(MASKS)])
 
+def _windows(rows: DataFrame, hashes: str, at: str) -> DataFrame:
+    """rows with a row for each window (its place in ``at``) and mask (its hash in ``seed``)."""
     n = F.size(hashes)
-    return F.when(n >= SPAN, F.flatten(F.transform(F.sequence(F.lit(0), n - SPAN), at)))
+    places = rows.select("*", F.explode(F.when(n >= SPAN, F.sequence(F.lit(0), n - SPAN))).alias(at))
+    return places.select("*", F.explode(_seeds(hashes, at)).alias("seed"))
 
 
 def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
     """seed, item_id, item_at, item (its word hashes)."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("item"))
-    return items.select("item_id", "item", F.explode(_windows(F.col("item"))).alias("w")).select(F.col("w.seed").alias("seed"), "item_id", F.col("w.at").alias("item_at"), "item")
+    return _windows(items, "item", "item_at")
 
 
 def _best(own: Column, item: Column, shift: Column) -> Column:
@@ -88,14 +90,17 @@ def blocks(benchmark: DataFrame, wanted: int = BLOCK_SEEDS) -> list[DataFrame]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per verified (doc_id, item_id): score, matched words and length of the best overlap, and words of the item."""
-    own = docs.select("doc_id", word_hashes(F.col("text")).alias("own")).where(F.size("own") >= SPAN)
-    windows = own.select("doc_id", "own", F.explode(_windows(F.col("own"))).alias("w")).select("doc_id", "own", F.col("w.seed").alias("seed"), F.col("w.at").alias("at"))
+    windows = _windows(docs.select("doc_id", word_hashes(F.col("text")).alias("own")), "own", "at")
     found = None
     for part in blocks(benchmark):
-        hits = windows.join(F.broadcast(part), "seed").select("doc_id", "item_id", F.size("item").alias("item_words"), _best(F.col("own"), F.col("item"), F.col("at") - F.col("item_at")).alias("b"))
+        # Only the stretch of the text beside the item leaves the join, whatever the text's length.
+        first = F.greatest(F.lit(0), F.col("at") - F.col("item_at"))
+        near = windows.join(F.broadcast(part), "seed").select("doc_id", "item_id", "item", F.slice("own", first + 1, F.size("item")).alias("beside"), (F.col("at") - F.col("item_at") - first).alias("shift"))
+        hits = near.select("doc_id", "item_id", F.size("item").alias("item_words"), _best(F.col("beside"), F.col("item"), F.col("shift")).alias("b"))
         found = hits if found is None else found.unionByName(hits)
-    verified = found.where(F.col("b.best") >= least_score(F.col("item_words")))
-    best = verified.groupBy("doc_id", "item_id").agg(F.max(F.struct("b.best", "b.best_hits", "item_words")).alias("m"))
+    # The test of the score stands behind the aggregation: before it, the optimizer would move it into the join, which would then leave
+    # generated code and pile up every window of a long text.
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("b.best", "b.best_hits", "item_words")).alias("m")).where(F.col("m.best") >= least_score(F.col("m.item_words")))
     return best.select("doc_id", "item_id", F.col("m.best").cast("long").alias("score"), F.col("m.best_hits").cast("long").alias("matched"), F.col("m.item_words").cast("long").alias("item_words"))
 
 
