@@ -98,9 +98,25 @@ class Generations(dict):
             self.put(key, value)
         return value
 
-    def missing(self, keys: set) -> set:
-        """Those in neither half."""
-        return keys - self.keys() - self.old.keys()
+
+def _byte_letters() -> dict[int, str]:
+    """The visible stand-ins that byte-level BPE vocabularies use for bytes: printable Latin-1 stands for itself, the rest follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
+def byte_level(word: str) -> str:
+    """A word as a byte-level vocabulary writes it."""
+    return word.encode().decode("latin-1").translate(_LETTERS)
+
+
+def simple(word: str) -> bool:
+    """Letters of ASCII and Latin-1 alone: one pre-token in any byte-level pre-tokenizer, in normal form already, lower-cased letter by letter."""
+    return word.isalpha() and max(word) < "\u0100"
 
 
 _HELD: dict = {}

@@ -4,7 +4,8 @@ A byte-level BPE never merges across pre-tokens, so a text's count is a sum over
 space or line feed stands between two non-space characters: the library's pre-tokenizer always ends a pre-token there, so
 pieces encode alone exactly as within the text.  Tier one is a broadcast table of the lengths of the most frequent pieces of a
 bounded sample of documents (``TABLE_ENTRIES`` at most; it only saves work); tier two is each worker's own cache of ``CACHE_ENTRIES``
-at most, whose misses the library encodes in blocks.  Pieces are never shuffled.
+at most, whose misses the library encodes (pieces of plain letters by its model alone, as they
+are one pre-token each).  Pieces are never shuffled.
 
 Null text counts as empty (0 tokens); one long run without such a place is one piece; repeated rows give repeated results; other
 columns are ignored.
@@ -18,7 +19,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Generations, hashed_sample, held, texts, utf8
+from .common import Generations, byte_level, hashed_sample, held, simple, texts, utf8
 
 LIMIT = 1024
 TABLE_ENTRIES, TABLE_DOCUMENTS, CACHE_ENTRIES = 65_536, 2000, 600_000
@@ -63,16 +64,12 @@ class Lengths(Generations):
         n = self.frequent.get(piece)
         if n is not None:
             return n
+        if simple(piece):
+            return len(self.encoder.model.tokenize(byte_level(" " + piece)))
         if piece[-1] in ".," and piece[:-1].isalpha():  # a mark behind letters is a pre-token, and a token, of its own
             return self[piece[:-1]] + 1
         return len(self.encoder.encode(raw(piece), add_special_tokens=False).ids)
 
-    def learn(self, new: set[str]) -> None:
-        """Encode short misses as one block."""
-        todo = list(self.missing({p[:-1] if p[-1] in ".," and p[:-1].isalpha() else p for p in new if self.fits(p)}) - self.frequent.keys())
-        for piece, e in zip(todo, self.encoder.encode_batch_fast([raw(p) for p in todo], add_special_tokens=False), strict=True):
-            self.put(piece, len(e.ids))
-
 
 def frequent_pieces(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES) -> dict[str, int]:
     """The lengths of the most frequent pieces of a bounded sample of documents."""
@@ -91,7 +88,6 @@ def frequent_pieces(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES) ->
     total = sample.mapInArrow(count, "piece string, n long").groupBy("piece").sum("n").withColumnRenamed("sum(n)", "n")
     top = [r[0] for r in total.where("n > 1").orderBy("n", "piece", ascending=[False, True]).limit(entries).collect()]
     lengths = Lengths(path)
-    lengths.learn(set(top))
     return {p: lengths[p] for p in top}
 
 
@@ -110,10 +106,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             n_bytes = [len(x) for x in utf8(b.column("text"))]
             n_tokens = []
             own = b.column("text").to_pylist()
-            for i in range(0, len(own), 200):
-                cut = [pieces(t) for t in own[i : i + 200]]
-                lengths.learn(set().union(*cut) - lengths.keys())
-                n_tokens += [sum(map(lengths.__getitem__, c)) for c in cut]
+            for t in own:
+                n_tokens.append(sum(map(lengths.__getitem__, pieces(t))))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())], schema=schema)
 
     return texts(docs).mapInArrow(run, SCHEMA)

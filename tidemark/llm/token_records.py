@@ -9,7 +9,8 @@ number of ids), and at last a u32 masked crc32 of the entries: a reader that wan
 
 Documents are dealt to parts by ranges of (doc_id, hash of the text); each task encodes, writes under a name of its attempt and
 renames, so a task that runs again leaves the same file.  White space is dropped by this vocabulary's pre-tokenizer, so words encode
-alone as within the text; a bounded worker cache keeps their ids and the library encodes the misses in blocks.
+alone as within the text; a bounded worker cache keeps their ids, and the library encodes the misses (words of plain letters by its model
+alone, as they are one pre-token each).
 
 Null text counts as empty (the end id alone); null doc_ids come first; repeated doc_ids are all written, ordered by a hash of
 the text; an empty table gives no parts and no rows; other columns are ignored.
@@ -19,17 +20,19 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Generations, held, kept, shared_path, texts
+from .common import Generations, byte_level, held, kept, shared_path, simple, texts
 
 END_ID = 1
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 700_000
 _ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -80,34 +83,21 @@ class WordIds(Generations):
         self.kind = "<u2" if self.encoder.get_vocab_size() <= 1 << 16 else "<u4"
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        out = array("H" if self.kind == "<u2" else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def compute(self, word: str) -> bytes:
-        low = word.lower() if word.isascii() else word
-        if low != word and "<|" not in word:
-            return self[low]
-        if word[-1] in ".," and word[:-1].lower().isalpha():  # a mark behind letters is a pre-token of its own
+        if simple(word):
+            return self._bytes([x.id for x in self.encoder.model.tokenize(byte_level(word.lower()))])
+        if word[-1] in ".," and simple(word[:-1]):  # a mark behind letters is a pre-token of its own
             return self[word[:-1]] + self[word[-1]]
         return self._bytes(self.encoder.encode(word, add_special_tokens=False).ids)
 
-    def learn(self, words: set[str]) -> None:
-        """Encode short misses as one block."""
-        new = set()
-        for w in words:
-            if w.isascii() and "<|" not in w:
-                w = w.lower()
-            if w[-1] in ".," and w[:-1].lower().isalpha():
-                w = w[:-1]
-            if self.fits(w):
-                new.add(w)
-        todo = list(self.missing(new))
-        for w, e in zip(todo, self.encoder.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-            self.put(w, self._bytes(e.ids))
-
-    def encode(self, found: list[str]) -> list[bytes]:
-        cut = [None if _ODD.search(t) else t.split() for t in found]
-        self.learn(self.missing(set().union(*(c for c in cut if c))))
-        return [b"".join(map(self.__getitem__, c)) if c is not None else b"".join(map(self.__getitem__, (w for w in t.split(" ") if w))) for c, t in zip(cut, found, strict=True)]
+    def encode(self, text: str) -> bytes:
+        words = text.split(" ") if _ODD.search(text) else text.split()
+        return b"".join(map(self.__getitem__, filter(None, words)))
 
 
 def write_records(docs: DataFrame, path: str, to: str, end_id: int = END_ID) -> DataFrame:
@@ -120,7 +110,7 @@ def write_records(docs: DataFrame, path: str, to: str, end_id: int = END_ID) ->
         from pyspark import TaskContext
 
         words, task = None, TaskContext.get()
-        name, at, n_docs, n_ids, first = f"part-{task.partitionId():05d}", 0, 0, 0, None
+        name, at, n_docs, n_ids = f"part-{task.partitionId():05d}", 0, 0, 0
         place = out = index = store = None
         for b in batches:
             if b.num_rows and out is None:
@@ -133,13 +123,13 @@ def write_records(docs: DataFrame, path: str, to: str, end_id: int = END_ID) ->
                 end = np.array([end_id], words.kind).tobytes()
                 width = len(end)
             ids, own = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for i in range(0, len(own), 200):
-                for d, x in zip(ids[i : i + 200], words.encode(own[i : i + 200]), strict=True):
-                    record = frame(struct.pack("<qB", d or 0, (d is None) + 2 * wide) + x + end)
-                    n = len(x) // width + 1
-                    index += struct.pack("<qQQI", d or 0, at, n_ids, n)
-                    out.write(record)
-                    at, n_docs, n_ids, first = at + len(record), n_docs + 1, n_ids + n, d if n_docs == 0 else first
+            for d, t in zip(ids, own, strict=True):
+                x = words.encode(t)
+                record = frame(struct.pack("<qB", d or 0, (d is None) + 2 * wide) + x + end)
+                n = len(x) // width + 1
+                index += struct.pack("<qQQI", d or 0, at, n_ids, n)
+                out.write(record)
+                at, n_docs, n_ids = at + len(record), n_docs + 1, n_ids + n
         if out is not None:
             out.close()
             with store.open_output_stream(f"{mine}.idx") as f:
