@@ -4,14 +4,16 @@
    SetSketch registers: register i is floor(1 - log_b x) clamped to 0..q+1 for the least exponential value x that the set's elements draw for
    it, so values step down exponentially, sketches of parts merge by maximum, and equal registers are likelier the more alike two sets are.
 2. Documents with one fingerprint have one set: they form a class, and the class goes on through its smallest doc_id alone.
-3. ``BANDS`` bands of ``ROWS`` registers: classes that agree in a band share a bucket.  In each bucket the class with the smallest id is paired
-   with the others, so a bucket of n gives n - 1 pairs.
-4. Pairs whose likelihood estimate of the similarity (from the counts of greater, less and equal registers, the sizes known) is far below the
-   threshold go; the rest are confirmed on full sets, which are fetched by joins.
-5. Links make components.  Buckets whose members lie in several components are looked at again: members that have not been centres yet
-   take their turn against the members of other components, until each bucket is one component or all its members have been
-   centres.  So no link that a bucket holds is lost, whatever the first centre was.
-6. The class's component goes back to all its documents.
+3. ``BANDS`` bands of ``ROWS`` registers: classes that agree in a band share a bucket.  Within each bucket registers alone are compared: where
+   the likelihood estimate of the similarity (from the counts of greater, less and equal registers, the sizes known) is not far below the
+   threshold, classes are tied, and a spanning forest of the ties leaves the bucket.  Its components are *clusters*: each pair that a
+   bucket could link lies in one cluster, and each class in one cluster only.
+4. Each cluster's full sets, fetched once, are compared exactly: members take turns as centre against the members of other components,
+   until all members outside the largest component have been centres, so no link between components is missed; a spanning
+   forest of the links leaves.
+5. Buckets and clusters of more than ``CHUNK`` members are dealt as chunks by hash, and pairs of chunks go to different tasks; no task holds
+   more than two chunks, and no pairs of members are ever emitted.
+6. Links make components, and the class's component goes back to all its documents.
 
 A band agrees with probability about J**ROWS: at J = 0.85 a pair is missed by all bands with probability 7e-6.
 
@@ -37,8 +39,8 @@ REGISTERS, ROWS = 64, 4
 BANDS = REGISTERS // ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Pairs estimated this far below the threshold are not confirmed: over five standard errors.
-ESTIMATE_SLACK = 0.3
-CENTRES = 8
+ESTIMATE_SLACK = 0.25
+CHUNK = 512
 CACHE_ENTRIES = 500_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -168,40 +170,148 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return own.join(ids.select(F.col("id").alias("doc_id")), "doc_id").mapInArrow(run, "id long, elements binary")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow the threshold and whose estimate is not far below it."""
-    a, b = (classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}")) for x in "ab")
-    both = pairs.join(b, "b").where("n_b > 0").join(a, "a").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+def _grouped(df: DataFrame, keys: list[str], make, schema: str) -> DataFrame:
+    """make(table of one group) -> (a, b) arrays, for each group of the keys; rows stream in sorted order, a group at a time and
+    by id in it, so that buckets with the same members give the same pairs."""
 
     def run(batches):
-        for x in batches:
-            if x.num_rows == 0:
-                continue
-            r_a, r_b = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint16).reshape(x.num_rows, REGISTERS) for c in ("r_a", "r_b"))
-            j = estimate(r_a, r_b, x.column("n_a").to_numpy().astype(float), x.column("n_b").to_numpy().astype(float))
-            y = x.filter(pa.array(j >= PERCENT / 100 - ESTIMATE_SLACK))
-            yield pa.RecordBatch.from_arrays([y.column("a"), y.column("b")], ["a", "b"])
-
-    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
+        def out(parts: list) -> pa.RecordBatch | None:
+            a, b = make(pa.Table.from_batches(parts).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if len(a) else None
 
-
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with 100 * intersection >= PERCENT * union."""
-
-    def run(batches):
+        held, last = [], None
         for x in batches:
-            keep, last, first = [], None, None
-            for a, p, q in zip(x.column("a").to_pylist(), x.column("e_a").to_pylist(), x.column("e_b").to_pylist(), strict=True):
-                if a != last:
-                    last, first = a, _unpacked(p)
-                second = _unpacked(q)
-                both = len(np.intersect1d(first, second, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(first) + len(second) - both))
-            y = x.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([y.column("a"), y.column("b")], ["a", "b"])
-
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("e_b")), "b")
-    return with_b.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("e_a")), "a").select("a", "b", "e_a", "e_b").mapInArrow(run, "a long, b long")
+            if not x.num_rows:
+                continue
+            k = [x.column(c).to_numpy(zero_copy_only=False) for c in keys]
+            cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in k])) + 1
+            for s, e in zip([0, *cut], [*cut, x.num_rows], strict=True):
+                key = tuple(c[s] for c in k)
+                if key != last and held:
+                    if (y := out(held)) is not None:
+                        yield y
+                    held = []
+                held.append(x.slice(s, e - s))
+                last = key
+        if held and (y := out(held)) is not None:
+            yield y
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, schema)
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, id) of groups of two or more, with the chunk pairs (i, j) they stand in; groups up to CHUNK are one chunk."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("members")).where("members > 1").withColumnRenamed(key, "_key")
+    own = rows.join(counts, rows[key] == F.col("_key")).drop("_key")
+    n = F.ceil(F.col("members") / CHUNK).cast("int")
+    mine = F.pmod(F.xxhash64("id"), n).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")))
+    return own.select(key, "id", F.explode(pairs).alias("p")).select(key, F.col("p.i").alias("i"), F.col("p.j").alias("j"), "id")
+
+
+class _Forest:
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self) -> np.ndarray:
+        while True:
+            up = self.up[self.up]
+            if (up == self.up).all():
+                return up
+            self.up = up
+
+    def join(self, centre: int, others: np.ndarray) -> np.ndarray:
+        """Joins the centre with the others; returns one of each component that was new to it."""
+        top = self.roots()
+        top = top.copy()
+        _, first = np.unique(top[others], return_index=True)
+        new = others[first]
+        new = new[top[new] != top[centre]]
+        least = min(top[centre], *top[new]) if len(new) else top[centre]
+        self.up = np.where(np.isin(top, np.append(top[new], top[centre])), least, top)
+        return new
+
+
+def _spanning(n: int, linked_to) -> tuple[list[int], list[int]]:
+    """A spanning forest of the graph whose neighbours of i among candidates linked_to(i, candidates) gives.
+
+    Centres come from the largest component while they gain, then every member outside it takes its turn: after that no two components
+    have an untested pair.
+    """
+    forest, been = _Forest(n), np.zeros(n, bool)
+    a, b = [], []
+
+    def turn(c: int) -> int:
+        been[c] = True
+        others = np.flatnonzero(forest.roots() != forest.roots()[c])
+        new = forest.join(c, linked_to(c, others)) if len(others) else others
+        a.extend([c] * len(new))
+        b.extend(new.tolist())
+        return len(new)
+
+    c = 0
+    while True:
+        gained = turn(c)
+        roots = forest.roots()
+        names, counts = np.unique(roots, return_counts=True)
+        if len(names) == 1:
+            return a, b
+        inside = roots == names[counts.argmax()]
+        fresh = np.flatnonzero(inside & ~been) if gained else np.empty(0, int)
+        if not len(fresh):
+            fresh = np.flatnonzero(~inside & ~been)
+        if not len(fresh):
+            return a, b
+        c = int(fresh[0])
+
+
+def _ties(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Members of a bucket tied by the estimate of their similarity."""
+    ids, n = t.column("id").to_numpy(), t.column("n").to_numpy().astype(float)
+    if len(ids) < 2:
+        return ids[:0], ids[:0]
+    r = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
+
+    def near(c: int, others: np.ndarray) -> np.ndarray:
+        size = np.minimum(n[others], n[c]) * 100 >= PERCENT * np.maximum(n[others], n[c])
+        # Equal registers alone bound the estimate from above; most members that are far fall here.
+        others = others[size]
+        if not len(others):
+            return others
+        j = estimate(np.broadcast_to(r[c], (len(others), REGISTERS)), r[others], np.full(len(others), n[c]), n[others])
+        return others[j >= PERCENT / 100 - ESTIMATE_SLACK]
+
+    a, b = _spanning(len(ids), near)
+    return ids[a], ids[b]
+
+
+def _links(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Members of a cluster with 100 * intersection >= PERCENT * union, exactly."""
+    ids = t.column("id").to_numpy()
+    if len(ids) < 2:
+        return ids[:0], ids[:0]
+    sets = [_unpacked(x) for x in t.column("elements").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    if len(ids) == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        at = [0] if both and 100 * both >= PERCENT * (size.sum() - both) else []
+        return ids[at], ids[1:][at]
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+    mark = np.zeros(place.max() + 1, bool)
+
+    def linked_to(c: int, others: np.ndarray) -> np.ndarray:
+        own = place[starts[c] : starts[c] + size[c]]
+        mark[own] = True
+        both = np.add.reduceat(mark[place], starts, dtype=np.int64)
+        mark[own] = False
+        return others[100 * both[others] >= PERCENT * (size[c] + size[others] - both[others])]
+
+    a, b = _spanning(len(ids), linked_to)
+    return ids[a], ids[b]
+
+
+PAIR = "a long, b long"
 
 
 def linked(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -210,34 +320,13 @@ def linked(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = kept(sketches.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "registers")).alias("m")).select("fp1", "fp2", "n", F.col("m.doc_id").alias("id"), F.col("m.registers").alias("registers")), spark, "classes")
     width = 2 * ROWS
     bands = classes.select("id", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 1 + i * width, width)) for i in range(BANDS)])).alias("bucket"))
-    firsts = kept(bands.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1").select("bucket", "a"), spark, "firsts")
-    crowd = kept(bands.join(firsts, "bucket").select("bucket", "a", F.col("id").alias("b")), spark, "crowd")
-    ids = crowd.select(F.col("b").alias("id")).distinct()
-    sets = kept(_sets(docs, ids), spark, "sets")
-    pairs = kept(crowd.where("a <> b").select("a", "b").distinct(), spark, "pairs")
-    links = kept(_confirmed(kept(_likely(pairs, classes), spark, "likely"), sets), spark, "confirmed")
-    tried = pairs
-    done = crowd.select("bucket", F.col("a").alias("b")).distinct()  # members that have been centres
-    labels = components(links)
-    while True:
-        own = crowd.select("bucket", "b").join(labels, crowd["b"] == labels["node"], "left").select("bucket", "b", F.coalesce("label", "b").alias("label"))
-        mixed = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("bucket").alias("mixed"))
-        open_ = kept(own.join(mixed, own["bucket"] == F.col("mixed")).select("bucket", "b", "label"), spark, "open")
-        fresh = open_.join(done, ["bucket", "b"], "left_anti")
-        turn = fresh.groupBy("bucket", "label").agg(F.min("b").alias("centre")).groupBy("bucket").agg(F.slice(F.array_sort(F.collect_set("centre")), 1, CENTRES).alias("c")).select("bucket", F.explode("c").alias("centre"))
-        turn = kept(turn, spark, "turn")
-        if turn.limit(1).count() == 0:
-            return classes, labels
-        of = open_.select(F.col("bucket").alias("at"), F.col("b").alias("centre_"), F.col("label").alias("centre_label"))
-        centres = turn.join(of, (turn["bucket"] == of["at"]) & (turn["centre"] == of["centre_"])).select("at", "centre", "centre_label")
-        new = open_.join(centres, (open_["bucket"] == centres["at"]) & (open_["label"] != centres["centre_label"])).select(F.least("centre", "b").alias("a"), F.greatest("centre", "b").alias("b")).distinct()
-        new = kept(new.join(tried, ["a", "b"], "left_anti"), spark, "pairs")
-        done = kept(done.unionByName(turn.select("bucket", F.col("centre").alias("b"))), spark, "done")
-        tried = kept(tried.unionByName(new), spark, "tried")
-        more = kept(_confirmed(_likely(new, classes), sets), spark, "confirmed")
-        if more.limit(1).count():
-            links = kept(links.unionByName(more), spark, "confirmed")
-            labels = components(links)
+    crowd = kept(_dealt(bands, "bucket"), spark, "crowd")
+    tied = _grouped(crowd.join(classes.select("id", "n", "registers"), "id").select("bucket", "i", "j", "id", "n", "registers"), ["bucket", "i", "j"], _ties, PAIR)
+    clusters = components(kept(tied.distinct(), spark, "ties"))
+    sets = kept(_sets(docs, clusters.select(F.col("node").alias("id"))), spark, "sets").dropDuplicates(["id"])
+    members = _dealt(clusters.select(F.col("label").alias("cluster"), F.col("node").alias("id")), "cluster")
+    found = _grouped(members.join(sets, "id").select("cluster", "i", "j", "id", "elements"), ["cluster", "i", "j"], _links, PAIR)
+    return classes, components(kept(found, spark, "confirmed"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
