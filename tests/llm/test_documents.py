@@ -256,6 +256,26 @@ def test_probabilities_sum_to_one_and_state_is_carried():
         assert np.abs(a - b).max() < 1e-4
 
 
+def test_training_takes_every_window_with_its_state():
+    m = recurrent.Model(np.array([50, 40, 30, 20, 10, 5, 4, 3, 2, 1]), 4, 3)
+    rnd = np.random.default_rng(2)
+    m.p["class_w"], m.p["word_w"] = rnd.normal(size=m.p["class_w"].shape).astype(np.float32), rnd.normal(size=m.p["word_w"].shape).astype(np.float32)
+    found = [rnd.integers(0, 10, n).astype(np.int32) for n in (3, 200, 1, 57, 9, 32, 64, 33)]
+    want = -sum(float(x.sum()) for x in recurrent.score(m, m.table(), found, first=4))
+    for lanes in (1, 3, 20):
+        # At rate 0 the weights stand, so the losses add up to what scoring gives only if no word is left out and no state is lost.
+        loss, words = recurrent.train(m, recurrent.Adam(m, 0.0), found, lanes, 32, 4)
+        assert words == sum(map(len, found)) and abs(loss - want) < 1e-3 * want
+
+
+def test_short_documents_train(spark):
+    own = spark.createDataFrame([(i, f"alpha beta w{i}") for i in range(6)], "doc_id long, text string")
+    for i in range(6):
+        one = own.where(f"doc_id = {i}")
+        vocab = lm_score.vocabulary(lm_score.word_counts(one))
+        assert np.abs(lm_score.learn(one, vocab) - vocab.model().flat()).max() > 0
+
+
 def test_scores(docs, rows, empty):
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
     c: Counter = Counter()

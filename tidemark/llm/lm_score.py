@@ -3,9 +3,9 @@
 1. Counts of all words of all training documents: partial counts in each task, one exchange.  They grow with the corpus and stay in a
    written table; the ``TIER`` most frequent words alone (and three sums) reach the driver.
 2. The model knows the end of a text, ``WORDS`` frequent words and one place for all others; its output layer starts from the counts.  It
-   is learned by data-parallel rounds: each task trains a replica of the current weights on its own training documents by truncated
-   backpropagation over windows of ``WINDOW`` words, of which one in ``STRIDE`` is a step (every training document takes part,
-   the work grows with the input), and the replicas are averaged, weighted by words, in two exchanges of weight blocks.
+   is learned by data-parallel rounds: each task trains a replica of the current weights on its own training documents of the round (a hash
+   deals them; every training document is in one round) by truncated backpropagation over all their windows of ``WINDOW`` words, the state
+   running on from window to window, and the replicas are averaged, weighted by words, in two exchanges of weight blocks.
 3. Scoring carries the state across windows through each whole document.  Words of the broadcast tier have their counts at hand; the
    others are joined with the count table and summed by document.
 
@@ -32,7 +32,7 @@ from .recurrent import Adam, Model, score, train
 #: The end of a text; no word is empty.
 END = b""
 TIER, WORDS, HIDDEN, CLASSES = 100_000, 2048, 24, 48
-ROUNDS, WINDOW, STRIDE, RATE, LANES = 2, 32, 16, 0.01, 32
+ROUNDS, WINDOW, RATE, LANES = 2, 32, 0.01, 32
 BLOCKS, FLUSH, CHUNK = 128, 400_000, 6 << 20
 
 
@@ -139,27 +139,15 @@ def learn(training: DataFrame, vocab: Vocabulary) -> np.ndarray:
     known = spark.sparkContext.broadcast(vocab)
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(weights)
-        every = STRIDE * ROUNDS
 
-        def replica(batches, turn=turn, start=start, every=every):
+        def replica(batches, start=start):
             from pyspark import TaskContext
 
             v = known.value
             model = v.model()
             model.load(start.value)
-            optimiser, n, waiting = Adam(model, RATE), 0, []
-            for rows in _chunks(batches, ("h", "text")):
-                for h, t in rows:
-                    own = [*words(t), END]
-                    # The document's own phase: short ones take part too, each in its turn.
-                    for i in range((h % every - turn * STRIDE) % every * WINDOW, len(own), every * WINDOW):
-                        ids = v.place[v.lookup(own[max(0, i - 1) : i + WINDOW])]
-                        waiting.append((int(ids[0]), ids[1:]) if i else (v.end, ids))
-                    if len(waiting) >= LANES:
-                        n += train(model, optimiser, waiting[: len(waiting) // LANES * LANES], LANES)[1]
-                        waiting = waiting[len(waiting) // LANES * LANES :]
-            if waiting:
-                n += train(model, optimiser, waiting, LANES)[1]
+            own = (v.place[v.lookup([*words(t), END])] for rows in _chunks(batches, ("text",)) for (t,) in rows)
+            n = train(model, Adam(model, RATE), own, LANES, WINDOW, v.end)[1]
             if n:
                 parts = np.array_split(model.flat().astype(np.float64) * n, BLOCKS)
                 slot = TaskContext.get().partitionId()
@@ -169,7 +157,9 @@ def learn(training: DataFrame, vocab: Vocabulary) -> np.ndarray:
             v = np.sum([np.frombuffer(x) for x in table.column("v").to_pylist()], 0)
             return pa.table({"block": table.column("block")[:1], "v": pa.array([v.tobytes()], pa.binary()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
 
-        rows = training.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("h"), "text").mapInArrow(replica, "block int, slot int, v binary, n long")
+        # Every document trains once, in the round that its hash gives.
+        mine = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn)
+        rows = mine.select("text").mapInArrow(replica, "block int, slot int, v binary, n long")
         schema = "block int, v binary, n long"
         part = rows.withColumn("slot", F.col("slot") % 32).groupBy("block", "slot").applyInArrow(total, schema)
         got = {r[0]: (np.frombuffer(bytes(r[1])), r[2]) for r in part.groupBy("block").applyInArrow(total, schema).collect()}

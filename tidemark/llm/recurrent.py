@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 F32 = np.float32
@@ -93,57 +95,71 @@ class Model:
     def slopes(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, on: np.ndarray, h: np.ndarray):
         """Gradients of the mean loss over one window (backpropagation stops at its start), the loss and the last state."""
         p, n = self.p, self.hidden
-        states, last, saved = self.forward(self.table(), x, fresh, h, keep=True)
+        words = x.reshape(-1)
+        own = p["embed"][words]
+        states, last, saved = self.forward(own @ p["w"] + p["b"], np.arange(len(words)).reshape(x.shape), fresh, h, keep=True)
         flat, yy, ok = states.reshape(-1, n), y.reshape(-1), on.reshape(-1)
+        # In order of words, so that each class, and each word, is one slice.
         at_all = np.flatnonzero(ok)
+        at_all = at_all[np.argsort(yy[at_all], kind="stable")]
         hs, yy = flat[at_all], yy[at_all]
         g = {k: np.zeros_like(v) for k, v in p.items()}
         total = F32(max(1, len(yy)))
         logits = hs @ p["class_w"] + p["class_b"]
         q = np.exp(logits - logits.max(1, keepdims=True))
         q /= q.sum(1, keepdims=True)
-        k = self.of[yy]
-        loss = -np.log(q[np.arange(len(yy)), k] + 1e-30).sum()
-        q[np.arange(len(yy)), k] -= 1
+        k, each = self.of[yy], np.arange(len(yy))
+        loss = -np.log(q[each, k] + 1e-30).sum()
+        q[each, k] -= 1
         q /= total
         g["class_w"], g["class_b"] = hs.T @ q, q.sum(0)
         dh = q @ p["class_w"].T
-        order = np.argsort(k, kind="stable")
-        bounds = np.searchsorted(k[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            at = order[bounds[c] : bounds[c + 1]]
-            s, e = self.starts[c], self.starts[c + 1]
-            if not len(at) or e - s == 1:
-                continue
-            w = hs[at] @ p["word_w"][s:e].T + p["word_b"][s:e]
-            w = np.exp(w - w.max(1, keepdims=True))
-            w /= w.sum(1, keepdims=True)
-            i = (np.arange(len(at)), yy[at] - s)
-            loss -= np.log(w[i] + 1e-30).sum()
-            w[i] -= 1
-            w /= total
-            g["word_w"][s:e], g["word_b"][s:e] = w.T @ hs[at], w.sum(0)
-            dh[at] += w @ p["word_w"][s:e]
+        bounds = np.searchsorted(k, np.arange(self.classes + 1))
+        inside = np.flatnonzero(np.diff(self.starts)[k] > 1)
+        target = p["word_w"][yy[inside]]
+        loss -= ((hs[inside] * target).sum(1) + p["word_b"][yy[inside]]).sum(dtype=np.float64)
+        for c in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(self.starts) > 1)):
+            lo, hi, s, e = bounds[c], bounds[c + 1], self.starts[c], self.starts[c + 1]
+            mine, weights = hs[lo:hi], p["word_w"][s:e]
+            w = mine @ weights.T
+            w += p["word_b"][s:e]
+            top = w.max(1, keepdims=True)
+            w -= top
+            np.exp(w, out=w)
+            size = w.sum(1, keepdims=True)
+            loss += float((top + np.log(size)).sum())
+            w /= size * total
+            g["word_w"][s:e], g["word_b"][s:e] = w.T @ mine, w.sum(0)
+            dh[lo:hi] += w @ weights
+        if len(inside):
+            dh[inside] -= target / total
+            firsts = np.flatnonzero(np.diff(yy[inside], prepend=-1))
+            g["word_w"][yy[inside][firsts]] -= np.add.reduceat(hs[inside], firsts) / total
+            g["word_b"] -= (np.bincount(yy[inside], minlength=self.vocabulary) / total).astype(F32)
         d_states = np.zeros_like(flat)
         d_states[at_all] = dh
         d_states = d_states.reshape(states.shape)
-        d_next = np.zeros_like(h)
-        d_table = np.empty((*x.shape, 3 * n), F32)
+        before, z, r, c, gc = (np.stack(v) for v in zip(*saved, strict=True))
+        # What a state's gradient is multiplied by for the update gate, the reset gate and the candidate.
+        to_c = (1 - z) * (1 - c * c)
+        slope = np.stack([(before - c) * z * (1 - z), to_c * gc * r * (1 - r), to_c * r], 2)
+        d_next, ut = np.zeros_like(h), np.ascontiguousarray(p["u"].T)
+        dg, d_all = np.empty((*x.shape, 3 * n), F32), np.empty(states.shape, F32)
+        ends = fresh.any(1)
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, c, gc = saved[t]
-            d = d_states[t] + d_next
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (before - c) * z * (1 - z)
-            dr = dc * gc * r * (1 - r)
-            dg = np.concatenate([dz, dr, dc * r], 1)
-            d_table[t] = np.concatenate([dz, dr, dc], 1)
-            g["u"] += before.T @ dg
-            d_next = (d * z + dg @ p["u"].T) * ~fresh[t][:, None]
-        dt = d_table.reshape(-1, 3 * n)
-        words = x.reshape(-1)
-        g["w"] = p["embed"][words].T @ dt
+            d = np.add(d_states[t], d_next, out=d_all[t])
+            np.multiply(d[:, None], slope[t], out=dg[t].reshape(len(d), 3, n))
+            d_next = d * z[t] + dg[t] @ ut
+            if ends[t]:
+                d_next *= ~fresh[t][:, None]
+        g["u"] = before.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
+        dt = dg.reshape(-1, 3 * n)
+        dt[:, 2 * n :] = (d_all * to_c).reshape(-1, n)
+        g["w"] = own.T @ dt
         g["b"] = dt.sum(0)
-        np.add.at(g["embed"], words, dt @ p["w"].T)
+        order = np.argsort(words, kind="stable")
+        firsts = np.flatnonzero(np.diff(words[order], prepend=-1))
+        g["embed"][words[order][firsts]] = np.add.reduceat((dt @ p["w"].T)[order], firsts)
         return g, float(loss), last
 
 
@@ -153,16 +169,24 @@ class Adam:
         self.v = {k: np.zeros_like(v) for k, v in model.p.items()}
         self.rate, self.t = rate, 0
 
-    def step(self, model: Model, g: dict) -> None:
+    def step(self, model: Model, g: dict, weight: float = 1.0) -> None:
         self.t += 1
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        cut = F32(min(1.0, 1.0 / (norm + 1e-12)))
+        norm = weight * np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
+        cut = F32(weight * min(1.0, 1.0 / (norm + 1e-12)))
         rate = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k, x in g.items():
             x = x * cut
-            self.m[k] += F32(0.1) * (x - self.m[k])
-            self.v[k] += F32(0.001) * (x * x - self.v[k])
-            model.p[k] -= F32(rate) * self.m[k] / (np.sqrt(self.v[k]) + F32(1e-8))
+            m, v = self.m[k], self.v[k]
+            m += F32(0.1) * (x - m)
+            np.multiply(x, x, out=x)
+            x -= v
+            x *= F32(0.001)
+            v += x
+            np.sqrt(v, out=x)
+            x += F32(1e-8)
+            np.divide(m, x, out=x)
+            x *= F32(rate)
+            model.p[k] -= x
 
 
 def score(model: Model, table: np.ndarray, docs: list[np.ndarray], lanes: int = 256, window: int = 64, first: int = 0) -> list[np.ndarray]:
@@ -211,20 +235,39 @@ def score(model: Model, table: np.ndarray, docs: list[np.ndarray], lanes: int =
     return result
 
 
-def train(model: Model, optimiser: Adam, windows: list[tuple[int, np.ndarray]], lanes: int = 32) -> tuple[float, int]:
-    """One step for each group of ``lanes`` windows, (word before, words) each; returns the summed loss and the number of words."""
-    loss, words = 0.0, 0
-    for i in range(0, len(windows), lanes):
-        own = windows[i : i + lanes]
-        n = max(len(w) for _, w in own)
-        y, on = np.zeros((n, len(own)), np.int32), np.zeros((n, len(own)), bool)
-        x = np.zeros_like(y)
-        for j, (before, w) in enumerate(own):
-            y[: len(w), j], on[: len(w), j] = w, True
-            x[0, j], x[1 : len(w), j] = before, w[:-1]
-        fresh = np.zeros(on.shape, bool)
-        fresh[0] = True
-        g, part, _ = model.slopes(x, y, fresh, on, np.zeros((len(own), model.hidden), F32))
-        optimiser.step(model, g)
+def train(model: Model, optimiser: Adam, docs: Iterable[np.ndarray], lanes: int = 32, window: int = 32, first: int = 0) -> tuple[float, int]:
+    """One step for each window of ``lanes`` running documents, until every word of every document has been in one; documents: word ids with
+    the end last.  Returns the summed loss and the number of words.
+
+    A lane's state runs on from window to window (backpropagation stops at a window's start) and starts anew with each document, which follows
+    the one before it in its lane at once.  A step that fewer words share weighs less, so that words weigh alike.
+    """
+    docs, loss, words = iter(docs), 0.0, 0
+    none = np.zeros(0, np.int32)
+    held = [(none, 0)] * lanes
+    h = np.zeros((lanes, model.hidden), F32)
+    while True:
+        x, y = np.zeros((len(held), window), np.int32), np.zeros((len(held), window), np.int32)
+        fresh, n = np.zeros(y.shape, bool), np.zeros(len(held), np.int64)
+        for j, (d, i) in enumerate(held):
+            at = 0
+            while at < window:
+                while d is not None and i == len(d):
+                    d, i = next(docs, None), 0
+                if d is None:
+                    d, i = none, 0
+                    break
+                k = min(window - at, len(d) - i)
+                fresh[j, at], x[j, at] = not i, d[i - 1] if i else first
+                x[j, at + 1 : at + k], y[j, at : at + k] = d[i : i + k - 1], d[i : i + k]
+                at, i = at + k, i + k
+            held[j], n[j] = (d, i), at
+        live = np.flatnonzero(n)
+        if not len(live):
+            return loss, words
+        held, size = [held[j] for j in live], int(n.max())
+        x, y, fresh = (np.ascontiguousarray(v[live, :size].T) for v in (x, y, fresh))
+        on = np.arange(size)[:, None] < n[live]
+        g, part, h = model.slopes(x, y, fresh, on, h[live])
+        optimiser.step(model, g, int(on.sum()) / (lanes * window))
         loss, words = loss + part, words + int(on.sum())
-    return loss, words
