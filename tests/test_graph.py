@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +86,26 @@ def test_projection_and_layers(spark):
     assert {tuple(r) for r in graph.composite(("OBSERVED", e), ("UNRESOLVED", edges(spark, [("a", "b"), ("q", "r")]))).collect()} == {("a", "b", "OBSERVED"), ("b", "c", "OBSERVED"), ("q", "r", "UNRESOLVED")}
     arrays = spark.createDataFrame([(["a", "b"],)], "k array<string>")
     assert graph.rebase(arrays, ["k"], "b", "B").first()[0] == ["a", "B"]
+
+
+def test_targets_beyond_the_hops_are_kept_and_marked(spark):
+    # 0 -> 5 -> 3 -> 7 -> 1 -> 2 with a downward edge and one target off the longer paths
+    edges = spark.createDataFrame([(0, 5), (5, 3), (3, 7), (7, 1), (1, 2), (0, 9), (7, 3)], "src long, dst long")
+    root = spark.createDataFrame([(0,)], "node long")
+    paths, cut = graph.marked_paths(edges, root, 3)
+    assert {(r["target"], r["hops"], tuple(r["nodes"])) for r in paths.collect()} == {(5, 1, (0, 5)), (9, 1, (0, 9)), (3, 2, (0, 5, 3)), (7, 3, (0, 5, 3, 7)), (1, 4, (0, 5, 3, 7, 1)), (2, 5, (0, 5, 3, 7, 1, 2))}
+    assert {r[0] for r in cut.collect()} == {1, 2}
+    best = graph.best_paths(edges, root, edges.selectExpr("dst AS node").distinct())
+    assert {r["node"]: len(r["path"]) - 1 for r in best.collect()} == {0: 0, 5: 1, 9: 1, 3: 2, 7: 3, 1: 4, 2: 5}
+
+
+def test_path_queries_reach_all_fields(spark):
+    from tidemark.plans import catalog
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test data here")
+    reached = {r["node"]: r["depth"] for r in catalog.QUERIES["e06_reach_depths"](spark, data).collect() if r["depth"]}
+    assert {r["target"]: r["depth"] for r in catalog.QUERIES["e19_path_exposure"](spark, data).collect()} == reached
+    capped = catalog.QUERIES["e07_capped_paths"](spark, data).collect()
+    assert {r["target"] for r in capped} == set(reached) and any(r["paths_truncated"] for r in capped)

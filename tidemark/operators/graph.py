@@ -49,6 +49,24 @@ def simple_paths(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFra
     return out.select("origin", "target", "hops", "nodes")
 
 
+def marked_paths(edges: DataFrame, sources: DataFrame, max_hops: int) -> tuple[DataFrame, DataFrame]:
+    """Simple paths up to max_hops, and for targets beyond them the shortest, then smallest path; and the targets (target) that longer paths may
+    reach, so that their paths may not be whole.
+
+    On a cyclic graph simple paths grow exponentially with hops, so they cannot all be listed.  The second table errs to the safe side there: it
+    follows edges from the longest paths without asking whether a node repeats.
+    """
+    paths = materialize(simple_paths(edges, sources, max_hops), "paths")
+    ends = paths.where(F.col("hops") == max_hops)
+    pairs = edges.select("src", "dst").where("src <> dst")
+    after = ends.join(pairs, ends["target"] == pairs["src"]).where(~F.array_contains("nodes", F.col("dst"))).select(F.col("dst").alias("node")).distinct()
+    cut = materialize(depths(edges, after).select(F.col("node").alias("target")).join(sources.select(F.col("node").alias("target")), "target", "left_anti"), "cut")
+    every = edges.select(F.col("dst").alias("node")).distinct()
+    best = best_paths(edges, sources, every).where(F.size("path") > max_hops + 1)
+    beyond = best.select(F.element_at("path", 1).alias("origin"), F.col("node").alias("target"), (F.size("path") - 1).alias("hops"), F.col("path").alias("nodes"))
+    return paths.unionByName(beyond), cut
+
+
 def capped_paths(paths: DataFrame, cap: int = PATH_CAP) -> DataFrame:
     """The first ``cap`` paths of each target in the order of their nodes, with the target's path count and whether it was cut."""
     first = Window.partitionBy("origin", "target").orderBy("nodes")
@@ -103,7 +121,7 @@ def consolidate(expanded: DataFrame) -> DataFrame:
     ).select("src", "dst", "group_ids", "operations", "confidences", F.when(F.size("_known") == 1, F.get("_known", F.lit(0))).otherwise("UNKNOWN").alias("classification"), (F.size("_known") > 1).alias("conflict"))
 
 
-def best_paths(edges: DataFrame, sources: DataFrame, expandable: DataFrame, max_hops: int) -> DataFrame:
+def best_paths(edges: DataFrame, sources: DataFrame, expandable: DataFrame, max_hops: int = 1000) -> DataFrame:
     """node, path: the shortest, then smallest path to each node; only ``expandable`` nodes (and sources) lead on."""
     pairs = edges.select("src", "dst").distinct()
     best = materialize(sources.select(F.col("node"), F.array("node").alias("path")).distinct(), "best")

@@ -62,6 +62,10 @@ def _joined(c: str):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
+def _cut_by_hops(found: DataFrame, cut: DataFrame) -> DataFrame:
+    return found.join(cut.withColumn("_cut", F.lit(True)), "target", "left").withColumn("paths_truncated", F.coalesce("_cut", F.lit(False))).drop("_cut")
+
+
 # --- scans and identity -------------------------------------------------------------------------------------------------------------------
 
 
@@ -170,18 +174,22 @@ def e11_reachable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {EDGES}, {ROOT}, {UP}, {PATHS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY nodes) AS r, count(*) OVER (PARTITION BY target) AS c FROM paths WHERE hops > 0)
 SELECT target, array_to_string(nodes, ',') AS nodes, hops, c AS path_count, c > 128 AS paths_truncated FROM ranked WHERE r <= 128""")
 def e07_capped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simple paths of up to three hops on the acyclic edges, at most 128 for each target, in order of their nodes."""
+    """Simple paths of up to three hops, at most 128 for each target, in order of their nodes; targets beyond have their shortest path, and
+    the mark is also set where longer paths may lead to a target."""
     edges, root = _graph(spark, sf_dir)
-    found = graph.capped_paths(graph.simple_paths(edges.where("src < dst"), root, 3))
+    paths, cut = graph.marked_paths(edges, root, 3)
+    found = _cut_by_hops(graph.capped_paths(paths).withColumnRenamed("paths_truncated", "capped"), cut).withColumn("paths_truncated", F.col("capped") | F.col("paths_truncated"))
     return found.select("target", _joined("nodes").alias("nodes"), "hops", "path_count", "paths_truncated")
 
 
 @query(f"""WITH RECURSIVE {EDGES}, {ROOT}, {UP}, {PATHS}
 SELECT target, min(hops) AS depth, count(*) AS path_count, count(DISTINCT nodes[len(nodes) - 1]) AS incoming, CASE WHEN count(*) > 1 THEN 'multipath' WHEN min(hops) = 1 THEN 'direct' ELSE 'transitive' END AS exposure FROM paths WHERE hops > 0 GROUP BY target""")
 def e19_path_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets with their depth, path count, incoming fields and exposure state."""
+    """Every reachable target with its depth, and the path count, incoming fields and exposure state of its paths of up to three hops (of the
+    shortest path beyond); paths_truncated where longer paths may lead to it."""
     edges, root = _graph(spark, sf_dir)
-    return graph.path_exposure(graph.simple_paths(edges.where("src < dst"), root, 3))
+    paths, cut = graph.marked_paths(edges, root, 3)
+    return _cut_by_hops(graph.path_exposure(paths), cut)
 
 
 @query(f"""WITH {GROUPS} SELECT state, class AS classification, count(*) AS n_groups, sum(CASE WHEN state = 'EXPANDED' THEN len(u) * len(d) ELSE 0 END)::BIGINT AS n_edges FROM stated GROUP BY 1, 2""")
@@ -221,10 +229,10 @@ w(node, path) AS (SELECT node, [node] FROM root UNION ALL SELECT e.dst, list_app
 s AS (SELECT node, min(len(path)) AS n FROM w GROUP BY node)
 SELECT w.node, array_to_string(min(path), ',') AS path FROM w JOIN s ON s.node = w.node AND len(path) = n GROUP BY w.node""")
 def e16_best_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shortest, then smallest path to each field within three hops; PROMO parts lead no further."""
+    """The shortest, then smallest path to each field; PROMO parts lead no further."""
     edges, root = _graph(spark, sf_dir)
     opened = reg.fields(spark, sf_dir).where("native_type <> 'PROMO'").select("node")
-    return graph.best_paths(edges, root, opened, 3).select("node", _joined("path").alias("path"))
+    return graph.best_paths(edges, root, opened).select("node", _joined("path").alias("path"))
 
 
 @query(f"""WITH {EDGES}, fut AS (SELECT DISTINCT CASE WHEN src = 7 THEN -7 ELSE src END AS src, CASE WHEN dst = 7 THEN -7 ELSE dst END AS dst FROM edges)
