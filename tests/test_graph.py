@@ -109,3 +109,19 @@ def test_path_queries_reach_all_fields(spark):
     assert {r["target"]: r["depth"] for r in catalog.QUERIES["e19_path_exposure"](spark, data).collect()} == reached
     capped = catalog.QUERIES["e07_capped_paths"](spark, data).collect()
     assert {r["target"] for r in capped} == set(reached) and any(r["paths_truncated"] for r in capped)
+
+
+def test_composite_takes_every_ambiguous_group(spark):
+    import duckdb
+
+    from tidemark.plans import catalog
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test data here")
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
+    whole = catalog.ORACLE_SQL["e13_composite_graph"].replace(" AND len(u) + len(d) = 4", "")
+    got = catalog.QUERIES["e13_composite_graph"](spark, data).select("state", "n").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(f"select state, n from ({whole})").fetchall())

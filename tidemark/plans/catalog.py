@@ -249,7 +249,7 @@ SELECT CASE r WHEN 0 THEN 'OBSERVED' WHEN 1 THEN 'COUNTERFACTUAL' ELSE 'UNRESOLV
 def e13_composite_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed, counterfactual and unresolved edges in one graph; earlier layers stand."""
     edges, _ = _graph(spark, sf_dir)
-    g = reg.mapping_groups(spark, sf_dir).where((graph.group_state(F.col("upstream"), F.col("downstream"), F.col("confidence")) == "AMBIGUOUS") & (F.size("upstream") + F.size("downstream") == 4))
+    g = reg.mapping_groups(spark, sf_dir).where(graph.group_state(F.col("upstream"), F.col("downstream"), F.col("confidence")) == "AMBIGUOUS")
     amb = g.select("downstream", F.explode("upstream").alias("src")).select("src", F.explode("downstream").alias("dst"))
     turned = edges.where("src > dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return graph.composite(("OBSERVED", edges), ("COUNTERFACTUAL", turned), ("UNRESOLVED", amb)).groupBy("state").agg(F.count("*").alias("n"))
