@@ -363,7 +363,7 @@ graded AS (SELECT *, CASE WHEN technical = 'NO_DEMONSTRATED' THEN 'UNDETERMINED'
 
 
 def _facts(spark, sf_dir):
-    lines = reg.table(spark, sf_dir, "lineitem").where("l_quantity > 45").join(reg.table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"))
+    lines = reg.table(spark, sf_dir, "lineitem").join(reg.table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"))
     subjects = lines.groupBy(F.col("l_suppkey").alias("subject")).agg(F.count_distinct("p_brand").alias("supporting_datasets"), F.count_distinct("l_orderkey").alias("consumer_assets"), F.count_distinct("l_partkey").alias("context_assets"))
     k, c = F.col("subject") % 4, F.col("subject") % 5
     return subjects.withColumns({
@@ -410,7 +410,7 @@ SELECT node, operation, compatibility, CASE compatibility WHEN 'INCOMPATIBLE' TH
 CASE WHEN compatibility = 'COMPATIBLE' THEN 'LOW' WHEN compatibility = 'INCOMPATIBLE' THEN 'HIGH' WHEN dependants > 2 THEN 'HIGH' ELSE 'MODERATE' END AS severity FROM s""")
 def j01_structural_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rename, delete and type change proposals for every field, judged by the structural rules."""
-    dependants = reg.table(spark, sf_dir, "lineitem").where("l_quantity = 50").groupBy(F.col("l_partkey").alias("node")).agg(F.count_distinct("l_orderkey").alias("n"))
+    dependants = reg.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.count_distinct("l_orderkey").alias("n"))
     k = F.col("node")
     pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
     own = reg.fields(spark, sf_dir).select("node").join(dependants, "node", "left").select(
@@ -518,8 +518,8 @@ correlated AS (SELECT g.current, array_to_string(futures, ',') AS futures, len(f
 def _correlated(spark, sf_dir):
     lines = reg.table(spark, sf_dir, "lineitem")
     file = F.concat(F.lit("file_"), F.col("l_suppkey").cast("string")).alias("file")
-    claims = lines.where("l_returnflag = 'R' and l_quantity >= 49").select(F.col("l_partkey").cast("string").alias("current"), F.concat(F.lit("v"), (F.col("l_suppkey") % 2).cast("string")).alias("future"), file).distinct()
-    refs = lines.where("l_quantity < 2").select(file, F.col("l_partkey").cast("string").alias("value"))
+    claims = lines.where("l_returnflag = 'R'").select(F.col("l_partkey").cast("string").alias("current"), F.concat(F.lit("v"), (F.col("l_suppkey") % 2).cast("string")).alias("future"), file).distinct()
+    refs = lines.select(file, F.col("l_partkey").cast("string").alias("value"))
     refs = refs.unionByName(reg.table(spark, sf_dir, "nation").select(F.concat(F.lit("doc_"), F.col("n_nationkey").cast("string")).alias("file"), F.concat(F.lit("v"), (F.col("n_nationkey") % 3).cast("string")).alias("value"))).distinct()
     return claims, changes.correlated(claims, refs)
 
