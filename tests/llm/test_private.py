@@ -128,3 +128,10 @@ def test_secrets_query(spark):
         base = brute_secrets({x[0]: x[1] or "" for x in rows}[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(secrets.joined(base).encode()).hexdigest()
     assert secrets.find_secrets(docs.limit(0)).count() == 0
+
+
+def test_options_bind_their_values():
+    text = "run --password S3cr3tPass9 --verbose --api-token 'tK9xQ2mW7z' in\nuse --password to log in -- or --secret"
+    assert [x[:2] for x in secrets.pairs(text)][:2] == [("password", "S3cr3tPass9"), ("api-token", "tK9xQ2mW7z")]
+    base, more = secrets.all_spans(text)
+    assert not base and [text[s:e] for s, _, e in more] == ["S3cr3tPass9", "tK9xQ2mW7z"]

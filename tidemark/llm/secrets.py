@@ -40,6 +40,7 @@ _PLACEHOLDER = re.compile(r"(?i)^(?:none|null|nil|true|false|undefined|changeme|
 
 _LEX = re.compile(
     r"""(?P<comment>//[^\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/|\Z))
+    |(?P<option>(?<!\S)--[A-Za-z][\w-]*+(?=[ \t]+[^\s-]))
     |(?P<string>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')
     |(?P<name>[A-Za-z_$][\w$]*+(?:[.-][A-Za-z_$][\w$]*+)*+)
     |(?P<number>[0-9][\w.]*+)
@@ -48,6 +49,7 @@ _LEX = re.compile(
     |(?P<punct>[^\s\w])""",
     re.X,
 )
+_OPTION = re.compile(r"(?<!\S)--[A-Za-z][\w-]*+[ \t]+[^\s-]")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -86,7 +88,7 @@ def statements(text: str):
         line = text[at:end]
         if not open_:
             start = at
-        binds = "=" in line or ":" in line or '("' in line or "('" in line or (open_ and line.strip() != "")
+        binds = "=" in line or ":" in line or '("' in line or "('" in line or (open_ and line.strip() != "") or ("--" in line and _OPTION.search(line) is not None)
         more = binds and line.rstrip()[-1:] in ("+", "\\", "=", ":", "(", ",")
         if binds and not more:
             yield start, end
@@ -120,7 +122,10 @@ def pairs(text: str) -> list[tuple[str, str, int, int]]:
             kind, tok = m.lastgroup, m[0]
             if kind in ("comment", "newline"):
                 continue
-            if kind == "bind":
+            if kind == "option":
+                close(name, value)
+                name, bound, value, joins = tok[2:], True, None, False
+            elif kind == "bind":
                 if tok not in ("=", ":", ":=", "=>"):
                     close(name, value)
                     name, bound, value = "", False, None
@@ -180,7 +185,7 @@ def scored(text: str) -> list[tuple[int, int, int]]:
 
 def all_spans(text: str) -> tuple[list, list]:
     base = base_spans(text)
-    if not ("=" in text or ":" in text or '("' in text or "('" in text):
+    if not ("=" in text or ":" in text or '("' in text or "('" in text or "--" in text):
         return base, []
     out, first = [], 0
     for s, k, e in sorted(scored(text)):
