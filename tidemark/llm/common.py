@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: ASCII white space, the separators of words: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
@@ -29,9 +30,11 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; one of our own only in local mode, where it may be unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -43,27 +46,63 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: short lineage, and safe from lost executors."""
+def written(df: DataFrame, spark: SparkSession, name: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read again, and the path, for ``drop`` when nothing reads it any more."""
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def kept(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """Write df to the shared folder and read it again: short lineage, and safe from lost executors."""
+    return written(df, spark, name)[0]
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete written tables that no plan reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def hashed_sample(df: DataFrame, wanted: int, *key: str, by: str | None = None) -> DataFrame:
-    """About ``wanted`` rows (of each value of ``by``), those whose key hashes lowest: the same rows at any partitioning.
+def hashed_sample(df: DataFrame, wanted: int, *key: str, by: str | None = None, groups: int = 512) -> DataFrame:
+    """At most ``wanted`` different rows (of each value of ``by``), those whose key hashes lowest: the same rows at any partitioning.
 
-    It counts rows first, so that the bound holds at every size; only the counts (one per value of ``by``) reach the driver.
+    The key should name all columns that tell rows apart; rows with one key count once, so neither null ids nor a repeated row can swell the
+    sample.  Rows are counted first and a share of the hash range is taken; where repeats leave it short, the share grows until the sample
+    is full or the table is read whole.  The sample is cut by a window over its own few rows, and written to the shared folder.  Of ``by`` the
+    ``groups`` most frequent values are taken; only their counts reach the driver (rows with
+    a null there are left out).
     """
-    share = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in key]), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    if by is None:
-        n = df.count()
-        return df.where(share < F.lit(min(1.0, wanted / max(n, 1))))
-    counts = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
-    rule = F.lit(False)
-    for value, n in sorted(counts.items()):
-        rule = rule | ((F.col(by) == F.lit(value)) & (share < F.lit(min(1.0, wanted / max(n, 1)))))
-    return df.where(rule)
+    spark = df.sparkSession
+    group, h, n, k = (fresh(df, c) for c in ("_group", "_hash", "_rows", "_place"))
+    own = df.withColumn(h, F.xxhash64(*[F.col(c).cast("string") for c in key])).withColumn(group, F.col(by).cast("string") if by else F.lit(""))
+    counts = {r[0]: r[1] for r in own.groupBy(group).agg(F.count("*").alias(n)).orderBy(F.desc(n), group).limit(groups).collect() if r[0] is not None}
+    order = Window.partitionBy(group).orderBy(h)
+    want, out, least = dict.fromkeys(counts, 1.3), None, wanted // 2
+    while want:
+        shares = spark.createDataFrame([(g, min(1.0, f * wanted / counts[g])) for g, f in want.items()], f"`{group}` string, `{n}` double")
+        unit = F.pmod(F.col(h), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        part = own.join(F.broadcast(shares), group).where(unit < F.col(n)).dropDuplicates([group, h])
+        part, path = written(part.withColumn(k, F.row_number().over(order)).where(F.col(k) <= wanted).drop(n, k), spark, "sample")
+        got = {r[0]: r[1] for r in part.groupBy(group).count().collect()}
+        short = {g: f * 16 for g, f in want.items() if got.get(g, 0) < least and f * wanted < counts[g]}
+        full = [g for g in want if g not in short]
+        if full:
+            part = part.where(F.col(group).isin(full)) if short else part
+            out = part if out is None else out.unionByName(part)
+        else:
+            drop(spark, path)
+        want = short
+    return (out if out is not None else own.limit(0)).drop(group, h)
 
 
 def utf8(column: pa.Array) -> list:
@@ -123,8 +162,10 @@ _HELD: dict = {}
 
 
 def held(kind, *args):
-    """One ``kind(*args)`` for each Python worker, kept from task to task."""
+    """One ``kind(*args)`` for each Python worker, kept from task to task until the worker takes up another: a worker that serves many operators
+    in turn holds the caches of the present one alone."""
     key = (kind.__module__, kind.__qualname__, *args)
     if key not in _HELD:
+        _HELD.clear()
         _HELD[key] = kind(*args)
     return _HELD[key]
