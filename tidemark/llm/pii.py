@@ -1,14 +1,18 @@
 """Personal data by exact patterns plus a skip-chain conditional random field.
 
 Base spans come from four patterns (``base_spans``).  The field then labels every *active* token (a run of non-space
-characters holding a digit or an ``@``): neighbours share chain potentials, and equal or similar tokens anywhere in the
-document (the same letters and digits, case and punctuation aside) share skip potentials.  Repeats are linked each to the
-next one, so links grow linearly with the text.  Loopy sum-product messages run over the links of a whole batch at
-once, and tokens labelled with enough certainty become further spans where no base span lies.  Tokens without a digit or
-``@`` are outside the field (label: none).
-
-The weights are learned by pseudo-likelihood from a bounded sample of documents (``FIT_DOCUMENTS``) whose labels are the
-base spans; all documents are searched, whole.
+characters holding a digit or an ``@``): neighbours share chain potentials, and distant tokens of one document share skip potentials of two
+kinds: *repeats* (the same letters and digits, case and punctuation aside) and *similar* ones (``SIMILAR`` letters and digits or more, at most
+one of them changed, added or left out).  A token is linked to its last repeat and to the last token that shares a half with it and proves
+similar, so links grow linearly with the text.  Loopy sum-product messages run over the links of a whole batch at once, each document
+stopping by its own changes, so that a result depends on its document alone; tokens labelled with enough certainty become further spans
+where no base span lies.  Tokens without a digit or ``@`` are outside the field (label: none).
+
+The weights are learned by pseudo-likelihood from a bounded sample of documents (``FIT_DOCUMENTS``, and of each a stretch of ``FIT_TOKENS``
+active tokens at a place that its hash gives) whose labels are the base spans.  Each such document is learned from twice: as it is, and
+with its base spans rewritten in forms that the patterns miss (``FORMS``) under the same labels, which is what lets the field add spans;
+a text of ordinary numbers (``PLAIN``) goes with each, labelled none.
+All documents are searched, whole.
 
 Null text counts as empty; empty texts, texts without digits and empty tables give rows without spans or no rows; repeated
 rows give repeated results; other columns are ignored.
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +34,10 @@ from .common import hashed_sample, texts
 KINDS = ("email", "ip", "card", "phone")
 #: Bound on the documents that the weights are learned from, and on active tokens of each.
 FIT_DOCUMENTS, FIT_TOKENS = 2000, 2000
-#: Least marginal of a label for a further span; rounds of messages; share of the old message kept.
-CERTAIN, ROUNDS, DAMPING = 0.9, 12, 0.3
+#: Least marginal of a label for a further span; rounds of messages; share of the old message kept; change at which a document is settled.
+CERTAIN, ROUNDS, DAMPING, SETTLED = 0.9, 12, 0.3, 1e-4
+#: Fewest letters and digits of tokens that may be linked as similar.
+SIMILAR = 8
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -52,6 +59,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """ASCII digits of a value up to 255, however many zeros lead."""
+    d = digits.lstrip("0")
+    return len(d) <= 3 and int(d or "0") <= 255
+
+
 def _emails(text: str):
     """An address is found from its @: what stands left of it cannot hold another, so this is linear in the text."""
     last = 0
@@ -75,7 +88,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(s, 0, e) for s, e in _emails(text)] if "@" in text else []
     if _DIGITS.search(text):
         for m in _IP.finditer(text):
-            if all(len(g.lstrip("0")) <= 3 and int(g) <= 255 for g in m.groups()):
+            if all(map(octet, m.groups())):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if 12 <= m.end() - m.start():
@@ -93,51 +106,133 @@ def joined(spans: list[tuple[int, int, int]], kinds: tuple[str, ...] = KINDS) ->
     return ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in spans)
 
 
-N_FEATURES = 26
+N_FEATURES = 41
+_RUNS = re.compile(r"[0-9]+")
+#: Words that stand before data of a kind.
+CUES = (("mail", "email", "e-mail", "contact", "write"), ("ip", "host", "server", "addr", "address"), ("card", "visa", "account", "paid", "payment"), ("call", "tel", "phone", "fax", "mobile", "ring"))
 
 
-def features(token: str, near: str) -> list[int]:
-    """Indexes of the features that are on; ``near``: the digits of the run of active tokens that this one stands in."""
+def features(token: str, near: list[str], cue: str = "") -> list[int]:
+    """Indexes of the features that are on; ``near``: the runs of digits of this token and its neighbours, ``cue``: the word before them."""
     core = token.strip(".,;:!?\"'()[]{}<>#*$%&|=")
-    digits = "".join(_DIGITS.findall(core))
-    n, m = len(digits), len(near)
+    own = _RUNS.findall(core)
+    digits, all_near = "".join(own), "".join(near)
+    n, m = len(digits), len(all_near)
     on = [0, 1 + (0 if n == 0 else 1 if n < 4 else 2 if n == 4 else 3 if n < 9 else 4 if n < 12 else 5 if n < 20 else 6)]
     on.append(8 + (0 if m < 9 else 1 if m < 12 else 2 if m < 16 else 3 if m < 20 else 4))
     left, at, right = core.partition("@")
-    parts = core.split(".")
+    sizes, sizes_near = [*map(len, own)], [*map(len, near)]
+    quad = len(own) == 4 and all(map(octet, own))
     tests = (
-        bool(at), bool(at and left), bool(at and "." in right), len(parts) == 4 and all(p.isdigit() for p in parts), len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts),
-        "+" in core, token[:1] == "(" or ")" in token, "-" in core, n == len(core) and n > 0, any(c.isalpha() for c in core), 12 <= m <= 19 and luhn(near), 12 <= n <= 19 and luhn(digits), n > 0 and any(c.isalpha() for c in core),
+        bool(at), bool(at and left), bool(at and "." in right), len(own) == 4, quad and not any(c.isalpha() for c in core),
+        "+" in core, token[:1] == "(" or ")" in token, "-" in core, n == len(core) and n > 0, any(c.isalpha() for c in core), 12 <= m <= 19 and luhn(all_near), 12 <= n <= 19 and luhn(digits), n > 0 and any(c.isalpha() for c in core),
+        bool(at and "," in right), bool(at and right and "." not in right), sizes == [4, 4, 4, 4], sizes_near == [4, 4, 4, 4], sizes_near[-3:] == [3, 3, 4], sizes[-3:] == [3, 3, 4], sizes[-2:] == [3, 4],
+        n > 0 and ("," in core or "[" in core), n > 0 and "." in core, n > 0 and ("/" in core or "_" in core), core[:2] == "00" and n > 8,
     )
-    return on + [13 + i for i, yes in enumerate(tests) if yes]
+    return on + [13 + i for i, yes in enumerate(tests) if yes] + [37 + i for i, words in enumerate(CUES) if cue in words]
+
+
+def one_apart(a: str, b: str) -> bool:
+    """Equal but for one character changed, added or left out."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    i = 0
+    while i < len(a) and a[i] == b[i]:
+        i += 1
+    return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
 def lattice(text: str) -> tuple[list[tuple[int, int]], list[list[int]], list[tuple[int, int]], list[tuple[int, int]]]:
-    """Places and features of the active tokens, chain links and skip links."""
+    """Places and features of the active tokens, chain links and skip links.  Linear in the text."""
     at = [m.span() for m in _ACTIVE.finditer(text)]
     on, chain, skip = [], [], []
     seen: dict[str, int] = {}
+    halves: dict[tuple, tuple[int, str]] = {}
     i = 0
     while i < len(at):
         j = i
         while j + 1 < len(at) and at[j + 1][0] - at[j][1] == 1:
             j += 1
         own = [text[s:e] for s, e in at[i : j + 1]]
+        before = text[max(0, at[i][0] - 24) : at[i][0]].lower().split()
+        cue = before[-1].strip(".,;:!?\"'()") if before else ""
         # A token's surroundings: up to four tokens either side, so that a long run of numbers stays linear.
-        near = ["".join(_DIGITS.findall(t[:64])) for t in own]
+        near = [_RUNS.findall(t) for t in own]
         for k, t in enumerate(own):
-            on.append(features(t if len(t) <= 256 else t[:128] + t[-128:], "".join(near[max(0, k - 4) : k + 5])))
+            on.append(features(t, [d for x in near[max(0, k - 4) : k + 5] for d in x], cue))
             if k:
                 chain.append((i + k - 1, i + k))
-            key = "".join(c for c in t.lower() if c.isalnum())
-            if len(key) >= 4:
-                if key in seen:
-                    skip.append((seen[key], i + k))
-                seen[key] = i + k
+            key = "".join(filter(str.isalnum, t.lower()))
+            if len(key) < 4:
+                continue
+            if key in seen:
+                skip.append((seen[key], i + k))
+            elif len(key) >= SIMILAR:
+                # One character apart, two keys share their first or their last half.
+                for h in {(len(key) - 1) // 2, len(key) // 2, (len(key) + 1) // 2}:
+                    found = [halves[x] for x in ((h, 0, key[:h]), (h, 1, key[-h:])) if x in halves]
+                    if like := [p for p, other in found if one_apart(key, other)]:
+                        skip.append((max(like), i + k))
+                        break
+            seen[key] = i + k
+            if len(key) >= SIMILAR:
+                h = len(key) // 2
+                halves[h, 0, key[:h]] = halves[h, 1, key[-h:]] = (i + k, key)
         i = j + 1
     return at, on, chain, skip
 
 
+#: Forms of each kind that the patterns miss.
+FORMS = (
+    (lambda s: s.partition("@")[0] + "@" + s.partition("@")[2].partition(".")[0], lambda s: s.partition("@")[0] + "@" + s.partition("@")[2].replace(".", ",")),
+    (lambda s: s.replace(".", "[.]"), lambda s: s.replace(".", "(.)")),
+    (lambda s: _fours(s, "."), lambda s: _fours(s, "/"), lambda s: _fours(s, "_")),
+    (lambda s: s.lstrip("+").partition(" ")[2] or s.lstrip("+"), lambda s: ".".join(_RUNS.findall(s)[1:]) or s.lstrip("+"), lambda s: "00" + "".join(_RUNS.findall(s))),
+)
+
+
+def _fours(span: str, mark: str) -> str:
+    digits = "".join(_RUNS.findall(span))
+    return mark.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+
+
+def altered(text: str, spans: list[tuple[int, int, int]]) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with its spans (those that overlap none before them) in forms that the patterns miss, and where they stand then."""
+    parts, out, done, at = [], [], 0, 0
+    for s, k, e in spans:
+        if s < done:
+            continue
+        forms = FORMS[k]
+        new = forms[zlib.crc32(text[s:e].encode("utf-8", "surrogatepass")) % len(forms)](text[s:e])
+        parts += [text[done:s], new]
+        at += s - done
+        out.append((at, k, at + len(new)))
+        at, done = at + len(new), e
+    return "".join(parts) + text[done:], out
+
+
+#: Ordinary numbers, {a} of one or two digits, {b} of three, {c} of four.
+PLAIN = ("{a}", "{b}", "{c}", "{a}.{a}", "{a},{b}", "{a},{b},{b}", "{a}:{a}", "{c}-{a}-{a}", "{a}/{a}/{c}", "{a}%", "${a}.99", "v{a}.{a}.{a}", "{a}-{a}", "x{b}", "{a}th", "{c}s", "@name{a}", "({c})", "{b}{b}", "{a} {b} {c}", "{c} {c}", "#{c}{b}", "{b}.{a}{a}")
+
+
+def plain_numbers(seed: int) -> str:
+    """A text of ordinary numbers, none of them personal, so that the field learns to leave such alone."""
+    out = []
+    for i in range(12):
+        seed = (seed * 1103515245 + 12345) & 0x7FFFFFFF
+        out.append("word " + PLAIN[(seed >> 8) % len(PLAIN)].format(a=1 + (seed >> 4) % 60, b=100 + (seed >> 6) % 900, c=1000 + (seed >> 5) % 9000))
+    return " and ".join(out)
+
+
+def stretch(found: tuple, y: list[int], start: int, most: int) -> tuple:
+    """Features, labels and links of ``most`` tokens from a place on."""
+    _, on, chain, skip = found
+    own = lambda links: [(a - start, b - start) for a, b in links if a >= start and b < start + most]
+    return on[start : start + most], y[start : start + most], own(chain), own(skip)
+
+
 def labels(at: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[int]:
     """0 or 1 + the kind of the base span that covers most of each token; both lists ascend."""
     out, first = [], 0
@@ -197,8 +292,19 @@ def fit(documents: list[tuple[list[list[int]], list[int], list[tuple[int, int]],
     return model
 
 
-def marginals(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, model: dict) -> np.ndarray:
-    """Loopy sum-product over all links at once; unary: log potentials, links: pairs of rows."""
+def potentials(on: list[list[int]], model: dict) -> np.ndarray:
+    """Log potentials of the tokens: each the sum of its own rows of weights, whatever stands beside it in the batch."""
+    if not on:
+        return np.zeros((0, 1 + len(KINDS)))
+    lengths = np.array([len(x) for x in on])
+    return np.add.reduceat(model["unary"][np.concatenate(on)], np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0)
+
+
+def marginals(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, model: dict, of: np.ndarray | None = None) -> np.ndarray:
+    """Loopy sum-product over all links at once; unary: log potentials, links: pairs of rows, ``of``: the document of each row.
+
+    A document whose messages have settled keeps them, so that it makes no difference which documents it shares a batch with.
+    """
     n, k = unary.shape
     links = np.concatenate([chain, skip]).astype(np.int64).reshape(-1, 2)
     if not len(links):
@@ -207,6 +313,8 @@ def marginals(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, model: dic
     src, dst = np.concatenate([links[:, 0], links[:, 1]]), np.concatenate([links[:, 1], links[:, 0]])
     pots = np.concatenate([pots, pots.transpose(0, 2, 1)])  # (message, from, to)
     back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
+    document = np.zeros(len(src), np.int64) if of is None else of[src]
+    moving = np.ones(document.max() + 1, bool)
     msg = np.full((len(src), k), -np.log(k))
     for _ in range(ROUNDS):
         belief = unary.copy()
@@ -215,9 +323,11 @@ def marginals(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, model: dic
         out -= out.max(1, keepdims=True)
         new = np.log(np.einsum("mi,mij->mj", np.exp(out), pots) + 1e-300)
         new -= np.log(np.exp(new - new.max(1, keepdims=True)).sum(1, keepdims=True)) + new.max(1, keepdims=True)
-        moved = np.abs(new - msg).max()
-        msg = DAMPING * msg + (1 - DAMPING) * new
-        if moved < 1e-4:
+        moved = np.zeros(len(moving))
+        np.maximum.at(moved, document, np.abs(new - msg).max(1))
+        msg = np.where(moving[document][:, None], DAMPING * msg + (1 - DAMPING) * new, msg)
+        moving &= moved >= SETTLED
+        if not moving.any():
             break
     belief = unary.copy()
     np.add.at(belief, dst, msg)
@@ -272,8 +382,8 @@ def tag(found: list[str], model: dict) -> list[tuple[list, list]]:
         chain += [(a + len(on), b + len(on)) for a, b in c]
         skip += [(a + len(on), b + len(on)) for a, b in s]
         on += x
-    unary = _dense(on) @ model["unary"]
-    p = marginals(unary, np.array(chain, dtype=np.int64).reshape(-1, 2), np.array(skip, dtype=np.int64).reshape(-1, 2), model) if on else unary
+    of = np.repeat(np.arange(len(found)), [len(x) for x in places])
+    p = marginals(potentials(on, model), np.array(chain, dtype=np.int64).reshape(-1, 2), np.array(skip, dtype=np.int64).reshape(-1, 2), model, of)
     return [(b, further(t, at, p[i : i + len(at)], b)) for t, b, at, i in zip(found, base, places, starts, strict=True)]
 
 
@@ -285,14 +395,17 @@ def learn(docs: DataFrame, wanted: int = FIT_DOCUMENTS) -> dict:
         for b in batches:
             out = []
             for t in b.column("text").to_pylist():
-                if _SIGNAL.search(t):
-                    at, on, c, s = lattice(t)
-                    if len(at) <= FIT_TOKENS:
-                        out.append(pickle.dumps((on, labels(at, base_spans(t)), c, s)))
+                base = base_spans(t)
+                seed = zlib.crc32(t.encode("utf-8", "surrogatepass"))
+                versions = [(t, base), (plain_numbers(seed), [])] + ([altered(t, base)] if base else [])
+                for own, spans in versions:
+                    found = lattice(own)
+                    y = labels(found[0], spans)
+                    out.append(pickle.dumps(stretch(found, y, seed % max(1, len(y) - FIT_TOKENS + 1), FIT_TOKENS)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["x"])
 
     signal = texts(docs).where(F.col("text").rlike("[0-9@]"))
-    rows = hashed_sample(signal, wanted, "doc_id").select("text").mapInArrow(lattices, "x binary").collect()
+    rows = hashed_sample(signal, wanted, "doc_id", "text").select("text").mapInArrow(lattices, "x binary").collect()
     return fit([pickle.loads(x) for x in sorted(bytes(r[0]) for r in rows)])
 
 
