@@ -4,7 +4,7 @@ A small lexer reads source and configuration syntax: names (with dotted and brac
 bare values, numbers, punctuation, comments.  From its tokens come name-literal pairs (``a = "x"``, ``a: x``, ``"a": "x"``,
 ``a => 'x'``, ``export A=x``, ``a("x")`` of setters, ``--a x``, XML-like ``a="x"``).  Adjacent literals and ``+`` join; a name bound
 to a literal stands for it in later assignments of the document (constants propagate along names, so ``k = "..."; db_password = k`` is
-scored).  A pair whose last name part is sensitive scores by that name, its literal's length, character classes and entropy;
+scored); what propagates is a literal's place and its counts of characters, so a constant of any length costs the same.  A pair whose last name part is sensitive scores by that name, its literal's length, character classes and entropy;
 pairs that score ``LEAST`` or more become spans of kind ``literal`` unless a base span covers them.
 
 Null text counts as empty; texts without a binding sign have no pairs; repeated rows give repeated results; other columns
@@ -25,9 +25,6 @@ from .common import texts
 
 KINDS = ("assign", "access", "hex", "literal")
 LEAST = 1.0
-#: A longer literal is data, not a constant that a key is built from: it is scored but not propagated.
-LONGEST_CONSTANT = 4096
-
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
@@ -38,17 +35,18 @@ _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 SENSITIVE = {"password": 2.0, "passwd": 2.0, "pwd": 1.8, "passphrase": 2.0, "secret": 1.8, "token": 1.5, "apikey": 1.8, "key": 0.8, "credential": 1.6, "credentials": 1.6, "auth": 1.2, "private": 0.8, "signature": 0.8, "salt": 0.8, "access": 0.4, "client": 0.2, "bearer": 1.6}
 _PLACEHOLDER = re.compile(r"(?i)^(?:none|null|nil|true|false|undefined|changeme|example|your[-_ ].*|x+|\*+|<.*>|\$\{.*\}|%\(.*\).*|todo|test)$")
 
-_LEX = re.compile(
-    r"""(?P<comment>//[^\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/|\Z))
+_TOKENS = r"""(?P<comment>//[^\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/|\Z))
     |(?P<option>(?<!\S)--[A-Za-z][\w-]*+(?=[ \t]+[^\s-]))
-    |(?P<string>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')
+    %s
     |(?P<name>[A-Za-z_$][\w$]*+(?:[.-][A-Za-z_$][\w$]*+)*+)
     |(?P<number>[0-9][\w.]*+)
     |(?P<bind>:=|=>|==|!=|<=|>=|[=:])
     |(?P<newline>\n)
-    |(?P<punct>[^\s\w])""",
-    re.X,
-)
+    |(?P<punct>[^\s\w])"""
+_STRINGS = {'"': r'"(?:[^"\\\n]|\\.)*+"', "'": r"'(?:[^'\\\n]|\\.)*+'"}
+#: By the quotes that may still open a literal on the line: where one has no end, none of its kind behind it has (what it could have ended at
+#: would be its end), so it is not tried again before the line ends.
+_LEX = {q: re.compile(_TOKENS % (f"|(?P<string>{'|'.join(_STRINGS[x] for x in q)})" if q else ""), re.X) for q in ("\"'", '"', "'", "")}
 _OPTION = re.compile(r"(?<!\S)--[A-Za-z][\w-]*+[ \t]+[^\s-]")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -68,13 +66,50 @@ def name_weight(name: str) -> float:
     return sum(SENSITIVE[p] for p in {*parts, *both} if p in SENSITIVE)
 
 
-def value_weight(value: str) -> float:
+class Literal:
+    """The text of a literal, or of several joined: its length, counts of characters and both ends; joining costs no more than they take."""
+
+    __slots__ = ("length", "counts", "head", "tail", "parts")
+    ENDS = 64
+
+    def __init__(self, text: str = "", of: tuple | None = None):
+        self.parts = of or text
+        if of:
+            a, b = of
+            self.length, self.counts = a.length + b.length, a.counts + b.counts
+            self.head = a.head if a.length >= self.ENDS else (a.head + b.head)[: self.ENDS]
+            self.tail = b.tail if b.length >= self.ENDS else (a.tail + b.tail)[-self.ENDS :]
+        else:
+            self.length, self.counts, self.head, self.tail = len(text), Counter(text), text[: self.ENDS], text[-self.ENDS :]
+
+    def __add__(self, other: Literal) -> Literal:
+        return Literal(of=(self, other))
+
+    def text(self) -> str:
+        """The whole text; as long as it is."""
+        out, todo = [], [self.parts]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                out.append(x)
+            else:
+                todo += [x[1].parts, x[0].parts]
+        return "".join(out)
+
+    def placeholder(self) -> bool:
+        if self.length <= self.ENDS:
+            return _PLACEHOLDER.match(self.head) is not None
+        ends = self.head + self.tail
+        return _PLACEHOLDER.match(ends) is not None and (ends[0] in "<$%Yy" or set(self.counts) <= set("xX") or set(self.counts) <= {"*"})
+
+
+def value_weight(value: Literal | str) -> float:
     """0 for placeholders and short or plain values; rises with entropy and mixed classes to 1."""
-    if len(value) < 6 or _PLACEHOLDER.match(value) or " " in value:
+    v = Literal(value) if isinstance(value, str) else value
+    if v.length < 6 or " " in v.counts or v.placeholder():
         return 0.0
-    counts = Counter(value)
-    bits = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
-    classes = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
+    bits = -sum(c / v.length * math.log2(c / v.length) for c in v.counts.values())
+    classes = len({0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in v.counts})
     return min(1.0, bits / 4.0) * min(1.0, 0.4 + 0.2 * classes)
 
 
@@ -100,26 +135,38 @@ def statements(text: str):
         yield start, len(text)
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int]]:
+def _lexed(text: str, first: int, last: int):
+    """Tokens as (kind, text, start, end)."""
+    at, quotes = first, "\"'"
+    while m := _LEX[quotes].search(text, at, last):
+        kind, tok, at = m.lastgroup, m[0], m.end()
+        if kind == "newline":
+            quotes = "\"'"
+        elif kind == "punct" and tok in quotes and tok in "\"'":
+            quotes = quotes.replace(tok, "")
+        yield kind, tok, m.start(), at
+
+
+def _pairs(text: str) -> list[tuple[str, Literal, int, int]]:
     """(name, literal, start, end of the literal) in order, constants propagated; linear in the text.
 
     Three states: no name; a name (or a quoted key) read; a binding sign read.  In the last one literals, joined by ``+`` or by
     standing side by side, gather until something else closes the pair.
     """
-    out: list[tuple[str, str, int, int]] = []
-    known: dict[str, tuple[str, int, int]] = {}
+    out: list[tuple[str, Literal, int, int]] = []
+    known: dict[str, tuple[Literal, int, int]] = {}
     for first, last in statements(text):
         name, bound, value, joins = "", False, None, False
 
         def close(name: str, value: list | None) -> None:
             if name and value is not None:
-                whole = ("".join(value[0]), value[1], value[2])
-                out.append((name, *whole))
-                if len(whole[0]) <= LONGEST_CONSTANT:
-                    known[name] = whole
+                out.append((name, *value))
+                known[name] = tuple(value)
 
-        for m in _LEX.finditer(text, first, last):
-            kind, tok = m.lastgroup, m[0]
+        def as_name(value: list) -> str:
+            return text[value[1] : value[2]]
+
+        for kind, tok, start, end in _lexed(text, first, last):
             if kind in ("comment", "newline"):
                 continue
             if kind == "option":
@@ -131,29 +178,27 @@ def pairs(text: str) -> list[tuple[str, str, int, int]]:
                     name, bound, value = "", False, None
                 elif bound and value is not None and tok == ":":  # a = b: the pair before it ends, what was read is a name
                     close(name, value)
-                    name, value = "".join(value[0]), None
+                    name, value = as_name(value), None
                 elif bound and value is not None:  # name: kind = literal keeps its name; a = b = literal moves on
-                    name, value = (name, None) if name_weight(name) else ("".join(value[0]), None)
+                    name, value = (name, None) if name_weight(name) else (as_name(value), None)
                 else:
                     bound = bool(name)
                 joins = False
             elif kind == "string":
-                body = [[tok[1:-1]], m.start() + 1, m.end() - 1]
+                body = Literal(tok[1:-1])
                 if bound and value is None:
-                    value = body
+                    value = [body, start + 1, end - 1]
                 elif bound:
-                    value = [value[0], value[1], body[2]]
-                    value[0].append(tok[1:-1])
+                    value = [value[0] + body, value[1], end - 1]
                 else:
-                    name = tok[1:-1] if len(tok) <= 100 else ""
+                    name = tok[1:-1]
                 joins = False
             elif kind in ("name", "number"):
-                own = known.get(tok, (tok, m.start(), m.end()))
+                own = known.get(tok) or (Literal(tok), start, end)
                 if bound and value is None:
-                    value = [[own[0]], own[1], own[2]]
-                elif bound and (joins or m.start() == value[2]):
-                    value[0].append(own[0])
-                    value[2] = value[2] if tok in known else m.end()
+                    value = list(own)
+                elif bound and (joins or start == value[2]):
+                    value = [value[0] + own[0], value[1], value[2] if tok in known else end]
                 else:
                     close(name, value)
                     name, bound, value = (tok if kind == "name" else ""), False, None
@@ -162,9 +207,8 @@ def pairs(text: str) -> list[tuple[str, str, int, int]]:
                 joins = True
             elif tok == "(" and name and not bound and name_weight(name):  # a setter: set_password("x")
                 bound = True
-            elif bound and value is not None and m.start() == value[2] and tok in "/_.-@!#$%^&*~":
-                value[0].append(tok)
-                value[2] = m.end()
+            elif bound and value is not None and start == value[2] and tok in "/_.-@!#$%^&*~":
+                value = [value[0] + Literal(tok), value[1], end]
                 joins = True
             elif not (tok in "()[]{}\"'" and value is None):
                 close(name, value)
@@ -173,10 +217,15 @@ def pairs(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+def pairs(text: str) -> list[tuple[str, str, int, int]]:
+    """(name, text of the literal, start, end of the literal) in order."""
+    return [(name, value.text(), s, e) for name, value, s, e in _pairs(text)]
+
+
 def scored(text: str) -> list[tuple[int, int, int]]:
     """Literals of sensitive names, as spans of kind ``literal``; each place once."""
     found = {}
-    for name, value, s, e in pairs(text):
+    for name, value, s, e in _pairs(text):
         w = name_weight(name)
         if w and w * value_weight(value) >= LEAST:
             found[(s, e)] = True
