@@ -3,9 +3,10 @@
 1. Counts of all words of all training documents: partial counts in each task, one exchange.  They grow with the corpus and stay in a
    written table; the ``TIER`` most frequent words alone (and three sums) reach the driver.
 2. The model knows the end of a text, ``WORDS`` frequent words and one place for all others; its output layer starts from the counts.  It
-   is learned by data-parallel rounds: each task trains a replica of the current weights on its own training documents of the round (a hash
-   deals them; every training document is in one round) by truncated backpropagation over all their windows of ``WINDOW`` words, the state
-   running on from window to window, and the replicas are averaged, weighted by words, in two exchanges of weight blocks.
+   is learned by data-parallel rounds: a hash deals every training document (coded once, for learning and scoring) to one round and one shard of it (of ``SHARD_WORDS``
+   words on average, so their number follows from the corpus alone, not from its partitions); each shard trains a replica of the current weights,
+   longer documents first and else in order of the hash, by truncated backpropagation over all windows of ``WINDOW`` words, the state running on from window to window, and the
+   replicas are averaged, weighted by words, in two exchanges of weight blocks.
 3. Scoring carries the state across windows through each whole document.  Words of the broadcast tier have their counts at hand; the
    others are joined with the count table and summed by document.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, remainder, texts, utf8
-from .recurrent import Adam, Model, score, train
+from .recurrent import Adam, Model, one_thread, score, train
 
 #: The end of a text; no word is empty.
 END = b""
 TIER, WORDS, HIDDEN, CLASSES = 100_000, 2048, 24, 48
-ROUNDS, WINDOW, RATE, LANES = 2, 32, 0.01, 32
-BLOCKS, FLUSH, CHUNK = 128, 400_000, 6 << 20
+ROUNDS, WINDOW, RATE, LANES = 2, 32, 0.01, 128
+#: Words of a shard on average; beyond so many shards in a round they grow with the corpus.
+SHARD_WORDS, MOST_SHARDS = 2_000_000, 65_536
+BLOCKS, FLUSH, CHUNK = 128, 400_000, 5 << 20
 
 
 def words(text: bytes) -> list[bytes]:
@@ -92,7 +96,7 @@ class Vocabulary:
         self.end, self.other = place[END], place[None]
         # One lookup gives a word's row in the tier; the row behind the last stands for words that the tier lacks.
         self.rows = Rows(self.counts)
-        self.place = np.array([*(place.get(w, self.other) for w in self.counts), self.other], np.int32)
+        self.place = np.array([*(place.get(w, self.other) for w in self.counts), self.other], np.uint16)
         self.logs = np.array([*(math.log10(c + 0.5) for c in self.counts.values()), 0.0])
 
     def model(self) -> Model:
@@ -103,26 +107,65 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The most frequent words, TIER at most: a histogram of the counts' logarithms (a few hundred rows) gives the least count that stays within
+    """The TIER most frequent words: a histogram of the counts' logarithms (a few hundred rows) gives the least count that stays within
     TIER, so no task sends more than its share of those words to the driver."""
     n = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     level = F.floor(F.log2("c") * 16)
-    least, words_so_far = None, 0
+    least, so_far, cut = None, 0, None
     for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
-        words_so_far += r[1]
-        if words_so_far > TIER:
+        if so_far + r[1] > TIER:
+            cut = r[0]
             break
-        least = r[0]
+        least, so_far = r[0], so_far + r[1]
     top = counts.where(level >= least).collect() if least is not None else []
-    rows = sorted(((bytes(r[0]), r[1]) for r in top), key=lambda x: (-x[1], x[0]))
+    if cut is not None and so_far < TIER:
+        # The level that does not fit whole fills the tier up, by count and then by a hash of the word.
+        top += counts.where(level == cut).orderBy(F.desc("c"), F.xxhash64("word"), "word").limit(TIER - so_far).collect()
+    # The end always has its row.
+    top += counts.where(F.col("word") == F.lit(END)).collect()
+    rows = sorted({bytes(r[0]): r[1] for r in top}.items(), key=lambda x: (-x[1], x[0]))
     return Vocabulary(rows, n[0], n[1])
 
 
+CODED = "row long, doc_id long, held_out boolean, h long, n_tokens long, n_known long, base double, outside double, n_outside long, ids binary, misses array<binary>, times array<int>"
+
+
+def coded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Every document once as places in the model (two bytes each, the end last), with what the tier alone says of it: the sum of
+    log10(c + 0.5) of its words and of those without a place, and the words that the tier lacks."""
+    known = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        v = known.value
+        row, none, end = TaskContext.get().partitionId() << 33, v.rows.n, np.array([v.end], np.uint16).tobytes()
+        end_log, end_known = math.log10(v.counts.get(END, 0) + 0.5), int(END in v.counts)
+        for b in batches:
+            cols: list[list] = [[] for _ in range(9)]
+            for t in utf8(b.column("text")):
+                w = words(t)
+                at = v.lookup(w)
+                place, logs = v.place[at], v.logs[at]
+                missing, out = np.flatnonzero(at == none), place == v.other
+                left = Counter(w[i] for i in missing)
+                found = (row, len(w) + 1, len(w) - len(missing) + end_known, float(logs.sum()) + end_log, float(logs[out].sum()), np.count_nonzero(out), place.tobytes() + end, list(left.keys()), list(left.values()))
+                for c, x in zip(cols, found, strict=True):
+                    c.append(x)
+                row += 1
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+            first, *rest = (pa.array(c, k) for c, k in zip(cols, kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([first, b.column("doc_id"), b.column("held_out"), b.column("h"), *rest], ["row", "doc_id", "held_out", "h", "n_tokens", "n_known", "base", "outside", "n_outside", "ids", "misses", "times"])
+
+    own = docs.select("doc_id", (remainder(F.col("doc_id"), 5) == 1).alias("held_out"), F.xxhash64("doc_id", "text").alias("h"), "text")
+    return kept(own.mapInArrow(run, CODED), docs.sparkSession, "coded")
+
+
 def _chunks(batches, columns: tuple[str, ...]):
-    """Rows of the batches in lists of about CHUNK bytes of text."""
+    """Rows of the batches in lists of about CHUNK bytes of the last column."""
     held, size = [], 0
     for b in batches:
-        for row in zip(*(utf8(b.column(c)) if c == "text" else b.column(c).to_pylist() for c in columns), strict=True):
+        for row in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
             held.append(row)
             size += len(row[-1])
             if size >= CHUNK:
@@ -137,94 +180,71 @@ def learn(training: DataFrame, vocab: Vocabulary) -> np.ndarray:
     spark = training.sparkSession
     weights = vocab.model().flat()
     known = spark.sparkContext.broadcast(vocab)
+    shards = max(1, min(MOST_SHARDS, math.ceil(vocab.total / ROUNDS / SHARD_WORDS)))
+    slots = math.ceil(math.sqrt(shards))
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(weights)
 
-        def replica(batches, start=start):
-            from pyspark import TaskContext
-
+        def replicas(batches, start=start):
+            one_thread()
             v = known.value
-            model = v.model()
-            model.load(start.value)
-            own = (v.place[v.lookup([*words(t), END])] for rows in _chunks(batches, ("text",)) for (t,) in rows)
-            n = train(model, Adam(model, RATE), own, LANES, WINDOW, v.end)[1]
-            if n:
+            coded = ((shard, x) for b in batches for shard, x in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist(), strict=True))
+            for shard, rows in groupby(coded, lambda r: r[0]):
+                model = v.model()
+                model.load(start.value)
+                n = train(model, Adam(model, RATE), (np.frombuffer(x, np.uint16).astype(np.int32) for _, x in rows), LANES, WINDOW, v.end)[1]
                 parts = np.array_split(model.flat().astype(np.float64) * n, BLOCKS)
-                slot = TaskContext.get().partitionId()
-                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([slot] * BLOCKS, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([n] * BLOCKS, pa.int64())], ["block", "slot", "v", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([shard % slots] * BLOCKS, pa.int32()), pa.array([shard] * BLOCKS, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([n] * BLOCKS, pa.int64())], ["block", "slot", "rank", "v", "n"])
 
         def total(table: pa.Table) -> pa.Table:
+            # In one order, whatever the exchange made of it: sums of floats depend on it.
+            table = table.sort_by("rank")
             v = np.sum([np.frombuffer(x) for x in table.column("v").to_pylist()], 0)
-            return pa.table({"block": table.column("block")[:1], "v": pa.array([v.tobytes()], pa.binary()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
-
-        # Every document trains once, in the round that its hash gives.
-        mine = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn)
-        rows = mine.select("text").mapInArrow(replica, "block int, slot int, v binary, n long")
-        schema = "block int, v binary, n long"
-        part = rows.withColumn("slot", F.col("slot") % 32).groupBy("block", "slot").applyInArrow(total, schema)
-        got = {r[0]: (np.frombuffer(bytes(r[1])), r[2]) for r in part.groupBy("block").applyInArrow(total, schema).collect()}
+            return pa.table({"block": table.column("block")[:1], "rank": table.column("slot")[:1], "v": pa.array([v.tobytes()], pa.binary()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
+
+        # Every document trains once, in the round and the shard that its hash gives; longer ones first, so that lanes end together.
+        mine = training.where(F.pmod("h", F.lit(ROUNDS)) == turn).select(F.pmod(F.shiftright("h", 8), F.lit(shards)).cast("int").alias("shard"), "h", "n_tokens", "ids")
+        dealt = mine.repartition(shards, "shard").sortWithinPartitions("shard", F.desc("n_tokens"), "h")
+        rows = dealt.select("shard", "ids").mapInArrow(replicas, "block int, slot int, rank int, v binary, n long")
+        schema = "block int, rank int, v binary, n long"
+        part = rows.groupBy("block", "slot").applyInArrow(total, schema).withColumn("slot", F.lit(0))
+        got = {r[0]: (np.frombuffer(bytes(r[2])), r[3]) for r in part.groupBy("block").applyInArrow(total, schema).collect()}
         if got:
             weights = np.concatenate([got[i][0] / got[i][1] for i in range(BLOCKS)]).astype(np.float32)
     return weights
 
 
-PASS = "row long, doc_id long, n_tokens long, n_known long, base double, model double, misses array<binary>"
-
-
 def score_documents(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     own = texts(docs).select("doc_id", "text")
-    training = own.where(remainder(F.col("doc_id"), 5) != 1)
-    counts = kept(word_counts(training), spark, "counts")
+    counts = kept(word_counts(own.where(remainder(F.col("doc_id"), 5) != 1)), spark, "counts")
     vocab = vocabulary(counts)
-    weights = spark.sparkContext.broadcast(learn(training, vocab))
+    rows = coded(own, vocab)
+    weights = spark.sparkContext.broadcast(learn(rows.where("not held_out"), vocab))
     known = spark.sparkContext.broadcast(vocab)
     log_all = math.log10(vocab.total + 0.5 * (vocab.distinct + 1))
     log_outside = math.log10(max(0, vocab.outside) + 0.5 * (max(0, vocab.outside_distinct) + 1))
 
     def run(batches):
-        from pyspark import TaskContext
-
+        one_thread()
         v = known.value
         model = v.model()
         model.load(weights.value)
-        table, row = model.table(), TaskContext.get().partitionId() << 33
-        other, end, none = v.other, v.end, v.rows.n
-        end_log = math.log10(v.counts.get(END, 0) + 0.5)
-        for rows in _chunks(batches, ("doc_id", "text")):
-            ids, cols = [], [[], [], [], [], [], [], []]
-            outside = []
-            for d, t in rows:
-                w = words(t)
-                at = v.lookup(w)
-                place, logs = v.place[at], v.logs[at]
-                missing = np.flatnonzero(at == none)
-                ids.append(np.append(place, np.int32(end)))
-                # log10(c + 0.5) of the words outside the model that the tier knows
-                out = place == other
-                outside.append((float(logs[out].sum()), int(out.sum())))
-                cols[0].append(row)
-                cols[1].append(d)
-                cols[2].append(len(w) + 1)
-                cols[3].append(len(w) - len(missing) + (END in v.counts))
-                cols[4].append(float(logs.sum()) + end_log)
-                cols[6].append([w[i] for i in missing])
-                row += 1
-            for got, (logs_outside, n_outside) in zip(_scored(model, table, ids, v.end), outside, strict=True):
-                cols[5].append(float(got) / math.log(10) + logs_outside - n_outside * log_outside)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "doc_id", "n_tokens", "n_known", "base", "model", "misses"])
-
-    passed = kept(own.mapInArrow(run, PASS), spark, "scored")
-    missed = passed.select("row", F.explode("misses").alias("word"))
-    rare = missed.groupBy("row", "word").agg(F.count("*").alias("tf")).join(counts, "word", "left")
+        table = model.table()
+        for found in _chunks(batches, ("row", "ids")):
+            got = _scored(model, table, [np.frombuffer(x, np.uint16).astype(np.int32) for _, x in found], v.end)
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([x / math.log(10) for x in got], pa.float64())], ["row", "model"])
+
+    passed = rows.select("row", "ids").mapInArrow(run, "row long, model double")
+    missed = rows.select("row", F.explode(F.arrays_zip("misses", "times")).alias("m"))
+    rare = missed.select("row", F.col("m.misses").alias("word"), F.col("m.times").alias("tf")).join(counts, "word", "left")
     sums = rare.groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("more"))
-    out = passed.drop("misses").join(sums, "row", "left")
+    out = rows.drop("ids", "misses", "times").join(passed, "row").join(sums, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     return out.select(
-        "doc_id", (remainder(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - F.col("n_tokens") * F.lit(log_all)).alias("base_score"), (F.col("model") + logs).alias("score"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"),
+        (F.col("base") + logs - F.col("n_tokens") * F.lit(log_all)).alias("base_score"), (F.col("model") + F.col("outside") + logs - F.col("n_outside") * F.lit(log_outside)).alias("score"),
     )
 
 

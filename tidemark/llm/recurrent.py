@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable
+from pathlib import Path
 
 import numpy as np
 
@@ -11,6 +13,14 @@ F32 = np.float32
 NAMES = ("embed", "w", "u", "b", "class_w", "class_b", "word_w", "word_b")
 
 
+def one_thread() -> None:
+    """Keep this process's matrix products on one thread: they are small, and further threads of the library would spend a core on waiting."""
+    for lib in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        limit = getattr(ctypes.CDLL(str(lib)), "scipy_openblas_set_num_threads64_", None)
+        if limit is not None:
+            limit(1)
+
+
 def shapes(vocabulary: int, hidden: int, classes: int) -> dict[str, tuple]:
     return {"embed": (vocabulary, hidden), "w": (hidden, 3 * hidden), "u": (hidden, 3 * hidden), "b": (3 * hidden,), "class_w": (hidden, classes), "class_b": (classes,), "word_w": (vocabulary, hidden), "word_b": (vocabulary,)}
 
@@ -23,13 +33,30 @@ def class_starts(counts: np.ndarray, classes: int) -> np.ndarray:
     return np.append(starts, len(counts))
 
 
+def _exp(w: np.ndarray, bounded: bool) -> np.ndarray | F32:
+    """exp of w in its place, after taking each row's maximum away where its range is not known to be small; returns what was taken away."""
+    if bounded:
+        np.exp(w, out=w)
+        return F32(0)
+    top = w.max(1, keepdims=True)
+    w -= top
+    np.exp(w, out=w)
+    return top
+
+
+def _sums(w: np.ndarray) -> np.ndarray:
+    """Sums of the rows, as a column."""
+    return w @ np.ones((w.shape[1], 1), w.dtype)
+
+
 class Model:
     """Words 0..V-1 in order of frequency; class k holds words starts[k]..starts[k + 1] - 1."""
 
     def __init__(self, counts: np.ndarray, hidden: int, classes: int, seed: int = 7):
         self.starts = class_starts(counts, classes)
         self.classes, self.hidden, self.vocabulary = len(self.starts) - 1, hidden, len(counts)
-        self.of = np.repeat(np.arange(self.classes), np.diff(self.starts))
+        # Two bytes, which numpy sorts by radix.
+        self.of = np.repeat(np.arange(self.classes, dtype=np.uint16), np.diff(self.starts))
         rnd = np.random.default_rng(seed)
         p = (counts.astype(np.float64) + 0.5) / (counts.astype(np.float64) + 0.5).sum()
         by_class = np.add.reduceat(p, self.starts[:-1])
@@ -54,46 +81,68 @@ class Model:
         """x: (T, B) previous words, fresh: where a text begins (state 0 there); returns states (T, B, H), the last state, and what backward needs."""
         n, (t_all, b) = self.hidden, x.shape
         states = np.empty((t_all, b, n), F32)
-        u, saved = self.p["u"], []
-        gx = table[x]
+        # State before, both gates, candidate, and the state's part of the candidate before its gate.
+        saved = (np.empty((t_all, b, n), F32), np.empty((t_all, b, 2 * n), F32), np.empty((t_all, b, n), F32), np.empty((t_all, b, n), F32)) if keep else None
+        # A gate is (1 + tanh(half of its sum)) / 2; the halves are taken once.
+        half, u, gx, starts = F32(0.5), self.p["u"].copy(), table[x], fresh.any(1)
+        u[:, : 2 * n] *= half
+        gx[..., : 2 * n] *= half
+        g, zr_t, c_t = np.empty((b, 3 * n), F32), np.empty((b, 2 * n), F32), np.empty((b, n), F32)
         for t in range(t_all):
-            if fresh[t].any():
+            if starts[t]:
                 h = h * ~fresh[t][:, None]
-            g = h @ u
+            np.matmul(h, u, out=g)
             a = gx[t]
-            zr = F32(0.5) * np.tanh(F32(0.5) * (a[:, : 2 * n] + g[:, : 2 * n])) + F32(0.5)
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
-            new = c + z * (h - c)
+            zr = saved[1][t] if keep else zr_t
+            np.add(g[:, : 2 * n], a[:, : 2 * n], out=zr)
+            np.tanh(zr, out=zr)
+            zr *= half
+            zr += half
+            c = saved[2][t] if keep else c_t
+            np.multiply(zr[:, n:], g[:, 2 * n :], out=c)
+            c += a[:, 2 * n :]
+            np.tanh(c, out=c)
+            new = states[t]
+            np.subtract(h, c, out=new)
+            new *= zr[:, :n]
+            new += c
             if keep:
-                saved.append((h, z, r, c, g[:, 2 * n :]))
-            states[t] = h = new
+                saved[0][t], saved[3][t] = h, g[:, 2 * n :]
+            h = new
         return states, h, saved
 
     def table(self) -> np.ndarray:
         return self.p["embed"] @ self.p["w"] + self.p["b"]
 
+    def bounded(self) -> bool:
+        """No logit is beyond 60 either way, as states are within -1 and 1."""
+        p = self.p
+        return bool((np.abs(p["word_w"]).sum(1) + np.abs(p["word_b"])).max() < 60 and (np.abs(p["class_w"]).sum(0) + np.abs(p["class_b"])).max() < 60)
+
     def log_probs(self, states: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probabilities of the words y after the states (N, H)."""
         p = self.p
-        logits = states @ p["class_w"] + p["class_b"]
-        k = self.of[y]
-        top = logits.max(1)
-        out = logits[np.arange(len(y)), k] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        k, each, bounded = self.of[y], np.arange(len(y)), self.bounded()
+        logits = states @ p["class_w"]
+        logits += p["class_b"]
+        out = logits[each, k]
+        top = _exp(logits, bounded)
+        out -= (np.log(_sums(logits)) + top)[:, 0]
         order = np.argsort(k, kind="stable")
         bounds = np.searchsorted(k[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
+        for c in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(self.starts) > 1)):
             at = order[bounds[c] : bounds[c + 1]]
             s, e = self.starts[c], self.starts[c + 1]
-            if not len(at) or e - s == 1:
-                continue
-            w = states[at] @ p["word_w"][s:e].T + p["word_b"][s:e]
-            m = w.max(1)
-            out[at] += w[np.arange(len(at)), y[at] - s] - m - np.log(np.exp(w - m[:, None]).sum(1))
+            w = states[at] @ p["word_w"][s:e].T
+            w += p["word_b"][s:e]
+            own = w[each[: len(at)], y[at] - s]
+            top = _exp(w, bounded)
+            out[at] += own - (np.log(_sums(w)) + top)[:, 0]
         return out
 
-    def slopes(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, on: np.ndarray, h: np.ndarray):
-        """Gradients of the mean loss over one window (backpropagation stops at its start), the loss and the last state."""
+    def slopes(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, on: np.ndarray, h: np.ndarray, window: int = 1 << 30):
+        """Gradients of the mean loss over windows that follow one another (backpropagation stops at the start of each), the loss and the last
+        state."""
         p, n = self.p, self.hidden
         words = x.reshape(-1)
         own = p["embed"][words]
@@ -101,13 +150,15 @@ class Model:
         flat, yy, ok = states.reshape(-1, n), y.reshape(-1), on.reshape(-1)
         # In order of words, so that each class, and each word, is one slice.
         at_all = np.flatnonzero(ok)
-        at_all = at_all[np.argsort(yy[at_all], kind="stable")]
+        at_all = at_all[np.argsort(yy[at_all].astype(np.uint16), kind="stable")]
         hs, yy = flat[at_all], yy[at_all]
         g = {k: np.zeros_like(v) for k, v in p.items()}
         total = F32(max(1, len(yy)))
-        logits = hs @ p["class_w"] + p["class_b"]
-        q = np.exp(logits - logits.max(1, keepdims=True))
-        q /= q.sum(1, keepdims=True)
+        q = hs @ p["class_w"]
+        q += p["class_b"]
+        bounded = self.bounded()
+        _exp(q, bounded)
+        q /= _sums(q)
         k, each = self.of[yy], np.arange(len(yy))
         loss = -np.log(q[each, k] + 1e-30).sum()
         q[each, k] -= 1
@@ -123,10 +174,8 @@ class Model:
             mine, weights = hs[lo:hi], p["word_w"][s:e]
             w = mine @ weights.T
             w += p["word_b"][s:e]
-            top = w.max(1, keepdims=True)
-            w -= top
-            np.exp(w, out=w)
-            size = w.sum(1, keepdims=True)
+            top = _exp(w, bounded)
+            size = _sums(w)
             loss += float((top + np.log(size)).sum())
             w /= size * total
             g["word_w"][s:e], g["word_b"][s:e] = w.T @ mine, w.sum(0)
@@ -139,10 +188,15 @@ class Model:
         d_states = np.zeros_like(flat)
         d_states[at_all] = dh
         d_states = d_states.reshape(states.shape)
-        before, z, r, c, gc = (np.stack(v) for v in zip(*saved, strict=True))
+        before, zr, c, gc = saved
+        z, r = zr[..., :n], zr[..., n:]
         # What a state's gradient is multiplied by for the update gate, the reset gate and the candidate.
         to_c = (1 - z) * (1 - c * c)
-        slope = np.stack([(before - c) * z * (1 - z), to_c * gc * r * (1 - r), to_c * r], 2)
+        slope = np.empty((*x.shape, 3, n), F32)
+        np.subtract(before, c, out=slope[:, :, 0])
+        slope[:, :, 0] *= z * (1 - z)
+        np.multiply(to_c, r, out=slope[:, :, 2])
+        np.multiply(slope[:, :, 2], gc * (1 - r), out=slope[:, :, 1])
         d_next, ut = np.zeros_like(h), np.ascontiguousarray(p["u"].T)
         dg, d_all = np.empty((*x.shape, 3 * n), F32), np.empty(states.shape, F32)
         ends = fresh.any(1)
@@ -150,14 +204,16 @@ class Model:
             d = np.add(d_states[t], d_next, out=d_all[t])
             np.multiply(d[:, None], slope[t], out=dg[t].reshape(len(d), 3, n))
             d_next = d * z[t] + dg[t] @ ut
-            if ends[t]:
+            if t % window == 0:
+                d_next = np.zeros_like(h)
+            elif ends[t]:
                 d_next *= ~fresh[t][:, None]
         g["u"] = before.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
         dt = dg.reshape(-1, 3 * n)
         dt[:, 2 * n :] = (d_all * to_c).reshape(-1, n)
         g["w"] = own.T @ dt
         g["b"] = dt.sum(0)
-        order = np.argsort(words, kind="stable")
+        order = np.argsort(words.astype(np.uint16), kind="stable")
         firsts = np.flatnonzero(np.diff(words[order], prepend=-1))
         g["embed"][words[order][firsts]] = np.add.reduceat((dt @ p["w"].T)[order], firsts)
         return g, float(loss), last
@@ -170,17 +226,18 @@ class Adam:
         self.rate, self.t = rate, 0
 
     def step(self, model: Model, g: dict, weight: float = 1.0) -> None:
-        self.t += 1
-        norm = weight * np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
-        cut = F32(weight * min(1.0, 1.0 / (norm + 1e-12)))
-        rate = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        """``weight``: the share of a whole step that this one is; averages and weights move by so much less."""
+        self.t += weight
+        norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
+        cut = F32(min(1.0, 1.0 / (norm + 1e-12)))
+        rate = weight * self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k, x in g.items():
             x = x * cut
             m, v = self.m[k], self.v[k]
-            m += F32(0.1) * (x - m)
+            m += F32(1 - 0.9**weight) * (x - m)
             np.multiply(x, x, out=x)
             x -= v
-            x *= F32(0.001)
+            x *= F32(1 - 0.999**weight)
             v += x
             np.sqrt(v, out=x)
             x += F32(1e-8)
@@ -217,9 +274,11 @@ def score(model: Model, table: np.ndarray, docs: list[np.ndarray], lanes: int =
     x[fresh] = first
     out = np.zeros(y.shape, F32)
     h = np.zeros((len(streams), model.hidden), F32)
-    for t in range(0, y.shape[1], window):
-        b = int((length > t).sum())
-        e = min(t + window, y.shape[1])
+    e = 0
+    while e < y.shape[1]:
+        t, b = e, int((length > e).sum())
+        # Where few lanes still run, longer windows make up for them.
+        e = min(t + window * max(1, lanes // (4 * b)), y.shape[1])
         states, h, _ = model.forward(table, np.ascontiguousarray(x[:b, t:e].T), np.ascontiguousarray(fresh[:b, t:e].T), h[:b])
         on = np.arange(t, e)[:, None] < length[:b][None]
         flat = states[on]
@@ -235,39 +294,57 @@ def score(model: Model, table: np.ndarray, docs: list[np.ndarray], lanes: int =
     return result
 
 
-def train(model: Model, optimiser: Adam, docs: Iterable[np.ndarray], lanes: int = 32, window: int = 32, first: int = 0) -> tuple[float, int]:
+def train(model: Model, optimiser: Adam, docs: Iterable[np.ndarray], lanes: int = 128, window: int = 32, first: int = 0) -> tuple[float, int]:
     """One step for each window of ``lanes`` running documents, until every word of every document has been in one; documents: word ids with
     the end last.  Returns the summed loss and the number of words.
 
     A lane's state runs on from window to window (backpropagation stops at a window's start) and starts anew with each document, which follows
-    the one before it in its lane at once.  A step that fewer words share weighs less, so that words weigh alike.
+    the one before it in its lane at once.  Where few lanes still run, their windows' gradients are added up to a quarter of a whole step, and
+    a step weighs as much as it has words, so that words weigh alike.
     """
-    docs, loss, words = iter(docs), 0.0, 0
+    docs, loss, words, whole = iter(docs), 0.0, 0, lanes * window
+    sums, waiting = None, 0
     none = np.zeros(0, np.int32)
     held = [(none, 0)] * lanes
-    h = np.zeros((lanes, model.hidden), F32)
+    h, before = np.zeros((lanes, model.hidden), F32), np.zeros(lanes, np.int32)
     while True:
-        x, y = np.zeros((len(held), window), np.int32), np.zeros((len(held), window), np.int32)
+        # Windows that would wait for others before a step are taken together, as the weights stand still between them.
+        span = window * max(1, lanes // (4 * len(held)))
+        y = np.zeros((len(held), span), np.int32)
         fresh, n = np.zeros(y.shape, bool), np.zeros(len(held), np.int64)
         for j, (d, i) in enumerate(held):
             at = 0
-            while at < window:
+            while at < span:
                 while d is not None and i == len(d):
                     d, i = next(docs, None), 0
                 if d is None:
                     d, i = none, 0
                     break
-                k = min(window - at, len(d) - i)
-                fresh[j, at], x[j, at] = not i, d[i - 1] if i else first
-                x[j, at + 1 : at + k], y[j, at : at + k] = d[i : i + k - 1], d[i : i + k]
+                if not i:
+                    fresh[j, at] = True
+                k = min(span - at, len(d) - i)
+                y[j, at : at + k] = d[i : i + k]
                 at, i = at + k, i + k
             held[j], n[j] = (d, i), at
+        x = np.empty_like(y)
+        x[:, 0], x[:, 1:] = before, y[:, :-1]
+        x[fresh] = first
         live = np.flatnonzero(n)
         if not len(live):
+            if waiting:
+                optimiser.step(model, {k: v / F32(waiting) for k, v in sums.items()}, waiting / whole)
             return loss, words
-        held, size = [held[j] for j in live], int(n.max())
+        held, size, before = [held[j] for j in live], int(n.max()), y[live, -1]
         x, y, fresh = (np.ascontiguousarray(v[live, :size].T) for v in (x, y, fresh))
         on = np.arange(size)[:, None] < n[live]
-        g, part, h = model.slopes(x, y, fresh, on, h[live])
-        optimiser.step(model, g, int(on.sum()) / (lanes * window))
-        loss, words = loss + part, words + int(on.sum())
+        g, part, h = model.slopes(x, y, fresh, on, h[live], window)
+        some = int(on.sum())
+        loss, words = loss + part, words + some
+        if waiting or 4 * some < whole:
+            sums = {k: v * F32(some) + (sums[k] if waiting else 0) for k, v in g.items()}
+            waiting += some
+            if 4 * waiting < whole:
+                continue
+            g, some = {k: v / F32(waiting) for k, v in sums.items()}, waiting
+            waiting = 0
+        optimiser.step(model, g, some / whole)
