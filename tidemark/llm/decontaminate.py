@@ -5,23 +5,34 @@ over ``SPAN`` consecutive words; every window of every text is hashed under each
 in an equi-join.  Masks differ in what they ignore, so a passage with changed words still hits by one of them.  Around each hit, on its diagonal, the
 item's words are held against the text's: +1 for an equal word, -1 for a different one; the best-scoring stretch is the
 overlap.  A document is contaminated by an item when that score reaches ``least_score``: ``LEAST`` words, or ``SHARE`` of a short item.
+Hits that follow another one on their diagonal word by word would find the same stretch, so only the first of such a run is verified.
+
+Items of fewer than ``SPAN`` words have no window under a mask: they are found where they stand whole (their words one after another), by one
+hash over all their words; items of fewer than ``ALONE`` words, which stand in many innocent texts, where they are all that a text holds.
 
 Texts never move: windows are exploded, joined and verified in the row's own task, and only verified hits are exchanged, for a
-maximum by document and item.  The benchmark goes by broadcast in blocks of ``BLOCK_SEEDS`` hashes at most, each block against all rows.
+maximum by document and item.  The benchmark's seeds go by broadcast, a few numbers each, in blocks of ``BLOCK_SEEDS`` at most, each block
+against all rows; an item's seeds may lie in several blocks.  Its words go by broadcast up to ``BLOCK_WORDS`` in all items, and beyond it
+hits are joined with the items by an exchange.
 
-Null texts and texts or items shorter than a mask have no windows; items under ``SPAN`` words can't be found; null ids are kept; equal items
-each report; repeated documents report once by id; empty tables give no rows; other columns are ignored.
+Null texts and texts or items without words have no windows; null ids are kept; equal items each report; repeated documents report once by
+id; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Weight-6 masks over 9 words.
 MASKS = ("110101011", "101110011", "111001101")
 SPAN = len(MASKS[0])
-LEAST, SHARE, BLOCK_SEEDS = 10, 0.6, 500_000
+LEAST, SHARE, ALONE = 10, 0.6, 3
+BLOCK_SEEDS, BLOCK_WORDS = 500_000, 4_000_000
 
 
 def _let(value: Column, body) -> Column:
@@ -40,16 +51,21 @@ def _seeds(hashes: str, at: str) -> Column:
 
 
 def _windows(rows: DataFrame, hashes: str, at: str) -> DataFrame:
-    """rows with a row for each window (its place in ``at``) and mask (its hash in ``seed``)."""
+    """rows with a row for each window (its place in ``at``) and mask (its number in ``mask``, its hash in ``seed``)."""
     n = F.size(hashes)
     places = rows.select("*", F.explode(F.when(n >= SPAN, F.sequence(F.lit(0), n - SPAN))).alias(at))
-    return places.select("*", F.explode(_seeds(hashes, at)).alias("seed"))
+    return places.select("*", F.posexplode(_seeds(hashes, at)).alias("mask", "seed"))
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """item_no, item_id, item (its word hashes); the number is a hash of the two, so ids may be null or repeat."""
+    own = benchmark.select("item_id", word_hashes(F.col("text")).alias("item"))
+    return own.select(F.xxhash64("item_id", "item").alias("item_no"), "item_id", "item").dropDuplicates(["item_no"])
 
 
 def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
-    """seed, item_id, item_at, item (its word hashes)."""
-    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("item"))
-    return _windows(items, "item", "item_at")
+    """seed, item_no, item_at."""
+    return _windows(items_of(benchmark), "item", "item_at").select("seed", "item_no", "item_at")
 
 
 def _best(own: Column, item: Column, shift: Column) -> Column:
@@ -79,32 +95,103 @@ def least_score(n_words: Column) -> Column:
 
 
 def blocks(benchmark: DataFrame, wanted: int = BLOCK_SEEDS) -> list[DataFrame]:
-    """The seeds in parts small enough to broadcast; which part an item is in depends on its hash alone."""
+    """The seeds in parts small enough to broadcast; which part a seed is in depends on its item and place."""
     seeds = benchmark_seeds(benchmark)
     n = seeds.count()
     parts = max(1, -(-n // wanted))
     if parts == 1:
         return [seeds]
-    return [seeds.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(parts)) == i) for i in range(parts)]
+    return [seeds.where(F.pmod(F.xxhash64("item_no", "item_at"), F.lit(parts)) == i) for i in range(parts)]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row per verified (doc_id, item_id): score, matched words and length of the best overlap, and words of the item."""
-    windows = _windows(docs.select("doc_id", word_hashes(F.col("text")).alias("own")), "own", "at")
+def _first_of_run() -> Column:
+    """No window one word before, and none of a mask before this one here, hits on the same diagonal.  Written with lambdas, so that the generated
+    code around it stays small enough to be compiled; it is only asked of hits."""
+    masks = F.array(*[F.array(*[F.lit(k) for k, bit in enumerate(m) if bit == "1"]) for m in MASKS])
+
+    def agree(some: Column, back: int) -> Column:
+        same = lambda k: F.coalesce(F.get("own", F.col("at") + (k - back)) == F.get("item", F.col("item_at") + (k - back)), F.lit(False))
+        return F.exists(some, lambda m: F.forall(m, same))
+
+    return ~((F.least("at", "item_at") > 0) & agree(masks, 1)) & ~agree(F.slice(masks, F.lit(1), F.col("mask")), 0)
+
+
+def _long_hits(docs: DataFrame, keys: list[str], benchmark: DataFrame) -> DataFrame:
+    """keys, item_id, score, matched, item_words of every verified run of hits."""
+    windows = _windows(docs, "own", "at")
+    items = items_of(benchmark)
+    words = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
     found = None
     for part in blocks(benchmark):
+        hits = windows.join(F.broadcast(part), "seed")
+        if words > BLOCK_WORDS:
+            # Only a stretch of the text as long as the item leaves for the exchange.
+            sizes = items.select("item_no", F.size("item").alias("item_size"))
+            first = F.greatest(F.lit(0), F.col("at") - F.col("item_at") - 1)
+            hits = hits.join(sizes, "item_no").select(*keys, "mask", "item_no", "item_at", F.slice("own", first + 1, F.col("item_size") + 2).alias("own"), (F.col("at") - first).alias("at"))
+            hits = hits.join(items, "item_no")
+        else:
+            hits = hits.join(F.broadcast(items), "item_no")
         # Only the stretch of the text beside the item leaves the join, whatever the text's length.
         first = F.greatest(F.lit(0), F.col("at") - F.col("item_at"))
-        near = windows.join(F.broadcast(part), "seed").select("doc_id", "item_id", "item", F.slice("own", first + 1, F.size("item")).alias("beside"), (F.col("at") - F.col("item_at") - first).alias("shift"))
-        hits = near.select("doc_id", "item_id", F.size("item").alias("item_words"), _best(F.col("beside"), F.col("item"), F.col("shift")).alias("b"))
-        found = hits if found is None else found.unionByName(hits)
+        near = hits.select(*keys, "item_id", "item", F.slice("own", first + 1, F.size("item")).alias("beside"), (F.col("at") - F.col("item_at") - first).alias("shift"), _first_of_run().alias("starts"))
+        # No filter on it: the optimizer would move one into the join.
+        scored = near.select(*keys, "item_id", F.size("item").alias("item_words"), F.when(F.col("starts"), _best(F.col("beside"), F.col("item"), F.col("shift"))).alias("b"))
+        scored = scored.select(*keys, "item_id", F.col("b.best").alias("score"), F.col("b.best_hits").alias("matched"), "item_words")
+        found = scored if found is None else found.unionByName(scored)
+    return found
+
+
+def _short_hits(docs: DataFrame, keys: list[str], benchmark: DataFrame) -> DataFrame | None:
+    """Items below SPAN words that stand whole in a text; None where the benchmark has none."""
+    n = F.size("item")
+    items = items_of(benchmark).where((n > 0) & (n < SPAN))
+    lengths = sorted(r[0] for r in items.select(n).distinct().collect())
+    if not lengths:
+        return None
+    keyed = items.select("item_id", n.alias("item_words"), F.xxhash64("item").alias("whole"))
+    size, out = F.size("own"), None
+    for k in lengths:
+        places = F.when(size >= k, F.sequence(F.lit(0), size - k)) if k >= ALONE else F.when(size == k, F.array(F.lit(0)))
+        rows = docs.select(*keys, F.explode(F.array_distinct(_stretches(places, k))).alias("whole"))
+        hit = _joined(rows, keyed.where(F.col("item_words") == k)).select(*keys, "item_id", F.lit(k).alias("score"), F.lit(k).alias("matched"), "item_words")
+        out = hit if out is None else out.unionByName(hit)
+    return out
+
+
+def _stretches(places: Column, k: int) -> Column:
+    return F.transform(places, lambda i: F.xxhash64(F.slice("own", i + 1, F.lit(k))))
+
+
+def _joined(rows: DataFrame, short: DataFrame) -> DataFrame:
+    n = short.count()
+    parts = max(1, -(-n // BLOCK_SEEDS))
+    cut = [short.where(F.pmod(F.col("whole"), F.lit(parts)) == i) if parts > 1 else short for i in range(parts)]
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(c), "whole") for c in cut])
+
+
+def _found(docs: DataFrame, keys: list[str], benchmark: DataFrame) -> DataFrame:
+    """docs: keys, own.  A row per verified (keys, item_id): the best overlap."""
+    found = _long_hits(docs, keys, benchmark)
+    short = _short_hits(docs, keys, benchmark)
+    if short is not None:
+        found = found.unionByName(short)
     # The test of the score stands behind the aggregation: before it, the optimizer would move it into the join, which would then leave
     # generated code and pile up every window of a long text.
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("b.best", "b.best_hits", "item_words")).alias("m")).where(F.col("m.best") >= least_score(F.col("m.item_words")))
-    return best.select("doc_id", "item_id", F.col("m.best").cast("long").alias("score"), F.col("m.best_hits").cast("long").alias("matched"), F.col("m.item_words").cast("long").alias("item_words"))
+    best = found.groupBy(*keys, "item_id").agg(F.max(F.when(F.col("score").isNotNull(), F.struct("score", "matched", "item_words"))).alias("m")).where(F.col("m.score") >= least_score(F.col("m.item_words")))
+    return best.select(*keys, "item_id", *[F.col(f"m.{c}").cast("long").alias(c) for c in ("score", "matched", "item_words")])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """A row per verified (doc_id, item_id): score, matched words and length of the best overlap, and words of the item."""
+    return _found(docs.select("doc_id", word_hashes(F.col("text")).alias("own")), ["doc_id"], benchmark)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that no item contaminates, as they were; a null id can't be told apart, so such rows are judged together."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that no item contaminates, as they were.  Rows are judged by their own text: one that shares its id (or a null id) with
+    a contaminated row stays."""
+    text, gone, gone_text = fresh(docs, "_text_hash"), fresh(docs, "_gone"), fresh(docs, "_gone_text")
+    keyed = docs.withColumn(text, F.xxhash64("text"))
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_hashes(F.col("text")).alias("own"))
+    bad = _found(own, ["doc_id", "text_hash"], benchmark).select(F.col("doc_id").alias(gone), F.col("text_hash").alias(gone_text)).distinct()
+    return keyed.join(bad, keyed["doc_id"].eqNullSafe(F.col(gone)) & (F.col(text) == F.col(gone_text)), "left_anti").drop(text)

@@ -1,7 +1,9 @@
 """DuckDB SQL of the near-duplicate and decontamination queries."""
 
-from .decontaminate import LEAST, MASKS, SHARE, SPAN
-from .near_dedup import PERCENT, SHINGLE
+from .decontaminate import ALONE, LEAST, MASKS, SHARE, SPAN
+
+#: Words of a shingle and least similarity in per cent of the registered query.
+CONTRACT = SHINGLE, PERCENT = 3, 85
 
 _SPACE = r"[ \t\n\x0B\f\r]+"
 
@@ -33,6 +35,10 @@ cell AS (SELECT doc_id, item_id, shift, j, d.ws[j + shift] = b.ws[j] AS same FRO
 run AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE -1 END) OVER w AS p, row_number() OVER w AS k FROM cell WINDOW w AS (PARTITION BY doc_id, item_id, shift ORDER BY j)),
 low AS (SELECT *, least(0, min(p) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k)) AS floor FROM run),
 started AS (SELECT *, coalesce(max(CASE WHEN p = floor THEN k END) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k), 0) AS start FROM low),
-best AS (SELECT doc_id, item_id, shift, p - floor AS score, (k - start + p - floor) // 2 AS matched, row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY p - floor DESC, k) AS r FROM started)
-SELECT doc_id, item_id, max(score)::BIGINT AS score, arg_max(matched, (score, matched))::BIGINT AS matched, len(ws)::BIGINT AS item_words FROM best JOIN b USING (item_id) WHERE r = 1 AND score >= least({LEAST}, ceil(len(ws) * {SHARE})) GROUP BY doc_id, item_id, ws
+best AS (SELECT doc_id, item_id, shift, p - floor AS score, (k - start + p - floor) // 2 AS matched, row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY p - floor DESC, k) AS r FROM started),
+lens AS (SELECT DISTINCT len(ws) AS n FROM b WHERE len(ws) BETWEEN 1 AND {SPAN - 1}),
+dw AS (SELECT DISTINCT doc_id, n, array_to_string(ws[i:i + n - 1], chr(1)) AS k FROM d, lens, unnest(range(1, len(ws) - n + 2)) AS r(i) WHERE len(ws) >= n AND (n >= {ALONE} OR len(ws) = n)),
+short AS (SELECT dw.doc_id, b.item_id, n AS score, n AS matched FROM b JOIN dw ON dw.n = len(b.ws) AND dw.k = array_to_string(b.ws, chr(1))),
+scored AS (SELECT doc_id, item_id, score, matched FROM best WHERE r = 1 UNION ALL SELECT * FROM short)
+SELECT doc_id, item_id, max(score)::BIGINT AS score, arg_max(matched, (score, matched))::BIGINT AS matched, len(ws)::BIGINT AS item_words FROM scored JOIN b USING (item_id) WHERE score >= least({LEAST}, ceil(len(ws) * {SHARE})) GROUP BY doc_id, item_id, ws
 """
