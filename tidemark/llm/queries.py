@@ -55,8 +55,9 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
+    from .pairs_sql import CONTRACT
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), *CONTRACT)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
