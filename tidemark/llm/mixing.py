@@ -8,25 +8,30 @@ document posteriors p over the domains.  With n words in a document, rates r >=
 where T_k are the target totals, m_k the domain's present share and S all words.  A projected gradient step in the metric of n_d is
 r <- clip(r - (p . e + damp (r - 1))), e_k = (M_k - T_k) / (m_k S); its Hessian's largest eigenvalue is at most 1 + damp, so a unit step
 converges.  As r starts at 1, a document's rate is a function of p and of the residuals so far: each round is one aggregation of K
-sums over the written table of (n, p), with no state to keep and nothing but K numbers on the driver.
+sums over the written table of (n, p, r), r being the rate after the first rounds; every ``REWRITE`` rounds the table is written anew, so that
+a round's work does not grow, and nothing but K numbers is on the driver.  It ends when each domain's total is within ``CLOSE`` of its own
+target, when no total moves by ``STILL`` of its target in a round any more (rates may be at their bounds, and posteriors that overlap may make a
+target unreachable), or after ``ROUNDS``; ``gap`` and ``converged`` say how it ended.
 
 Null or empty texts have n = 0 and take the rate of their (bias-only) posterior.  Labels without a document, repeated labels (the least
-domain counts) and null labels are allowed; no usable labels: one domain, rates 1.  Null ids are rated; repeated rows are rated alike;
+domain counts), documents that share an id (the one whose text hashes lowest is learned from) and null labels are allowed; no usable labels: one domain, rates 1.  Null ids are rated; repeated rows are rated alike;
 other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, hashed_sample, held, kept, texts, utf8
+from .common import Generations, drop, hashed_sample, held, kept, texts, utf8, written
 
 FIT_ROWS, BITS, STEPS, RIDGE = 3000, 14, 80, 1e-3
-ROUNDS, CLOSE, DAMP = 30, 2e-3, 1e-3
+ROUNDS, REWRITE, CLOSE, STILL, DAMP = 60, 12, 0.01, 1e-3, 1e-3
 #: Production targets: shares of words by (quality, toxic) label.
 TARGETS = {"q1t0": 0.90, "q0t0": 0.06, "q1t1": 0.03, "q0t1": 0.01}
 
@@ -98,7 +103,7 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, domains: DataFrame, wanted: int = FIT_ROWS) -> Classifier:
     """domains: doc_id, domain.  The sample of labels is bounded, so it goes by broadcast; executors send features, no texts."""
-    sample = hashed_sample(domains, wanted, "doc_id").groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    sample = hashed_sample(domains.groupBy("doc_id").agg(F.min("domain").alias("domain")), wanted, "doc_id")
 
     def run(batches):
         buckets = held(Buckets)
@@ -106,7 +111,8 @@ def learn(docs: DataFrame, domains: DataFrame, wanted: int = FIT_ROWS) -> Classi
             own = [features(t, buckets) for t in utf8(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("domain"), pa.array([a.astype("<u4").tobytes() for _, a, _ in own], pa.binary()), pa.array([w.tobytes() for _, _, w in own], pa.binary())], ["domain", "at", "w"])
 
-    rows = texts(docs).join(F.broadcast(sample), "doc_id").select("domain", "text").mapInArrow(run, "domain string, at binary, w binary").collect()
+    own = texts(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "domain", "text")).alias("m"))
+    rows = own.select("m.domain", "m.text").mapInArrow(run, "domain string, at binary, w binary").collect()
     names = sorted({r[0] for r in rows}) or ["all"]
     place = {d: i for i, d in enumerate(names)}
     found = sorted((place[r[0]], bytes(r[1]), bytes(r[2])) for r in rows)
@@ -127,14 +133,18 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
 
 
-def rates(p: np.ndarray, residuals: np.ndarray, cap: float) -> np.ndarray:
-    """Rates of rows of posteriors after the steps with these residuals."""
-    r = np.ones(len(p))
+def rates(p: np.ndarray, residuals: np.ndarray, cap: float, r: np.ndarray | None = None) -> np.ndarray:
+    """Rates of rows of posteriors after the steps with these residuals, from r (1) on."""
+    r = np.ones(len(p)) if r is None else r
     for e in residuals:
         r = np.clip(r - (p @ e + DAMP * (r - 1)), 0.0, cap)
     return r
 
 
+def _rows(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return b.column("p").flatten().to_numpy().reshape(b.num_rows, k), b.column("r").to_numpy()
+
+
 def _totals(members: DataFrame, residuals: np.ndarray, cap: float, k: int) -> np.ndarray:
     """Words of each domain expected at the present rates."""
 
@@ -142,50 +152,74 @@ def _totals(members: DataFrame, residuals: np.ndarray, cap: float, k: int) -> np
         sums = np.zeros(k)
         for b in batches:
             if b.num_rows:
-                p = b.column("p").flatten().to_numpy().reshape(b.num_rows, k)
-                sums += (rates(p, residuals, cap) * b.column("n_tokens").to_numpy()) @ p
+                p, r = _rows(b, k)
+                sums += (rates(p, residuals, cap, r) * b.column("n_tokens").to_numpy()) @ p
         yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(sums)], ["k", "m"])
 
-    found = members.select("n_tokens", "p").mapInArrow(run, "k int, m double").groupBy("k").agg(F.sum("m").alias("m")).collect()
+    found = members.select("n_tokens", "p", "r").mapInArrow(run, "k int, m double").groupBy("k").agg(F.sum("m").alias("m")).collect()
     out = np.zeros(k)
     for r in found:
         out[r[0]] = r[1]
     return out
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], cap: float = float("inf"), shrink: bool = False) -> np.ndarray:
-    """The residuals of all rounds.  Targets are shares of words, of as many words as there are, or, if ``shrink``, of the most words that need
-    no rate above 1 in any domain.  Domains without a target keep their present share of the rest."""
-    k = len(domains)
+def _stepped(members: DataFrame, residuals: np.ndarray, cap: float, k: int) -> DataFrame:
+    """The members with their rates after these steps."""
+
+    def run(batches):
+        for b in batches:
+            p, r = _rows(b, k)
+            r = rates(p, residuals, cap, r)
+            yield b.set_column(b.schema.get_field_index("r"), "r", pa.array(r, pa.float64()))
+
+    return members.mapInArrow(run, members.schema)
+
+
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], cap: float = float("inf"), shrink: bool = False) -> tuple[np.ndarray, float]:
+    """The residuals of all rounds, and the largest miss of a domain's total, as a share of its target.  Targets are shares of words, of as many
+    words as there are, or, if ``shrink``, of the most words that need no rate above 1 in any domain.  Domains without a target keep their
+    present share of the rest."""
+    spark, k = members.sparkSession, len(domains)
+    members = members.select("n_tokens", "p").withColumn("r", F.lit(1.0))
     past: list[np.ndarray] = []
     now = _totals(members, np.zeros((0, k)), cap, k)
     all_words = now.sum()
     if all_words == 0 or k == 1:
-        return np.zeros((0, k))
+        return np.zeros((0, k)), 0.0
     share = np.maximum(now / all_words, 1e-9)
     named = np.array([d in targets for d in domains])
     want = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     rest = max(0.0, 1.0 - want.sum()) if (~named).any() else 0.0
     want = want + np.where(named, 0.0, rest * share / max(1e-12, share[~named].sum()))
     if want.sum() <= 0:
-        return np.zeros((0, k))
+        return np.zeros((0, k)), 0.0
     want = want / want.sum()
     size = all_words * min([1.0, *(share[i] / want[i] for i in range(k) if want[i] > 0)]) if shrink else all_words
     goal = want * size
-    for _ in range(ROUNDS):
-        if np.abs(now - goal).max() <= CLOSE * all_words:
-            break
+    gap = lambda: float((np.abs(now - goal) / np.maximum(goal, 1e-6 * all_words)).max())
+    done, path, moved = 0, None, float("inf")
+    while gap() > CLOSE and moved > STILL and len(past) < ROUNDS:
+        if len(past) - done == REWRITE:
+            old = path
+            members, path = written(_stepped(members, np.array(past[done:]), cap, k), spark, "rates")
+            done = len(past)
+            if old:
+                drop(spark, old)
         past.append((now - goal) / (share * all_words))
-        now = _totals(members, np.array(past), cap, k)
-    return np.array(past).reshape(-1, k)
+        was, now = now, _totals(members, np.array(past[done:]), cap, k)
+        moved = float((np.abs(now - was) / np.maximum(goal, 1e-6 * all_words)).max())
+    if path:
+        drop(spark, path)
+    return np.array(past).reshape(-1, k), gap()
 
 
 def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """A row per document: doc_id, n_tokens, domain (the likeliest), posterior of it, rate."""
+    """A row per document: doc_id, n_tokens, domain (the likeliest), posterior of it, rate; and, alike in all rows, the largest miss of a
+    target (gap, as a share of it) and whether all were met (converged)."""
     spark = docs.sparkSession
     model = learn(docs, domains)
     members = kept(memberships(docs, model), spark, "members")
-    residuals = fit_rates(members, model.domains, targets or TARGETS)
+    residuals, gap = fit_rates(members, model.domains, targets or TARGETS)
     names, k = model.domains, len(model.domains)
 
     def run(batches):
@@ -194,15 +228,19 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None =
             best = p.argmax(1) if len(p) else np.empty(0, int)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), pa.array([names[i] for i in best], pa.string()), pa.array(p[np.arange(len(p)), best]), pa.array(rates(p, residuals, float("inf")))], ["doc_id", "n_tokens", "domain", "posterior", "rate"])
 
-    return members.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior double, rate double")
+    out = members.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior double, rate double")
+    return out.withColumn("gap", F.lit(gap)).withColumn("converged", F.lit(gap <= CLOSE))
 
 
 def mixed(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """The documents that stay, with all their columns as they were: each stays with its rate (at most 1) as probability, drawn from a hash
-    of its id (of its text where the id is null), so that the draw is the same in every run."""
+    of its id (of its text where the id is null), so that the draw is the same in every run.  Warns where a target was missed."""
     model = learn(docs, domains)
-    members = kept(memberships(docs, model).select("n_tokens", "p"), docs.sparkSession, "members")
-    residuals = fit_rates(members, model.domains, targets or TARGETS, cap=1.0, shrink=True)
+    members, path = written(memberships(docs, model).select("n_tokens", "p"), docs.sparkSession, "members")
+    residuals, gap = fit_rates(members, model.domains, targets or TARGETS, cap=1.0, shrink=True)
+    drop(docs.sparkSession, path)
+    if gap > CLOSE:
+        warnings.warn(f"mixing: a domain misses its target by {gap:.1%} of it after {len(residuals)} rounds", stacklevel=2)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
