@@ -1,12 +1,14 @@
 """Language identification by compression with per-language dictionaries.
 
-For each language a raw-content zstandard dictionary is filled from whole training documents (a bounded sample, ``FIT_DOCUMENTS`` of
-each language up to ``DICTIONARY_BYTES``).  Every whole text is cut into blocks of ``BLOCK`` bytes, so that a text's own history does not
+For each language a raw-content zstandard dictionary is filled from a bounded sample of blocks of training documents (``FIT_BLOCKS`` blocks of
+``BLOCK`` characters of each language, up to ``DICTIONARY_BYTES``; texts of any length are cut in blocks and every block may be
+drawn).  Every whole text is cut into blocks of ``BLOCK`` bytes, so that a text's own history does not
 drown the dictionary, and each block is compressed with each dictionary; the language whose total is smallest wins.  A relative
-margin to the next language below ``MARGIN`` is narrow: such documents are *rejected* (so are texts without a letter).
+margin to the next language below ``MARGIN`` is narrow: such documents are *rejected* (so are texts without a letter).  The
+``LANGUAGES`` languages with most training blocks are learned.
 
 The prediction sees the text alone.  Null text or text without a letter: ``und``, score 0, rejected.  Ties go to the language
-with most training rows and have margin 0.  No training rows at all: everything is ``und``.  One language only: margin 1.  Repeated rows
+that has more blocks in the sample, then to the first by name, and have margin 0.  No training rows at all: everything is ``und``.  One language only: margin 1.  Repeated rows
 give repeated results; an empty table gives no rows; other columns are ignored.
 """
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import hashed_sample, remainder, texts
 
 UNKNOWN = "und"
-FIT_DOCUMENTS, FIT_LONGEST, DICTIONARY_BYTES = 200, 16_384, 112_640
+FIT_BLOCKS, DICTIONARY_BYTES, LANGUAGES = 200, 112_640, 512
 BLOCK, LEVEL, MARGIN = 4096, 5, 0.002
 #: Bits of difference count by so much in the score, as sizes are whole bytes and languages share much.
 TEMPER = 0.05
@@ -32,21 +35,31 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 def plain(text: str) -> bytes:
     """Lower case letters, anything else as single spaces: capitals and marks say little of a language but cost bytes."""
-    return _OTHER.sub(" ", text.lower()).encode()
+    return _OTHER.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
-def dictionaries(docs: DataFrame, wanted: int = FIT_DOCUMENTS) -> dict[str, bytes]:
-    """language -> content, from a bounded sample of documents with a language; the most frequent language first."""
+def has_letter(text: str) -> bool:
+    """A character that is a letter; digits and numbers of any script, such as superscripts and fractions, are none."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
+def dictionaries(docs: DataFrame, wanted: int = FIT_BLOCKS) -> dict[str, bytes]:
+    """language -> content, from a bounded sample of blocks of documents with a language; languages with more blocks first.
+
+    The driver gets ``wanted`` blocks of each language at most.
+    """
     labelled = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null and length(text) > 0")
-    short = labelled.where(F.length("text") <= FIT_LONGEST)
-    rows = hashed_sample(short, wanted, "doc_id", by="lang").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    pieces = labelled.select("doc_id", "lang", F.posexplode(blocks).alias("block", "piece"))
+    drawn = hashed_sample(pieces, wanted, "doc_id", "block", "piece", by="lang", groups=LANGUAGES)
+    found = drawn.select("lang", "piece", F.xxhash64("doc_id", "block", "piece")).collect()
+    sizes = Counter(r[0] for r in found)
     out: dict[str, bytearray] = {}
-    for lang, text, _ in sorted(rows.collect(), key=lambda r: (r[0], r[2])):
+    for lang, text, _ in sorted(found, key=lambda r: (r[0], r[2], r[1])):
         own = out.setdefault(lang, bytearray())
         if len(own) < DICTIONARY_BYTES:
             own += plain(text) + b"\n"
-    return {k: bytes(v[:DICTIONARY_BYTES]) for k, v in sorted(out.items(), key=lambda x: (-counts[x[0]], x[0]))}
+    return {k: bytes(v[:DICTIONARY_BYTES]) for k, v in sorted(out.items(), key=lambda x: (-sizes[x[0]], x[0]))}
 
 
 class Compressors:
@@ -68,7 +81,7 @@ class Compressors:
 
     def predict(self, text: str) -> tuple[str, float, float]:
         """language, score, margin"""
-        if not self.langs or not _LETTER.search(text):
+        if not self.langs or not has_letter(text):
             return UNKNOWN, 0.0, 0.0
         sizes = self.sizes(plain(text))
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
