@@ -9,7 +9,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidemark.llm import decontaminate, language_id, lm_score, mixing, near_dedup, quality, recurrent
+from pyspark.sql import functions as F
+
+from tidemark.llm import common, decontaminate, language_id, lm_score, mixing, near_dedup, quality, recurrent
 from tidemark.llm.common import remainder
 
 EN, DE = "the of and to in is was for with from that house tree water light stone".split(), "der die das und nicht mit von haus baum wasser licht stein für über schön".split()
@@ -66,15 +68,15 @@ def test_near_duplicates_equal_brute_force(docs, rows, empty):
             if n and 100 * n >= 85 * len(s[a] | s[b]):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
-    got = near_dedup.near_duplicates(docs).collect()
+    got = near_dedup.near_duplicates(docs, 3, 85).collect()
     assert len(got) == len(rows)
     for r in got:
         if r["doc_id"] is None:
             assert r["component_id"] is None and r["kept"]
             continue
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(s[r["doc_id"]]), find(r["doc_id"]), find(r["doc_id"]) == r["doc_id"]), r
-    left = near_dedup.first_of_each(docs).collect()
-    assert {r["doc_id"] for r in left} == {k for k in keys if find(k) == k} | {None}
+    left = near_dedup.first_of_each(docs, 3, 85).collect()
+    assert sorted(str(r["doc_id"]) for r in left) == sorted(str(k) for k in {k for k in keys if find(k) == k} | {None})
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
@@ -89,6 +91,19 @@ def test_sketches_merge_and_estimate():
     assert abs(j - 2000 / 3500) < 0.2
 
 
+def test_a_rising_likelihood_means_an_estimate_above():
+    rnd = np.random.default_rng(0)
+    x = rnd.integers(0, 1 << 63, 2000, dtype=np.uint64)
+    rows = []
+    for i in range(60):
+        keep = rnd.random(2000) < 1 - 0.012 * i
+        rows.append(near_dedup.registers(near_dedup.least_draws(np.concatenate([x[keep], rnd.integers(0, 1 << 63, int((~keep).sum()), dtype=np.uint64)]))))
+    rows, n = np.array(rows), np.full(60, 2000.0)
+    first = np.broadcast_to(rows[0], rows.shape)
+    for least in (0.4, 0.6, 0.8):
+        assert ((near_dedup.estimate(first, rows, n, n) >= least) == near_dedup.likely(first, rows, n, n, least)).all()
+
+
 def test_spanning_forests_keep_components():
     rnd = np.random.default_rng(2)
     for n in (2, 3, 17, 60):
@@ -109,37 +124,66 @@ def test_spanning_forests_keep_components():
                 up[max(x, y)] = min(x, y)
             return [find(i) for i in range(n)]
 
-        assert comps(zip(a, b, strict=True)) == comps([(i, j) for i in range(n) for j in range(n) if i != j and near[i, j]])
+        want = comps([(i, j) for i in range(n) for j in range(n) if i != j and near[i, j]])
+        assert comps(zip(a, b, strict=True)) == want
+        # Members known to be of one component need no link between them, and lose none to others.
+        known = np.array([w == want[0] for w in want])
+        a, b = near_dedup._spanning(n, lambda c, others: others[near[c, others]], known)
+        assert comps([*zip(a, b, strict=True), *((0, int(i)) for i in np.flatnonzero(known))]) == want
 
 
-def test_large_groups_go_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "CHUNK", 8)
-    rnd = random.Random(9)
-    base = [f"w{i}" for i in range(120)]
-    rows = []
-    for i in range(70):
-        words = list(base)
-        for _ in range(rnd.randint(0, 3)):
-            words[rnd.randrange(120)] = f"x{rnd.randrange(10**6)}"
-        rows.append((i, " ".join(words)))
-    s = sets(rows)
-    up = list(range(70))
+def links_of(rows, size, percent):
+    up, found = {d: d for d, _ in rows if d is not None}, []
+    for d, t in rows:
+        w = (t or "").lower().split()
+        own = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+        if d is not None:
+            found.append((d, own))
 
     def find(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for a in range(70):
-        for b in range(a):
-            if 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]):
-                x, y = find(a), find(b)
-                up[max(x, y)] = min(x, y)
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in range(70)}
+    for i, (a, x) in enumerate(found):
+        for b, y in found[:i]:
+            n = len(x & y)
+            if a != b and n and 100 * n >= percent * len(x | y):
+                p, q = find(a), find(b)
+                up[max(p, q)] = min(p, q)
+    return {d: find(d) for d in up}
 
 
-def test_languages(docs, rows, empty):
+@pytest.mark.parametrize(("chunk", "size", "percent"), [(8, 3, 85), (512, 3, 85), (8, 5, 80)])
+def test_large_groups_and_repeated_ids_in_any_order(spark, monkeypatch, chunk, size, percent):
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    rnd = random.Random(9)
+    rows = []
+    for start, n, words in ((0, 70, [f"w{i}" for i in range(120)]), (100, 40, [f"v{i}" for i in range(60)])):
+        for i in range(n):
+            own = list(words)
+            for _ in range(rnd.randint(0, 3)):
+                own[rnd.randrange(len(own))] = f"x{rnd.randrange(10**6)}"
+            rows.append((start + i, " ".join(own)))
+    # One id with several texts, each of them like another row's.
+    rows += [(1, "alpha beta gamma delta eps zeta"), (300, "alpha beta gamma delta eps zeta"), (301, rows[3][1]), (301, "some text of its own and no other"), (400, "some text of its own and no other"), (None, rows[3][1])]
+    want = links_of(rows, size, percent)
+    for order in (rows, rows[::-1]):
+        got = near_dedup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string"), size, percent).collect()
+        assert len(got) == len(rows)
+        assert all(r["component_id"] == want.get(r["doc_id"]) for r in got)
+
+
+def test_one_row_of_a_repeated_id_stays(spark):
+    rows = [(1, "same id", "a"), (1, "same id", "a"), (1, "quite another text", "b"), (2, None, "c"), (2, None, "c"), (None, "x y z", "d"), (None, "x y z", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS _gone", "2 AS _row", "3 AS _OWN")
+    left = near_dedup.first_of_each(docs)
+    assert left.columns == docs.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "2", "None", "None"]
+    again = near_dedup.first_of_each(docs.orderBy(F.desc("source"))).collect()
+    assert sorted(map(str, again)) == sorted(map(str, left.collect()))
+
+
+def test_languages(spark, docs, rows, empty):
     got = language_id.classify_held_out(docs).collect()
     assert len(got) == len(rows)
     truth = {d: (t, lang) for d, t, lang, *_ in rows}
@@ -148,7 +192,7 @@ def test_languages(docs, rows, empty):
         t, lang = truth[r["doc_id"]]
         assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
         assert 0 <= r["score"] <= 1
-        if not re.search(r"[^\W\d_]", t or ""):
+        if not any(c.isalpha() for c in t or ""):
             assert r["lang_pred"] == "und" and r["rejected"]
         elif r["held_out"] and len(t) > 100:
             total += 1
@@ -159,10 +203,33 @@ def test_languages(docs, rows, empty):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {r["doc_id"] for r in got if not r["rejected"]}
     from pyspark.sql import functions as F
 
+    odd = language_id.classify_held_out(docs.unionByName(spark.createDataFrame([(9001, "\u00bd \u00b2 \u2460", "en", "x", 0), (9002, "12 \u00bd", "en", "x", 0)], docs.schema)))
+    assert [(r["lang_pred"], r["score"]) for r in odd.where("doc_id > 9000").collect()] == [("und", 0.0)] * 2
     unlabelled = language_id.classify_held_out(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
 
 
+def test_a_language_of_long_texts_alone_is_learned(spark):
+    rnd = random.Random(5)
+    rows = [(i, prose(rnd, EN, 60), "en") for i in range(60)] + [(100 + i, prose(rnd, DE, 6000), "de") for i in range(3)] + [(200 + i, prose(rnd, DE, 40), None) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(docs, language_id.dictionaries(docs)).where("doc_id >= 200")
+    assert {r["lang_pred"] for r in got.collect()} == {"de"}
+
+
+def test_samples_keep_their_bound(spark):
+    distinct = spark.range(20_000).selectExpr("IF(id % 2 = 0, NULL, id) AS doc_id", "concat('text ', id) AS text", "IF(id < 19000, 'en', 'de') AS lang")
+    assert common.hashed_sample(distinct, 20, "doc_id", "text").count() == 20
+    hot = spark.range(100_000).selectExpr("7L AS doc_id", "'one' AS text", "'en' AS lang").unionByName(spark.range(50).selectExpr("id + 100 AS doc_id", "concat('t', id) AS text", "'de' AS lang")).repartition(4)
+    got = common.hashed_sample(hot, 20, "doc_id", "text")
+    assert got.columns == hot.columns and 10 <= got.count() <= 20 and got.distinct().count() == got.count()
+    per = {r["lang"]: r["count"] for r in common.hashed_sample(distinct, 30, "doc_id", "text", by="lang").groupBy("lang").count().collect()}
+    assert per == {"en": 30, "de": 30}
+    a, b = (sorted(map(str, common.hashed_sample(d, 20, "doc_id", "text").collect())) for d in (distinct.repartition(3), distinct.repartition(7)))
+    assert a == b
+    assert common.hashed_sample(distinct.limit(0), 5, "doc_id", "text").count() == 0
+
+
 def brute_quality(t):
     t = t or ""
     w = [x for x in re.split("[ \t\n\x0b\x0c\r]+", t) if x]
@@ -205,18 +272,75 @@ def test_decontamination(spark, docs, empty):
     for i in (4, 13, 19):
         changed[i] = "other"
     rows = [(1, "so " * 30 + " ".join(item).title() + ", then " * 9), (2, "a b c " + " ".join(changed) + " d e"), (3, " ".join(item[:9]) + " and nothing more of it at all"), (4, None), (5, ""), (6, prose(rnd, EN, 3000)), (6, " ".join(item)), (None, " ".join(item))]
-    own = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as seed")
+    own = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as seed", "3 as _gone", "4 as _TEXT_hash")
     bench = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, "too short"), (10, prose(random.Random(99), DE, 40))], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(own, bench).collect()}
-    assert {k for k in got if k[1] == 7} == {(1, 7), (2, 7), (6, 7), (None, 7)}
+    assert set(got) == {(1, 7), (2, 7), (6, 7), (None, 7)}
     assert got[(1, 7)]["matched"] == 24 and got[(2, 7)]["matched"] == 21
     left = decontaminate.clean(own, bench)
-    assert left.columns == own.columns and {r["doc_id"] for r in left.collect()} == {3, 4, 5}
+    # Rows are judged by their own texts: the clean one of the two that share an id stays.
+    assert left.columns == own.columns and sorted(r["doc_id"] for r in left.collect()) == [3, 4, 5, 6]
     assert decontaminate.contaminated(own.limit(0), bench).count() == 0 and decontaminate.contaminated(own, bench.limit(0)).count() == 0
     blocks = decontaminate.blocks(bench, 20)
     assert len(blocks) > 1 and sum(b.count() for b in blocks) == decontaminate.benchmark_seeds(bench).count()
 
 
+def brute_contamination(docs, items):
+    out = {}
+    for d, t in docs:
+        a = (t or "").split()
+        for item, u in items:
+            b = (u or "").split()
+            n, best = len(b), (0, 0)
+            if n >= 9:
+                hits = {i - j for i in range(len(a) - 8) for j in range(n - 8) for m in decontaminate.MASKS if all(a[i + k] == b[j + k] for k, bit in enumerate(m) if bit == "1")}
+                for shift in hits:
+                    run = matched = 0
+                    for j in range(max(0, -shift), min(n, len(a) - shift)):
+                        same = a[j + shift] == b[j]
+                        run += 1 if same else -1
+                        run, matched = (0, 0) if run <= 0 else (run, matched + same)
+                        if run > best[0]:
+                            best = run, matched
+            elif n and ((n >= decontaminate.ALONE and any(a[i : i + n] == b for i in range(len(a) - n + 1))) or a == b):
+                best = n, n
+            if n and best[0] >= max(1, min(10, math.ceil(n * 0.6))):
+                out[d, item] = max(out.get((d, item), (0, 0, 0)), (*best, n))
+    return out
+
+
+@pytest.mark.parametrize(("words", "seeds"), [(10**9, 10**9), (0, 60)])
+def test_overlaps_equal_brute_force(spark, monkeypatch, words, seeds):
+    whole = decontaminate.blocks
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
+    monkeypatch.setattr(decontaminate, "blocks", lambda b: whole(b, seeds))
+    rnd = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(12)]
+    text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    docs = [(i, " ".join(text(rnd.randint(0, 60)))) for i in range(40)] + [(None, "x"), (7, "w1 w2 w3"), (8, "w1"), (9, "w1 w2")]
+    items = [(i, " ".join(text(rnd.choice([1, 2, 3, 4, 8, 9, 12, 20, 30])))) for i in range(24)] + [(100, None), (101, "w1"), (102, "w1 w2 w3"), (103, "w1 w2 w3"), (None, "w1 w2")]
+    for i in range(14):
+        own = [w if rnd.random() > 0.15 else "z" for w in items[i][1].split()]
+        docs.append((500 + i, " ".join(text(rnd.randint(0, 9)) + own + text(rnd.randint(0, 9)))))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_contamination(docs, items)
+    assert {(r["doc_id"], r["item_id"]): (r["score"], r["matched"], r["item_words"]) for r in got} == want and len(got) == len(want) > 10
+
+
+def test_contamination_sql_has_short_items(spark, tmp_path):
+    from tidemark.llm.pairs_sql import CONTAMINATED
+
+    docs = [(1, "so a b c d it is"), (2, "a b"), (3, "x a b y"), (4, " ".join(f"q{i}" for i in range(30)))]
+    items = [(1, "a b c d"), (2, "a b"), (3, " ".join(f"q{i}" for i in range(5, 25)))]
+    con, found = duckdb.connect(), {}
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        found[name] = spark.createDataFrame(rows, f"{key} long, text string")
+        found[name].write.parquet(str(tmp_path / name))
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}/*.parquet'")
+    got = sorted(map(tuple, decontaminate.contaminated(found["documents"], found["benchmark"]).collect()))
+    assert got == sorted(con.execute(CONTAMINATED).fetchall()) == [(1, 1, 4, 4, 4), (2, 2, 2, 2, 2), (4, 3, 20, 20, 20)]
+
+
 def test_recurrent_gradients():
     rnd = np.random.default_rng(5)
     counts = np.array([50, 40, 30, 20, 10, 5, 4, 3, 2, 1])
@@ -244,6 +368,20 @@ def test_recurrent_gradients():
         recurrent.F32 = keep
 
 
+def test_windows_taken_together_are_windows_one_by_one():
+    rnd = np.random.default_rng(5)
+    m = recurrent.Model(np.array([50, 40, 30, 20, 10, 5, 4, 3, 2, 1]), 4, 3)
+    x, y = rnd.integers(0, 10, (12, 3)), rnd.integers(0, 10, (12, 3))
+    fresh, on, h = np.zeros((12, 3), bool), np.ones((12, 3), bool), np.zeros((3, 4), np.float32)
+    fresh[0], fresh[5, 1] = True, True
+    g, loss, last = m.slopes(x, y, fresh, on, h, 4)
+    total, losses = {k: 0 for k in g}, 0.0
+    for t in range(0, 12, 4):
+        own, part, h = m.slopes(x[t : t + 4], y[t : t + 4], fresh[t : t + 4], on[t : t + 4], h)
+        total, losses = {k: total[k] + v / 3 for k, v in own.items()}, losses + part
+    assert abs(loss - losses) < 1e-3 and np.abs(last - h).max() < 1e-5 and all(np.abs(total[k] - g[k]).max() < 1e-5 for k in g)
+
+
 def test_probabilities_sum_to_one_and_state_is_carried():
     m = recurrent.Model(np.array([50, 40, 30, 20, 10, 5, 4, 3, 2, 1]), 4, 3)
     states = np.random.default_rng(0).normal(size=(6, 4)).astype(np.float32)
@@ -273,23 +411,55 @@ def test_short_documents_train(spark):
     for i in range(6):
         one = own.where(f"doc_id = {i}")
         vocab = lm_score.vocabulary(lm_score.word_counts(one))
-        assert np.abs(lm_score.learn(one, vocab) - vocab.model().flat()).max() > 0
+        assert np.abs(lm_score.learn(lm_score.coded(one, vocab), vocab) - vocab.model().flat()).max() > 0
 
 
-def test_scores(docs, rows, empty):
+@pytest.mark.parametrize("tier", [100_000, 20, 0])
+def test_scores(docs, rows, empty, monkeypatch, tier):
+    monkeypatch.setattr(lm_score, "TIER", tier)
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
     c: Counter = Counter()
     for d, t, *_ in rows:
         if not held(d):
             c.update((t or "").encode().lower().split() + [b""])
     n, v = sum(c.values()), len(c)
-    want = sorted((d is None, d or 0, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in (t or "").encode().lower().split() + [b""]), 5), held(d)) for d, t, *_ in rows)
+    want = []
+    for d, t, *_ in rows:
+        w = (t or "").encode().lower().split() + [b""]
+        want.append((d is None, d or 0, len(w), sum(c[x] > 0 for x in w), round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 5), held(d)))
     got = lm_score.score_documents(docs).collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, round(r["base_score"], 5), r["held_out"]) for r in got) == want
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 5), r["held_out"]) for r in got) == sorted(want)
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
     assert lm_score.score_documents(empty).count() == 0
 
 
+def test_the_tier_is_filled_by_count_and_then_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "TIER", 5)
+    counts = spark.createDataFrame([(bytes([65 + i]), 9 if i < 3 else 2) for i in range(20)], "word binary, c long")
+    vocab = lm_score.vocabulary(counts)
+    assert len(vocab.counts) == 5 and sorted(vocab.counts.values()) == [2, 2, 9, 9, 9] and vocab.counts == lm_score.vocabulary(counts.repartition(7)).counts
+
+
+def test_scores_beat_the_base_and_ignore_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_WORDS", 20_000)
+    monkeypatch.setattr(lm_score, "LANES", 8)
+    rnd = random.Random(3)
+    # Words follow one another: the model can learn what the counts alone cannot.
+    after = {w: [rnd.choice(EN) for _ in range(3)] for w in EN}
+    rows = []
+    for i in range(900):
+        own = [rnd.choice(EN)]
+        for _ in range(rnd.randint(40, 80)):
+            own.append(rnd.choice(after[own[-1]]))
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = ({r["doc_id"]: r for r in lm_score.score_documents(docs.repartition(n)).collect()} for n in (3, 8))
+    assert max(abs(a[k]["score"] - b[k]["score"]) for k in a) < 1e-3
+    held = [r for r in a.values() if r["held_out"]]
+    n = sum(r["n_tokens"] for r in held)
+    assert len(held) > 100 and sum(r["score"] - r["base_score"] for r in held) / n > 0.2
+
+
 def test_rates_meet_targets(spark, docs, empty):
     rnd = random.Random(2)
     rows = [(i, prose(rnd, EN, 60) if i % 4 else prose(rnd, DE, 60)) for i in range(400)] + [(900, None), (None, "x y z"), (3, prose(rnd, EN, 20))]
@@ -302,11 +472,44 @@ def test_rates_meet_targets(spark, docs, empty):
     r = got.sort_values(["doc_id", "n_tokens"]).reset_index(drop=True).rate
     shares = np.array([(r * p.n * p[d]).sum() for d in model.domains])
     assert np.abs(shares / shares.sum() - 0.5).max() < 0.02
+    assert got.converged.all() and got.gap.max() <= mixing.CLOSE
     left = mixing.mixed(own, domains, {"en": 0.5, "de": 0.5})
     assert left.columns == own.columns and 0 < left.count() < len(rows)
     assert mixing.mix(empty, domains).count() == 0 and mixing.mix(own, domains.limit(0)).where("rate = 1").count() == len(rows)
 
 
+def test_rates_equal_projected_gradient_over_all_rows(spark, monkeypatch):
+    """Three domains; rounds enough for the table of rates to be written anew twice."""
+    monkeypatch.setattr(mixing, "CLOSE", 0.0)
+    monkeypatch.setattr(mixing, "STILL", 0.0)
+    monkeypatch.setattr(mixing, "ROUNDS", 9)
+    monkeypatch.setattr(mixing, "REWRITE", 4)
+    rnd = np.random.default_rng(4)
+    n = 300
+    p = rnd.dirichlet([0.4, 0.4, 0.4], n)
+    words = rnd.integers(0, 90, n)
+    members = spark.createDataFrame([(int(w), [float(x) for x in q]) for w, q in zip(words, p, strict=True)], "n_tokens long, p array<double>").repartition(4)
+    targets = {"a": 0.7, "b": 0.2, "c": 0.1}
+    for cap, shrink in ((float("inf"), False), (1.0, True)):
+        residuals, gap = mixing.fit_rates(members, list(targets), targets, cap, shrink)
+        r, all_words, want = np.ones(n), words.sum(), np.array([0.7, 0.2, 0.1])
+        share = (words[:, None] * p).sum(0) / all_words
+        goal = want * all_words * (min(1.0, (share / want).min()) if shrink else 1.0)
+        for _ in range(9):
+            e = ((r * words) @ p - goal) / (share * all_words)
+            r = np.clip(r - (p @ e + mixing.DAMP * (r - 1)), 0.0, cap)
+        assert np.abs(mixing.rates(p, residuals, cap) - r).max() < 1e-9
+        assert abs(gap - (np.abs((r * words) @ p - goal) / goal).max()) < 1e-9
+
+
+def test_labels_of_a_repeated_document_stay_bounded(spark):
+    docs = spark.range(30_000).selectExpr("5L AS doc_id", "concat('hot text ', id) AS text").unionByName(spark.createDataFrame([(6, "cold text")], "doc_id long, text string")).repartition(4)
+    domains = spark.createDataFrame([(5, "a"), (5, "b"), (6, "b")], "doc_id long, domain string")
+    assert mixing.mix(docs, domains, {"a": 0.5, "b": 0.5}).count() == 30_001
+    own = docs.join(domains.groupBy("doc_id").agg(F.min("domain").alias("domain")), "doc_id")
+    assert own.count() == 30_001 and mixing.learn(docs, domains).domains == ["a", "b"]
+
+
 def test_quality_sql(spark, tmp_path):
     from tidemark.llm.quality_sql import SQL
 

@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+import numpy as np
 
 from tidemark.llm import pii, secrets
 
@@ -35,6 +38,57 @@ def test_long_runs_stay_linear():
         secrets.all_spans(t + "=")
 
 
+def test_odd_digits_are_no_octets():
+    for t in ("0" * 5000 + "1.2.3.4", "1.2.3.\u00b2", "9" * 6000 + ".1.1.1", "1.2.3." + "0" * 6000):
+        base, _ = pii.tag([t], pii.fit([]))[0]
+        assert [s for s in base if s[1] == 1] == ([] if t[0] == "9" or "\u00b2" in t else [(0, 1, len(t))])
+
+
+def test_features_see_whole_tokens():
+    card = "4465758382889437"
+    long = "x" * 300 + card
+    assert pii.features(long, [card]) == pii.features(long[:16] + card, [card])
+    # Its own digits and its neighbours', those behind its 64th character too, make a card number.
+    assert 13 + 10 in pii.lattice("a" * 70 + card)[1][0] and 13 + 10 in pii.lattice("a" * 70 + card[:8] + " " + card[8:])[1][1]
+
+
+def test_similar_tokens_are_linked():
+    text = "first ab12345678 then some words ab12345679 and ab1234567 but zz99999999 at ab12345678"
+    at, _, _, skip = pii.lattice(text)
+    words = [text[s:e] for s, e in at]
+    assert {(words[a], words[b]) for a, b in skip} == {("ab12345678", "ab12345679"), ("ab12345679", "ab1234567"), ("ab12345678", "ab12345678")}
+    for a, b, want in (("abc", "abc", True), ("abcd", "abxd", True), ("abcd", "acd", True), ("abcd", "abcde", True), ("abcd", "badc", False), ("ab", "abcd", False)):
+        assert pii.one_apart(a, b) == pii.one_apart(b, a) == want
+
+
+def test_a_document_does_not_depend_on_its_neighbours():
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["a1", "user7@host1", "(555)", "555-1234", "12", "9.9.9.9", "word", "4465.7583.8288.9437"]) for _ in range(rnd.randint(1, 80))) for _ in range(60)]
+    model = {"unary": np.random.default_rng(1).normal(size=(pii.N_FEATURES, 5)), "chain": np.eye(5), "skip": np.eye(5) * 2}
+    assert [pii.tag([t], model)[0] for t in texts] == pii.tag(texts, model)
+
+
+def test_the_field_adds_spans_in_forms_that_the_patterns_miss(spark):
+    rnd = random.Random(11)
+
+    def sentence():
+        kinds = (f"mail user{rnd.randrange(99)}@host{rnd.randrange(9)}.example.org", f"from 10.{rnd.randrange(255)}.{rnd.randrange(255)}.7", "card 4465758382889437", f"call +1 ({rnd.randrange(200, 999)}) 555-{rnd.randrange(1000, 9999)}")
+        return "some words and " + rnd.choice(kinds) + " then more of them " + pii.plain_numbers(rnd.randrange(10**6))
+
+    model = pii.learn(spark.createDataFrame([(i, sentence()) for i in range(300)], "doc_id long, text string"))
+    right = wrong = missed = 0
+    for _ in range(200):
+        t = sentence()
+        changed, spans = pii.altered(t, pii.base_spans(t))
+        base, more = pii.tag([changed], model)[0]
+        left = [s for s in spans if not any(s[0] < b[2] and b[0] < s[2] for b in base)]
+        hit = [s for s in left if any(q[1] == s[1] and q[0] < s[2] and s[0] < q[2] for q in more)]
+        right, missed = right + len(hit), missed + len(left) - len(hit)
+        wrong += sum(not any(q[0] < s[2] and s[0] < q[2] for s in spans) for q in more)
+    assert right > 100 and right / (right + missed) > 0.9 and right / (right + wrong) > 0.9
+    assert sum(len(m) for _, m in pii.tag([pii.plain_numbers(i) for i in range(1000, 1300)], model)) < 12
+
+
 def docs_of(spark):
     rows = [(1, "mail a.b@c.example.com now, later A.B@C.EXAMPLE.COM! and a.b@c.example.com", "x"), (2, None, "x"), (3, "", "y"), (4, "clean words only", None), (4, "clean words only", None), (5, "call +1 (743) 555-3824, ip 10.0.0.1. card 4465758382889437", "z"), (None, "w " * 100_000 + "9.9.9.9", "z")]
     rows += [(100 + i, f"text {i} user{i}@host{i % 7}.example.org and 10.{i}.3.4 then +1 (555) 555-{1000 + i} ok {i}", "q") for i in range(100)]
@@ -130,6 +184,40 @@ def test_secrets_query(spark):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_constants_and_keys_of_any_length():
+    secret = "aB3x" * 1100
+    for text, want in (
+        (f'part = "{secret}"\ndb_passphrase = part', secret),
+        (f'"{"p" * 300}_credential": "Zx81kQpLm23"', "Zx81kQpLm23"),
+    ):
+        base, more = secrets.all_spans(text)
+        assert [text[s:e] for s, _, e in more] == [want]
+    doubled = 'k = "aB3$"\n' + "k = k + k\n" * 3000 + "db_passphrase = k"
+    assert len(secrets.all_spans(doubled)[1]) == 1
+
+
+def test_lexing_stays_linear():
+    for make in (lambda n: 'x = \\"' + '\\"' * n, lambda n: "k='" + "a'" * n, lambda n: "x=" + "'\\\"" * n, lambda n: "--a b " * n, lambda n: '("' * n, lambda n: "a = b + " * n):
+        began = time.process_time()
+        secrets.all_spans(make(20_000))
+        assert time.process_time() - began < 2
+
+
+def test_planted_literals_are_found():
+    rnd = random.Random(8)
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    forms = ('{n} = "{v}"', "{n}: '{v}'", '"{n}": "{v}",', "export {n}={v}", '{n} := "{v}"', 'conf.set_{n}("{v}")', "run --{n} {v} now", 'k = "{v}"\n{n} = k', '{n} = "{a}" + "{b}"')
+    found = total = 0
+    for _ in range(300):
+        name, v = rnd.choice(["db_credential", "signing_passphrase", "authBearer", "userPwd", "client_credentials"]), "".join(rnd.choice(letters) for _ in range(14))
+        text = "some prose, then it ends\n" + rnd.choice(forms).format(n=name, v=v, a=v[:7], b=v[7:]) + "\nand more prose"
+        spans = secrets.all_spans(text)
+        total += 1
+        found += any(v[:7] in text[s:e] for s, _, e in spans[0] + spans[1])
+    plain = "colour = 'blue'; size: 12; name = \"Some Body\"; path = /usr/local/bin; password = changeme"
+    assert found / total > 0.95 and not secrets.all_spans(plain)[1]
+
+
 def test_options_bind_their_values():
     text = "run --password S3cr3tPass9 --verbose --api-token 'tK9xQ2mW7z' in\nuse --password to log in -- or --secret"
     assert [x[:2] for x in secrets.pairs(text)][:2] == [("password", "S3cr3tPass9"), ("api-token", "tK9xQ2mW7z")]
