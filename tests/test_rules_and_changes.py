@@ -15,6 +15,12 @@ def test_rule_choice_and_gaps(spark):
     assert rules.derive_severity(spark.createDataFrame(rows[:1], "subject string, technical string, criticality string, breadth string"), "subject", tied).first()["rule_state"] == "tied_rules"
 
 
+def test_equal_subjects_stay_two(spark):
+    rows = [("a", "CONFIRMED", "EXPLICIT", "BROAD")] * 2
+    got = rules.derive_severity(spark.createDataFrame(rows, "subject string, technical string, criticality string, breadth string"), "subject").collect()
+    assert [(r["severity"], r["rule_state"]) for r in got] == [("CRITICAL", "matched")] * 2
+
+
 @pytest.mark.parametrize(("facts", "want"), [((10, 10, 10), "WIDESPREAD"), ((2, 0, 1), "BROAD"), ((1, 3, 3), "BROAD"), ((1, 0, 1), "LIMITED"), ((0, 0, 0), "LOCAL"), ((5, 5, 0), "LOCAL")])
 def test_breadth(spark, facts, want):
     df = spark.createDataFrame([("s", *facts)], "subject string, supporting_datasets int, consumer_assets int, context_assets int")

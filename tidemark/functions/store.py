@@ -9,17 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or one of our own where it is unset."""
+    """spark.checkpoint.dir; one of our own only in local mode, where it may be unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written to the shared folder and read back; a lost executor loses nothing."""
+def written(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back, and its path, for ``drop`` when no plan reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written to the shared folder and read back; a lost executor loses nothing."""
+    return written(df, name)[0]
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete written tables that no plan reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

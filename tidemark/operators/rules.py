@@ -55,9 +55,10 @@ def admits(allowed: str, value: Column) -> Column:
 def choose(subjects: DataFrame, rules: DataFrame, matches: Column, key: str, result: list[str]) -> DataFrame:
     """Subjects with the columns of their matching rule of least precedence; ``no_matching_rule`` or ``tied_rules`` in rule_state where there
     is none or two.  Rules are a constant table, so they go by broadcast."""
-    own = subjects.columns
-    found = subjects.join(F.broadcast(rules), matches, "left")
-    best = found.groupBy(*own).agg(F.min("precedence").alias("rule"), F.min(F.struct("precedence", *result)).alias("_m"), F.sort_array(F.collect_list("precedence")).alias("_all"))
+    own, row = subjects.columns, "_row"
+    # Rows are numbered, so that two subjects alike in every column stay two.
+    found = subjects.withColumn(row, F.monotonically_increasing_id()).join(F.broadcast(rules), matches, "left")
+    best = found.groupBy(row, *own).agg(F.min("precedence").alias("rule"), F.min(F.struct("precedence", *result)).alias("_m"), F.sort_array(F.collect_list("precedence")).alias("_all"))
     tied = (F.size("_all") > 1) & (F.get("_all", F.lit(0)) == F.get("_all", F.lit(1)))
     state = F.when(F.col("rule").isNull(), "no_matching_rule").when(tied, "tied_rules").otherwise("matched")
     return best.select(*own, "rule", *[F.col(f"_m.{r}").alias(r) for r in result], state.alias("rule_state"))

@@ -23,8 +23,22 @@ EDGES = """edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lea
 ROOT = "root AS (SELECT min(src) AS node FROM edges)"
 DEPTHS = """walk(node, depth) AS (SELECT node, 0 FROM root UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 12),
 depths AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"""
-PATHS = """paths(target, nodes, hops) AS (SELECT node, [node], 0 FROM root UNION ALL SELECT e.dst, list_append(p.nodes, e.dst), p.hops + 1 FROM paths p JOIN up e ON e.src = p.target WHERE p.hops < 3 AND NOT list_contains(p.nodes, e.dst))"""
-UP = "up AS (SELECT src, dst FROM edges WHERE src < dst)"
+PATHS = """paths(target, nodes, hops) AS (SELECT node, [node], 0 FROM root UNION ALL SELECT e.dst, list_append(p.nodes, e.dst), p.hops + 1 FROM paths p JOIN edges e ON e.src = p.target WHERE p.hops < 3 AND NOT list_contains(p.nodes, e.dst))"""
+
+
+def _best(may_lead: str = "true", levels: int = 8) -> str:
+    """The shortest, then smallest path to each node, a level at a time."""
+    parts = ["b0 AS (SELECT node, [node] AS path FROM root)", "s0 AS (SELECT node FROM root)"]
+    for k in range(1, levels + 1):
+        parts.append(f"b{k} AS (SELECT e.dst AS node, min(list_append(b.path, e.dst)) AS path FROM b{k - 1} b JOIN edges e ON e.src = b.node WHERE ({may_lead if k > 1 else 'true'}) AND e.dst NOT IN (SELECT node FROM s{k - 1}) GROUP BY e.dst)")
+        parts.append(f"s{k} AS (SELECT node FROM s{k - 1} UNION ALL SELECT node FROM b{k})")
+    parts.append("best AS (" + " UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(levels + 1)) + ")")
+    return ", ".join(parts)
+
+
+LISTED = PATHS + """, after_ AS (SELECT DISTINCT e.dst AS node FROM paths p JOIN edges e ON e.src = p.target WHERE p.hops = 3 AND NOT list_contains(p.nodes, e.dst)),
+closure_(node) AS (SELECT node FROM after_ UNION SELECT e.dst FROM closure_ c JOIN edges e ON e.src = c.node), cut AS (SELECT node FROM closure_ WHERE node NOT IN (SELECT node FROM root)), """ + _best() + """,
+listed AS (SELECT target, nodes, hops FROM paths WHERE hops > 0 UNION ALL SELECT node, path, len(path) - 1 FROM best WHERE len(path) > 4)"""
 GROUPS = """sides AS (SELECT l_orderkey AS g, list_sort(list(DISTINCT l_partkey) FILTER (WHERE l_linenumber % 2 = 1)) AS u, list_sort(list(DISTINCT l_partkey) FILTER (WHERE l_linenumber % 2 = 0)) AS d FROM lineitem GROUP BY 1),
 groups AS (SELECT g, coalesce(u, []) AS u, coalesce(d, []) AS d,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'identity' WHEN '2-HIGH' THEN 'copy_column' WHEN '3-MEDIUM' THEN 'sum' WHEN '4-NOT SPECIFIED' THEN '' WHEN '5-LOW' THEN 'cast' END AS op,
@@ -171,8 +185,8 @@ def e11_reachable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").groupBy("src").agg(F.count("*").alias("n_edges"), F.sum(F.when(F.col("db") <= F.col("da"), 1).otherwise(0)).alias("n_back"))
 
 
-@query(f"""WITH RECURSIVE {EDGES}, {ROOT}, {UP}, {PATHS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY nodes) AS r, count(*) OVER (PARTITION BY target) AS c FROM paths WHERE hops > 0)
-SELECT target, array_to_string(nodes, ',') AS nodes, hops, c AS path_count, c > 128 AS paths_truncated FROM ranked WHERE r <= 128""")
+@query(f"""WITH RECURSIVE {EDGES}, {ROOT}, {LISTED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY nodes) AS r, count(*) OVER (PARTITION BY target) AS c FROM listed)
+SELECT target, array_to_string(nodes, ',') AS nodes, hops, c AS path_count, c > 128 OR target IN (SELECT node FROM cut) AS paths_truncated FROM ranked WHERE r <= 128""")
 def e07_capped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simple paths of up to three hops, at most 128 for each target, in order of their nodes; targets beyond have their shortest path, and
     the mark is also set where longer paths may lead to a target."""
@@ -182,8 +196,8 @@ def e07_capped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("target", _joined("nodes").alias("nodes"), "hops", "path_count", "paths_truncated")
 
 
-@query(f"""WITH RECURSIVE {EDGES}, {ROOT}, {UP}, {PATHS}
-SELECT target, min(hops) AS depth, count(*) AS path_count, count(DISTINCT nodes[len(nodes) - 1]) AS incoming, CASE WHEN count(*) > 1 THEN 'multipath' WHEN min(hops) = 1 THEN 'direct' ELSE 'transitive' END AS exposure FROM paths WHERE hops > 0 GROUP BY target""")
+@query(f"""WITH RECURSIVE {EDGES}, {ROOT}, {LISTED}
+SELECT target, min(hops) AS depth, count(*) AS path_count, count(DISTINCT nodes[len(nodes) - 1]) AS incoming, CASE WHEN count(*) > 1 THEN 'multipath' WHEN min(hops) = 1 THEN 'direct' ELSE 'transitive' END AS exposure, target IN (SELECT node FROM cut) AS paths_truncated FROM listed GROUP BY target""")
 def e19_path_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reachable target with its depth, and the path count, incoming fields and exposure state of its paths of up to three hops (of the
     shortest path beyond); paths_truncated where longer paths may lead to it."""
@@ -224,10 +238,8 @@ def e15_dataset_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dataset_index(reg.fields(spark, sf_dir)).select("dataset_urn", F.array_join("field_paths", ",").alias("field_paths"), "n_fields")
 
 
-@query(f"""WITH RECURSIVE {EDGES}, {ROOT}, opened AS (SELECT p_partkey AS node FROM part WHERE p_type <> 'PROMO'),
-w(node, path) AS (SELECT node, [node] FROM root UNION ALL SELECT e.dst, list_append(w.path, e.dst) FROM w JOIN edges e ON e.src = w.node WHERE len(w.path) < 4 AND (len(w.path) = 1 OR w.node IN (SELECT node FROM opened))),
-s AS (SELECT node, min(len(path)) AS n FROM w GROUP BY node)
-SELECT w.node, array_to_string(min(path), ',') AS path FROM w JOIN s ON s.node = w.node AND len(path) = n GROUP BY w.node""")
+@query(f"""WITH {EDGES}, {ROOT}, opened AS (SELECT p_partkey AS node FROM part WHERE p_type <> 'PROMO'), {_best("b.node IN (SELECT node FROM opened)")}
+SELECT node, array_to_string(path, ',') AS path FROM best""")
 def e16_best_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shortest, then smallest path to each field; PROMO parts lead no further."""
     edges, root = _graph(spark, sf_dir)
@@ -243,7 +255,7 @@ def e17_projected_graph_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.graph_diff(edges, graph.rebase(edges, ["src", "dst"], 7, -7)).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {EDGES}, {GROUPS}, amb AS (SELECT DISTINCT src, unnest(d) AS dst FROM (SELECT d, unnest(u) AS src FROM stated WHERE state = 'AMBIGUOUS' AND len(u) + len(d) = 4)),
+@query(f"""WITH {EDGES}, {GROUPS}, amb AS (SELECT DISTINCT src, unnest(d) AS dst FROM (SELECT d, unnest(u) AS src FROM stated WHERE state = 'AMBIGUOUS')),
 l AS (SELECT src, dst, 0 AS r FROM edges UNION ALL SELECT dst, src, 1 FROM edges WHERE src > dst UNION ALL SELECT src, dst, 2 FROM amb), m AS (SELECT src, dst, min(r) AS r FROM l GROUP BY 1, 2)
 SELECT CASE r WHEN 0 THEN 'OBSERVED' WHEN 1 THEN 'COUNTERFACTUAL' ELSE 'UNRESOLVED' END AS state, count(*) AS n FROM m GROUP BY 1""")
 def e13_composite_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,7 +367,7 @@ def f23_unique_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- rules --------------------------------------------------------------------------------------------------------------------------------
 
-_SUBJECTS = """subjects AS (SELECT l_suppkey AS subject, count(DISTINCT p_brand) AS supporting_datasets, count(DISTINCT l_orderkey) AS consumer_assets, count(DISTINCT l_partkey) AS context_assets, min(l_returnflag) AS flag, max(l_linestatus) AS status FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45 GROUP BY 1)"""
+_SUBJECTS = """subjects AS (SELECT l_suppkey AS subject, count(DISTINCT p_brand) AS supporting_datasets, count(DISTINCT l_orderkey) AS consumer_assets, count(DISTINCT l_partkey) AS context_assets, min(l_returnflag) AS flag, max(l_linestatus) AS status FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)"""
 _FACTS = """facts AS (SELECT *, CASE WHEN subject % 4 = 0 THEN 'CONFIRMED' WHEN subject % 4 = 1 THEN 'UNRESOLVED' WHEN subject % 4 = 2 THEN 'POTENTIAL' ELSE 'NO_DEMONSTRATED' END AS technical, CASE WHEN subject % 5 = 0 THEN 'EXPLICIT' WHEN subject % 5 = 1 THEN 'UNKNOWN' WHEN subject % 5 = 2 THEN 'ELEVATED' ELSE 'STANDARD' END AS criticality,
 CASE WHEN supporting_datasets >= 10 AND consumer_assets >= 10 AND context_assets >= 10 THEN 'WIDESPREAD' WHEN supporting_datasets >= 2 AND context_assets >= 1 THEN 'BROAD' WHEN supporting_datasets >= 1 AND consumer_assets >= 3 AND context_assets >= 3 THEN 'BROAD' WHEN supporting_datasets >= 1 AND context_assets >= 1 THEN 'LIMITED' ELSE 'LOCAL' END AS breadth FROM subjects),
 graded AS (SELECT *, CASE WHEN technical = 'NO_DEMONSTRATED' THEN 'UNDETERMINED' WHEN technical = 'CONFIRMED' THEN CASE criticality WHEN 'EXPLICIT' THEN CASE WHEN breadth IN ('BROAD', 'WIDESPREAD') THEN 'CRITICAL' ELSE 'HIGH' END WHEN 'ELEVATED' THEN 'HIGH' ELSE 'MODERATE' END
@@ -404,7 +416,7 @@ def j08_all(spark, sf_dir):
     return rules.derive_severity(rules.derive_breadth(_facts(spark, sf_dir), "subject").drop("rule", "rule_state"), "subject")
 
 
-@query("""WITH d AS (SELECT l_partkey AS node, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_quantity = 50 GROUP BY 1), c AS (SELECT p_partkey AS node, ['FIELD_RENAME', 'FIELD_DELETE', 'FIELD_TYPE_CHANGE'][p_partkey % 3 + 1] AS operation, coalesce(n, 0) AS dependants, ['SMALLINT', 'INTEGER', 'REAL', 'TEXT'][p_partkey % 4 + 1] AS native, ['INTEGER', 'BIGINT', 'DOUBLE PRECISION'][p_partkey % 5 % 3 + 1] AS proposed FROM part LEFT JOIN d ON node = p_partkey),
+@query("""WITH d AS (SELECT l_partkey AS node, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1), c AS (SELECT p_partkey AS node, ['FIELD_RENAME', 'FIELD_DELETE', 'FIELD_TYPE_CHANGE'][p_partkey % 3 + 1] AS operation, coalesce(n, 0) AS dependants, ['SMALLINT', 'INTEGER', 'REAL', 'TEXT'][p_partkey % 4 + 1] AS native, ['INTEGER', 'BIGINT', 'DOUBLE PRECISION'][p_partkey % 5 % 3 + 1] AS proposed FROM part LEFT JOIN d ON node = p_partkey),
 s AS (SELECT *, CASE WHEN dependants = 0 THEN 'COMPATIBLE' WHEN operation = 'FIELD_RENAME' THEN 'UNKNOWN' WHEN operation = 'FIELD_DELETE' THEN 'INCOMPATIBLE' WHEN native <> 'TEXT' AND (native, proposed) IN (('SMALLINT', 'INTEGER'), ('INTEGER', 'BIGINT'), ('REAL', 'DOUBLE PRECISION'), ('FLOAT', 'DOUBLE PRECISION')) THEN 'CONDITIONAL' ELSE 'UNKNOWN' END AS compatibility FROM c)
 SELECT node, operation, compatibility, CASE compatibility WHEN 'INCOMPATIBLE' THEN 'CONFIRMED' WHEN 'CONDITIONAL' THEN 'POTENTIAL' WHEN 'UNKNOWN' THEN 'UNRESOLVED' ELSE 'NO_DEMONSTRATED' END AS technical,
 CASE WHEN compatibility = 'COMPATIBLE' THEN 'LOW' WHEN compatibility = 'INCOMPATIBLE' THEN 'HIGH' WHEN dependants > 2 THEN 'HIGH' ELSE 'MODERATE' END AS severity FROM s""")
@@ -506,8 +518,8 @@ def c21_file_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy(files.classify(F.col("path"), F.col("content")).alias("category")).agg(F.count("*").alias("n"))
 
 
-_CLAIMS = """claims AS (SELECT DISTINCT l_partkey AS current, 'v' || (l_suppkey % 2) AS future, 'file_' || l_suppkey AS file FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49),
-refs AS (SELECT DISTINCT 'file_' || l_suppkey AS file, l_partkey::VARCHAR AS value FROM lineitem WHERE l_quantity < 2 UNION SELECT DISTINCT 'doc_' || n_nationkey, 'v' || (n_nationkey % 3) FROM nation),
+_CLAIMS = """claims AS (SELECT DISTINCT l_partkey AS current, 'v' || (l_suppkey % 2) AS future, 'file_' || l_suppkey AS file FROM lineitem WHERE l_returnflag = 'R'),
+refs AS (SELECT DISTINCT 'file_' || l_suppkey AS file, l_partkey::VARCHAR AS value FROM lineitem UNION SELECT DISTINCT 'doc_' || n_nationkey, 'v' || (n_nationkey % 3) FROM nation),
 groups AS (SELECT current, list_sort(list(DISTINCT future)) AS futures, list_sort(list(DISTINCT file)) AS files FROM claims GROUP BY 1),
 states AS (SELECT c.current, r.file, 'STALE' AS state FROM refs r JOIN claims c ON r.value = c.current::VARCHAR AND r.file <> c.file UNION SELECT c.current, r.file, 'ADAPTED' FROM refs r JOIN claims c ON r.value = c.future AND r.file <> c.file),
 counts AS (SELECT current, count(*) FILTER (WHERE state = 'STALE') AS n_stale, count(*) FILTER (WHERE state = 'ADAPTED') AS n_adapted FROM states GROUP BY 1),
@@ -546,12 +558,12 @@ def j15_change_request_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.overall_coherence(g).withColumn("decision", rules.change_request_decision(F.col("n_groups"), F.col("n_conflicts")))
 
 
-@query("""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 10), t AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_tax > 0.05),
+@query("""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linestatus = 'O'), t AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_tax > 0.05),
 u AS (SELECT coalesce(a.k, b.k) AS k, a.k AS x, b.k AS y FROM a FULL JOIN b ON a.k = b.k) SELECT CASE WHEN x IS NULL THEN 'NEW' WHEN y IS NULL THEN 'CLOSED' WHEN t.k IS NOT NULL THEN 'STILL_OPEN' ELSE 'UNCHANGED' END AS state, count(*) AS n FROM u LEFT JOIN t ON t.k = u.k GROUP BY 1""")
 def h04_closed_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roots before and after a repair."""
     lines = reg.table(spark, sf_dir, "lineitem").withColumn("root_id", F.col("l_partkey"))
-    parts = [lines.where(c).select("root_id") for c in ("l_returnflag = 'A'", "l_linestatus = 'O' and l_quantity > 10", "l_tax > 0.05")]
+    parts = [lines.where(c).select("root_id") for c in ("l_returnflag = 'A'", "l_linestatus = 'O'", "l_tax > 0.05")]
     return changes.closed_roots(*parts).groupBy("state").agg(F.count("*").alias("n"))
 
 
@@ -574,6 +586,11 @@ MODELS = [
     ("removed", "SELECT a, b FROM t", "SELECT a FROM t", [("OUTPUT_REMOVE", "b", "removed")]),
     ("reordered", "SELECT a, b FROM t", "SELECT b, a FROM t", [("OUTPUT_REORDER", None, "reordered")]),
     ("grouping", "SELECT a, SUM(x) AS v FROM t GROUP BY a", "SELECT a, SUM(x) AS v FROM t GROUP BY a, b", [("AGGREGATION_CHANGE", "v", "grouping_changed")]),
+    ("cast", "SELECT CAST(a AS INT) AS v FROM t", "SELECT CAST(a AS BIGINT) AS v FROM t", [("DERIVED_EXPRESSION_CHANGE", "v", "structure_changed")]),
+    ("cte_body", "WITH c AS (SELECT a FROM t WHERE a > 1) SELECT a FROM c", "WITH c AS (SELECT a FROM t WHERE a > 2) SELECT a FROM c", [("UNCLASSIFIED_CHANGE", None, "plan")]),
+    ("subquery", "SELECT a FROM t WHERE EXISTS (SELECT 1 FROM u WHERE u.x = 1)", "SELECT a FROM t WHERE EXISTS (SELECT 1 FROM u WHERE u.x = 2)", [("FILTER_CHANGE", None, "predicate_modified,literal_changed")]),
+    ("limit", "SELECT a FROM t LIMIT 5", "SELECT a FROM t LIMIT 9", [("UNCLASSIFIED_CHANGE", None, "plan")]),
+    ("relation", "SELECT a FROM t", "SELECT a FROM u", [("UNCLASSIFIED_CHANGE", None, "relations")]),
     ("having", "SELECT a, SUM(x) AS v FROM t GROUP BY a HAVING SUM(x) > 1", "SELECT a, SUM(x) AS v FROM t GROUP BY a HAVING SUM(x) > 2", [("UNCLASSIFIED_CHANGE", None, "having")]),
 ]
 _EXPECTED = ", ".join(f"('{m}', '{k}', '{'OUTPUT' if o else 'MODEL_WIDE'}', {f"'{o}'" if o else 'NULL'}, '{c}')" for m, _, _, ds in MODELS for k, o, c in ds)
