@@ -657,3 +657,7 @@ def n07_repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def i04_table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fingerprint of a registry's rows that no ordering or partitioning changes."""
     return ids.table_fingerprint(reg.fields(spark, sf_dir))
+
+
+# The other parts of the catalogue register themselves.
+from . import propagation, requests  # noqa: E402, F401
