@@ -31,7 +31,6 @@ DECISION = [
 ]
 WIDENINGS = [("SMALLINT", "INTEGER"), ("INTEGER", "BIGINT"), ("REAL", "DOUBLE PRECISION"), ("FLOAT", "DOUBLE PRECISION")]
 EXPLICIT_CRITICALITY = [("business.criticality", "critical"), ("business.criticality", "mission_critical"), ("business.criticality", "tier_1"), ("business.importanceTier", "tier_1")]
-REPAIR_ORDER = {"SQL_MODEL": 10, "DBT_MODEL": 10, "DBT_SCHEMA": 20, "SCHEMA_CONTRACT": 20, "PIPELINE_DAG": 30, "PIPELINE_CONFIG": 30, "QUALITY_CONFIG": 40}
 IMPACT_OF = {"INCOMPATIBLE": ("CONFIRMED", "ESTABLISHED"), "CONDITIONAL": ("POTENTIAL", "CONDITIONAL"), "UNKNOWN": ("UNRESOLVED", "UNRESOLVED"), "COMPATIBLE": ("NO_DEMONSTRATED", "ESTABLISHED")}
 RANKED = {"compatibility": ["INCOMPATIBLE", "UNKNOWN", "CONDITIONAL", "COMPATIBLE"], "impact": ["CONFIRMED", "UNRESOLVED", "POTENTIAL", "NO_DEMONSTRATED"], "certainty": ["UNRESOLVED", "CONDITIONAL", "ESTABLISHED"]}
 

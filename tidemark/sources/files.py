@@ -172,3 +172,21 @@ def rename_claims(changes: list[tuple[str, str, str | None]]) -> list[tuple[str,
         model, _, column = key.partition(".")
         by.setdefault(model, {"COLUMN_REMOVED": [], "COLUMN_ADDED": []}).get(what, []).append(column)
     return sorted((m, x["COLUMN_REMOVED"][0], x["COLUMN_ADDED"][0]) for m, x in by.items() if len(x["COLUMN_REMOVED"]) == len(x["COLUMN_ADDED"]) == 1)
+
+
+def each(df: DataFrame, function, schema: str) -> DataFrame:
+    """function(*row) -> a tuple, for every row of a table of files, in Arrow batches; for what only a parser of the file's own kind can do."""
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [function(*r) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)], schema=kind)
+
+    return df.mapInArrow(run, schema)
