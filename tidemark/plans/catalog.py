@@ -611,7 +611,7 @@ def f19_snapshot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT 'edges start at fields', 'dangling', count(DISTINCT src) FROM edges WHERE src NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT 'edges end at fields', 'dangling', count(DISTINCT dst) FROM edges WHERE dst NOT IN (SELECT p_partkey FROM part)
 UNION ALL SELECT 'edges are unique', 'repeated', count(*) FROM (SELECT 1 FROM edges GROUP BY src, dst HAVING count(*) > 1) UNION ALL SELECT 'lines are unique', 'repeated', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
 UNION ALL SELECT 'orders have customers', 'dangling', count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'suppliers have known regions', 'dangling', count(DISTINCT s_nationkey) FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 0)
-UNION ALL SELECT 'names hold no secrets', 'with secrets', count(*) FROM part WHERE regexp_matches(p_name, '(?i)(password|secret|token)\s*[:=]')
+UNION ALL SELECT 'names hold no secrets', 'with secrets', count(*) FROM part WHERE regexp_matches(p_name, '(?i)(password|secret|token)\\s*[:=]')
 UNION ALL SELECT 'groups are the orders', 'different', count(*) FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) a FULL JOIN orders ON o_orderkey = k WHERE k IS NULL OR o_orderkey IS NULL)
 SELECT name, n = 0 AS passed, '0 ' || what AS expected, n::VARCHAR AS observed FROM c""")
 def o01_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
