@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -161,11 +163,25 @@ def simple(word: str) -> bool:
 _HELD: dict = {}
 
 
+def trimmed() -> None:
+    """Give memory that this Python worker no longer uses back to the system: workers idle for a while beside those that run."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def let_go() -> None:
+    """Drop the caches that this Python worker holds for another operator; operators without caches begin and end with it."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+    trimmed()
+
+
 def held(kind, *args):
-    """One ``kind(*args)`` for each Python worker, kept from task to task until the worker takes up another: a worker that serves many operators
-    in turn holds the caches of the present one alone."""
+    """One ``kind(*args)`` for each Python worker, kept from task to task until the worker takes up another operator."""
     key = (kind.__module__, kind.__qualname__, *args)
     if key not in _HELD:
-        _HELD.clear()
+        let_go()
         _HELD[key] = kind(*args)
     return _HELD[key]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, remainder, texts
+from .common import hashed_sample, let_go, remainder, texts
 
 UNKNOWN = "und"
 FIT_BLOCKS, DICTIONARY_BYTES, LANGUAGES = 200, 112_640, 512
@@ -100,10 +100,12 @@ def identify(docs: DataFrame, contents: dict[str, bytes]) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches):
+        let_go()
         own = Compressors(contents)
         for b in batches:
             found = [own.predict(x) for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([f[i] for f in found], schema.field(i + 1).type) for i in range(3)), pa.array([f[2] < MARGIN for f in found], pa.bool_())], schema=schema)
+        let_go()
 
     return texts(docs).mapInArrow(run, SCHEMA)
 
@@ -123,8 +125,10 @@ def recognised(docs: DataFrame) -> DataFrame:
     contents = dictionaries(training_rows(docs))
 
     def run(batches):
+        let_go()
         own = Compressors(contents)
         for b in batches:
             yield b.filter(pa.array([own.predict(x or "")[2] >= MARGIN for x in b.column("text").to_pylist()], pa.bool_()))
+        let_go()
 
     return docs.mapInArrow(run, docs.schema)

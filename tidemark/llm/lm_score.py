@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, remainder, texts, utf8
+from .common import kept, let_go, remainder, texts, utf8
 from .recurrent import Adam, Model, one_thread, score, train
 
 #: The end of a text; no word is empty.
@@ -138,6 +138,7 @@ def coded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
+        let_go()
         v = known.value
         row, none, end = TaskContext.get().partitionId() << 33, v.rows.n, np.array([v.end], np.uint16).tobytes()
         end_log, end_known = math.log10(v.counts.get(END, 0) + 0.5), int(END in v.counts)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, drop, hashed_sample, held, kept, texts, utf8, written
+from .common import drop, hashed_sample, kept, let_go, texts, utf8, written
 
 FIT_ROWS, BITS, STEPS, RIDGE = 3000, 14, 80, 1e-3
 ROUNDS, REWRITE, CLOSE, STILL, DAMP = 60, 12, 0.01, 1e-3, 1e-3
@@ -36,22 +36,13 @@ ROUNDS, REWRITE, CLOSE, STILL, DAMP = 60, 12, 0.01, 1e-3, 1e-3
 TARGETS = {"q1t0": 0.90, "q0t0": 0.06, "q1t1": 0.03, "q0t1": 0.01}
 
 
-class Buckets(Generations):
-    """word -> hashed feature"""
-
-    def __init__(self):
-        super().__init__(400_000)
-
-    def compute(self, word: bytes) -> int:
-        return xxhash.xxh64_intdigest(word) >> (64 - BITS)
-
-
-def features(text: bytes, buckets: Buckets) -> tuple[int, np.ndarray, np.ndarray]:
+def features(text: bytes) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of words, features that are on, their weights (root counts, of unit length)."""
     own = text.lower().split()
     if not own:
         return 0, np.empty(0, np.int64), np.empty(0, np.float32)
-    counts = np.bincount(np.fromiter(map(buckets.__getitem__, own), np.int64, len(own)), minlength=1 << BITS)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
+    counts = np.bincount((hashes >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
     at = np.flatnonzero(counts)
     w = np.sqrt(counts[at], dtype=np.float32)
     return len(own), at, w / np.sqrt((w * w).sum())
@@ -106,9 +97,8 @@ def learn(docs: DataFrame, domains: DataFrame, wanted: int = FIT_ROWS) -> Classi
     sample = hashed_sample(domains.groupBy("doc_id").agg(F.min("domain").alias("domain")), wanted, "doc_id")
 
     def run(batches):
-        buckets = held(Buckets)
         for b in batches:
-            own = [features(t, buckets) for t in utf8(b.column("text"))]
+            own = [features(t) for t in utf8(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("domain"), pa.array([a.astype("<u4").tobytes() for _, a, _ in own], pa.binary()), pa.array([w.tobytes() for _, _, w in own], pa.binary())], ["domain", "at", "w"])
 
     own = texts(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "domain", "text")).alias("m"))
@@ -124,11 +114,13 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        buckets, m = held(Buckets), known.value
+        let_go()
+        m = known.value
         for b in batches:
-            own = [features(t, buckets) for t in utf8(b.column("text"))]
+            own = [features(t) for t in utf8(b.column("text"))]
             p = [m.posterior(a, w).astype(np.float64).tolist() for _, a, w in own]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for n, _, _ in own], pa.int64()), pa.array(p, pa.list_(pa.float64()))], ["doc_id", "n_tokens", "p"])
+        let_go()
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
 
@@ -244,11 +236,12 @@ def mixed(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        buckets, m = held(Buckets), known.value
+        m = known.value
         for b in batches:
             own = [x or b"" for x in utf8(b.column("text"))]
-            p = np.array([m.posterior(*features(t, buckets)[1:]) for t in own], np.float64).reshape(len(own), -1)
+            p = np.array([m.posterior(*features(t)[1:]) for t in own], np.float64).reshape(len(own), -1)
             draw = np.array([xxhash.xxh64_intdigest(str(d).encode() if d is not None else t, seed=11) / 2.0**64 for d, t in zip(b.column("doc_id").to_pylist(), own, strict=True)])
             yield b.filter(pa.array(draw < rates(p, residuals, 1.0), pa.bool_()))
+        let_go()
 
     return docs.mapInArrow(run, docs.schema)

@@ -30,11 +30,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Generations, drop, fresh, held, kept, texts, utf8, written
+from .common import drop, fresh, kept, let_go, texts, utf8, written
 from .components import components
 
 #: Words of a shingle and least similarity in per cent, where a caller names none.
@@ -45,7 +46,6 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Pairs estimated this far below the threshold are not confirmed: over five standard errors.
 ESTIMATE_SLACK = 0.25
 CHUNK, PROBES = 512, 8
-CACHE_ENTRIES = 500_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -56,22 +56,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHashes(Generations):
-    def __init__(self):
-        super().__init__(CACHE_ENTRIES)
-
-    def compute(self, word: bytes) -> int:
-        import xxhash
-
-        return xxhash.xxh64_intdigest(word)
-
-
-def shingles(text: bytes, hashes: WordHashes, size: int) -> np.ndarray:
+def shingles(text: bytes, size: int) -> np.ndarray:
     """Distinct shingle hashes, ascending; words are split at ASCII white space after lower-casing A-Z."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = min(size, len(words))
     out = np.full(len(words) - n + 1, np.uint64(n) * _M3)
     for k in range(n):
@@ -146,16 +136,17 @@ def sketch(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("registers", pa.binary())])
 
     def run(batches):
-        hashes = held(WordHashes)
+        let_go()
         for b in batches:
             n, f1, f2, regs = [], [], [], []
             for t in utf8(b.column("text")):
-                s = shingles(t, hashes, size)
+                s = shingles(t, size)
                 n.append(len(s))
                 f1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 f2.append(int(_mix(s + _M2).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 regs.append(registers(least_draws(s)).tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *(pa.array(x, pa.int64()) for x in (n, f1, f2)), pa.array(regs, pa.binary())], schema=schema)
+        let_go()
 
     return texts(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SKETCH)
 
@@ -175,9 +166,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """id, elements: the full sets of the classes in wanted (id, doc_id, text_hash: a row that has the set)."""
 
     def run(batches):
-        hashes = held(WordHashes)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_packed(shingles(t, hashes, size)) for t in utf8(b.column("text"))], pa.binary())], ["id", "elements"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_packed(shingles(t, size)) for t in utf8(b.column("text"))], pa.binary())], ["id", "elements"])
+        let_go()
 
     own = texts(docs).withColumn("text_hash", F.xxhash64("text"))
     return own.join(wanted, ["doc_id", "text_hash"]).select("id", "text").mapInArrow(run, "id long, elements binary").dropDuplicates(["id"])
@@ -189,6 +180,7 @@ def _grouped(df: DataFrame, keys: list[str], make, schema: str, twos=None) -> Da
     that a batch holds at once.  The work is in the tasks, not in the bytes, so the number of partitions is stated."""
 
     def run(batches):
+        let_go()
         held, last = [], None
         for x in batches:
             if not x.num_rows:
@@ -212,6 +204,8 @@ def _grouped(df: DataFrame, keys: list[str], make, schema: str, twos=None) -> Da
                 last = key
         if held and (y := make(pa.Table.from_batches(held).combine_chunks())) is not None:
             yield y
+        held = None
+        let_go()
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys).sortWithinPartitions(*keys, "id").mapInArrow(run, schema)

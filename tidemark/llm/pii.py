@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, texts
+from .common import hashed_sample, let_go, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bound on the documents that the weights are learned from, and on active tokens of each.
@@ -418,6 +418,7 @@ def find_personal_data(docs: DataFrame, model: dict | None = None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
 
     def run(batches):
+        let_go()
         for b in batches:
             for i in range(0, b.num_rows, 2000):
                 part = b.slice(i, 2000)

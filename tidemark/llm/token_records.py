@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Generations, byte_level, held, kept, shared_path, simple, texts
+from .common import Generations, byte_level, held, kept, shared_path, simple, texts, trimmed
 
 END_ID = 1
 CACHE_ENTRIES = 700_000
@@ -73,10 +73,10 @@ def parse(payload: bytes) -> tuple[int | None, np.ndarray]:
 class WordIds(Generations):
     """word -> its ids as bytes; misses go to the library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
-        super().__init__(CACHE_ENTRIES)
+        super().__init__(entries)
         self.encoder = Tokenizer.from_file(path)
         self.encoder.no_padding()
         self.encoder.no_truncation()
@@ -100,7 +100,7 @@ class WordIds(Generations):
         return b"".join(map(self.__getitem__, filter(None, words)))
 
 
-def write_records(docs: DataFrame, path: str, to: str, end_id: int = END_ID) -> DataFrame:
+def write_records(docs: DataFrame, path: str, to: str, end_id: int = END_ID, cache: int = CACHE_ENTRIES) -> DataFrame:
     """Encode and write all documents under the folder ``to``; returns the manifest, a row per part in order of doc_id."""
     spark = docs.sparkSession
     dealt = texts(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
@@ -109,12 +109,13 @@ def write_records(docs: DataFrame, path: str, to: str, end_id: int = END_ID) ->
         from pyarrow import fs
         from pyspark import TaskContext
 
+        trimmed()
         words, task = None, TaskContext.get()
         name, at, n_docs, n_ids = f"part-{task.partitionId():05d}", 0, 0, 0
         place = out = index = store = None
         for b in batches:
             if b.num_rows and out is None:
-                words, (store, root) = held(WordIds, path), fs.FileSystem.from_uri(to)
+                words, (store, root) = held(WordIds, path, cache), fs.FileSystem.from_uri(to)
                 place = f"{root}/{name}"
                 store.create_dir(root, recursive=True)
                 mine = f"{place}.try{task.taskAttemptId()}"
@@ -137,6 +138,8 @@ def write_records(docs: DataFrame, path: str, to: str, end_id: int = END_ID) ->
             for kind in ("idx", "rec"):
                 store.move(f"{mine}.{kind}", f"{place}.{kind}")
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([f"{to}/{name}"]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64()), pa.array([at], pa.int64())], ["part", "path", "n_docs", "n_ids", "n_bytes"])
+        ids = own = record = x = index = None
+        trimmed()
 
     written = dealt.mapInArrow(run, "part int, path string, n_docs long, n_ids long, n_bytes long")
     return kept(written, spark, "manifest")
@@ -205,7 +208,8 @@ def read_record(path: str, offset: int) -> tuple[int | None, np.ndarray]:
         return parse(unframe(f))
 
 
-def encode_to_records(docs: DataFrame, path: str) -> DataFrame:
-    """Write all documents to the shared folder and return what the files hold, a row per document."""
+def encode_to_records(docs: DataFrame, path: str, cache: int = CACHE_ENTRIES) -> DataFrame:
+    """Write all documents to the shared folder and return what the files hold, a row per document; ``cache``: words that a worker keeps, which
+    changes its memory and time alone."""
     spark = docs.sparkSession
-    return read_records(spark, write_records(docs, path, shared_path(spark, "records")))
+    return read_records(spark, write_records(docs, path, shared_path(spark, "records"), cache=cache))
