@@ -37,3 +37,27 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """Owns the written tables of one query: all go when the block ends, but for what ``result`` wrote.
+
+    A query's last step is written by ``result``, which its caller's plan reads; what led to it is of no use any more.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        drop(self.spark, *self.paths)
+
+    def keep(self, df: DataFrame, name: str = "step") -> DataFrame:
+        df, path = written(df, name)
+        self.paths.append(path)
+        return df
+
+    def result(self, df: DataFrame, name: str = "result") -> DataFrame:
+        return written(df, name)[0]
