@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -12,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions import store
+from tidemark.functions.store import Scratch, drop, shared_dir  # noqa: F401
+
 #: ASCII white space, the separators of words: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,40 +33,18 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0).cast("long"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; one of our own only in local mode, where it may be unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, spark: SparkSession, name: str) -> tuple[DataFrame, str]:
     """df written to the shared folder and read again, and the path, for ``drop`` when nothing reads it any more."""
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    return store.written(df, name)
 
 
 def kept(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: short lineage, and safe from lost executors."""
-    return written(df, spark, name)[0]
-
-
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete written tables that no plan reads any more."""
-    for path in paths:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return store.materialize(df, name)
 
 
 def fresh(df: DataFrame, name: str) -> str:
