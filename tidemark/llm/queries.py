@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .lexical_sql import SQL as SEARCH_SQL
 from .pairs_sql import CONTAMINATED, NEAR_DUPLICATES
 from .quality_sql import SQL as QUALITY_SQL
 
@@ -78,5 +79,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_skip_chain_pii, op2_soft_mixing, op3_spaced_seed_decontamination, op4_recurrent_lm_score, op5_assignment_secrets, op6_token_records, op7_setsketch_near_dedup, op8_language_id, op9_quality_divergence, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op3_spaced_seed_decontamination": CONTAMINATED, "op7_setsketch_near_dedup": NEAR_DUPLICATES, "op9_quality_divergence": QUALITY_SQL}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op12_wavelet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .prefix_bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_skip_chain_pii, op2_soft_mixing, op3_spaced_seed_decontamination, op4_recurrent_lm_score, op5_assignment_secrets, op6_token_records, op7_setsketch_near_dedup, op8_language_id, op9_quality_divergence, op10_token_counts, op11_spelling_variants, op12_wavelet_search, op13_prefix_bpe)}
+ORACLE_SQL: dict[str, str] = {"op3_spaced_seed_decontamination": CONTAMINATED, "op7_setsketch_near_dedup": NEAR_DUPLICATES, "op9_quality_divergence": QUALITY_SQL, "op12_wavelet_search": SEARCH_SQL}
