@@ -203,6 +203,19 @@ def test_lexing_stays_linear():
         assert time.process_time() - began < 2
 
 
+def test_values_of_many_parts_and_characters_stay_linear():
+    signs = [chr(0x4E00 + i % 20_000) + chr(0x3400 + i % 6000) for i in range(50_000)]
+    joined = "k = " + " + ".join(f'"{c}"' for c in signs)
+    steps = "\n".join(f"password{i + 1} = password{i} + '{c}'" for i, c in enumerate(signs[:8_000]))
+    for text in (joined, steps, joined + "\n" + "password = k + 'a'\n" * 2000, 'k = "' + "".join(signs) + '"\n' + "token_b = k + k + 'x'\n" * 2000):
+        began = time.process_time()
+        secrets.all_spans(text)
+        assert time.process_time() - began < 2
+    whole = secrets.Literal("aB", secrets.Literal("c" * 70, "é"), "d", secrets.Literal("c" * 70, "é"))
+    assert whole.text() == "aB" + "c" * 70 + "éd" + "c" * 70 + "é" and whole.length == 145 and whole.counts["c"] == 140
+    assert whole.head == whole.text()[:64] and whole.tail == whole.text()[-64:]
+
+
 def test_planted_literals_are_found():
     rnd = random.Random(8)
     letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"

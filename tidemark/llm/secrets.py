@@ -4,7 +4,7 @@ A small lexer reads source and configuration syntax: names (with dotted and brac
 bare values, numbers, punctuation, comments.  From its tokens come name-literal pairs (``a = "x"``, ``a: x``, ``"a": "x"``,
 ``a => 'x'``, ``export A=x``, ``a("x")`` of setters, ``--a x``, XML-like ``a="x"``).  Adjacent literals and ``+`` join; a name bound
 to a literal stands for it in later assignments of the document (constants propagate along names, so ``k = "..."; db_password = k`` is
-scored); what propagates is a literal's place and its counts of characters, so a constant of any length costs the same.  A pair whose last name part is sensitive scores by that name, its literal's length, character classes and entropy;
+scored); what propagates is a literal's place and its counts of characters, so a constant of any length costs the same, and the parts of a joined value are counted once, when its pair ends: the work is linear.  A pair whose last name part is sensitive scores by that name, its literal's length, character classes and entropy;
 pairs that score ``LEAST`` or more become spans of kind ``literal`` unless a base span covers them.
 
 Null text counts as empty; texts without a binding sign have no pairs; repeated rows give repeated results; other columns
@@ -66,34 +66,51 @@ def name_weight(name: str) -> float:
     return sum(SENSITIVE[p] for p in {*parts, *both} if p in SENSITIVE)
 
 
+def _bins(text: str) -> Counter:
+    """Counts of characters: each of ASCII by itself, others in 128 bins by code point, so that no count outgrows 256 entries."""
+    return Counter(text) if text.isascii() else Counter(c if c < "\x80" else chr(128 + ord(c) % 128) for c in text)
+
+
 class Literal:
-    """The text of a literal, or of several joined: its length, counts of characters and both ends; joining costs no more than they take."""
+    """The text of a literal, or of several joined (texts, and constants that stand in them): its length, counts of characters and both ends.
+
+    It is made once for each pair, from all its parts; a constant in it costs its counts, 256 at most, whatever its length.
+    """
 
     __slots__ = ("length", "counts", "head", "tail", "parts")
     ENDS = 64
 
-    def __init__(self, text: str = "", of: tuple | None = None):
-        self.parts = of or text
-        if of:
-            a, b = of
-            self.length, self.counts = a.length + b.length, a.counts + b.counts
-            self.head = a.head if a.length >= self.ENDS else (a.head + b.head)[: self.ENDS]
-            self.tail = b.tail if b.length >= self.ENDS else (a.tail + b.tail)[-self.ENDS :]
-        else:
-            self.length, self.counts, self.head, self.tail = len(text), Counter(text), text[: self.ENDS], text[-self.ENDS :]
-
-    def __add__(self, other: Literal) -> Literal:
-        return Literal(of=(self, other))
+    def __init__(self, *parts: str | Literal):
+        self.parts = parts
+        own = "".join(x for x in parts if isinstance(x, str))
+        self.length, self.counts = len(own), _bins(own)
+        for x, times in Counter(x for x in parts if not isinstance(x, str)).items():
+            self.length += times * x.length
+            theirs = x.counts.copy() if times == 1 else Counter({c: times * n for c, n in x.counts.items()})
+            less, more = sorted((self.counts, theirs), key=len)
+            for c, n in less.items():
+                more[c] += n
+            self.counts = more
+        self.head, self.tail = self._end(parts, "head"), self._end(parts[::-1], "tail")
+
+    def _end(self, parts: tuple, which: str) -> str:
+        found, size = [], 0
+        for x in parts:
+            if size >= self.ENDS:
+                break
+            found.append(x if isinstance(x, str) else getattr(x, which))
+            size += len(found[-1])
+        return "".join(found)[: self.ENDS] if which == "head" else "".join(found[::-1])[-self.ENDS :]
 
     def text(self) -> str:
         """The whole text; as long as it is."""
-        out, todo = [], [self.parts]
+        out, todo = [], [self]
         while todo:
             x = todo.pop()
             if isinstance(x, str):
                 out.append(x)
             else:
-                todo += [x[1].parts, x[0].parts]
+                todo += x.parts[::-1]
         return "".join(out)
 
     def placeholder(self) -> bool:
@@ -160,8 +177,9 @@ def _pairs(text: str) -> list[tuple[str, Literal, int, int]]:
 
         def close(name: str, value: list | None) -> None:
             if name and value is not None:
-                out.append((name, *value))
-                known[name] = tuple(value)
+                parts, first, last = value
+                known[name] = (parts[0] if len(parts) == 1 and isinstance(parts[0], Literal) else Literal(*parts), first, last)
+                out.append((name, *known[name]))
 
         def as_name(value: list) -> str:
             return text[value[1] : value[2]]
@@ -185,20 +203,21 @@ def _pairs(text: str) -> list[tuple[str, Literal, int, int]]:
                     bound = bool(name)
                 joins = False
             elif kind == "string":
-                body = Literal(tok[1:-1])
                 if bound and value is None:
-                    value = [body, start + 1, end - 1]
+                    value = [[tok[1:-1]], start + 1, end - 1]
                 elif bound:
-                    value = [value[0] + body, value[1], end - 1]
+                    value[0].append(tok[1:-1])
+                    value[2] = end - 1
                 else:
                     name = tok[1:-1]
                 joins = False
             elif kind in ("name", "number"):
-                own = known.get(tok) or (Literal(tok), start, end)
+                own, *place = known.get(tok) or (tok, start, end)
                 if bound and value is None:
-                    value = list(own)
+                    value = [[own], *place]
                 elif bound and (joins or start == value[2]):
-                    value = [value[0] + own[0], value[1], value[2] if tok in known else end]
+                    value[0].append(own)
+                    value[2] = value[2] if tok in known else end
                 else:
                     close(name, value)
                     name, bound, value = (tok if kind == "name" else ""), False, None
@@ -208,7 +227,8 @@ def _pairs(text: str) -> list[tuple[str, Literal, int, int]]:
             elif tok == "(" and name and not bound and name_weight(name):  # a setter: set_password("x")
                 bound = True
             elif bound and value is not None and start == value[2] and tok in "/_.-@!#$%^&*~":
-                value = [value[0] + Literal(tok), value[1], end]
+                value[0].append(tok)
+                value[2] = end
                 joins = True
             elif not (tok in "()[]{}\"'" and value is None):
                 close(name, value)
