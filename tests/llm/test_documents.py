@@ -217,6 +217,12 @@ def test_a_language_of_long_texts_alone_is_learned(spark):
     assert {r["lang_pred"] for r in got.collect()} == {"de"}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"wort{i} text{i % 7} " * (2 if i else 40_000), f"l{i:03}") for i in range(530)]
+    found = language_id.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(found) == 530 and list(found)[0] == "l000" and len(found["l000"]) == language_id.DICTIONARY_BYTES
+
+
 def test_samples_keep_their_bound(spark):
     distinct = spark.range(20_000).selectExpr("IF(id % 2 = 0, NULL, id) AS doc_id", "concat('text ', id) AS text", "IF(id < 19000, 'en', 'de') AS lang")
     assert common.hashed_sample(distinct, 20, "doc_id", "text").count() == 20
@@ -292,8 +298,8 @@ def brute_contamination(docs, items):
         for item, u in items:
             b = (u or "").split()
             n, best = len(b), (0, 0)
-            if n >= 9:
-                hits = {i - j for i in range(len(a) - 8) for j in range(n - 8) for m in decontaminate.MASKS if all(a[i + k] == b[j + k] for k, bit in enumerate(m) if bit == "1")}
+            if n >= decontaminate.LEAVE_OUT:
+                hits = {i for i in range(len(a) - n + 1) if sum(x != y for x, y in zip(a[i:], b, strict=False)) < 2} if n < 9 else {i - j for i in range(len(a) - 8) for j in range(n - 8) for m in decontaminate.MASKS if all(a[i + k] == b[j + k] for k, bit in enumerate(m) if bit == "1")}
                 for shift in hits:
                     run = matched = 0
                     for j in range(max(0, -shift), min(n, len(a) - shift)):
@@ -302,7 +308,7 @@ def brute_contamination(docs, items):
                         run, matched = (0, 0) if run <= 0 else (run, matched + same)
                         if run > best[0]:
                             best = run, matched
-            elif n and ((n >= decontaminate.ALONE and any(a[i : i + n] == b for i in range(len(a) - n + 1))) or a == b):
+            elif n and any(a[i : i + n] == b for i in range(len(a) - n + 1)):
                 best = n, n
             if n and best[0] >= max(1, min(10, math.ceil(n * 0.6))):
                 out[d, item] = max(out.get((d, item), (0, 0, 0)), (*best, n))
@@ -318,7 +324,7 @@ def test_overlaps_equal_brute_force(spark, monkeypatch, words, seeds):
     vocabulary = [f"w{i}" for i in range(12)]
     text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
     docs = [(i, " ".join(text(rnd.randint(0, 60)))) for i in range(40)] + [(None, "x"), (7, "w1 w2 w3"), (8, "w1"), (9, "w1 w2")]
-    items = [(i, " ".join(text(rnd.choice([1, 2, 3, 4, 8, 9, 12, 20, 30])))) for i in range(24)] + [(100, None), (101, "w1"), (102, "w1 w2 w3"), (103, "w1 w2 w3"), (None, "w1 w2")]
+    items = [(i, " ".join(text(rnd.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 20, 30])))) for i in range(24)] + [(100, None), (101, "w1"), (102, "w1 w2 w3"), (103, "w1 w2 w3"), (None, "w1 w2")]
     for i in range(14):
         own = [w if rnd.random() > 0.15 else "z" for w in items[i][1].split()]
         docs.append((500 + i, " ".join(text(rnd.randint(0, 9)) + own + text(rnd.randint(0, 9)))))
@@ -330,15 +336,16 @@ def test_overlaps_equal_brute_force(spark, monkeypatch, words, seeds):
 def test_contamination_sql_has_short_items(spark, tmp_path):
     from tidemark.llm.pairs_sql import CONTAMINATED
 
-    docs = [(1, "so a b c d it is"), (2, "a b"), (3, "x a b y"), (4, " ".join(f"q{i}" for i in range(30)))]
-    items = [(1, "a b c d"), (2, "a b"), (3, " ".join(f"q{i}" for i in range(5, 25)))]
+    docs = [(1, "so a b c d it is"), (2, "a b"), (3, "x a b y"), (4, " ".join(f"q{i}" for i in range(30))), (5, "as e f g x i j k l it"), (6, "e f g x y j k l"), (7, "x f g h i j k l"), (8, "x b c d b a b c y")]
+    items = [(1, "a b c d"), (2, "a b"), (3, " ".join(f"q{i}" for i in range(5, 25))), (4, "e f g h i j k l")]
     con, found = duckdb.connect(), {}
     for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
         found[name] = spark.createDataFrame(rows, f"{key} long, text string")
         found[name].write.parquet(str(tmp_path / name))
         con.execute(f"create view {name} as select * from '{tmp_path}/{name}/*.parquet'")
     got = sorted(map(tuple, decontaminate.contaminated(found["documents"], found["benchmark"]).collect()))
-    assert got == sorted(con.execute(CONTAMINATED).fetchall()) == [(1, 1, 4, 4, 4), (2, 2, 2, 2, 2), (4, 3, 20, 20, 20)]
+    assert got == sorted(con.execute(CONTAMINATED).fetchall()) 
+    assert got == [(1, 1, 4, 4, 4), (1, 2, 2, 2, 2), (2, 2, 2, 2, 2), (3, 2, 2, 2, 2), (4, 3, 20, 20, 20), (5, 4, 6, 7, 8), (7, 4, 7, 7, 8), (8, 1, 3, 3, 4), (8, 2, 2, 2, 2)]
 
 
 def test_recurrent_gradients():

@@ -55,19 +55,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def hashed_sample(df: DataFrame, wanted: int, *key: str, by: str | None = None, groups: int = 512) -> DataFrame:
+def hashed_sample(df: DataFrame, wanted: int, *key: str, by: str | None = None, groups: int | None = 512) -> DataFrame:
     """At most ``wanted`` different rows (of each value of ``by``), those whose key hashes lowest: the same rows at any partitioning.
 
     The key should name all columns that tell rows apart; rows with one key count once, so neither null ids nor a repeated row can swell the
     sample.  Rows are counted first and a share of the hash range is taken; where repeats leave it short, the share grows until the sample
     is full or the table is read whole.  The sample is cut by a window over its own few rows, and written to the shared folder.  Of ``by`` the
-    ``groups`` most frequent values are taken; only their counts reach the driver (rows with
+    ``groups`` most frequent values are taken (None: every value; only their counts reach the driver; rows with
     a null there are left out).
     """
     spark = df.sparkSession
     group, h, n, k = (fresh(df, c) for c in ("_group", "_hash", "_rows", "_place"))
     own = df.withColumn(h, F.xxhash64(*[F.col(c).cast("string") for c in key])).withColumn(group, F.col(by).cast("string") if by else F.lit(""))
-    counts = {r[0]: r[1] for r in own.groupBy(group).agg(F.count("*").alias(n)).orderBy(F.desc(n), group).limit(groups).collect() if r[0] is not None}
+    counted = own.groupBy(group).agg(F.count("*").alias(n)).orderBy(F.desc(n), group)
+    counts = {r[0]: r[1] for r in (counted if groups is None else counted.limit(groups)).collect() if r[0] is not None}
     order = Window.partitionBy(group).orderBy(h)
     want, out, least = dict.fromkeys(counts, 1.3), None, wanted // 2
     while want:

@@ -7,8 +7,8 @@ item's words are held against the text's: +1 for an equal word, -1 for a differe
 overlap.  A document is contaminated by an item when that score reaches ``least_score``: ``LEAST`` words, or ``SHARE`` of a short item.
 Hits that follow another one on their diagonal word by word would find the same stretch, so only the first of such a run is verified.
 
-Items of fewer than ``SPAN`` words have no window under a mask: they are found where they stand whole (their words one after another), by one
-hash over all their words; items of fewer than ``ALONE`` words, which stand in many innocent texts, where they are all that a text holds.
+Items of fewer than ``SPAN`` words have no window under these masks.  They are met at their own length: those of ``LEAVE_OUT`` words or more under
+masks that each ignore one of their words, so that one changed word is tolerated and the same score decides; shorter ones where they stand whole.
 
 Texts never move: windows are exploded, joined and verified in the row's own task, and only verified hits are exchanged, for a
 maximum by document and item.  The benchmark's seeds go by broadcast, a few numbers each, in blocks of ``BLOCK_SEEDS`` at most, each block
@@ -31,7 +31,7 @@ from .common import fresh
 #: Weight-6 masks over 9 words.
 MASKS = ("110101011", "101110011", "111001101")
 SPAN = len(MASKS[0])
-LEAST, SHARE, ALONE = 10, 0.6, 3
+LEAST, SHARE, LEAVE_OUT = 10, 0.6, 4
 BLOCK_SEEDS, BLOCK_WORDS = 500_000, 4_000_000
 
 
@@ -142,32 +142,41 @@ def _long_hits(docs: DataFrame, keys: list[str], benchmark: DataFrame) -> DataFr
     return found
 
 
+def _short_seeds(hashes: Column, at: Column, k: int) -> Column:
+    """(mask, seed, other) of a stretch of k words: each mask leaves out the word of its number, which is ``other``; below ``LEAVE_OUT`` none is."""
+    word = lambda j: F.get(hashes, at + j)
+    if k < LEAVE_OUT:
+        return F.array(F.struct(F.lit(-1).alias("mask"), F.xxhash64(F.lit(-1), *[word(j) for j in range(k)]).alias("seed"), F.lit(0).cast("long").alias("other")))
+    return F.array(*[F.struct(F.lit(m).alias("mask"), F.xxhash64(F.lit(m), *[word(j) for j in range(k) if j != m]).alias("seed"), word(m).alias("other")) for m in range(k)])
+
+
 def _short_hits(docs: DataFrame, keys: list[str], benchmark: DataFrame) -> DataFrame | None:
-    """Items below SPAN words that stand whole in a text; None where the benchmark has none."""
+    """Items below SPAN words at their own length; None where the benchmark has none."""
     n = F.size("item")
     items = items_of(benchmark).where((n > 0) & (n < SPAN))
     lengths = sorted(r[0] for r in items.select(n).distinct().collect())
     if not lengths:
         return None
-    keyed = items.select("item_id", n.alias("item_words"), F.xxhash64("item").alias("whole"))
-    size, out = F.size("own"), None
+    out, size = None, F.size("own")
     for k in lengths:
-        places = F.when(size >= k, F.sequence(F.lit(0), size - k)) if k >= ALONE else F.when(size == k, F.array(F.lit(0)))
-        rows = docs.select(*keys, F.explode(F.array_distinct(_stretches(places, k))).alias("whole"))
-        hit = _joined(rows, keyed.where(F.col("item_words") == k)).select(*keys, "item_id", F.lit(k).alias("score"), F.lit(k).alias("matched"), "item_words")
+        keyed = items.where(n == k).select("item_id", F.explode(_short_seeds(F.col("item"), F.lit(0), k)).alias("s")).select("item_id", F.col("s.seed").alias("seed"), F.col("s.other").alias("item_other"))
+        at = docs.select(*keys, "own", F.explode(F.when(size >= k, F.sequence(F.lit(0), size - k))).alias("at"))
+        rows = at.select(*keys, F.explode(_short_seeds(F.col("own"), F.col("at"), k)).alias("s")).select(*keys, "s.mask", "s.seed", "s.other")
+        m = F.col("mask")
+        # with one word changed, the best stretch is the item without that word at an end, without two words at an end, or all of it
+        changed = F.greatest(F.lit(k - 2), m, F.lit(k - 1) - m)
+        same = F.col("other") == F.col("item_other")
+        matched = F.when(same, F.lit(k)).when(m.isin(1, k - 2), F.lit(k - 2)).otherwise(F.lit(k - 1))
+        hit = _joined(rows, keyed).select(*keys, "item_id", F.when(same, F.lit(k)).otherwise(changed).alias("score"), matched.alias("matched"), F.lit(k).alias("item_words"))
         out = hit if out is None else out.unionByName(hit)
     return out
 
 
-def _stretches(places: Column, k: int) -> Column:
-    return F.transform(places, lambda i: F.xxhash64(F.slice("own", i + 1, F.lit(k))))
-
-
 def _joined(rows: DataFrame, short: DataFrame) -> DataFrame:
     n = short.count()
     parts = max(1, -(-n // BLOCK_SEEDS))
-    cut = [short.where(F.pmod(F.col("whole"), F.lit(parts)) == i) if parts > 1 else short for i in range(parts)]
-    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(c), "whole") for c in cut])
+    cut = [short.where(F.pmod(F.col("seed"), F.lit(parts)) == i) if parts > 1 else short for i in range(parts)]
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(c), "seed") for c in cut])
 
 
 def _found(docs: DataFrame, keys: list[str], benchmark: DataFrame) -> DataFrame:

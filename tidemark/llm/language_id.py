@@ -4,8 +4,9 @@ For each language a raw-content zstandard dictionary is filled from a bounded sa
 ``BLOCK`` characters of each language, up to ``DICTIONARY_BYTES``; texts of any length are cut in blocks and every block may be
 drawn).  Every whole text is cut into blocks of ``BLOCK`` bytes, so that a text's own history does not
 drown the dictionary, and each block is compressed with each dictionary; the language whose total is smallest wins.  A relative
-margin to the next language below ``MARGIN`` is narrow: such documents are *rejected* (so are texts without a letter).  The
-``LANGUAGES`` languages with most training blocks are learned.
+margin to the next language below ``MARGIN`` is narrow: such documents are *rejected* (so are texts without a letter).  Every
+language with a training document is learned; the driver gets the blocks that fill its dictionary, no more, and workers get the dictionaries
+by broadcast.
 
 The prediction sees the text alone.  Null text or text without a letter: ``und``, score 0, rejected.  Ties go to the language
 that has more blocks in the sample, then to the first by name, and have margin 0.  No training rows at all: everything is ``und``.  One language only: margin 1.  Repeated rows
@@ -16,16 +17,16 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import hashed_sample, let_go, remainder, texts
 
 UNKNOWN = "und"
-FIT_BLOCKS, DICTIONARY_BYTES, LANGUAGES = 200, 112_640, 512
+FIT_BLOCKS, DICTIONARY_BYTES = 200, 112_640
 BLOCK, LEVEL, MARGIN = 4096, 5, 0.002
 #: Bits of difference count by so much in the score, as sizes are whole bytes and languages share much.
 TEMPER = 0.05
@@ -46,14 +47,17 @@ def has_letter(text: str) -> bool:
 def dictionaries(docs: DataFrame, wanted: int = FIT_BLOCKS) -> dict[str, bytes]:
     """language -> content, from a bounded sample of blocks of documents with a language; languages with more blocks first.
 
-    The driver gets ``wanted`` blocks of each language at most.
+    Of ``wanted`` blocks drawn of each language the driver gets those, in the order of their hashes, that hold twice the dictionary's characters
+    (cleaning takes some) and the one that exceeds it.
     """
     labelled = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null and length(text) > 0")
     blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
     pieces = labelled.select("doc_id", "lang", F.posexplode(blocks).alias("block", "piece"))
-    drawn = hashed_sample(pieces, wanted, "doc_id", "block", "piece", by="lang", groups=LANGUAGES)
-    found = drawn.select("lang", "piece", F.xxhash64("doc_id", "block", "piece")).collect()
-    sizes = Counter(r[0] for r in found)
+    drawn = hashed_sample(pieces, wanted, "doc_id", "block", "piece", by="lang", groups=None)
+    order = Window.partitionBy("lang").orderBy("hash", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    sized = drawn.select("lang", "piece", F.xxhash64("doc_id", "block", "piece").alias("hash")).withColumn("before", F.coalesce(F.sum(F.length("piece")).over(order), F.lit(0)))
+    sizes = {r[0]: r[1] for r in sized.groupBy("lang").count().collect()}
+    found = sized.where(F.col("before") < 2 * DICTIONARY_BYTES).select("lang", "piece", "hash").collect()
     out: dict[str, bytearray] = {}
     for lang, text, _ in sorted(found, key=lambda r: (r[0], r[2], r[1])):
         own = out.setdefault(lang, bytearray())
@@ -99,9 +103,11 @@ def identify(docs: DataFrame, contents: dict[str, bytes]) -> DataFrame:
     """A row per document."""
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
 
+    shared = docs.sparkSession.sparkContext.broadcast(contents)
+
     def run(batches):
         let_go()
-        own = Compressors(contents)
+        own = Compressors(shared.value)
         for b in batches:
             found = [own.predict(x) for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([f[i] for f in found], schema.field(i + 1).type) for i in range(3)), pa.array([f[2] < MARGIN for f in found], pa.bool_())], schema=schema)
@@ -124,9 +130,11 @@ def recognised(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected, with all their columns as they were."""
     contents = dictionaries(training_rows(docs))
 
+    shared = docs.sparkSession.sparkContext.broadcast(contents)
+
     def run(batches):
         let_go()
-        own = Compressors(contents)
+        own = Compressors(shared.value)
         for b in batches:
             yield b.filter(pa.array([own.predict(x or "")[2] >= MARGIN for x in b.column("text").to_pylist()], pa.bool_()))
         let_go()

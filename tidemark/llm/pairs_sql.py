@@ -1,6 +1,6 @@
 """DuckDB SQL of the near-duplicate and decontamination queries."""
 
-from .decontaminate import ALONE, LEAST, MASKS, SHARE, SPAN
+from .decontaminate import LEAST, LEAVE_OUT, MASKS, SHARE, SPAN
 
 #: Words of a shingle and least similarity in per cent of the registered query.
 CONTRACT = SHINGLE, PERCENT = 3, 85
@@ -37,8 +37,10 @@ low AS (SELECT *, least(0, min(p) OVER (PARTITION BY doc_id, item_id, shift ORDE
 started AS (SELECT *, coalesce(max(CASE WHEN p = floor THEN k END) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k), 0) AS start FROM low),
 best AS (SELECT doc_id, item_id, shift, p - floor AS score, (k - start + p - floor) // 2 AS matched, row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY p - floor DESC, k) AS r FROM started),
 lens AS (SELECT DISTINCT len(ws) AS n FROM b WHERE len(ws) BETWEEN 1 AND {SPAN - 1}),
-dw AS (SELECT DISTINCT doc_id, n, array_to_string(ws[i:i + n - 1], chr(1)) AS k FROM d, lens, unnest(range(1, len(ws) - n + 2)) AS r(i) WHERE len(ws) >= n AND (n >= {ALONE} OR len(ws) = n)),
-short AS (SELECT dw.doc_id, b.item_id, n AS score, n AS matched FROM b JOIN dw ON dw.n = len(b.ws) AND dw.k = array_to_string(b.ws, chr(1))),
+dw AS (SELECT doc_id, n, i, array_to_string(list_filter(ws[i:i + n - 1], lambda x, k: k <> m), chr(1)) AS key, m, ws FROM d, lens, unnest(range(1, len(ws) - n + 2)) AS r(i), unnest(CASE WHEN n >= {LEAVE_OUT} THEN range(1, n + 1) ELSE [0] END) AS q(m) WHERE len(ws) >= n),
+bw AS (SELECT item_id, len(ws) AS n, m, array_to_string(list_filter(ws, lambda x, k: k <> m), chr(1)) AS key, ws FROM b, unnest(CASE WHEN len(ws) >= {LEAVE_OUT} THEN range(1, len(ws) + 1) ELSE [0] END) AS q(m) WHERE len(ws) BETWEEN 1 AND {SPAN - 1}),
+hit AS (SELECT doc_id, item_id, n, m, n < {LEAVE_OUT} OR dw.ws[i + m - 1] = bw.ws[m] AS same, greatest(n - 2, m - 1, n - m) AS changed FROM dw JOIN bw USING (n, m, key)),
+short AS (SELECT doc_id, item_id, CASE WHEN same THEN n ELSE changed END AS score, CASE WHEN same THEN n WHEN m IN (2, n - 1) THEN n - 2 ELSE n - 1 END AS matched FROM hit),
 scored AS (SELECT doc_id, item_id, score, matched FROM best WHERE r = 1 UNION ALL SELECT * FROM short)
 SELECT doc_id, item_id, max(score)::BIGINT AS score, arg_max(matched, (score, matched))::BIGINT AS matched, len(ws)::BIGINT AS item_words FROM scored JOIN b USING (item_id) WHERE score >= least({LEAST}, ceil(len(ws) * {SHARE})) GROUP BY doc_id, item_id, ws
 """
