@@ -567,39 +567,38 @@ def h04_closed_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.closed_roots(*parts).groupBy("state").agg(F.count("*").alias("n"))
 
 
-#: Pairs of models and the deltas that they must give.
-MODELS = [
-    ("aggregate", "SELECT SUM(x) AS v FROM t", "SELECT AVG(x) AS v FROM t", [("AGGREGATION_CHANGE", "v", "function_changed")]),
-    ("distinct", "SELECT COUNT(x) AS v FROM t", "SELECT COUNT(DISTINCT x) AS v FROM t", [("AGGREGATION_CHANGE", "v", "distinct_changed")]),
-    ("input", "SELECT SUM(x) AS v FROM t", "SELECT SUM(y) AS v FROM t", [("AGGREGATION_CHANGE", "v", "input_changed")]),
-    ("filter_added", "SELECT a FROM t", "SELECT a FROM t WHERE a > 0", [("FILTER_CHANGE", None, "filter_added")]),
-    ("filter_literal", "SELECT a FROM t WHERE a > 0", "SELECT a FROM t WHERE a > 100", [("FILTER_CHANGE", None, "predicate_modified,literal_changed")]),
-    ("filter_operator", "SELECT a FROM t WHERE a > 0", "SELECT a FROM t WHERE a >= 0", [("FILTER_CHANGE", None, "predicate_modified,operator_changed")]),
-    ("join_type", "SELECT a.x FROM a LEFT JOIN b ON a.id = b.id", "SELECT a.x FROM a JOIN b ON a.id = b.id", [("JOIN_TYPE_CHANGE", None, "type_changed")]),
-    ("join_on", "SELECT a.x FROM a JOIN b ON a.id = b.id", "SELECT a.x FROM a JOIN b ON a.mail = b.mail", [("JOIN_PREDICATE_CHANGE", None, "predicate_changed")]),
-    ("join_to", "SELECT a.x FROM a JOIN b ON a.id = b.id", "SELECT a.x FROM a JOIN c ON a.id = c.id", [("JOINED_RELATION_CHANGE", None, "relation_changed"), ("JOIN_PREDICATE_CHANGE", None, "predicate_changed")]),
-    ("operator", "SELECT p * q AS v FROM t", "SELECT p + q AS v FROM t", [("DERIVED_EXPRESSION_CHANGE", "v", "operator_changed")]),
-    ("function", "SELECT LOWER(s) AS v FROM t", "SELECT UPPER(s) AS v FROM t", [("DERIVED_EXPRESSION_CHANGE", "v", "function_changed")]),
-    ("format_only", "SELECT  a , (b) AS c FROM t -- note", "select A, B as C\nfrom T", []),
-    ("renamed", "SELECT a AS x, b AS y FROM t", "SELECT a AS z, b AS y FROM t", [("OUTPUT_RENAME", "x", "renamed")]),
-    ("added", "SELECT a FROM t", "SELECT a, b FROM t", [("OUTPUT_ADD", "b", "added")]),
-    ("removed", "SELECT a, b FROM t", "SELECT a FROM t", [("OUTPUT_REMOVE", "b", "removed")]),
-    ("reordered", "SELECT a, b FROM t", "SELECT b, a FROM t", [("OUTPUT_REORDER", None, "reordered")]),
-    ("grouping", "SELECT a, SUM(x) AS v FROM t GROUP BY a", "SELECT a, SUM(x) AS v FROM t GROUP BY a, b", [("AGGREGATION_CHANGE", "v", "grouping_changed")]),
-    ("cast", "SELECT CAST(a AS INT) AS v FROM t", "SELECT CAST(a AS BIGINT) AS v FROM t", [("DERIVED_EXPRESSION_CHANGE", "v", "structure_changed")]),
-    ("cte_body", "WITH c AS (SELECT a FROM t WHERE a > 1) SELECT a FROM c", "WITH c AS (SELECT a FROM t WHERE a > 2) SELECT a FROM c", [("UNCLASSIFIED_CHANGE", None, "plan")]),
-    ("subquery", "SELECT a FROM t WHERE EXISTS (SELECT 1 FROM u WHERE u.x = 1)", "SELECT a FROM t WHERE EXISTS (SELECT 1 FROM u WHERE u.x = 2)", [("FILTER_CHANGE", None, "predicate_modified,literal_changed")]),
-    ("limit", "SELECT a FROM t LIMIT 5", "SELECT a FROM t LIMIT 9", [("UNCLASSIFIED_CHANGE", None, "plan")]),
-    ("relation", "SELECT a FROM t", "SELECT a FROM u", [("UNCLASSIFIED_CHANGE", None, "relations")]),
-    ("having", "SELECT a, SUM(x) AS v FROM t GROUP BY a HAVING SUM(x) > 1", "SELECT a, SUM(x) AS v FROM t GROUP BY a HAVING SUM(x) > 2", [("UNCLASSIFIED_CHANGE", None, "having")]),
-]
-_EXPECTED = ", ".join(f"('{m}', '{k}', '{'OUTPUT' if o else 'MODEL_WIDE'}', {f"'{o}'" if o else 'NULL'}, '{c}')" for m, _, _, ds in MODELS for k, o, c in ds)
-
-
-@query(f"SELECT * FROM (VALUES {_EXPECTED}) AS v(model, delta_type, scope, output, components)")
+# One model for each brand and type of parts, in two versions whose clauses differ as the group's figures say.
+_MODELS = "SELECT p_brand || ':' || p_type AS model, count(*) AS n, min(p_size) AS lo, max(p_size) AS hi FROM part GROUP BY p_brand, p_type"
+_CHANGES = f"""m AS ({_MODELS}), d AS (
+  SELECT model, 'AGGREGATION_CHANGE' AS delta_type, 'v' AS output, 'function_changed' AS components FROM m WHERE n % 2 = 1
+  UNION ALL SELECT model, 'OUTPUT_RENAME', 'kind', 'renamed' FROM m WHERE n % 3 = 0
+  UNION ALL SELECT model, 'OUTPUT_ADD', 'w', 'added' FROM m WHERE hi % 3 = 1
+  UNION ALL SELECT model, 'DERIVED_EXPRESSION_CHANGE', 'd', 'operator_changed' FROM m WHERE lo % 3 = 1
+  UNION ALL SELECT model, 'DERIVED_EXPRESSION_CHANGE', 'd', 'operator_changed,literal_changed' FROM m WHERE lo % 3 = 2
+  UNION ALL SELECT model, 'FILTER_CHANGE', NULL, 'predicate_modified,literal_changed' FROM m WHERE lo <> hi
+  UNION ALL SELECT model, 'JOIN_TYPE_CHANGE', NULL, 'type_changed' FROM m WHERE n % 5 IN (0, 1)
+  UNION ALL SELECT model, 'JOIN_PREDICATE_CHANGE', NULL, 'predicate_changed' FROM m WHERE hi % 2 = 0
+  UNION ALL SELECT model, 'UNCLASSIFIED_CHANGE', NULL, concat_ws(',', CASE WHEN n % 4 = 0 THEN 'ordering' END, CASE WHEN n % 7 < 3 THEN 'limit' END, CASE WHEN lo % 2 = 0 THEN 'ctes' END, CASE WHEN hi % 5 < 2 THEN 'relations' END) FROM m WHERE n % 4 = 0 OR n % 7 < 3 OR lo % 2 = 0 OR hi % 5 < 2)"""
+
+
+def _versions(n: int, lo: int, hi: int) -> tuple[str, str]:
+    def text(new: bool) -> str:
+        of = lambda hit, then, otherwise: then if new and hit else otherwise
+        derived = "c.size * 2" if not new or lo % 3 == 0 else "c.size + 2" if lo % 3 == 1 else "c.size - 7"
+        return (
+            f"WITH c AS (SELECT p_type, p_size AS size, id FROM part WHERE p_size < {of(lo % 2 == 0, 90, 99)}) SELECT c.p_type AS {of(n % 3 == 0, 'sort', 'kind')}, {derived} AS d, {of(n % 2, 'AVG', 'SUM')}(c.size) AS v{of(hi % 3 == 1, ', MAX(c.size) AS w', '')} "
+            f"FROM {of(hi % 5 < 2, 'archive', 'stock')} s {of(n % 5 < 2, 'JOIN', 'LEFT JOIN')} c ON s.id = c.id{of(hi % 2 == 0, ' AND s.day = 1', '')} WHERE s.size > {hi if new else lo} GROUP BY c.p_type, c.size ORDER BY {of(n % 4 == 0, 'v', 'c.p_type')} LIMIT {of(n % 7 < 3, 50, 10)}"
+        )
+
+    return text(False), text(True)
+
+
+@query(f"WITH {_CHANGES} SELECT model, delta_type, CASE WHEN output IS NULL THEN 'MODEL_WIDE' ELSE 'OUTPUT' END AS scope, output, components FROM d")
 def l01_model_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What changed between two versions of SQL models, by Catalyst's own trees."""
-    return sqlmodel.deltas_frame(spark, [m[:3] for m in MODELS])
+    """What changed between two versions of a SQL model for each brand and type of parts, by Catalyst's own trees; clauses that no delta type
+    covers are named beside the others."""
+    found = reg.table(spark, sf_dir, "part").groupBy(F.concat("p_brand", F.lit(":"), "p_type").alias("model")).agg(F.count("*").alias("n"), F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))
+    return sqlmodel.deltas_frame(spark, [(r.model, *_versions(r.n, r.lo, r.hi)) for r in found.limit(sqlmodel.MAX_MODELS).collect()])
 
 
 @query(f"""WITH {EDGES}, {GROUPS}, {LINKS} SELECT (SELECT count(*) FROM part) AS n_fields, (SELECT count(DISTINCT p_brand) FROM part) AS n_datasets, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM groups) AS n_groups, (SELECT count(*) FROM links) AS n_relationships, (SELECT count(DISTINCT target_key) FROM links) AS n_assets""")
