@@ -61,3 +61,10 @@ class Scratch:
 
     def result(self, df: DataFrame, name: str = "result") -> DataFrame:
         return written(df, name)[0]
+
+
+def filesystem(path: str):
+    """Arrow's file system for a shared path, and the path in it; for page and package files that Spark's writers don't make."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    return FileSystem.from_uri(path) if ":" in path else (LocalFileSystem(), path)

@@ -670,4 +670,4 @@ def i04_table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The other parts of the catalogue register themselves.
-from . import propagation, requests, reviews  # noqa: E402, F401
+from . import propagation, requests, reviews, scans  # noqa: E402, F401
