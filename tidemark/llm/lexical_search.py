@@ -32,7 +32,6 @@ from .common import Scratch, let_go, texts, utf8
 K, POSTINGS, ITEMS = 20, 600_000, 2048
 #: Nodes that are opened at once.
 OPENED = 64
-TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: ASCII letters and digits and all bytes of other characters stay, capitals are lowered, the rest separates.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -46,9 +45,16 @@ def terms_of(data: bytes) -> list[bytes]:
 
 def totals(docs: DataFrame) -> tuple[int, int]:
     """Documents with a term, and the terms of all."""
-    n = F.regexp_count("text", F.lit(TERMS))
-    row = texts(docs).select(n.alias("n")).where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return row[0], row[1]
+
+    def count(batches):
+        n_docs = n_terms = 0
+        for b in batches:
+            sizes = [len(terms_of(x)) for x in utf8(b.column("text"))]
+            n_docs, n_terms = n_docs + sum(map(bool, sizes)), n_terms + sum(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array([n_docs], pa.int64()), pa.array([n_terms], pa.int64())], ["docs", "terms"])
+
+    row = texts(docs).select("text").mapInArrow(count, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
+    return row[0] or 0, row[1] or 0
 
 
 def _shard(ids: list, tokens: list[bytes], sizes: list[int], n_docs: int, n_terms: int) -> list:
