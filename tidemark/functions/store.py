@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,24 @@ def drop(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class Levels:
+    """The levels of a loop as one table with a column for the level's number: plans of later levels read one scan, whatever their number, and when
+    the loop ends the table is its result."""
+
+    def __init__(self, spark: SparkSession, number: str, name: str = "levels"):
+        self.spark, self.number, self.path, self.schema = spark, number, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", None
+
+    def add(self, df: DataFrame, number: int) -> DataFrame:
+        """df written as a level and read back."""
+        path = f"{self.path}/{self.number}={number}"
+        df.write.parquet(path)
+        self.schema = self.schema or df.schema
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField(self.number, IntegerType())])).parquet(self.path)
+
+
 class Scratch:
     """Owns the written tables of one query: all go when the block ends, but for what ``result`` wrote.
 

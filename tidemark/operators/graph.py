@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.store import materialize
+from ..functions.store import Levels, materialize
 
 PATH_CAP = 128
 
@@ -15,20 +15,16 @@ PATH_CAP = 128
 def depths(edges: DataFrame, sources: DataFrame, limit: int = 1000) -> DataFrame:
     """node, depth: the fewest hops from any source, sources at 0.  Safe on cycles.
 
-    One join, anti join and write for each level; what is visited is rewritten every eighth level so that plans stay short.
+    One join, anti join and write for each level; all levels are one table.
     """
-    pairs = edges.select("src", "dst")
-    frontier = materialize(sources.select(F.col("node")).distinct(), "frontier")
-    visited = frontier.withColumn("depth", F.lit(0))
+    pairs, levels = edges.select("src", "dst"), Levels(edges.sparkSession, "depth", "depths")
+    frontier = levels.add(sources.select(F.col("node")).distinct(), 0)
     for depth in range(1, limit + 1):
-        new = frontier.join(pairs, frontier["node"] == pairs["src"]).select(F.col("dst").alias("node")).distinct().join(visited, "node", "left_anti")
-        frontier = materialize(new, "frontier")
+        new = frontier.join(pairs, frontier["node"] == pairs["src"]).select(F.col("dst").alias("node")).distinct().join(levels.all(), "node", "left_anti")
+        frontier = levels.add(new, depth)
         if frontier.isEmpty():
-            return visited
-        visited = visited.unionByName(frontier.withColumn("depth", F.lit(depth)))
-        if depth % 8 == 0:
-            visited = materialize(visited, "visited")
-    return visited
+            return levels.all()
+    raise RuntimeError(f"nodes are still found after {limit} levels; give a larger limit")
 
 
 def reachable_edges(edges: DataFrame, sources: DataFrame, limit: int = 1000) -> DataFrame:
@@ -40,13 +36,11 @@ def reachable_edges(edges: DataFrame, sources: DataFrame, limit: int = 1000) ->
 def simple_paths(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
     """origin, target, hops, nodes: all paths without a repeated node, up to max_hops; parallel edges count once."""
     pairs = edges.select("src", "dst").where("src <> dst").distinct()
-    level = sources.select(F.col("node").alias("origin"), F.col("node").alias("target"), F.array("node").alias("nodes"))
-    out = None
+    level, levels = sources.select(F.col("node").alias("origin"), F.col("node").alias("target"), F.array("node").alias("nodes")), Levels(edges.sparkSession, "hops", "paths")
     for hops in range(1, max_hops + 1):
-        level = materialize(level.join(pairs, level["target"] == pairs["src"]).where(~F.array_contains("nodes", F.col("dst"))).select("origin", F.col("dst").alias("target"), F.array_append("nodes", F.col("dst")).alias("nodes")), "paths")
-        part = level.withColumn("hops", F.lit(hops))
-        out = part if out is None else out.unionByName(part)
-    return out.select("origin", "target", "hops", "nodes")
+        step = level.join(pairs, level["target"] == pairs["src"]).where(~F.array_contains("nodes", F.col("dst")))
+        level = levels.add(step.select("origin", F.col("dst").alias("target"), F.array_append("nodes", F.col("dst")).alias("nodes")), hops)
+    return levels.all().select("origin", "target", "hops", "nodes")
 
 
 def marked_paths(edges: DataFrame, sources: DataFrame, max_hops: int) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +50,7 @@ def marked_paths(edges: DataFrame, sources: DataFrame, max_hops: int) -> tuple[D
     On a cyclic graph simple paths grow exponentially with hops, so they cannot all be listed.  The second table errs to the safe side there: it
     follows edges from the longest paths without asking whether a node repeats.
     """
-    paths = materialize(simple_paths(edges, sources, max_hops), "paths")
+    paths = simple_paths(edges, sources, max_hops)
     ends = paths.where(F.col("hops") == max_hops)
     pairs = edges.select("src", "dst").where("src <> dst")
     after = ends.join(pairs, ends["target"] == pairs["src"]).where(~F.array_contains("nodes", F.col("dst"))).select(F.col("dst").alias("node")).distinct()
@@ -124,16 +118,15 @@ def consolidate(expanded: DataFrame) -> DataFrame:
 def best_paths(edges: DataFrame, sources: DataFrame, expandable: DataFrame, max_hops: int = 1000) -> DataFrame:
     """node, path: the shortest, then smallest path to each node; only ``expandable`` nodes (and sources) lead on."""
     pairs = edges.select("src", "dst").distinct()
-    best = materialize(sources.select(F.col("node"), F.array("node").alias("path")).distinct(), "best")
-    frontier = best
-    for _ in range(max_hops):
+    levels = Levels(edges.sparkSession, "hops", "best")
+    frontier = levels.add(sources.select(F.col("node"), F.array("node").alias("path")).distinct(), 0)
+    for hops in range(1, max_hops + 1):
         step = frontier.join(pairs, frontier["node"] == pairs["src"]).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
-        new = materialize(step.groupBy("node").agg(F.min("path").alias("path")).join(best, "node", "left_anti"), "best")
+        new = levels.add(step.groupBy("node").agg(F.min("path").alias("path")).join(levels.all().select("node"), "node", "left_anti"), hops)
         if new.isEmpty():
-            break
-        best = materialize(best.unionByName(new), "best")
+            return levels.all().select("node", "path")
         frontier = new.join(expandable.select("node").distinct(), "node", "left_semi")
-    return best
+    raise RuntimeError(f"paths still grow after {max_hops} hops; give a larger max_hops")
 
 
 def dataset_index(fields: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.store import materialize
+from ..functions.store import Levels
 
 
 def enumerate_paths(edges: DataFrame, origins: DataFrame, limit: int = 64) -> DataFrame:
@@ -15,16 +15,14 @@ def enumerate_paths(edges: DataFrame, origins: DataFrame, limit: int = 64) -> Da
     A join and a written table a level; it ends by itself on a graph without cycles, and raises beyond ``limit`` hops.
     """
     level = origins.withColumn("target", F.col("node")).withColumn("nodes", F.array("node")).withColumn("relationships", F.array().cast("array<string>"))
-    keep, out = level.columns, None
+    keep, levels = level.columns, Levels(edges.sparkSession, "depth", "paths")
     hop = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("relationship_id").alias("_id"))
     for depth in range(1, limit + 1):
         step = level.join(hop, level["target"] == hop["_src"]).where(~F.array_contains("nodes", F.col("_dst")))
         step = step.withColumns({"target": F.col("_dst"), "nodes": F.array_append("nodes", F.col("_dst")), "relationships": F.array_append("relationships", F.col("_id"))}).select(*keep)
-        level = materialize(step, "paths")
+        level = levels.add(step, depth)
         if level.isEmpty():
-            return out if out is not None else level.withColumn("depth", F.lit(0))
-        part = level.withColumn("depth", F.lit(depth))
-        out = part if out is None else out.unionByName(part)
+            return levels.all()
     raise RuntimeError(f"paths of more than {limit} hops")
 
 

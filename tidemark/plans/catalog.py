@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.store import materialize
-from ..operators import certify, changes, context, graph, repair, resolve, rules, sqlmodel
+from ..operators import certify, changes, components, context, graph, repair, resolve, rules, sqlmodel
 from ..sources import files
 from ..sources import registry as reg
 from . import structural
@@ -224,13 +224,36 @@ def e04_consolidated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("src", "dst", _joined("group_ids").alias("group_ids"), F.array_join("operations", ",").alias("operations"), "classification", "conflict")
 
 
-@query(f"""WITH RECURSIVE {EDGES}, {ROOT}, p(nodes, target) AS (SELECT [node], node FROM root UNION ALL SELECT list_append(nodes, dst), dst FROM p JOIN edges ON src = target WHERE len(nodes) < 3 AND NOT list_contains(nodes, dst)),
-loops AS (SELECT nodes[list_position(nodes, dst):] AS l FROM p JOIN edges ON src = target WHERE list_contains(nodes, dst)), m AS (SELECT l, list_position(l, list_min(l)) AS k FROM loops)
-SELECT DISTINCT array_to_string(list_concat(l[k:], l[1:k - 1]), ',') AS cycle FROM m""")
+@query(f"""WITH {EDGES}, {ROOT}, {_best()}, back AS (SELECT path[list_position(path, e.dst):] AS l, e.src, e.dst FROM edges e JOIN best b ON b.node = e.src WHERE list_contains(b.path, e.dst))
+SELECT array_to_string(l, ',') AS cycle, src, dst, len(l) AS n_edges FROM back""")
 def e14_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cycles of up to three edges that start within two hops of the root."""
+    """Cycles that edges close on the shortest paths from the root, of any length."""
     edges, root = _graph(spark, sf_dir)
-    return graph.closing_cycles(edges, root, 3).select(_joined("cycle").alias("cycle"))
+    return components.closed_on_best_paths(edges, root).select(_joined("cycle").alias("cycle"), "src", "dst", F.size("cycle").cast("long").alias("n_edges"))
+
+
+_CLOSURE = """reach(a, b) AS (SELECT src, dst FROM own UNION SELECT r.a, e.dst FROM reach r JOIN own e ON e.src = r.b),
+nodes AS (SELECT src AS node FROM own UNION SELECT dst FROM own), both_ AS (SELECT x.a, x.b FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a),
+component AS (SELECT node, least(node, coalesce(min(b), node)) AS component FROM nodes LEFT JOIN both_ ON a = node GROUP BY node)"""
+
+
+@query(f"WITH RECURSIVE {EDGES}, own AS (SELECT * FROM edges), {_CLOSURE} SELECT node, component, count(*) OVER (PARTITION BY component) AS n_members FROM component")
+def e14_strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every field: fields that lead to each other, over the whole graph and without a bound on hops."""
+    found = components.strong_components(materialize(reg.lineage_edges(spark, sf_dir), "edges"))
+    return found.join(found.groupBy("component").agg(F.count("*").alias("n_members")), "component").select("node", "component", "n_members")
+
+
+@query(f"""WITH RECURSIVE {EDGES}, own AS (SELECT e.src, e.dst FROM edges e JOIN part a ON a.p_partkey = e.src JOIN part b ON b.p_partkey = e.dst WHERE a.p_brand = b.p_brand AND a.p_type = b.p_type), {_CLOSURE}
+SELECT p_brand AS dataset_urn, p_type AS native_type, count(DISTINCT component) AS n_components, count(DISTINCT CASE WHEN n > 1 THEN component END) AS n_cyclic, max(n) AS largest
+FROM (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM component) JOIN part ON p_partkey = node GROUP BY 1, 2""")
+def e14_dataset_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the graph of each dataset's fields of one type: how many, how many with a cycle, the largest."""
+    f, edges = reg.fields(spark, sf_dir).select("node", "dataset_urn", "native_type"), reg.lineage_edges(spark, sf_dir)
+    a, b = f.toDF("src", "da", "ta"), f.toDF("dst", "db", "tb")
+    found = components.strong_components(edges.join(a, "src").join(b, "dst").where("da = db AND ta = tb"))
+    sized = found.join(found.groupBy("component").agg(F.count("*").alias("n")), "component").join(f, "node")
+    return sized.groupBy("dataset_urn", "native_type").agg(F.count_distinct("component").alias("n_components"), F.count_distinct(F.when(F.col("n") > 1, F.col("component"))).alias("n_cyclic"), F.max("n").alias("largest"))
 
 
 @query("SELECT p_brand AS dataset_urn, array_to_string(list_sort(list(DISTINCT 'col_' || p_partkey)), ',') AS field_paths, count(*) AS n_fields FROM part GROUP BY 1")
