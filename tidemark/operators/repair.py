@@ -6,6 +6,7 @@ import ast
 import difflib
 import json
 import re
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,55 +31,160 @@ def value_at(value, path: list):
     return value
 
 
-def edit_json(content: str, location: str, current: str, future: str | None) -> str:
-    """One scalar replaced (or its entry removed), everything else as it was."""
-    data = json.loads(content)
-    path = tokens(location)
+_SPACE, _PLAIN = re.compile(r"[ \t\r\n]*"), re.compile(r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null")
+
+
+def json_scalars(text: str) -> dict[tuple, tuple[int, int, int, object]]:
+    """path -> (where its entry starts: the key, or the value in a list; where the value starts; its end; the value) of every scalar."""
+    found: dict[tuple, tuple[int, int, int, object]] = {}
+    skip = lambda i: _SPACE.match(text, i).end()
+
+    def scan(i: int, path: tuple, entry: int) -> int:
+        c = text[i : i + 1]
+        if c in ("{", "["):
+            i, n, seen, close = skip(i + 1), 0, set(), "}" if c == "{" else "]"
+            while text[i : i + 1] != close:
+                start, key = i, n
+                if c == "{":
+                    if text[i : i + 1] != '"':
+                        raise EditError("not JSON")
+                    key, i = scanstring(text, i + 1, True)
+                    i = skip(i)
+                    if text[i : i + 1] != ":" or key in seen:
+                        raise EditError("not JSON, or a key stands twice")
+                    seen.add(key)
+                    i = skip(i + 1)
+                i, n = skip(scan(i, (*path, key), start)), n + 1
+                if text[i : i + 1] == ",":
+                    i = skip(i + 1)
+                    if text[i : i + 1] == close:
+                        raise EditError("not JSON")
+                elif text[i : i + 1] != close:
+                    raise EditError("not JSON")
+            return i + 1
+        if c == '"':
+            value, end = scanstring(text, i + 1, True)
+        else:
+            m = _PLAIN.match(text, i)
+            if not m:
+                raise EditError("not JSON")
+            value, end = json.loads(m[0]), m.end()
+        found[path] = (entry, i, end, value)
+        return end
+
     try:
-        if value_at(data, path) != current:
+        end = scan(skip(0), (), skip(0))
+    except (ValueError, RecursionError) as e:
+        raise EditError(f"not JSON: {type(e).__name__}") from None
+    if skip(end) != len(text):
+        raise EditError("not JSON")
+    return found
+
+
+def edit_json_spans(content: str, edits: list[tuple[str, object, object]]) -> str:
+    """(location, current, future) scalars replaced in their own characters, or their entries removed (future None): every other character stays, and
+    the new document is proved to be the old one but for the edits."""
+    spans, places, want = json_scalars(content), [], json.loads(content)
+    for location, current, future in edits:
+        path = tuple(tokens(location))
+        if path not in spans:
+            raise EditError("nothing stands there")
+        entry, start, end, value = spans[path]
+        if value != current or type(value) is not type(current):
             raise EditError("the value is another one")
-    except (KeyError, IndexError, TypeError):
-        raise EditError("nothing stands there") from None
-    parent = value_at(data, path[:-1])
-    if future is None:
-        del parent[path[-1]]
-    else:
-        parent[path[-1]] = future
-    indent = re.search(r"\n( +)\S", content)
-    return json.dumps(data, indent=len(indent[1]) if indent else None, ensure_ascii=False) + ("\n" if content.endswith("\n") else "")
-
-
-def edit_yaml(content: str, location: str, current: str, future: str) -> str:
-    """The scalar's own characters replaced, comments and layout kept; the documents must differ in that place alone."""
+        if future is not None:
+            places.append((start, end, json.dumps(future, ensure_ascii=False)))
+            value_at(want, list(path[:-1]))[path[-1]] = future
+            continue
+        after = _SPACE.match(content, end).end()
+        if content[after : after + 1] == ",":
+            places.append((entry, _SPACE.match(content, after + 1).end(), ""))
+        else:
+            before = len(content[:entry].rstrip(" \t\r\n"))
+            places.append((before - 1 if content[before - 1] == "," else entry, end, ""))
+    for path in sorted((tuple(tokens(x)) for x, _, f in edits if f is None), key=lambda p: [str(t).rjust(9) for t in p], reverse=True):
+        del value_at(want, list(path[:-1]))[path[-1]]
+    places.sort()
+    if any(a[1] > b[0] for a, b in zip(places, places[1:], strict=False)):
+        raise EditError("edits overlap")
+    out, at = [], 0
+    for start, end, text in places:
+        out += [content[at:start], text]
+        at = end
+    out = "".join([*out, content[at:]])
+    if json.loads(out) != want:
+        raise EditError("the edit would change more")
+    return out
+
+
+def edit_json(content: str, location: str, current: str, future: str | None) -> str:
+    """One scalar replaced (or its entry removed), every other character as it was."""
+    return edit_json_spans(content, [(location, current, future)])
+
+
+def edit_yaml_spans(content: str, edits: list[tuple[str, object, object]]) -> str:
+    """(location, current, future) scalars replaced in their own characters and in their own quotes, or the lines of list entries and keys removed
+    (future None); comments and layout stay.  The documents must differ in those places alone."""
     import yaml
 
-    path = tokens(location)
+    root, want, places, gone = yaml.compose(content), yaml.safe_load(content), [], []
 
-    def node_at(node):
+    def node_at(path: list):
+        node, entry = root, root
         for t in path:
             if isinstance(node, yaml.MappingNode):
-                hits = [v for k, v in node.value if k.value == t]
+                hits = [(k, v) for k, v in node.value if k.value == t]
                 if len(hits) != 1:
                     raise EditError("nothing stands there")
-                node = hits[0]
+                entry, node = hits[0]
             elif isinstance(node, yaml.SequenceNode) and isinstance(t, int) and t < len(node.value):
-                node = node.value[t]
+                entry = node = node.value[t]
             else:
                 raise EditError("nothing stands there")
-        return node
-
-    node = node_at(yaml.compose(content))
-    if not isinstance(node, yaml.ScalarNode) or node.value != current:
-        raise EditError("the value is another one")
-    s, e = node.start_mark.index, node.end_mark.index
-    out = content[:s] + content[s:e].replace(current, future, 1) + content[e:]
-    want = yaml.safe_load(content)
-    value_at(want, path[:-1])[path[-1]] = future
-    if yaml.safe_load(out) != want:
-        raise EditError("the edit would change more")
+        return entry, node
+
+    for location, current, future in edits:
+        path = tokens(location)
+        entry, node = node_at(path)
+        if not isinstance(node, yaml.ScalarNode) or node.value != str(current):
+            raise EditError("the value is another one")
+        s, e = node.start_mark.index, node.end_mark.index
+        if future is not None:
+            quote = content[s] if content[s] in "'\"" else ""
+            text = json.dumps(future, ensure_ascii=False) if quote == '"' else "'" + str(future).replace("'", "''") + "'" if quote else str(future)
+            if not quote and yaml.safe_load(text) != future:
+                text = json.dumps(future, ensure_ascii=False)
+            places.append((s, e, text))
+            value_at(want, path[:-1])[path[-1]] = future
+            continue
+        low, high = content.rfind("\n", 0, entry.start_mark.index) + 1, content.find("\n", e)
+        high = len(content) if high < 0 else high + 1
+        if content[low : entry.start_mark.index].strip(" -") or content[e:high].split("#")[0].strip():
+            raise EditError("the entry shares its lines")
+        places.append((low, high, ""))
+        gone.append(path)
+    for path in sorted(gone, key=lambda p: [str(t).rjust(9) for t in p], reverse=True):
+        del value_at(want, path[:-1])[path[-1]]
+    places.sort()
+    if any(a[1] > b[0] for a, b in zip(places, places[1:], strict=False)):
+        raise EditError("edits overlap")
+    out, at = [], 0
+    for start, end, text in places:
+        out += [content[at:start], text]
+        at = end
+    out = "".join([*out, content[at:]])
+    try:
+        if yaml.safe_load(out) != want:
+            raise EditError("the edit would change more")
+    except yaml.YAMLError:
+        raise EditError("the edit breaks the document") from None
     return out
 
 
+def edit_yaml(content: str, location: str, current: str, future: str | None) -> str:
+    return edit_yaml_spans(content, [(location, current, future)])
+
+
 def edit_python(content: str, current: str, future: str) -> str:
     """A string argument of a call, found by the syntax tree; it must stand there once, and the rest of the tree stays."""
     tree = ast.parse(content)
@@ -178,6 +284,17 @@ def patch_lines(patch: str) -> list[tuple[str, int | None, int | None, str]]:
     return out
 
 
+def edit_file(kind: str, content: str, edits: list[tuple[str, str, str | None]]) -> str:
+    """All edits of one file, at places of their own: structured files in one pass, others one edit after another."""
+    if kind == "json":
+        return edit_json_spans(content, edits)
+    if kind == "yaml":
+        return edit_yaml_spans(content, edits)
+    for _, current, future in edits:
+        content = NAMED[kind](content, current, future)
+    return content
+
+
 PATCHED = "path string, candidate string, patch string, n_actions int, error string"
 
 

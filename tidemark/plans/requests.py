@@ -225,14 +225,6 @@ def n01_selected_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.selected(_roots(spark, sf_dir), wanted, "file")
 
 
-@query(f"WITH {DELTAS} SELECT subject, array_to_string(list_sort(list(DISTINCT file) FILTER (WHERE status = 'F')), ',') AS before, count(DISTINCT file) FILTER (WHERE status = 'O') AS n_after FROM deltas GROUP BY 1")
-def d20_referencing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that refer to each field, by the state of the reference."""
-    d = _deltas(spark, sf_dir)
-    files = F.array_sort(F.collect_set(F.when(F.col("status") == "F", F.col("file"))))
-    return d.groupBy("subject").agg(F.when(F.size(files) > 0, F.array_join(files, ",")).alias("before"), F.count_distinct(F.when(F.col("status") == "O", F.col("file"))).alias("n_after"))
-
-
 @query("SELECT CASE WHEN starts_with(target, 'urn:li:corpuser:') THEN 'CORP_USER' WHEN starts_with(target, 'urn:li:corpGroup:') THEN 'CORP_GROUP' ELSE 'UNKNOWN' END AS owner_kind, count(*) AS n FROM (SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'urn:li:corpuser:' WHEN 'MACHINERY' THEN 'urn:li:corpGroup:' ELSE 'urn:li:other:' END || c_custkey AS target FROM customer) GROUP BY 1")
 def c33_owner_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owners by the kind that their URN says."""
