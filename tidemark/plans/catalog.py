@@ -693,4 +693,4 @@ def i04_table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The other parts of the catalogue register themselves.
-from . import propagation, repairs, requests, reviews, scans  # noqa: E402, F401
+from . import propagation, repairs, requests, reviews, scans, snapshots  # noqa: E402, F401
