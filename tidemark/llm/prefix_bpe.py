@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 from array import array
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Generations, held, simple, texts
 from .token_counts import _CUT, pieces, raw
 
-PIECES, PAIRS = 400_000, 1_000_000
+PIECES, PAIRS = 800_000, 1_000_000
 
 
 class _Pairs(Generations):
@@ -38,9 +39,8 @@ class _Pairs(Generations):
         return True
 
     def compute(self, key) -> bool:
-        left, right = key >> 32, key & 0xFFFFFFFF
         tokens = self.coder.tokens
-        return self.coder.parts(tokens[left] + tokens[right]) == [tokens[left], tokens[right]]
+        return self.coder.merged(tokens[key >> 32], tokens[key & 0xFFFFFFFF]) == 2
 
 
 class Coder:
@@ -59,23 +59,41 @@ class Coder:
         self.ends.make_automaton()
         self.pairs, self.alone = _Pairs(self), {}
 
-    def parts(self, data: bytes) -> list[bytes]:
-        """Plain merging, lowest rank first and leftmost among equals; for the few bytes of one or two tokens."""
-        own, ranks = [data[i : i + 1] for i in range(len(data))], self.ranks
-        while len(own) > 1:
-            joined = [ranks.get(a + b, 1 << 40) for a, b in zip(own, own[1:], strict=False)]
+    def merged(self, left: bytes, right: bytes = b"") -> int:
+        """How many parts plain merging (lowest rank first, leftmost among equals) leaves of a token's or two tokens' bytes; 0 where it joins bytes
+        across the two."""
+        ranks, none = self.ranks.get, 1 << 40
+        data, cut = left + right, len(left)
+        own = [data[i : i + 1] for i in range(len(data))]
+        joined = [ranks(a + b, none) for a, b in zip(own, own[1:], strict=False)]
+        while joined:
             least = min(joined)
-            if least == 1 << 40:
+            if least == none:
                 break
             i = joined.index(least)
+            if i < cut - 1:
+                cut -= 1
+            elif i == cut - 1 and right:
+                return 0
             own[i : i + 2] = [own[i] + own[i + 1]]
-        return own
+            del joined[i]
+            if i:
+                joined[i - 1] = ranks(own[i - 1] + own[i], none)
+            if i < len(joined):
+                joined[i] = ranks(own[i] + own[i + 1], none)
+        return len(own)
 
     def reachable(self, token: int) -> bool:
         """Whether merging makes the token of its own bytes."""
-        if token not in self.alone:
-            self.alone[token] = self.parts(self.tokens[token]) == [self.tokens[token]]
-        return self.alone[token]
+        found = self.alone.get(token)
+        if found is None:
+            found = self.alone[token] = self.merged(self.tokens[token]) == 1
+        return found
+
+    def encode(self, data: bytes) -> list[int]:
+        """The ids of one pre-token."""
+        whole = self.ranks.get(data)
+        return [whole] if whole is not None else Prefixes(self, data).ids()
 
     def decode(self, ids: array) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -97,16 +115,13 @@ class Prefixes:
 
     def _fill(self, start: int, stop: int) -> None:
         """The entries of the prefixes of start + 1 to stop bytes; those before are there."""
-        last, pairs = self.last, self.coder.pairs
+        last, pairs, reachable = self.last, self.coder.pairs, self.coder.reachable
         base = max(0, start + 1 - self.coder.longest)
         for end, (length, token) in self.coder.ends.iter(self.data[base:stop].decode("latin-1")):
             end += base + 1
             if end > start and last[end] < 0:
                 begin = end - length
-                if begin:
-                    if pairs[last[begin] << 32 | token]:
-                        last[end] = token
-                elif self.coder.reachable(token):
+                if pairs[last[begin] << 32 | token] if begin else reachable(token):
                     last[end] = token
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
@@ -148,17 +163,21 @@ class Pieces(Generations):
         self.coder, self.split = Coder(path), regex.compile(pattern).findall
 
     def compute(self, piece: str) -> bytes:
-        words = [" " + piece] if simple(piece) else self.split(raw(piece))
-        return packed([i for w in words for i in Prefixes(self.coder, w.encode()).ids()])
+        if simple(piece):
+            return packed(self.coder.encode(b" " + piece.encode()))
+        if piece[-1] in ".," and simple(piece[:-1]):  # a mark behind letters is a pre-token of its own
+            return self[piece[:-1]] + packed(self.coder.encode(piece[-1].encode()))
+        return packed([i for w in self.split(raw(piece)) for i in self.coder.encode(w.encode())])
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, pieces(text)))
 
 
 def packed(ids: list[int]) -> bytes:
-    import numpy as np
-
-    return np.asarray(ids, "<u4").tobytes()
+    own = array("I", ids)
+    if sys.byteorder == "big":
+        own.byteswap()
+    return own.tobytes()
 
 
 def unpacked(ids: bytes) -> list[int]:
