@@ -145,3 +145,34 @@ def test_overlay_takes_all_outputs_of_a_wide_delta(spark):
     deltas = spark.createDataFrame([("m", None), ("m", "x"), ("n", "y")], "model string, output string")
     got = {(r["model"], r["output"]): (r["node_state"], r["n_deltas"]) for r in propagation.overlay(outputs, deltas).collect()}
     assert got == {("m", "x"): ("SEMANTIC_ORIGIN", 2), ("m", "y"): ("SEMANTIC_ORIGIN", 1), ("n", "x"): ("INHERITED", 0), ("n", "y"): ("SEMANTIC_ORIGIN", 1)}
+
+
+def test_counts_and_signatures_equal_enumerated_paths(spark):
+    import random
+
+    from tidemark.operators import propagation
+
+    rnd = random.Random(6)
+    pairs = [(f"n{a}", f"n{b}", f"r{i}{'!' if rnd.random() < 0.2 else ''}") for i, (a, b) in enumerate((rnd.randrange(9), rnd.randrange(9)) for _ in range(30)) if a < b]
+    edges, origins = spark.createDataFrame(pairs, "src string, dst string, relationship_id string"), spark.createDataFrame([("n0", "x"), ("n2", "y"), ("n2", "z")], "node string, tag string")
+    paths = propagation.enumerate_paths(edges, origins).collect()
+    want = {}
+    for r in paths:
+        bad = next((x for x in r["relationships"] if x.endswith("!")), None)
+        own = want.setdefault((r["node"], r["tag"], r["target"], r["depth"]), [0, 0, []])
+        own[0], own[1] = own[0] + 1, own[1] + (bad is not None)
+        own[2] += [bad] if bad else []
+    got = propagation.path_counts(edges, origins, F.endswith("relationship_id", F.lit("!"))).collect()
+    assert {(r["node"], r["tag"], r["target"], r["depth"]): [r["n_paths"], r["n_uncertain"], r["first_boundary"]] for r in got} == {k: [n, u, min(b, default=None)] for k, (n, u, b) in want.items()}
+    signed = propagation.signed_paths(edges, origins)
+    assert signed.count() == len({(r["node"], tuple(r["relationships"])) for r in paths}) == signed.select("a", "b").distinct().count()
+    less = edges.where("relationship_id <> 'r1' AND relationship_id <> 'r1!'").unionByName(spark.createDataFrame([("n0", "n8", "new")], edges.schema))
+    states = {}
+    for r in propagation.path_changes(signed, propagation.signed_paths(less, origins)).collect():
+        states[r["state"]] = states.get(r["state"], 0) + 1
+    after = {(r["node"], tuple(r["relationships"])) for r in propagation.enumerate_paths(less, origins).collect()}
+    before = {(r["node"], tuple(r["relationships"])) for r in paths}
+    assert states == {k: v for k, v in (("KEPT", len(after & before)), ("ADDED", len(after - before)), ("REMOVED", len(before - after))) if v}
+    ring = spark.createDataFrame([("a", "b", "1"), ("b", "a", "2")], edges.schema)
+    with pytest.raises(RuntimeError, match="hops"):
+        propagation.path_counts(ring, spark.createDataFrame([("a",)], "node string"), limit=5)

@@ -26,16 +26,69 @@ def enumerate_paths(edges: DataFrame, origins: DataFrame, limit: int = 64) -> Da
     raise RuntimeError(f"paths of more than {limit} hops")
 
 
+def path_counts(edges: DataFrame, origins: DataFrame, uncertain: Column | None = None, limit: int = 64) -> DataFrame:
+    """The columns of origins (node among them), target, depth, n_paths, n_uncertain, first_boundary: how many paths of each length lead to each target,
+    how many of them pass a relationship that ``uncertain`` (a condition on the edges) holds for, and the smallest of the first such ones.
+
+    Sums along the edges, a level at a time, so no path is written out: a level has a row for each origin and target.  Every walk of a graph without
+    cycles is a simple path; on a graph with one the loop does not end, and it raises beyond ``limit`` levels, as does a count beyond a long.
+    """
+    levels, own = Levels(edges.sparkSession, "depth", "counts"), origins.columns
+    hop = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("relationship_id").alias("_id"), (F.coalesce(uncertain, F.lit(False)) if uncertain is not None else F.lit(False)).alias("_bad"))
+    level = origins.groupBy(*own).agg(F.count("*").alias("n_paths")).select(*own, F.col("node").alias("target"), "n_paths", F.lit(0).cast("long").alias("n_uncertain"), F.lit(None).cast("string").alias("first_boundary"))
+    for depth in range(1, limit + 1):
+        step = level.join(hop, level["target"] == hop["_src"])
+        clean = F.col("n_paths") - F.col("n_uncertain")
+        met = F.when(F.col("_bad") & (clean > 0), F.col("_id"))
+        level = step.groupBy(*own, F.col("_dst").alias("target")).agg(
+            F.sum("n_paths").alias("n_paths"), F.sum(F.when(F.col("_bad"), F.col("n_paths")).otherwise(F.col("n_uncertain"))).alias("n_uncertain"), F.least(F.min("first_boundary"), F.min(met)).alias("first_boundary"),
+        )
+        level = levels.add(level, depth)
+        if level.isEmpty():
+            return levels.all()
+    raise RuntimeError(f"paths of more than {limit} hops")
+
+
+def signed_paths(edges: DataFrame, origins: DataFrame, limit: int = 64) -> DataFrame:
+    """origin, target, depth, signature (128 bits as two longs, a and b), n: every path of a graph without cycles, known by its signature alone.
+
+    The frontier carries two rolling hashes of nodes and relationships in place of lists, so a row is as wide on the last level as on the first, and paths
+    of two graphs meet in an equi-join.  Relationships that stand twice make one path (the first wins).
+    """
+    levels = Levels(edges.sparkSession, "depth", "signed")
+    hop = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("relationship_id").alias("_id")).distinct()
+    level = origins.select(F.col("node").alias("origin"), F.col("node").alias("target"), F.xxhash64(F.lit(1), "node").alias("a"), F.xxhash64(F.lit(2), "node").alias("b")).distinct()
+    for depth in range(1, limit + 1):
+        step = level.join(hop, level["target"] == hop["_src"])
+        level = levels.add(step.select("origin", F.col("_dst").alias("target"), F.xxhash64("a", "_dst", "_id").alias("a"), F.xxhash64("b", "_id", "_dst").alias("b")), depth)
+        if level.isEmpty():
+            return levels.all()
+    raise RuntimeError(f"paths of more than {limit} hops")
+
+
+def path_changes(current: DataFrame, future: DataFrame) -> DataFrame:
+    """origin, target, depth, state: each path of two ``signed_paths`` as KEPT, REMOVED or ADDED; one exchange by signature."""
+    keys = ["origin", "target", "depth", "a", "b"]
+    side = current.select(*keys, F.lit(1).alias("_s")).unionByName(future.select(*keys, F.lit(2).alias("_s"))).groupBy(*keys).agg(F.sum("_s").alias("_s"))
+    return side.select("origin", "target", "depth", F.when(F.col("_s") == 3, "KEPT").when(F.col("_s") == 1, "REMOVED").otherwise("ADDED").alias("state"))
+
+
+def _n_paths(paths: DataFrame) -> Column:
+    """The number of paths of a group, of paths as rows or of counts."""
+    return F.sum("n_paths") if "n_paths" in paths.columns else F.count("*")
+
+
 def target_exposure(paths: DataFrame, origins: DataFrame) -> DataFrame:
-    """Per target that is no origin itself: least depth, path count, multipath, DIRECT or TRANSITIVE."""
-    found = paths.groupBy("target").agg(F.min("depth").alias("minimum_depth"), F.count("*").alias("path_count"))
+    """Per target that is no origin itself: least depth, path count, multipath, DIRECT or TRANSITIVE.  paths: as enumerated or as counted."""
+    found = paths.groupBy("target").agg(F.min("depth").alias("minimum_depth"), _n_paths(paths).alias("path_count"))
     own = found.join(origins.select(F.col("node").alias("target")).distinct(), "target", "left_anti")
     return own.select("target", "minimum_depth", "path_count", (F.col("path_count") > 1).alias("multipath"), F.when(F.col("minimum_depth") == 1, "DIRECT").otherwise("TRANSITIVE").alias("reach"))
 
 
 def request_exposure(paths: DataFrame) -> DataFrame:
-    """Per target: the root causes and files whose paths reach it, and how many paths.  paths: root_id, files (array), target."""
-    return paths.groupBy("target").agg(F.array_sort(F.collect_set("root_id")).alias("root_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("files")))).alias("files"), F.count("*").alias("path_count"), (F.count("*") > 1).alias("multipath"))
+    """Per target: the root causes and files whose paths reach it, and how many paths.  paths: root_id, files (array), target; enumerated or counted."""
+    own = paths.groupBy("target").agg(F.array_sort(F.collect_set("root_id")).alias("root_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("files")))).alias("files"), _n_paths(paths).alias("path_count"))
+    return own.withColumn("multipath", F.col("path_count") > 1)
 
 
 def overlay(outputs: DataFrame, deltas: DataFrame) -> DataFrame:

@@ -53,8 +53,8 @@ SELECT origin, depth, count(DISTINCT array_to_string(rels, ',')) AS n_paths, cou
 def e09_paths_of_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths from several origins that lie on each other's paths, counted by origin and depth; a path is its relationships."""
     nations = reg.table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("node"))
-    paths = propagation.enumerate_paths(supply_edges(spark, sf_dir), _regions(spark, sf_dir).unionByName(nations))
-    return paths.groupBy(F.col("node").alias("origin"), "depth").agg(F.count_distinct(_listed("relationships")).alias("n_paths"), F.count_distinct("target").alias("n_targets"))
+    counts = propagation.path_counts(supply_edges(spark, sf_dir), _regions(spark, sf_dir).unionByName(nations))
+    return counts.groupBy(F.col("node").alias("origin"), "depth").agg(F.sum("n_paths").alias("n_paths"), F.count("*").alias("n_targets"))
 
 
 _ROOTED = _walk(_REGIONS, "e.kind = 'OBSERVED'")
@@ -64,13 +64,13 @@ def _request_paths(spark, sf_dir):
     """Root causes at regions, with the files they come from; over observed edges alone."""
     key = F.substring_index("node", ":", -1)
     roots = _regions(spark, sf_dir).select("node", F.concat(F.lit("root-"), key).alias("root_id"), F.array(F.concat(F.lit("file-"), key), F.lit("schema.yml")).alias("files"))
-    return propagation.enumerate_paths(supply_edges(spark, sf_dir).where("kind = 'OBSERVED'"), roots)
+    return propagation.path_counts(supply_edges(spark, sf_dir).where("kind = 'OBSERVED'"), roots)
 
 
 @query(f"WITH RECURSIVE {SUPPLY}, {_ROOTED} SELECT replace(origin, 'region:', 'root-') AS root_id, depth, count(*) AS n_paths, count(DISTINCT target) AS n_targets FROM p WHERE depth > 0 GROUP BY 1, 2")
 def e10_root_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of each root cause over observed edges, by depth."""
-    return _request_paths(spark, sf_dir).groupBy("root_id", "depth").agg(F.count("*").alias("n_paths"), F.count_distinct("target").alias("n_targets"))
+    return _request_paths(spark, sf_dir).groupBy("root_id", "depth").agg(F.sum("n_paths").alias("n_paths"), F.count("*").alias("n_targets"))
 
 
 @query(f"""WITH RECURSIVE {SUPPLY}, {_ROOTED} SELECT target, array_to_string(list_sort(list(DISTINCT replace(origin, 'region:', 'root-'))), ',') AS root_ids, array_to_string(list_append(list_sort(list(DISTINCT replace(origin, 'region:', 'file-'))), 'schema.yml'), ',') AS files, count(*) AS path_count, count(*) > 1 AS multipath FROM p WHERE depth > 0 GROUP BY 1""")
@@ -92,7 +92,7 @@ def e21_semantic_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exposure below changed outputs (all regions and nations); origins are no targets, though they reach one another."""
     edges = supply_edges(spark, sf_dir)
     origins = _regions(spark, sf_dir).unionByName(edges.where("startswith(relationship_id, 'rn:')").select(F.col("dst").alias("node")))
-    return propagation.target_exposure(propagation.enumerate_paths(edges, origins), origins)
+    return propagation.target_exposure(propagation.path_counts(edges, origins), origins)
 
 
 _OVERLAY = """deltas AS (SELECT p_brand AS model, CASE WHEN p_type = 'PROMO' AND p_size = 50 THEN NULL ELSE p_partkey END AS output FROM part WHERE p_size > 45),
@@ -122,9 +122,24 @@ def g02_representative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {SUPPLY}, {_walk(_REGIONS)} SELECT target, count(*) AS n_paths, count(b) AS n_uncertain, min(b) AS first_boundary FROM (SELECT target, list_filter(rels, lambda x: ends_with(x, ':F'))[1] AS b FROM p WHERE depth > 0) GROUP BY 1""")
 def g04_first_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per target: paths with a relationship that is only derived from code, and the first such."""
-    paths = propagation.enumerate_paths(supply_edges(spark, sf_dir), _regions(spark, sf_dir))
-    own = paths.select("target", propagation.first_boundary(F.col("relationships"), lambda r: F.endswith(r, F.lit(":F"))).alias("b"))
-    return own.groupBy("target").agg(F.count("*").alias("n_paths"), F.count("b").alias("n_uncertain"), F.min("b").alias("first_boundary"))
+    counts = propagation.path_counts(supply_edges(spark, sf_dir), _regions(spark, sf_dir), F.endswith("relationship_id", F.lit(":F")))
+    return counts.groupBy("target").agg(F.sum("n_paths").alias("n_paths"), F.sum("n_uncertain").alias("n_uncertain"), F.min("first_boundary").alias("first_boundary"))
+
+
+_MOVED = "moved AS (SELECT relationship_id, CASE WHEN starts_with(relationship_id, 'ns:') AND CAST(substr(relationship_id, 4) AS BIGINT) % 10 = 0 THEN 'nation:' || (CAST(substr(src, 8) AS BIGINT) + 1) % 25 ELSE src END AS src, dst FROM supply)"
+
+
+@query(f"""WITH RECURSIVE {SUPPLY}, {_MOVED}, {_walk(_REGIONS)}, {_walk(_REGIONS).replace("p(origin", "f(origin").replace("FROM p JOIN supply e", "FROM f p JOIN moved e")},
+u AS (SELECT origin, target, depth, nodes, rels, 1 AS s FROM p WHERE depth > 0 UNION ALL SELECT origin, target, depth, nodes, rels, 2 FROM f WHERE depth > 0),
+g AS (SELECT origin, depth, CASE sum(s) WHEN 3 THEN 'KEPT' WHEN 1 THEN 'REMOVED' ELSE 'ADDED' END AS state FROM u GROUP BY origin, target, depth, nodes, rels) SELECT origin, depth, state, count(*) AS n_paths FROM g GROUP BY 1, 2, 3""")
+def d07_path_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths kept, removed and added when some suppliers move to another nation, matched by their signatures."""
+    edges, regions = supply_edges(spark, sf_dir), _regions(spark, sf_dir)
+    key = F.substring_index("relationship_id", ":", -1).try_cast("long")
+    away = F.concat(F.lit("nation:"), ((F.substring_index("src", ":", -1).try_cast("long") + 1) % 25).cast("string"))
+    moved = edges.withColumn("src", F.when(F.startswith("relationship_id", F.lit("ns:")) & (key % 10 == 0), away).otherwise(F.col("src")))
+    changes = propagation.path_changes(propagation.signed_paths(edges, regions), propagation.signed_paths(moved, regions))
+    return changes.groupBy("origin", "depth", "state").agg(F.count("*").alias("n_paths"))
 
 
 # --- roll-ups -----------------------------------------------------------------------------------------------------------------------------
