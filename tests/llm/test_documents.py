@@ -271,6 +271,31 @@ def test_distance_equals_definition(spark):
     assert abs(got[0] - math.sqrt((kl(p) + kl(q)) / 2)) < 1e-9 and got[1] == 0 and abs(got[2]) < 1e-6
 
 
+def test_word_distance_equals_definition(spark):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice(["a", "B", "c", "d", f"w{rnd.randrange(90)}"]) for _ in range(rnd.randrange(0, 90))), rnd.choice(["x", "y", None])) for i in range(60)]
+    got = {r["doc_id"]: r["word_distance"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    total = defaultdict(Counter)
+    for _, t, lang in rows:
+        total[lang].update(t.lower().split())
+    for i, t, lang in rows:
+        own = Counter(t.lower().split())
+        top = sorted(total[lang], key=lambda w: (-total[lang][w], w))[: quality.COMMON]
+        bins = lambda c: [c[w] for w in top] + [sum(c.values()) - sum(c[w] for w in top)]
+        p, q = (np.array(bins(c)) / max(1, sum(c.values())) for c in (own, total[lang]))
+        kl = lambda x: sum(a * math.log2(2 * a / (b + c)) for a, b, c in zip(x, p, q, strict=True) if a)
+        assert abs(got[i] - (math.sqrt(max(0, (kl(p) + kl(q)) / 2)) if own else 0)) < 1e-6, i
+
+
+def test_any_language_has_its_own_words(spark):
+    """A language that no list knows: its documents stay, one that shares no word with them goes."""
+    rnd = random.Random(12)
+    words = [f"{a}{b}" for a in ("qua", "zol", "mir", "tek", "vun") for b in ("", "a", "osh", "ir", "umo", "eth")]
+    rows = [(i, " ".join(rnd.choices(words, weights=range(30, 0, -1), k=120)), "xx") for i in range(60)] + [(99, " ".join(f"other{i}" for i in range(120)), "xx")]
+    kept = {r["doc_id"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("kept").collect()}
+    assert kept == set(range(60))
+
+
 def test_decontamination(spark, docs, empty):
     rnd = random.Random(8)
     item = [f"bench{rnd.randrange(10**6)}" for _ in range(24)]

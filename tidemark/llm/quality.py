@@ -1,12 +1,13 @@
 """Quality by divergence from language references, in DataFrame functions alone.
 
-Two histograms of each document are held against the references of its language: character classes (``CLASSES``) and common words
-(``COMMON`` and one bin for all other words).  References are sums over all documents of a language; a document's Jensen-Shannon distance
-to either above its limit fails it, where it has ``LEAST_WORDS`` words at least (shorter documents carry too little evidence).
+Two histograms of each document are held against the references of its language: character classes (``CLASSES``) and common words (the
+``COMMON`` most frequent words of that language, lower-cased, and one bin for all other words).  References are sums over all documents of a
+language; a document's Jensen-Shannon distance to either above its limit fails it, where it has ``LEAST_WORDS`` words at least (shorter documents
+carry too little evidence).
 
 Everything of a document is computed in its own row: words, 8-word windows as 64-bit hashes, repeated windows by sorting those
-hashes.  The only exchange is the aggregation of the references, a row per language.  The join with them is a broadcast
-while they number at most ``BROADCAST_LANGUAGES``.
+hashes, and the counts of just those common words that it holds.  The only exchanges are the aggregations of the references: words by language,
+counted in each task first, and a row per language.  The join with them is a broadcast while they number at most ``BROADCAST_LANGUAGES``.
 
 Null text counts as empty; null lang is a language of its own; a document of whitespace has 0 words; repeated rows give repeated
 results; an empty table gives no rows; other columns are ignored.
@@ -16,10 +17,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import kept
 
 CLASSES = ("lower", "upper", "digit", "space", "beyond", "mark")
-#: Frequent function words of English, German, French and Spanish.
-COMMON = ("the", "of", "and", "to", "in", "is", "it", "that", "for", "on", "was", "with", "der", "die", "und", "den", "von", "das", "nicht", "sich", "ist", "des", "ein", "auf", "le", "de", "la", "et", "les", "un", "une", "est", "que", "pour", "par", "sur", "el", "en", "y", "los", "se", "del", "las", "con")
+#: Words of a language that have bins of their own.
+COMMON = 32
 LEAST_WORDS, WORD_LIMIT, CLASS_LIMIT, WINDOW = 50, 0.45, 0.25, 8
 BROADCAST_LANGUAGES = 5000
 SPACE = r"[ \t\n\x0B\f\r]+"
@@ -77,23 +81,54 @@ def _counts(text: Column) -> Column:
     return _let(less(text, "[a-z]+"), upper)
 
 
-def _common(words: Column) -> Column:
-    """How often each common word stands in the text, lower-cased, and last how many other words there are."""
-    low = F.filter(F.transform(words, F.lower), lambda w: w.isin(*COMMON))
-    return _let(low, lambda c: F.array(*[(F.size(c) - F.size(F.array_remove(c, w))).cast("long") for w in COMMON], (F.size(words) - F.size(c)).cast("long")))
-
-
-def _histograms(docs: DataFrame) -> DataFrame:
+def common_words(docs: DataFrame) -> DataFrame:
+    """ref_lang, ref_words, ref_counts (long; of those words), ref_total (of all words): the most frequent words of each language, ties by the word."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce("lang", F.lit("")).alias("lang"), _let(text, _counts)["classes"].alias("classes"), _let(words_of(text), _common).alias("common"))
+    words = docs.select(F.coalesce("lang", F.lit("")).alias("ref_lang"), F.explode(F.split(F.lower(text), SPACE, -1)).alias("word")).where("word <> ''")
+    counts = words.groupBy("ref_lang", "word").agg(F.count("*").alias("n"))
+    # a language's totals and its first words in one aggregation: the words beyond the first are never sorted together
+    place = F.row_number().over(Window.partitionBy("ref_lang").orderBy(F.desc("n"), "word"))
+    top = counts.withColumn("place", place).where(F.col("place") <= COMMON)
+    listed = top.groupBy("ref_lang").agg(F.array_sort(F.collect_list(F.struct("place", "word", "n"))).alias("top"))
+    total = counts.groupBy("ref_lang").agg(F.sum("n").alias("ref_total"))
+    return total.join(listed, "ref_lang").select("ref_lang", F.col("top.word").alias("ref_words"), F.col("top.n").alias("ref_counts"), "ref_total")
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """A row per language: the sums of both histograms over all its documents."""
-    h = _histograms(docs.select("lang", "text"))
-    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"a{i}") for i in range(len(CLASSES))] + [F.sum(F.get("common", F.lit(i))).alias(f"b{i}") for i in range(len(COMMON) + 1)]
-    wide = h.groupBy("lang").agg(*sums)
-    return wide.select(F.col("lang").alias("ref_lang"), F.array(*[f"a{i}" for i in range(len(CLASSES))]).alias("ref_classes"), F.array(*[f"b{i}" for i in range(len(COMMON) + 1)]).alias("ref_common"))
+    """A row per language: the sums of the character classes over all its documents, its common words and their counts."""
+    own = docs.select("lang", "text")
+    h = own.select(F.coalesce("lang", F.lit("")).alias("ref_lang"), _let(F.coalesce(F.col("text"), F.lit("")), _counts)["classes"].alias("classes"))
+    wide = h.groupBy("ref_lang").agg(*[F.sum(F.get("classes", F.lit(i))).alias(f"a{i}") for i in range(len(CLASSES))])
+    return wide.select("ref_lang", F.array(*[f"a{i}" for i in range(len(CLASSES))]).alias("ref_classes")).join(common_words(own), "ref_lang", "left")
+
+
+def _half(x: Column, y: Column) -> Column:
+    """A bin's part of the divergence of x from the mean of x and y."""
+    return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
+
+
+def word_distance(words: Column, ref_words: Column, ref_counts: Column, ref_total: Column) -> Column:
+    """Jensen-Shannon distance of a document's words to its language's common words; 0 where it has none.
+
+    Only bins that the document fills are computed: each bin that it lacks adds just its own share of the reference.
+    """
+
+    def found(c: Column) -> Column:
+        def of(n: Column) -> Column:
+            def cell(w: Column) -> Column:
+                share = F.element_at(ref_counts, F.array_position(ref_words, w).cast("int")) / ref_total
+                return F.struct(((F.size(c) - F.size(F.array_remove(c, w))) / n).alias("p"), share.alias("q"))
+
+            rest = F.struct(((n - F.size(c)) / n).alias("p"), ((ref_total - F.aggregate(ref_counts, F.lit(0).cast("long"), lambda s, x: s + x)) / ref_total).alias("q"))
+            filled = F.array_append(F.transform(F.array_distinct(c), cell), rest)
+            start = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q"))
+            step = lambda s, x: F.struct((s["d"] + _half(x["p"], x["q"]) + _half(x["q"], x["p"])).alias("d"), (s["q"] + x["q"]).alias("q"))
+            return F.aggregate(filled, start, step, lambda s: F.sqrt(F.greatest(F.lit(0.0), (s["d"] + F.greatest(F.lit(0.0), 1 - s["q"])) / 2)))
+
+        return _let(F.size(words).cast("double"), of)
+
+    held = F.filter(F.transform(words, F.lower), lambda w: F.array_contains(ref_words, w))
+    return F.when((F.size(words) == 0) | ref_words.isNull(), F.lit(0.0)).otherwise(_let(held, found))
 
 
 def distance(own: Column, reference: Column) -> Column:
@@ -103,8 +138,7 @@ def distance(own: Column, reference: Column) -> Column:
     def value(n: Column, m: Column) -> Column:
         def term(a: Column, b: Column) -> Column:
             p, q = a / n, b / m
-            half = lambda x: F.when(x > 0, x * F.log2(2 * x / (p + q))).otherwise(F.lit(0.0))
-            return half(p) + half(q)
+            return _half(p, q) + _half(q, p)
 
         total = F.aggregate(F.zip_with(own, reference, term), F.lit(0.0), lambda s, x: s + x)
         return F.sqrt(F.greatest(F.lit(0.0), total / 2))
@@ -115,26 +149,27 @@ def distance(own: Column, reference: Column) -> Column:
 
 def judge(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """A row per document: the base counts and the verdict."""
-    refs = references(docs) if known is None else known
+    spark = docs.sparkSession
+    refs = kept(references(docs), spark, "references") if known is None else known
     few = refs.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), text.alias("text"))
 
     def measured(w: Column) -> Column:
-        return F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).cast("long").alias("n_repeat_words"), _common(w).alias("common"))
+        return F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).cast("long").alias("n_repeat_words"), word_distance(w, F.col("ref_words"), F.col("ref_counts"), F.col("ref_total")).alias("word_distance"))
 
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
-    one = own.select(
-        "doc_id", "lang", F.length("text").alias("n_chars"),
+    joined = own.join(F.broadcast(refs) if few else refs, F.col("lang") == F.col("ref_lang"), "left")
+    one = joined.select(
+        "doc_id", "lang", F.length("text").alias("n_chars"), "ref_classes",
         _let(words_of(F.col("text")), measured).alias("w"),
         _let(F.col("text"), _counts).alias("c"),
         _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
     )
-    joined = one.join(F.broadcast(refs) if few else refs, F.col("lang") == F.col("ref_lang"), "left")
-    facts = joined.select(
+    facts = one.select(
         "doc_id", F.col("w.n_words").alias("n_words"), (F.col("n_chars") - F.get("c.classes", F.lit(3))).cast("long").alias("word_chars"), F.col("c.symbols").alias("n_symbols"),
         "n_dup_lines", F.col("w.n_repeat_words").alias("n_repeat_words"),
-        F.coalesce(distance(F.col("c.classes"), F.col("ref_classes")), F.lit(0.0)).alias("class_distance"), F.coalesce(distance(F.col("w.common"), F.col("ref_common")), F.lit(0.0)).alias("word_distance"),
+        F.coalesce(distance(F.col("c.classes"), F.col("ref_classes")), F.lit(0.0)).alias("class_distance"), F.coalesce("w.word_distance", F.lit(0.0)).alias("word_distance"),
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     far = (F.col("n_words") >= LEAST_WORDS) & ((F.col("class_distance") > CLASS_LIMIT) | (F.col("word_distance") > WORD_LIMIT))

@@ -3,7 +3,6 @@
 from .quality import CLASS_LIMIT, COMMON, LEAST_WORDS, WORD_LIMIT
 
 _SPACE = r"[ \t\n\x0B\f\r]+"
-_WORDS = ", ".join(f"'{w}'" for w in COMMON)
 _CLASS = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "space": r"[ \t\n\x0B\f\r]", "beyond": r"[^\x00-\x7F]"}
 _COUNTS = ", ".join(f"length(t) - length(regexp_replace(t, '{p}', '', 'g')) AS {k}" for k, p in _CLASS.items())
 
@@ -18,7 +17,8 @@ cls AS (SELECT doc_id, lang, length(t) AS n_chars, {_COUNTS} FROM d),
 cls2 AS (SELECT *, n_chars - lower - upper - digit - space - beyond AS mark FROM cls),
 cl AS (SELECT doc_id, lang, unnest(['lower', 'upper', 'digit', 'space', 'beyond', 'mark']) AS bin, unnest([lower, upper, digit, space, beyond, mark])::DOUBLE AS n FROM cls2),
 tok AS (SELECT doc_id, lang, lower(x) AS x FROM (SELECT doc_id, lang, unnest(ws) AS x FROM w)),
-cmn AS (SELECT doc_id, lang, CASE WHEN x IN ({_WORDS}) THEN x ELSE '' END AS bin, count(*)::DOUBLE AS n FROM tok GROUP BY ALL),
+freq AS (SELECT lang, x, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, x) AS place FROM tok GROUP BY lang, x),
+cmn AS (SELECT doc_id, t.lang, coalesce(c.x, '') AS bin, count(*)::DOUBLE AS n FROM tok t LEFT JOIN (SELECT lang, x FROM freq WHERE place <= {COMMON}) c ON c.lang = t.lang AND c.x = t.x GROUP BY ALL),
 both_ AS (SELECT 'c' AS h, * FROM cl UNION ALL SELECT 'w' AS h, * FROM cmn),
 ref AS (SELECT h, lang, bin, sum(n) AS n FROM both_ GROUP BY ALL),
 total AS (SELECT h, lang, sum(n) AS n FROM ref GROUP BY ALL),
