@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,9 +43,31 @@ def written(df: DataFrame, spark: SparkSession, name: str) -> tuple[DataFrame, s
     return store.written(df, name)
 
 
+_OWNERS: list[Scratch] = []
+
+
+@contextmanager
+def owned(spark: SparkSession):
+    """What ``kept`` writes in the block is deleted when it ends, but for what the block's owner writes by ``result``."""
+    with Scratch(spark) as owner:
+        _OWNERS.append(owner)
+        try:
+            yield owner
+        finally:
+            _OWNERS.pop()
+
+
+def claimed(path: str) -> None:
+    """Leave a written table to the block that runs, if any."""
+    if _OWNERS:
+        _OWNERS[-1].paths.append(path)
+
+
 def kept(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: short lineage, and safe from lost executors."""
-    return store.materialize(df, name)
+    df, path = store.written(df, name)
+    claimed(path)
+    return df
 
 
 def fresh(df: DataFrame, name: str) -> str:

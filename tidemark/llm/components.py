@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, kept, written
+from .common import claimed, drop, kept, written
 
 
 SALTS = 16
@@ -37,5 +37,6 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
         changed = new.where("label <> was").limit(1).count()
         labels, path = new.select("node", "label"), after
         if not changed:
+            claimed(path)
             return labels
     raise RuntimeError(f"components not closed after {limit} rounds")

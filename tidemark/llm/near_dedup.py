@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, fresh, kept, let_go, texts, utf8, written
+from .common import drop, fresh, kept, let_go, owned, texts, utf8, written
 from .components import components
 
 #: Words of a shingle and least similarity in per cent, where a caller names none.
@@ -447,9 +447,11 @@ def linked(docs: DataFrame, sketches: DataFrame, size: int = SHINGLE, percent: i
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
-    sketches = kept(sketch(docs, size), spark, "sketch")
-    classes, labels = linked(docs, sketches, size, percent)
-    named = kept(classes.join(labels, classes["doc_id"] == labels["node"], "left").select(F.col("fp1").alias("c1"), F.col("fp2").alias("c2"), F.col("n").alias("c_n"), F.coalesce("label", "doc_id").alias("label")), spark, "named")
+    with owned(spark) as owner:
+        sketches = owner.result(sketch(docs, size), "sketch")
+        classes, labels = linked(docs, sketches, size, percent)
+        named = classes.join(labels, classes["doc_id"] == labels["node"], "left").select(F.col("fp1").alias("c1"), F.col("fp2").alias("c2"), F.col("n").alias("c_n"), F.coalesce("label", "doc_id").alias("label"))
+        named = owner.result(named, "named")
     own = sketches.select("doc_id", "n", "fp1", "fp2")
     joined = own.join(named, (own["fp1"] == named["c1"]) & (own["fp2"] == named["c2"]) & (own["n"] == named["c_n"]) & own["doc_id"].isNotNull(), "left")
     component = F.coalesce("label", "doc_id")
