@@ -137,3 +137,9 @@ def test_package(tmp_path):
     (tmp_path / "out" / "b.json").write_text("[2]")
     assert package.verify_package(folder) == ["b"]
     assert package.fingerprint({"b": 1, "a": [1], "generated_at": 2}) == package.fingerprint({"a": [1], "b": 1})
+
+
+def test_chains_either_way():
+    source = "a = T(task_id='a')\nb = T(task_id='b')\nc = T(task_id='c')\nd = T(task_id='d')\n"
+    down, up = files.pipeline_structure(source + "a >> b >> [c, d]")["edges"], files.pipeline_structure(source + "d << c << b << a")["edges"]
+    assert down == [("a", "b"), ("b", "c"), ("b", "d")] and up == [("a", "b"), ("b", "c"), ("c", "d")]

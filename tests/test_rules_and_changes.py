@@ -65,7 +65,7 @@ def test_claims(spark):
     deltas = spark.createDataFrame([("m.sql", "SQL", "total", True), ("n.sql", "SQL", "q", True), ("n.sql", "SQL", "r", False)], "file string, delta_class string, subject string, material boolean")
     roots = requests.root_causes(
         spark.createDataFrame([("d1", "m.sql", "StructuralFieldDelta", True), ("d2", "n.sql", "SemanticSqlDelta", False), ("d3", "x.md", "DocumentationOnlyDelta", True)], "delta_id string, file string, delta_class string, material boolean"),
-        spark.createDataFrame([("f1", "dag.py")], "finding_id string, file string"), spark.createDataFrame([("c1", ["a", "b"])], "conflict_id string, files array<string>"),
+        spark.createDataFrame([("f1", "dag.py")], "finding_id string, file string"), spark.createDataFrame([("c1", "a"), ("c1", "b")], "conflict_id string, file string"),
     )
     assert {(r["root_type"], r["file"], r["state"]) for r in roots.collect()} == {("STRUCTURAL_CHANGE", "m.sql", "UNRESOLVED"), ("STALE_PIPELINE_OR_QUALITY_REFERENCE", "dag.py", "REPOSITORY_INCONSISTENT"), ("CONFLICTING_FUTURE_FIELD_IDENTITIES", "a", "CONFIRMED_CONFLICT"), ("CONFLICTING_FUTURE_FIELD_IDENTITIES", "b", "CONFIRMED_CONFLICT")}
     assert changes.ungrouped(deltas, changes.correlated(claims, refs)).first()["subjects"] == ["q", "r"]

@@ -59,12 +59,12 @@ def change_set(delta_class: Column) -> Column:
 def root_causes(deltas: DataFrame, findings: DataFrame, conflicts: DataFrame) -> DataFrame:
     """root_id, root_type, file, state: of every material delta of a known class, every stale finding and every file of a conflict.
 
-    deltas: delta_id, delta_class, material, file; findings: finding_id, file; conflicts: conflict_id, files.
+    deltas: delta_id, delta_class, material, file; findings: finding_id, file; conflicts: conflict_id, file (a row for each).
     """
     kind = looked_up(MATERIAL, F.col("delta_class"))
     own = deltas.where("material").select(F.concat(F.lit("root:"), "delta_id").alias("root_id"), kind.alias("root_type"), "file", F.lit("UNRESOLVED").alias("state")).where("root_type is not null")
     stale = findings.select(F.concat(F.lit("root:"), "finding_id"), F.lit("STALE_PIPELINE_OR_QUALITY_REFERENCE"), "file", F.lit("REPOSITORY_INCONSISTENT"))
-    clash = conflicts.select(F.concat(F.lit("root:"), "conflict_id"), F.lit("CONFLICTING_FUTURE_FIELD_IDENTITIES"), F.explode("files"), F.lit("CONFIRMED_CONFLICT"))
+    clash = conflicts.select(F.concat(F.lit("root:"), "conflict_id"), F.lit("CONFLICTING_FUTURE_FIELD_IDENTITIES"), "file", F.lit("CONFIRMED_CONFLICT"))
     return own.union(stale).union(clash)
 
 
@@ -132,14 +132,16 @@ def diffed(before: DataFrame, after: DataFrame, keys: list[str], value: str) ->
 
 
 def roots_of_groups(roots: DataFrame, groups: DataFrame) -> DataFrame:
-    """group_id, n_roots: roots that share the group's id or one of its files; files are exploded, so the overlap is an equi-join.
+    """group_id, n_roots: roots that share the group's id or one of its files; both have a row for each file (null: none), so nothing is gathered and
+    the overlap is an equi-join.
 
-    roots: root_id, group_id, files; groups: group_id, files.
+    roots: root_id, group_id, file; groups: group_id, file.
     """
-    r, g = roots.select("root_id", F.col("group_id").alias("own"), F.explode_outer("files").alias("file")), groups.select("group_id", F.explode("files").alias("file"))
-    same = roots.select("root_id", "group_id").join(groups.select("group_id"), "group_id").select("group_id", "root_id")
-    found = r.join(g, "file").select("group_id", "root_id").unionByName(same).distinct().groupBy("group_id").agg(F.count("*").alias("n_roots"))
-    return groups.select("group_id").join(found, "group_id", "left").select("group_id", F.coalesce("n_roots", F.lit(0)).alias("n_roots"))
+    every = groups.select("group_id").distinct()
+    same = roots.select("root_id", "group_id").distinct().join(every, "group_id").select("group_id", "root_id")
+    shared = roots.select("root_id", "file").join(groups.select("group_id", "file").distinct(), "file").select("group_id", "root_id")
+    found = shared.unionByName(same).distinct().groupBy("group_id").agg(F.count("*").alias("n_roots"))
+    return every.join(found, "group_id", "left").select("group_id", F.coalesce("n_roots", F.lit(0)).alias("n_roots"))
 
 
 def selected(roots: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.store import Scratch
 from ..operators import requests, rules
+from ..sources import files as repository
 from ..sources import registry as reg
 from .catalog import _FACTS, _SUBJECTS, MAPPINGS, _mappings, j08_all, query
 
@@ -33,7 +35,7 @@ def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     stale = reg.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag").distinct().select(F.concat(text("f", "l_suppkey"), F.lit("/"), F.col("l_returnflag")).alias("finding_id"), text("file_", "l_suppkey").alias("file"))
-    clash = reg.table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_set(text("file_", "c_custkey"))).alias("files")).select(text("c", "c_nationkey").alias("conflict_id"), "files")
+    clash = reg.table(spark, sf_dir, "customer").select(text("c", "c_nationkey").alias("conflict_id"), text("file_", "c_custkey").alias("file")).distinct()
     return requests.root_causes(_deltas(spark, sf_dir), stale, clash)
 
 
@@ -186,14 +188,51 @@ def j22_context_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mappings(spark, sf_dir).groupBy("category", requests.looked_up(requests.SIGNIFICANCE, F.col("category")).alias("significance"), state.alias("linkage")).agg(F.count_distinct("target_key").alias("n_assets"))
 
 
-@query("""WITH a AS (SELECT l_orderkey AS dag, l_partkey AS task, min(l_quantity) AS v FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1, 2), b AS (SELECT l_orderkey AS dag, l_partkey AS task, min(l_quantity) AS v FROM lineitem WHERE l_returnflag IN ('R', 'N') GROUP BY 1, 2),
-u AS (SELECT coalesce(a.dag, b.dag) AS dag, CASE WHEN a.dag IS NULL THEN 'ADDED' WHEN b.dag IS NULL THEN 'REMOVED' WHEN a.v <> b.v THEN 'CHANGED' END AS change FROM a FULL JOIN b ON a.dag = b.dag AND a.task = b.task)
-SELECT dag, change, count(*) AS n_tasks FROM u WHERE change IS NOT NULL GROUP BY 1, 2""")
+_DAGS = """side AS (SELECT 'b' AS v, * FROM lineitem WHERE l_returnflag IN ('A', 'N') UNION ALL SELECT 'a', * FROM lineitem WHERE l_returnflag IN ('R', 'N')),
+task AS (SELECT v, l_orderkey AS dag, l_linenumber AS i, min(l_partkey) AS part, min(l_suppkey) AS supp, max(l_suppkey) AS other, count(*) AS n FROM side GROUP BY 1, 2, 3),
+named AS (SELECT *, 't' || i AS task_id, CASE WHEN dag % 13 = 5 THEN NULL ELSE lead(i) OVER (PARTITION BY v, dag ORDER BY i) END AS following FROM task WHERE dag % 13 <> 7),
+entry AS (SELECT v, dag, 'TASK' AS what, task_id AS key, '' AS value FROM named UNION ALL SELECT v, dag, 'DEPENDENCY', 't' || i || '>' || 't' || following, '' FROM named WHERE following IS NOT NULL
+  UNION ALL SELECT v, dag, 'REFERENCE', task_id || '.field', 'col_' || part FROM named UNION ALL SELECT v, dag, 'REFERENCE', task_id || '.dataset', 'supplier_' || supp FROM named WHERE i % 2 = 0 UNION ALL SELECT v, dag, 'DYNAMIC', task_id || '.owner', '' FROM named WHERE i % 3 = 0)"""
+
+
+@query(f"""WITH {_DAGS}, a AS (SELECT * FROM entry WHERE v = 'b'), b AS (SELECT * FROM entry WHERE v = 'a'),
+u AS (SELECT coalesce(a.dag, b.dag) AS dag, coalesce(a.what, b.what) AS what, CASE WHEN a.dag IS NULL THEN 'ADDED' WHEN b.dag IS NULL THEN 'REMOVED' WHEN a.value <> b.value THEN 'CHANGED' END AS change FROM a FULL JOIN b ON a.dag = b.dag AND a.what = b.what AND a.key = b.key)
+SELECT dag, what, change, count(*) AS n FROM u WHERE change IS NOT NULL GROUP BY 1, 2, 3 UNION ALL SELECT o_orderkey, 'FILE', 'UNPARSED', 1 FROM orders WHERE o_orderkey % 13 = 7 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
 def l11_dag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks of each order's pipeline before and after: added, removed, changed."""
+    """Tasks, dependencies, references and dynamic places of each order's pipeline file, before and after, read by the parser from the files' text;
+    files that do not parse say so."""
     lines = reg.table(spark, sf_dir, "lineitem")
-    side = lambda flags: lines.where(F.col("l_returnflag").isin(flags)).groupBy(F.col("l_orderkey").alias("dag"), F.col("l_partkey").alias("task")).agg(F.min("l_quantity").alias("v"))
-    return requests.diffed(side(["A", "N"]), side(["R", "N"]), ["dag", "task"], "v").groupBy("dag", "change").agg(F.count("*").alias("n_tasks"))
+    i, n = F.col("l_linenumber").cast("string"), F.col("l_linenumber")
+    task = lambda: F.concat(F.lit("v"), i, F.lit(" = Operator(task_id='t"), i, F.lit("', field=\"col_"), F.col("part").cast("string"), F.lit('"'), F.when(n % 2 == 0, F.concat(F.lit(", dataset='supplier_"), F.col("supp").cast("string"), F.lit("'"))).otherwise(""), F.when(n % 3 == 0, ", owner=lookup(1)").otherwise(""), F.lit(", retries=2)"))
+
+    def side(flags: list[str]) -> DataFrame:
+        own = lines.where(F.col("l_returnflag").isin(flags)).groupBy(F.col("l_orderkey").alias("dag"), "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"))
+        listed = own.groupBy("dag").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", task().alias("text")))).alias("tasks"))
+        names = F.transform("tasks", lambda t: F.concat(F.lit("v"), t["l_linenumber"].cast("string")))
+        # five ways to write a chain, one that no parser knows, and a file that is cut off
+        way = F.col("dag") % 13
+        calls = F.array_join(F.transform(F.sequence(F.lit(1), F.size(names) - 1), lambda k: F.concat(F.get(names, k - 1), F.lit(".set_downstream("), F.get(names, k), F.lit(")"))), "\n")
+        ups = F.array_join(F.transform(F.sequence(F.lit(1), F.size(names) - 1), lambda k: F.concat(F.get(names, k), F.lit(".set_upstream(["), F.get(names, k - 1), F.lit("])"))), "\n")
+        chain = F.when((F.size(names) < 2) | (way == 5), F.lit("print('no chain')")).when(way % 4 == 0, F.array_join(names, " >> ")).when(way % 4 == 1, F.array_join(F.reverse(names), " << ")).when(way % 4 == 2, calls).otherwise(ups)
+        source = F.concat(F.lit("from airlines import Operator\n# order "), F.col("dag").cast("string"), F.lit("\n"), F.array_join(F.transform("tasks", lambda t: t["text"]), "\n"), F.lit("\n"), chain, F.when(way == 7, "\nv1 = (").otherwise("\n"))
+        return listed.select("dag", source.alias("source"))
+
+    def entries(dag, source):
+        try:
+            found = repository.pipeline_structure(source)
+        except SyntaxError:
+            return dag, None
+        ids = found["tasks"]
+        rows = [("TASK", t, "") for t in ids.values()] + [("DEPENDENCY", f"{ids[a]}>{ids[b]}", "") for a, b in found["edges"]] + [("REFERENCE", k, v) for k, v in found["references"]] + [("DYNAMIC", k, "") for k in found["dynamic"]]
+        return dag, [{"what": w, "key": k, "value": v} for w, k, v in rows]
+
+    parsed = lambda flags: repository.each(side(flags), entries, "dag long, found array<struct<what: string, key: string, value: string>>")
+    with Scratch(spark) as scratch:
+        before, after = scratch.keep(parsed(["A", "N"]), "before"), scratch.keep(parsed(["R", "N"]), "after")
+        flat = lambda df: df.select("dag", F.explode("found").alias("f")).select("dag", "f.*")
+        changed = requests.diffed(flat(before), flat(after), ["dag", "what", "key"], "value").groupBy("dag", "what", "change").agg(F.count("*").alias("n"))
+        failed = before.unionByName(after).where("found IS NULL").select("dag").distinct().select("dag", F.lit("FILE").alias("what"), F.lit("UNPARSED").alias("change"), F.lit(1).cast("long").alias("n"))
+        return scratch.result(changed.unionByName(failed))
 
 
 @query("""WITH k AS (SELECT c_custkey AS contract, 'owner' AS k, c_mktsegment AS a, lower(c_mktsegment) AS b FROM customer UNION ALL SELECT c_custkey, 'dataset', c_name, c_name FROM customer UNION ALL SELECT c_custkey, 'guarantee', c_nationkey::VARCHAR, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_nationkey::VARCHAR END FROM customer)
@@ -214,8 +253,8 @@ m AS (SELECT g.group_id, d.delta_id FROM g JOIN deltas d ON d.subject = g.group_
 SELECT g.group_id, count(delta_id) AS n_roots FROM g LEFT JOIN m ON m.group_id = g.group_id GROUP BY 1""")
 def d16_roots_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root causes of each logical group: the same id or a shared file."""
-    groups = reg.table(spark, sf_dir, "customer").groupBy(F.concat(F.lit("field_"), F.col("c_nationkey").cast("string")).alias("group_id")).agg(F.collect_set(F.concat(F.lit("file_"), F.col("c_custkey").cast("string"))).alias("files"))
-    return requests.roots_of_groups(_deltas(spark, sf_dir).select(F.col("delta_id").alias("root_id"), F.col("subject").alias("group_id"), F.array("file").alias("files")), groups)
+    groups = reg.table(spark, sf_dir, "customer").select(F.concat(F.lit("field_"), F.col("c_nationkey").cast("string")).alias("group_id"), F.concat(F.lit("file_"), F.col("c_custkey").cast("string")).alias("file"))
+    return requests.roots_of_groups(_deltas(spark, sf_dir).select(F.col("delta_id").alias("root_id"), F.col("subject").alias("group_id"), "file"), groups)
 
 
 @query(f"WITH {DELTAS}, w AS (SELECT DISTINCT 'file_' || c_custkey AS id FROM customer UNION SELECT 'file_0') SELECT id, count(root_id) AS n_roots, CASE WHEN count(root_id) = 0 THEN 'UNKNOWN' ELSE 'SELECTED' END AS state FROM w LEFT JOIN roots ON file = id GROUP BY 1")

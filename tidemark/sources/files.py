@@ -113,7 +113,7 @@ def pipeline_structure(source: str) -> dict:
         if isinstance(node, (ast.List, ast.Tuple)):
             return [n for x in node.elts for n in names(x)]
         if isinstance(node, ast.BinOp):
-            return names(node.right) if isinstance(node.op, ast.RShift) else names(node.left)
+            return names(node.right)  # a shift either way gives back what stands right of it
         return []
 
     def shifts(node) -> None:
