@@ -38,6 +38,28 @@ def has_fingerprint(df: DataFrame, expected: str, name: str) -> DataFrame:
     return table_fingerprint(df).select(F.lit(name).alias("name"), (F.col("fingerprint") == expected).alias("passed"), F.lit(expected).alias("expected"), F.col("fingerprint").alias("observed"))
 
 
+def counted(df: DataFrame, expected: DataFrame, name: str) -> DataFrame:
+    """A registry has as many rows as another source declares.  expected: one row, n."""
+    both = df.agg(F.count("*").alias("n")).join(F.broadcast(expected.select(F.col("n").cast("long").alias("_n"))))
+    return both.select(F.lit(name).alias("name"), F.col("n").eqNullSafe(F.col("_n")).alias("passed"), F.col("_n").cast("string").alias("expected"), F.col("n").cast("string").alias("observed"))
+
+
+def value_is(df: DataFrame, column: str, expected: DataFrame, name: str) -> DataFrame:
+    """The one value of a column is the one that another source declares; several values or none fail.  expected: one row, v."""
+    own = df.agg(F.count_distinct(column).alias("k"), F.min(F.col(column).cast("string")).alias("v")).join(F.broadcast(expected.select(F.col("v").cast("string").alias("_v"))))
+    return own.select(F.lit(name).alias("name"), ((F.col("k") == 1) & F.col("v").eqNullSafe(F.col("_v"))).alias("passed"), F.col("_v").alias("expected"), F.when(F.col("k") <= 1, F.coalesce("v", F.lit("nothing"))).otherwise(F.concat(F.col("k").cast("string"), F.lit(" values"))).alias("observed"))
+
+
+def every(df: DataFrame, condition, name: str) -> DataFrame:
+    """A condition holds in every row (a null does not)."""
+    return _check(name, df.agg(F.count_if(~F.coalesce(condition, F.lit(False))).alias("n")), "0 failing")
+
+
+def elements_known(df: DataFrame, column: str, other: DataFrame, key: str, name: str) -> DataFrame:
+    """Every element of an array column is a key of the other registry; elements are made distinct before they meet it."""
+    return references(df.select(F.explode(column).alias("_e")), "_e", other, key, name)
+
+
 def _check(name: str, n: DataFrame, expected: str) -> DataFrame:
     return n.select(F.lit(name).alias("name"), (F.col("n") == 0).alias("passed"), F.lit(expected).alias("expected"), F.col("n").cast("string").alias("observed"))
 

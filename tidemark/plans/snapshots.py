@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.store import Scratch
-from ..operators import snapshots
+from ..operators import certify, graph, snapshots
 from ..sources import registry as reg
-from .catalog import EDGES, GROUPS, LINKS, query
+from .catalog import DEPTHS, EDGES, GROUPS, LINKS, ROOT, query
 
 _BEARER = "'authorization : Bearer ' || c_custkey"
 
@@ -115,3 +115,45 @@ def o04_certified_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         chain = lambda g: snapshots.chained_fingerprints([*rest[:2], ("mapping_groups", g), rest[2]])
         certified, found = scratch.keep(chain(groups), "certified"), scratch.keep(chain(_tampered(groups)), "found")
         return scratch.result(snapshots.broken_links(certified, found).join(found.select("position", "n_rows"), "position").select("position", "stage", "n_rows", "state"))
+
+
+_CHECKS = (
+    ("source field exists once", "0 failing", "SELECT count(*) FROM (SELECT node, (SELECT count(*) FROM part WHERE p_partkey = node) AS n FROM root) WHERE n <> 1"),
+    ("source dataset exists", "0 dangling", "SELECT count(*) FROM root WHERE node NOT IN (SELECT p_partkey FROM part)"), ("dataset names are not empty", "0 failing", "SELECT count(*) FROM part WHERE coalesce(p_brand, '') = ''"),
+    ("field types are not empty", "0 failing", "SELECT count(*) FROM part WHERE coalesce(p_type, '') = ''"), ("schema positions are unique", "0 repeated", "SELECT count(*) FROM (SELECT 1 FROM part GROUP BY p_brand, p_partkey HAVING count(*) > 1)"),
+    ("every dataset has a context state", "0 dangling", "SELECT count(*) FROM (SELECT DISTINCT p_brand FROM part) WHERE p_brand NOT IN (SELECT source_key FROM links WHERE source_key IS NOT NULL)"),
+    ("parents of reached fields are known", "0 dangling", "SELECT count(*) FROM depths WHERE node NOT IN (SELECT p_partkey FROM part)"), ("reached fields are unique", "0 repeated", "SELECT count(*) FROM (SELECT 1 FROM depths GROUP BY node HAVING count(*) > 1)"),
+    ("upstream ends of groups are known", "0 dangling", "SELECT count(DISTINCT x) FROM (SELECT unnest(u) AS x FROM groups) WHERE x NOT IN (SELECT p_partkey FROM part)"), ("downstream ends of groups are known", "0 dangling", "SELECT count(DISTINCT x) FROM (SELECT unnest(d) AS x FROM groups) WHERE x NOT IN (SELECT p_partkey FROM part)"),
+    ("group ids are unique", "0 repeated", "SELECT count(*) FROM (SELECT 1 FROM groups GROUP BY g HAVING count(*) > 1)"), ("confidences are shares", "0 failing", "SELECT count(*) FROM groups WHERE NOT coalesce(confidence BETWEEN 0 AND 1, true)"),
+    ("relationships are unique", "0 repeated", "SELECT count(*) FROM (SELECT 1 FROM links GROUP BY category, source_key, field_node, target_key HAVING count(*) > 1)"), ("relationships start at datasets", "0 dangling", "SELECT count(DISTINCT source_key) FROM links WHERE source_key IS NOT NULL AND source_key NOT IN (SELECT p_brand FROM part)"),
+    ("relationships start at fields", "0 dangling", "SELECT count(DISTINCT field_node) FROM links WHERE field_node IS NOT NULL AND field_node NOT IN (SELECT p_partkey FROM part)"), ("relationships have one start", "0 failing", "SELECT count(*) FROM links WHERE (source_key IS NULL) = (field_node IS NULL)"),
+    ("no edge is a loop", "0 failing", "SELECT count(*) FROM edges WHERE src = dst"),
+)
+_COUNTS = (("groups as the orders declare", "(SELECT count(DISTINCT o_orderkey) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))", "(SELECT count(*) FROM groups)"), ("edges as the walk found", "(SELECT count(*) FROM edges JOIN depths ON node = src)", "(SELECT count(*) FROM edges)"), ("deepest field", "(SELECT max(depth) FROM depths)", "(SELECT max(depth) FROM depths)"))
+
+
+@query(f"WITH RECURSIVE {EDGES}, {ROOT}, {DEPTHS}, {GROUPS}, {LINKS}, c AS (" + " UNION ALL ".join(f"SELECT '{name}' AS name, '{want}' AS expected, ({sql}) AS n" for name, want, sql in _CHECKS) + f"""), k AS ({" UNION ALL ".join(f"SELECT '{name}' AS name, {want}::VARCHAR AS expected, {got}::VARCHAR AS observed" for name, want, got in _COUNTS)})
+SELECT name, n = 0 AS passed, expected, n::VARCHAR AS observed FROM c UNION ALL SELECT name, expected = observed, expected, observed FROM k""")
+def o01_snapshot_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty more invariants of a snapshot: its source, its schema, ends and ids of all registries, declared counts, depth."""
+    with Scratch(spark) as scratch:
+        f, edges = scratch.keep(reg.fields(spark, sf_dir), "fields"), scratch.keep(reg.lineage_edges(spark, sf_dir), "edges")
+        groups, links, root = scratch.keep(reg.mapping_groups(spark, sf_dir), "groups"), scratch.keep(reg.relationships(spark, sf_dir), "links"), reg.first_node(edges)
+        depths = graph.depths(edges, root)
+        key = f.select(F.col("node"))
+        lines = reg.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+        declared = reg.table(spark, sf_dir, "orders").select("o_orderkey").distinct().join(lines, "o_orderkey", "left_semi").agg(F.count("*").alias("n"))
+        walked = edges.join(depths.select(F.col("node").alias("src")), "src", "left_semi").agg(F.count("*").alias("n"))
+        deepest = depths.agg(F.max("depth").alias("v"))
+        of_root = root.join(f.groupBy("node").agg(F.count("*").alias("n")), "node", "left")
+        filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+        starts = links.where("source_key IS NOT NULL").select(F.col("source_key").alias("dataset_urn"))
+        return scratch.result(certify.report(
+            certify.every(of_root, F.col("n") == 1, "source field exists once"), certify.references(root, "node", key, "node", "source dataset exists"), certify.every(f, filled("dataset_urn"), "dataset names are not empty"), certify.every(f, filled("native_type"), "field types are not empty"),
+            certify.unique(f, ["dataset_urn", "field_path"], "schema positions are unique"), certify.references(f, "dataset_urn", starts, "dataset_urn", "every dataset has a context state"), certify.references(depths, "node", key, "node", "parents of reached fields are known"),
+            certify.unique(depths, ["node"], "reached fields are unique"), certify.elements_known(groups, "upstream", key, "node", "upstream ends of groups are known"), certify.elements_known(groups, "downstream", key, "node", "downstream ends of groups are known"),
+            certify.unique(groups, ["group_id"], "group ids are unique"), certify.every(groups, F.coalesce(F.col("confidence").between(0, 1), F.lit(True)), "confidences are shares"), certify.unique(links, ["category", "source_key", "field_node", "target_key"], "relationships are unique"),
+            certify.references(links, "source_key", f.select(F.col("dataset_urn").alias("source_key")), "source_key", "relationships start at datasets"), certify.references(links, "field_node", f.select(F.col("node").alias("field_node")), "field_node", "relationships start at fields"),
+            certify.every(links, F.col("source_key").isNull() != F.col("field_node").isNull(), "relationships have one start"), certify.every(edges, F.col("src") != F.col("dst"), "no edge is a loop"),
+            certify.counted(groups, declared, "groups as the orders declare"), certify.counted(edges, walked, "edges as the walk found"), certify.value_is(depths.agg(F.max("depth").alias("d")), "d", deepest, "deepest field"),
+        ))
