@@ -21,6 +21,7 @@ other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import warnings
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -117,9 +118,12 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
         let_go()
         m = known.value
         for b in batches:
-            own = [features(t) for t in utf8(b.column("text"))]
-            p = [m.posterior(a, w).astype(np.float64).tolist() for _, a, w in own]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for n, _, _ in own], pa.int64()), pa.array(p, pa.list_(pa.float64()))], ["doc_id", "n_tokens", "p"])
+            n_tokens, p = [], []
+            for t in utf8(b.column("text")):  # one text's features at a time
+                n, at, w = features(t)
+                n_tokens.append(n)
+                p.append(m.posterior(at, w).astype(np.float64).tolist())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(p, pa.list_(pa.float64()))], ["doc_id", "n_tokens", "p"])
         let_go()
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
@@ -138,7 +142,7 @@ def _rows(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _totals(members: DataFrame, residuals: np.ndarray, cap: float, k: int) -> np.ndarray:
-    """Words of each domain expected at the present rates."""
+    """Words of each domain expected at the present rates.  Tasks give whole numbers (of 2^-40 of a word), so their sum has no order."""
 
     def run(batches):
         sums = np.zeros(k)
@@ -146,12 +150,12 @@ def _totals(members: DataFrame, residuals: np.ndarray, cap: float, k: int) -> np
             if b.num_rows:
                 p, r = _rows(b, k)
                 sums += (rates(p, residuals, cap, r) * b.column("n_tokens").to_numpy()) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(sums)], ["k", "m"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([Decimal(round(float(x) * (1 << 40))) for x in sums], pa.decimal128(38, 0))], ["k", "m"])
 
-    found = members.select("n_tokens", "p", "r").mapInArrow(run, "k int, m double").groupBy("k").agg(F.sum("m").alias("m")).collect()
+    found = members.select("n_tokens", "p", "r").mapInArrow(run, "k int, m decimal(38,0)").groupBy("k").agg(F.sum("m").alias("m")).collect()
     out = np.zeros(k)
     for r in found:
-        out[r[0]] = r[1]
+        out[r[0]] = int(r[1]) / (1 << 40)
     return out
 
 
