@@ -82,7 +82,7 @@ def _counts(text: Column) -> Column:
 
 
 def common_words(docs: DataFrame) -> DataFrame:
-    """ref_lang, ref_words, ref_counts (long; of those words), ref_total (of all words): the most frequent words of each language, ties by the word."""
+    """ref_lang, ref_words, ref_longest (characters of the longest), ref_counts (long; of those words), ref_total (of all words): the most frequent words of each language, ties by the word."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = docs.select(F.coalesce("lang", F.lit("")).alias("ref_lang"), F.explode(F.split(F.lower(text), SPACE, -1)).alias("word")).where("word <> ''")
     counts = words.groupBy("ref_lang", "word").agg(F.count("*").alias("n"))
@@ -91,7 +91,8 @@ def common_words(docs: DataFrame) -> DataFrame:
     top = counts.withColumn("place", place).where(F.col("place") <= COMMON)
     listed = top.groupBy("ref_lang").agg(F.array_sort(F.collect_list(F.struct("place", "word", "n"))).alias("top"))
     total = counts.groupBy("ref_lang").agg(F.sum("n").alias("ref_total"))
-    return total.join(listed, "ref_lang").select("ref_lang", F.col("top.word").alias("ref_words"), F.col("top.n").alias("ref_counts"), "ref_total")
+    longest = F.array_max(F.transform("top.word", F.length)).alias("ref_longest")
+    return total.join(listed, "ref_lang").select("ref_lang", F.col("top.word").alias("ref_words"), longest, F.col("top.n").alias("ref_counts"), "ref_total")
 
 
 def references(docs: DataFrame) -> DataFrame:
@@ -107,28 +108,38 @@ def _half(x: Column, y: Column) -> Column:
     return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
 
 
-def word_distance(words: Column, ref_words: Column, ref_counts: Column, ref_total: Column) -> Column:
+def word_distance(words: Column, ref_words: Column, ref_longest: Column, ref_counts: Column, ref_total: Column) -> Column:
     """Jensen-Shannon distance of a document's words to its language's common words; 0 where it has none.
 
     Only bins that the document fills are computed: each bin that it lacks adds just its own share of the reference.
     """
 
-    def found(c: Column) -> Column:
-        def of(n: Column) -> Column:
-            def cell(w: Column) -> Column:
-                share = F.element_at(ref_counts, F.array_position(ref_words, w).cast("int")) / ref_total
-                return F.struct(((F.size(c) - F.size(F.array_remove(c, w))) / n).alias("p"), share.alias("q"))
+    def found(low: Column) -> Column:
+        n = F.size(words).cast("double")
 
-            rest = F.struct(((n - F.size(c)) / n).alias("p"), ((ref_total - F.aggregate(ref_counts, F.lit(0).cast("long"), lambda s, x: s + x)) / ref_total).alias("q"))
-            filled = F.array_append(F.transform(F.array_distinct(c), cell), rest)
-            start = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q"))
-            step = lambda s, x: F.struct((s["d"] + _half(x["p"], x["q"]) + _half(x["q"], x["p"])).alias("d"), (s["q"] + x["q"]).alias("q"))
-            return F.aggregate(filled, start, step, lambda s: F.sqrt(F.greatest(F.lit(0.0), (s["d"] + F.greatest(F.lit(0.0), 1 - s["q"])) / 2)))
+        def cell(w: Column) -> Column:
+            share = F.element_at(ref_counts, F.array_position(ref_words, w).cast("int")) / ref_total
+            return F.struct((F.size(low) - F.size(F.array_remove(low, w))).cast("double").alias("k"), share.alias("q"))
 
-        return _let(F.size(words).cast("double"), of)
+        start = F.struct(*[F.lit(0.0).alias(c) for c in ("d", "q", "k")])
 
-    held = F.filter(F.transform(words, F.lower), lambda w: F.array_contains(ref_words, w))
-    return F.when((F.size(words) == 0) | ref_words.isNull(), F.lit(0.0)).otherwise(_let(held, found))
+        def step(s: Column, x: Column) -> Column:
+            p = x["k"] / n
+            return F.struct((s["d"] + _half(p, x["q"]) + _half(x["q"], p)).alias("d"), (s["q"] + x["q"]).alias("q"), (s["k"] + x["k"]).alias("k"))
+
+        # all other words are one bin, which the document may lack like any other
+        other = (ref_total - F.aggregate(ref_counts, F.lit(0).cast("long"), lambda s, x: s + x)) / ref_total
+
+        def done(s: Column) -> Column:
+            p = (n - s["k"]) / n
+            lacking = F.greatest(F.lit(0.0), 1 - s["q"] - other)
+            return F.sqrt(F.greatest(F.lit(0.0), (s["d"] + _half(p, other) + _half(other, p) + lacking) / 2))
+
+        return F.aggregate(F.transform(F.array_intersect(ref_words, low), cell), start, step, done)
+
+    # lower case has as many characters or more, so longer words than the longest common one need no look
+    short = F.filter(words, lambda w: F.length(w) <= ref_longest)
+    return F.when((F.size(words) == 0) | ref_words.isNull(), F.lit(0.0)).otherwise(_let(F.transform(short, F.lower), found))
 
 
 def distance(own: Column, reference: Column) -> Column:
@@ -156,7 +167,7 @@ def judge(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), text.alias("text"))
 
     def measured(w: Column) -> Column:
-        return F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).cast("long").alias("n_repeat_words"), word_distance(w, F.col("ref_words"), F.col("ref_counts"), F.col("ref_total")).alias("word_distance"))
+        return F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).cast("long").alias("n_repeat_words"), word_distance(w, *[F.col(f"ref_{c}") for c in ("words", "longest", "counts", "total")]).alias("word_distance"))
 
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
     joined = own.join(F.broadcast(refs) if few else refs, F.col("lang") == F.col("ref_lang"), "left")
