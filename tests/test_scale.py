@@ -43,3 +43,36 @@ def test_template_names_need_no_pattern_of_their_own():
     for i in range(5):
         repair.edit_template_reference(f"{{{{ ref('col_{i}') }}}}", f"col_{i}", "n")
     assert not any("col_" in str(k[1]) for k in repair.re._cache)
+
+
+LINKS = [("owner", "A", None, "x", "RESOLVED"), ("bi", "A", None, "x", "UNRESOLVED"), ("owner", "B", None, "y", "RESOLVED"), ("tag", None, 1, "x", "RESOLVED"), ("tag", None, 3, "x", "RESOLVED"), ("tag", None, 4, "y", None), ("tag", None, 9, "z", "RESOLVED"), ("pipeline", None, 5, "y", "RESOLVED")]
+FIELDS = [(1, "A"), (2, "A"), (3, "B"), (4, None), (5, "C"), (6, "C"), (2, "B"), (7, "A"), (7, "B"), (None, "A")]
+
+
+def test_assets_are_counted_without_their_mappings(spark):
+    from tidemark.operators import context
+
+    links = spark.createDataFrame(LINKS, "category string, source_key string, field_node long, target_key string, state string")
+    fields = spark.createDataFrame(FIELDS, "node long, dataset_urn string")
+    m = [r.asDict() for r in context.technical_mappings(links, fields).collect()]
+    of = lambda key, v: [r for r in m if r[key] == v]
+    several = lambda rows, key: len({r[key] for r in rows if r[key] is not None})
+    found = context.asset_supports(links, fields).collect()
+    assert {(r.target_key, r.n_datasets, r.n_fields, r.n_mappings, r.lo, r.hi, r.unresolved) for r in found} == {
+        (k, several(of("target_key", k), "dataset_urn"), several(of("target_key", k), "node"), len(of("target_key", k)), min(r["category"] for r in of("target_key", k)), max(r["category"] for r in of("target_key", k)), int(any(r["state"] == "UNRESOLVED" for r in of("target_key", k)))) for k in {r["target_key"] for r in m}
+    }
+    found = context.dataset_summaries(links, fields).collect()
+    n = lambda rows, c: several([r for r in rows if r["category"] == c], "target_key")
+    assert {(r.dataset_urn, r.n_owner, r.n_pipeline, r.n_bi, r.n_tag, r.n_assets, r.n_fields) for r in found} == {(d, *(n(of("dataset_urn", d), c) for c in context.CATEGORIES), several(of("dataset_urn", d), "target_key"), several(of("dataset_urn", d), "node")) for d in {r["dataset_urn"] for r in m}}
+
+
+def test_claims_meet_references_as_one_row_each(spark):
+    from tidemark.operators import changes
+
+    claims = spark.createDataFrame([(f"c{i % 2}", "v", f"f{i}") for i in range(400)] + [("solo", "w", "g"), ("none", "w", None)], "current string, future string, file string")
+    refs = spark.createDataFrame([(f"r{i}", f"c{i % 2}") for i in range(400)] + [("f0", "c0"), ("g", "solo"), ("h", "solo"), (None, "solo"), ("g", "w"), ("h", "w"), ("d", "v"), ("k", "none")], "file string, value string")
+    found = changes.reference_states(claims, refs)
+    assert found.where("current = 'solo'").count() == 2 and found.where("current = 'none'").count() == 0
+    assert found.where("current = 'c0' AND state = 'STALE'").count() == 201 and found.where("state = 'ADAPTED'").count() == 3
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 2 and plan.index("count(distinct file") > plan.index("Join Inner")

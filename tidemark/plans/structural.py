@@ -18,11 +18,11 @@ def analyse(edges: DataFrame, fields: DataFrame, links: DataFrame, source: DataF
     depths = materialize(graph.depths(edges, source), "depths")
     exposure = depths.where("depth > 0").join(fields.select("node", "dataset_urn"), "node").select("node", "dataset_urn", "depth", F.when(F.col("depth") == 1, "direct").otherwise("transitive").alias("exposure"))
     exposure = materialize(exposure, "exposure")
-    mappings = context.technical_mappings(links, exposure)
+    links = materialize(links, "links")
     datasets = exposure.groupBy("dataset_urn").agg(F.count("*").alias("n_exposed"), F.min("depth").alias("depth"))
-    summaries = context.dataset_summaries(mappings)
+    summaries = context.dataset_summaries(links, exposure)
     datasets = datasets.join(summaries.select("dataset_urn", "n_owner", "n_pipeline", "n_bi", "n_tag", "n_assets"), "dataset_urn", "left").fillna(0)
-    assets = materialize(context.context_assets(mappings), "assets")
+    assets = materialize(context.context_assets(links, exposure), "assets")
     facts = exposure.agg(F.count("*").alias("dependants"), F.count_distinct("dataset_urn").alias("supporting_datasets"))
     of = assets.agg(F.count("*").alias("context_assets"), F.count_if(F.col("category").isin("pipeline", "bi")).alias("consumer_assets"), F.array_sort(F.collect_set("category")).alias("categories"))
     one = facts.withColumn("_k", F.lit(1)).join(of.withColumn("_k", F.lit(1)), "_k").drop("_k")
