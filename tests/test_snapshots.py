@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -67,3 +68,28 @@ def test_chains_of_fingerprints(spark):
     assert states(snapshots.chained_fingerprints([("a", a), ("b", c), ("c", c)])) == ["SAME", "CHANGED", "AFTER_A_CHANGE"]
     assert states(snapshots.chained_fingerprints([("a", a)])) == ["SAME", "MISSING", "MISSING"]
     assert states(snapshots.chained_fingerprints([("a", a), ("b", b), ("c", c), ("d", a)])) == ["SAME"] * 3 + ["ADDED"]
+
+
+def test_a_chain_reads_each_stage_once(spark):
+    a, b = spark.range(3).toDF("x"), spark.range(4).toDF("x")
+    plan = snapshots.chained_fingerprints([("a", a), ("b", b)])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 2
+    rows = snapshots.fingerprint_chain(snapshots.stage_fingerprint(1, "b", b).unionByName(snapshots.stage_fingerprint(0, "a", a))).orderBy("position").collect()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert [r.stage for r in rows] == ["a", "b"] and rows[0].chain == sha(rows[0].fingerprint) and rows[1].chain == sha(rows[0].chain + rows[1].fingerprint)
+    words = [sum(int(sha(f'{{"x":{i}}}')[4 * k : 4 * k + 4], 16) for i in range(3)) for k in range(16)]
+    assert rows[0].n_rows == 3 and rows[0].fingerprint == "sha256:" + sha(",".join(map(str, [3, *words])))
+
+
+def test_relationships_of_repeated_parts(spark, tmp_path):
+    """Pipelines are distinct by their pairs, so a part that stands twice makes no link twice, and a line without its part none."""
+    from tidemark.sources import registry
+
+    tables = {
+        "lineitem": ([(1, 1, 7), (1, 1, 7), (2, 1, 8), (2, 9, 7), (3, None, 7)], "l_orderkey long, l_partkey long, l_suppkey long"), "part": ([(1, "B", 3), (1, "B", 3), (2, "C", 50)], "p_partkey long, p_brand string, p_size int"),
+        "supplier": ([(7, 4), (8, 4)], "s_suppkey long, s_nationkey int"), "orders": ([(1, "X"), (2, "X")], "o_orderkey long, o_orderpriority string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    df = registry.relationships(spark, str(tmp_path))
+    assert sorted(tuple(map(str, r)) for r in df.collect()) == sorted([("owner", "B", "None", "nation:4", "RESOLVED"), ("pipeline", "None", "1", "job:7", "RESOLVED"), ("pipeline", "None", "1", "job:8", "RESOLVED"), ("bi", "B", "None", "dashboard:X", "RESOLVED"), ("tag", "None", "1", "tag:0", "RESOLVED"), ("tag", "None", "2", "tag:5", "UNRESOLVED")])

@@ -30,10 +30,12 @@ def row_json(columns: list[str]) -> Column:
 def table_fingerprint(df):
     """One row: a fingerprint of the multiset of rows that no ordering, partitioning or volatile column changes.
 
-    Row digests are added up as 16 numbers of 16 bits (exact long sums, partial in each task), so no task holds all rows.
+    Row digests are added up as 16 numbers of 16 bits (exact long sums, partial in each task), so no task holds all rows.  They are cut from four
+    numbers of 64 bits, as reading a number from text costs more than the digest itself.
     """
     digest = F.sha2(row_json(df.columns), 256)
-    words = [F.conv(F.substring(digest, 1 + 4 * i, 4), 16, 10).cast("long") for i in range(16)]
+    longs = [F.conv(F.substring(digest, 1 + 16 * i, 16), 16, -10).cast("long") for i in range(4)]
+    words = [F.shiftrightunsigned(longs[i // 4], 48 - 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF)) for i in range(16)]
     sums = df.select(*[w.alias(f"w{i}") for i, w in enumerate(words)]).agg(F.count("*").alias("n_rows"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0)).alias(f"w{i}") for i in range(16)])
     return sums.select("n_rows", F.concat(F.lit("sha256:"), F.sha2(F.concat_ws(",", F.col("n_rows").cast("string"), *[F.col(f"w{i}").cast("string") for i in range(16)]), 256)).alias("fingerprint"))
 

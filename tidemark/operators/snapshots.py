@@ -128,16 +128,22 @@ def stage_differences(stored: DataFrame, derived: DataFrame, keys: list[str], bu
     return both.select(*keys, F.when(F.col("_s") > 0, "STORED").otherwise("DERIVED").alias("side"), F.abs("_s").alias("n"))
 
 
+def stage_fingerprint(position: int, stage: str, df: DataFrame) -> DataFrame:
+    """position, stage, n_rows, fingerprint of one stage: one row."""
+    return ids.table_fingerprint(df).select(F.lit(position).alias("position"), F.lit(stage).alias("stage"), "n_rows", "fingerprint")
+
+
+def fingerprint_chain(own: DataFrame) -> DataFrame:
+    """The rows of ``stage_fingerprint`` with chain, a digest that covers all stages up to each; the stages' rows are not read again."""
+    after = lambda done, x: F.array_append(done, F.sha2(F.concat(F.coalesce(F.get(done, F.size(done) - 1), F.lit("")), x["fingerprint"]), 256))
+    listed = own.agg(F.array_sort(F.collect_list(F.struct("position", "stage", "n_rows", "fingerprint"))).alias("s"))
+    chained = listed.select(F.explode(F.arrays_zip("s", F.aggregate("s", F.array().cast("array<string>"), after).alias("chain"))).alias("r"))
+    return chained.select("r.s.*", "r.chain")
+
+
 def chained_fingerprints(stages: list[tuple[str, DataFrame]]) -> DataFrame:
     """position, stage, n_rows, fingerprint, chain: each stage's own fingerprint, and a chain that covers all stages up to it."""
-    out, before = None, None
-    for i, (name, df) in enumerate(stages):
-        own = ids.table_fingerprint(df).select(F.lit(i).alias("position"), F.lit(name).alias("stage"), "n_rows", "fingerprint")
-        chain = F.sha2(F.col("fingerprint"), 256) if before is None else F.sha2(F.concat(F.col("_before"), F.col("fingerprint")), 256)
-        own = (own if before is None else own.join(F.broadcast(before))).withColumn("chain", chain).drop("_before")
-        before = own.select(F.col("chain").alias("_before"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    return fingerprint_chain(reduce(DataFrame.unionByName, [stage_fingerprint(i, name, df) for i, (name, df) in enumerate(stages)]))
 
 
 def broken_links(certified: DataFrame, found: DataFrame) -> DataFrame:

@@ -108,12 +108,13 @@ def o02_stage_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT 2, 'mapping_groups', (SELECT count(*) + count(*) FILTER (WHERE g % 83 = 0) FROM groups WHERE g % 89 <> 0), CASE WHEN (SELECT count(*) FROM groups WHERE g % 89 = 0 OR g % 97 = 0 OR g % 83 = 0) > 0 THEN 'CHANGED' ELSE 'SAME' END
 UNION ALL SELECT 3, 'relationships', (SELECT count(*) FROM links), CASE WHEN (SELECT count(*) FROM groups WHERE g % 89 = 0 OR g % 97 = 0 OR g % 83 = 0) > 0 THEN 'AFTER_A_CHANGE' ELSE 'SAME' END""")
 def o04_certified_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages of a snapshot as a chain of fingerprints held against the certified one: the stage that changed, and those behind it."""
+    """The stages of a snapshot as a chain of fingerprints held against the certified one: the stage that changed, and those behind it.  Stages that both
+    chains share are derived and fingerprinted once."""
     with Scratch(spark) as scratch:
-        groups = scratch.keep(reg.mapping_groups(spark, sf_dir), "groups")
-        rest = [("fields", reg.fields(spark, sf_dir)), ("edges", reg.lineage_edges(spark, sf_dir)), ("relationships", reg.relationships(spark, sf_dir))]
-        chain = lambda g: snapshots.chained_fingerprints([*rest[:2], ("mapping_groups", g), rest[2]])
-        certified, found = scratch.keep(chain(groups), "certified"), scratch.keep(chain(_tampered(groups)), "found")
+        groups, edges, own = scratch.keep(reg.mapping_groups(spark, sf_dir), "groups"), scratch.keep(reg.lineage_edges(spark, sf_dir), "edges"), snapshots.stage_fingerprint
+        shared = own(0, "fields", reg.fields(spark, sf_dir)).unionByName(own(1, "edges", edges)).unionByName(own(3, "relationships", reg.relationships(spark, sf_dir)))
+        shared = scratch.keep(shared, "shared")
+        certified, found = (scratch.keep(snapshots.fingerprint_chain(shared.unionByName(own(2, "mapping_groups", g))), "chain") for g in (groups, _tampered(groups)))
         return scratch.result(snapshots.broken_links(certified, found).join(found.select("position", "n_rows"), "position").select("position", "stage", "n_rows", "state"))
 
 
