@@ -143,3 +143,15 @@ def test_chains_either_way():
     source = "a = T(task_id='a')\nb = T(task_id='b')\nc = T(task_id='c')\nd = T(task_id='d')\n"
     down, up = files.pipeline_structure(source + "a >> b >> [c, d]")["edges"], files.pipeline_structure(source + "d << c << b << a")["edges"]
     assert down == [("a", "b"), ("b", "c"), ("b", "d")] and up == [("a", "b"), ("b", "c"), ("c", "d")]
+
+
+def test_plain_pipeline_files_read_as_by_their_tree():
+    plain = "from a.b import Op\n# x\nv1 = Op(task_id='t1', field=\"c\", n=2, owner=look(1), k=None)\nv2 = Op(task_id='t2', f='')\n%s\n"
+    for chain in ("v1 >> v2 >> v1", "v2 << v1", "v1.set_downstream(v2)", "v2.set_upstream([v1])", "print('none')", ""):
+        assert files._plain_structure(plain % chain) == files.parsed_structure(plain % chain) is not None
+    for other in ("v1 >> [v2, v1]", "if v1:\n    v1 >> v2", "x = Op(task_id='a\\n')", "x = Op(task_id=f'a')", "x = Op(task_id='a', f='1', f='2')", "x = Op(f(a >> b), task_id='a')", "x = Op(task_id=make())", "a = b = Op(task_id='x')", "v1 >> v2 << v1", "é >> v1"):
+        assert files._plain_structure(plain % other) is None and files.pipeline_structure(plain % other) == files.parsed_structure(plain % other)
+    for bad in ("from = Op(task_id='a')", "None = Op(task_id='a')", "v1 = Op(None=1)", "v1 >> class", "from from import x", "v1 >> import", "True.set_upstream(", "v1 = (", "x = Op(a=01)", " v1 >> v2"):
+        assert files._plain_structure(plain % bad) is None
+        with pytest.raises(SyntaxError):
+            files.pipeline_structure(plain % bad)

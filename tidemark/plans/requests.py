@@ -224,7 +224,7 @@ def l11_dag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
             return dag, None
         ids = found["tasks"]
         rows = [("TASK", t, "") for t in ids.values()] + [("DEPENDENCY", f"{ids[a]}>{ids[b]}", "") for a, b in found["edges"]] + [("REFERENCE", k, v) for k, v in found["references"]] + [("DYNAMIC", k, "") for k in found["dynamic"]]
-        return dag, [{"what": w, "key": k, "value": v} for w, k, v in rows]
+        return dag, rows
 
     parsed = lambda flags: repository.each(side(flags), entries, "dag long, found array<struct<what: string, key: string, value: string>>")
     with Scratch(spark) as scratch:
