@@ -176,3 +176,23 @@ def test_counts_and_signatures_equal_enumerated_paths(spark):
     ring = spark.createDataFrame([("a", "b", "1"), ("b", "a", "2")], edges.schema)
     with pytest.raises(RuntimeError, match="hops"):
         propagation.path_counts(ring, spark.createDataFrame([("a",)], "node string"), limit=5)
+
+
+def test_path_changes_are_counted_along_marked_edges(spark):
+    import random
+
+    from tidemark.operators import propagation
+
+    rnd = random.Random(8)
+    pairs = [(f"n{a}", f"n{b}", f"r{i}") for i, (a, b) in enumerate((rnd.randrange(8), rnd.randrange(8)) for _ in range(30)) if a < b]
+    edges, origins = spark.createDataFrame(pairs + pairs[:3], "src string, dst string, relationship_id string"), spark.createDataFrame([("n0",), ("n1",), ("n1",)], "node string")
+    gone = next(p for p in pairs if p[0] in ("n0", "n1"))
+    moved = spark.createDataFrame([p if i % 5 else ("n0", p[1], p[2]) for i, p in enumerate(pairs) if p != gone] + [("n0", "n9", "new")], edges.schema)
+    want = {}
+    for r in propagation.path_changes(propagation.signed_paths(edges, origins), propagation.signed_paths(moved, origins)).collect():
+        want.setdefault((r["origin"], r["target"], r["depth"]), {"KEPT": 0, "REMOVED": 0, "ADDED": 0})[r["state"]] += 1
+    found = propagation.path_change_counts(propagation.marked_edges(edges, moved), origins).collect()
+    assert {(r.origin, r.target, r.depth): {"KEPT": r.n_kept, "REMOVED": r.n_removed, "ADDED": r.n_added} for r in found} == want and len({v for w in want.values() for v in w if w[v]}) == 3
+    ring = spark.createDataFrame([("a", "b", "1"), ("b", "a", "2")], edges.schema)
+    with pytest.raises(RuntimeError, match="hops"):
+        propagation.path_change_counts(propagation.marked_edges(ring, ring), spark.createDataFrame([("a",)], "node string"), limit=5)

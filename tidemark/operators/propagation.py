@@ -73,6 +73,34 @@ def path_changes(current: DataFrame, future: DataFrame) -> DataFrame:
     return side.select("origin", "target", "depth", F.when(F.col("_s") == 3, "KEPT").when(F.col("_s") == 1, "REMOVED").otherwise("ADDED").alias("state"))
 
 
+def marked_edges(current: DataFrame, future: DataFrame) -> DataFrame:
+    """src, dst, relationship_id, state of the edges of two graphs: KEPT, REMOVED or ADDED; repeated edges count once."""
+    keys = ["src", "dst", "relationship_id"]
+    both = current.select(*keys, F.lit(1).alias("_s")).unionByName(future.select(*keys, F.lit(2).alias("_s"))).groupBy(*keys).agg(F.min("_s").alias("_a"), F.max("_s").alias("_b"))
+    return both.select(*keys, F.when(F.col("_a") < F.col("_b"), "KEPT").when(F.col("_a") == 1, "REMOVED").otherwise("ADDED").alias("state"))
+
+
+def path_change_counts(marked: DataFrame, origins: DataFrame, limit: int = 64) -> DataFrame:
+    """origin, target, depth, n_kept, n_removed, n_added: how many paths of two graphs without cycles are in both, in the current one alone and in the
+    future one alone.  marked: ``marked_edges``.
+
+    A path is in both graphs just if all its edges are, so sums along the edges of both count what ``path_changes`` lists, and no path is written: a level
+    has a row for each origin and target.  Beyond ``limit`` levels, as on a cycle, it raises.
+    """
+    levels = Levels(marked.sparkSession, "depth", "changes")
+    hop = marked.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), "state")
+    leads = hop.select("_src").distinct()
+    level = origins.select(F.col("node").alias("origin"), F.col("node").alias("target"), *[F.lit(1).cast("long").alias(c) for c in ("n_kept", "_current", "_future")]).distinct()
+    of = lambda n, *states: F.sum(F.when(F.col("state").isin(*states), F.col(n)).otherwise(0)).alias(n)
+    for depth in range(1, limit + 1):
+        step = level.join(leads, F.col("target") == F.col("_src"), "left_semi")
+        if step.isEmpty():
+            return levels.all().select("origin", "target", "depth", "n_kept", (F.col("_current") - F.col("n_kept")).alias("n_removed"), (F.col("_future") - F.col("n_kept")).alias("n_added"))
+        sums = step.join(hop, F.col("target") == F.col("_src")).groupBy("origin", F.col("_dst").alias("target")).agg(of("n_kept", "KEPT"), of("_current", "KEPT", "REMOVED"), of("_future", "KEPT", "ADDED"))
+        level = levels.add(sums.where("_current + _future > 0"), depth)
+    raise RuntimeError(f"paths of more than {limit} hops")
+
+
 def _n_paths(paths: DataFrame) -> Column:
     """The number of paths of a group, of paths as rows or of counts."""
     return F.sum("n_paths") if "n_paths" in paths.columns else F.count("*")
