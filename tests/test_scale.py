@@ -76,3 +76,15 @@ def test_claims_meet_references_as_one_row_each(spark):
     assert found.where("current = 'c0' AND state = 'STALE'").count() == 201 and found.where("state = 'ADAPTED'").count() == 3
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 2 and plan.index("count(distinct file") > plan.index("Join Inner")
+
+
+def test_large_exchanges_are_dealt_by_their_rows(spark):
+    from tidemark.functions.store import ROWS, dealt
+    from tidemark.operators import planning
+
+    df = spark.range(10).selectExpr("id AS a")
+    assert dealt(df, 0, "a").rdd.getNumPartitions() == 4 and dealt(df, 9 * ROWS + 1, "a").rdd.getNumPartitions() == 10
+    claims, own = spark.createDataFrame([("c", "v")], "claim_id string, current string"), spark.createDataFrame([("c", "f1")], "claim_id string, file_id string")
+    refs = spark.createDataFrame([("f1", "field", "x", "v"), ("f2", "field", "y", "v"), ("f2", "field", "z", "w")], "file_id string, kind string, location string, value string")
+    found = planning.other_references(claims, own, refs, 9 * ROWS + 1)
+    assert [tuple(r) for r in found.collect()] == [("c", "f2", "field", "y")] and found._jdf.queryExecution().optimizedPlan().toString().count("], 10") == 2
