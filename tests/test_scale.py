@@ -88,3 +88,39 @@ def test_large_exchanges_are_dealt_by_their_rows(spark):
     refs = spark.createDataFrame([("f1", "field", "x", "v"), ("f2", "field", "y", "v"), ("f2", "field", "z", "w")], "file_id string, kind string, location string, value string")
     found = planning.other_references(claims, own, refs, 9 * ROWS + 1)
     assert [tuple(r) for r in found.collect()] == [("c", "f2", "field", "y")] and found._jdf.queryExecution().optimizedPlan().toString().count("], 10") == 2
+
+
+def _representatives(edges, origins):
+    """The three kinds of paths by listing all of them, rows ranked one by one."""
+    out = {}
+    for origin in origins:
+        paths, level = [], [((origin,), ())]
+        while level:
+            level = [((*n, dst), (*r, key)) for n, r in level for src, dst, key in edges if src == n[-1] and dst is not None]
+            paths += level
+        n = {p[0][-1]: sum(q[0][-1] == p[0][-1] for q in paths) for p in paths}
+        a, b = sorted(paths, key=lambda p: (len(p[0]), p)), sorted(paths, key=lambda p: (-len(p[0]), p))
+        if paths:
+            left = list(a)
+            for p in {a[0], b[0]}:
+                left.remove(p)
+            out |= {(origin, "SHORTEST"): a[0], (origin, "DEEPEST"): b[0]} | {(origin, "MULTIPATH"): p for p in [q for q in left if n[q[0][-1]] > 1][:1]}
+    return out
+
+
+def test_representative_paths_are_found_without_listing_paths(spark, monkeypatch):
+    from tidemark.functions.store import Scratch
+    from tidemark.operators import propagation
+
+    layers = [("r", f"n0{i}", f"e{i}") for i in range(2)] + [(f"n{k}{i}", f"n{k + 1}{j}", f"x{(i * 5 + j * 3 + k) % 7}") for k in range(3) for i in range(3) for j in range(3) if (i + j + k) % 4]
+    other = [("s", "t", "q2"), ("s", "t", "q1"), ("s", "t", "q1"), ("t", "u", "v"), ("w", "x", "y"), ("w", None, "z"), ("x", "w2", "y"), (None, "x", "y"), ("p", "x1", "1"), ("p", "x1", "1"), ("o", "n22", "k"), ("o", "n00", "j")]
+    edges, origins = layers + other, ["r", "s", "w", "p", "o", "none"]
+    monkeypatch.setattr(propagation, "SMALL", 1)
+    with Scratch(spark) as scratch:
+        found = propagation.representative_routes(spark.createDataFrame(edges, "src string, dst string, relationship_id string"), spark.createDataFrame([(x,) for x in origins], "node string"), scratch).collect()
+    assert {(r.node, r.kind): (tuple(r.nodes), tuple(r.relationships)) for r in found} == _representatives(edges, origins) and len(found) == len({(r.node, r.kind) for r in found})
+    wide = [(f"a{k}{i}", f"a{k + 1}{j}", f"{i}{j}") for k in range(4) for i in range(12) for j in range(12)]  # 12 ** 4 paths from each node of the first layer
+    with Scratch(spark) as scratch:
+        found = propagation.representative_routes(spark.createDataFrame(wide, "src string, dst string, relationship_id string"), spark.createDataFrame([("a00",)], "node string"), scratch).collect()
+    rows = {r.kind: r for r in found}
+    assert rows["DEEPEST"].nodes == [f"a{k}0" for k in range(5)] and rows["MULTIPATH"].nodes == ["a00", "a10", "a20"] and rows["SHORTEST"].relationships == ["00"]
