@@ -124,3 +124,32 @@ def test_representative_paths_are_found_without_listing_paths(spark, monkeypatch
         found = propagation.representative_routes(spark.createDataFrame(wide, "src string, dst string, relationship_id string"), spark.createDataFrame([("a00",)], "node string"), scratch).collect()
     rows = {r.kind: r for r in found}
     assert rows["DEEPEST"].nodes == [f"a{k}0" for k in range(5)] and rows["MULTIPATH"].nodes == ["a00", "a10", "a20"] and rows["SHORTEST"].relationships == ["00"]
+
+
+def test_targets_are_dealt_by_rows_and_outcomes_need_no_wide_roots(spark):
+    from tidemark.functions.store import ROWS
+    from tidemark.operators import planning
+
+    roots = spark.createDataFrame([("p", "r1", planning.STALE, "g", "f1"), ("p", "r2", planning.STALE, "g", "f2"), ("q", "r3", "CONTRACT_CHANGE", "h", None), ("q", "r4", planning.STALE, "none", "f1")], "plan_id string, root_id string, root_type string, group_id string, file_id string")
+    groups = spark.createDataFrame([("g", "a", ["b"]), ("h", "c", None)], "group_id string, current string, futures array<string>")
+    files = spark.createDataFrame([("f1", "m/1", "PIPELINE_DAG", False), ("f2", "m/2", "QUALITY_CONFIG", False)], "file_id string, path string, category string, dynamic boolean")
+    refs = spark.createDataFrame([("f1", "field", "x", "a"), ("f2", "field", "z", "a"), ("f2", "dataset", "y", "a"), (None, "field", "x", "a")], "file_id string, kind string, location string, value string")
+    found = planning.stale_targets(roots, groups, files, refs, 9 * ROWS + 1)
+    assert {r.root_id: (r.n_matches, r.location, r.kind, r.n_futures) for r in found.collect()} == {"r1": (1, "x", "field", 1), "r2": (2, "y", "dataset", 1), "r3": (0, None, None, 0), "r4": (0, None, None, 0)}
+    plans = found._jdf.queryExecution()
+    assert plans.optimizedPlan().toString().count("], 10") == 2 and "ShuffledHashJoin" in plans.executedPlan().toString()
+    wide = planning.classified(found)
+    ends = lambda df: sorted(map(tuple, planning.outcomes(df, planning.topological_orders(planning.planned_actions(df))).collect()))
+    assert ends(wide) == ends(planning.needed(wide)) == [("p", 2, 1, 0, 1, "PARTIALLY_ADDRESSED_SELECTED_ROOTS", "PARTIAL_REPAIR_CANDIDATE"), ("q", 2, 0, 1, 1, "NO_SUPPORTED_REPAIR", "NO_SUPPORTED_AUTOMATIC_REPAIR")]
+
+
+def test_lines_of_the_reverse_index_are_dealt_by_their_rows(spark, monkeypatch):
+    from tidemark.functions import store
+    from tidemark.plans import catalog
+
+    want = sorted(map(tuple, catalog.f11_reverse_index(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(store, "ROWS", 500)
+    found = catalog.f11_reverse_index(spark, "/root/testdata/sf0.001")
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert sorted(map(tuple, found.collect())) == want
+    assert f", {-(-rows // 500)}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
