@@ -153,3 +153,30 @@ def test_lines_of_the_reverse_index_are_dealt_by_their_rows(spark, monkeypatch):
     rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     assert sorted(map(tuple, found.collect())) == want
     assert f", {-(-rows // 500)}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_and_ends_keep_their_plans_as_tables_grow(spark, tmp_path):
+    """Owners and priorities by one pass of hashed sides, and references without a join; lines without order, supplier or part keep what they have."""
+    from tidemark.operators import certify
+    from tidemark.sources import registry
+
+    tables = {
+        "lineitem": ([(1, 1, 1, 7), (1, 1, 1, 7), (1, 1, 2, 8), (2, 1, 1, 9), (3, 1, 2, 7), (None, 1, 3, None), (4, 1, None, 7), (5, 1, 9, 7), (2, 2, 3, 10)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"),
+        "part": ([(1, "B", 3), (1, "B2", 50), (2, "C", 50), (3, None, 9)], "p_partkey long, p_brand string, p_size int"), "supplier": ([(7, 4), (7, 5), (8, 4), (10, None)], "s_suppkey long, s_nationkey int"), "orders": ([(1, "X"), (1, "Y"), (2, None), (4, "Z")], "o_orderkey long, o_orderpriority string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    links = registry.relationships(spark, str(tmp_path))
+    of = {("owner", b, None, f"nation:{n}") for b in ("B", "B2") for n in (4, 5)} | {("owner", "C", None, f"nation:{n}") for n in (4, 5)} | {("owner", None, None, None)}
+    of |= {("bi", b, None, f"dashboard:{p}") for b in ("B", "B2", "C") for p in "XY"} | {("bi", b, None, None) for b in ("B", "B2", None)}
+    of |= {("pipeline", None, p, f"job:{s}") for p, s in ((1, 7), (1, 9), (2, 8), (2, 7), (3, 10))} | {("pipeline", None, 3, None), ("tag", None, 1, "tag:0"), ("tag", None, 1, "tag:5"), ("tag", None, 2, "tag:5"), ("tag", None, 3, "tag:0")}
+    found = [tuple(r)[:4] for r in links.collect()]
+    assert set(found) == of and len(found) == len(of)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") >= 3 and "LeftSemi" not in plan
+    edges = registry.lineage_edges(spark, "/root/testdata/sf0.001")
+    assert "l_extendedprice" not in edges._jdf.queryExecution().executedPlan().toString()
+    known, refs = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k long"), spark.createDataFrame([(1, [1, 5]), (3, [5, None]), (3, None), (None, [2]), (4, [])], "f long, l array<long>")
+    checks = certify.references_of(known, "k", {"a": refs.select("f"), "b": certify.elements(refs, "l"), "c": known, "none": known.limit(0)})
+    assert {r["name"]: (r.observed, r.passed, r.expected) for r in checks.collect()} == {"a": ("2", False, "0 dangling"), "b": ("1", False, "0 dangling"), "c": ("0", True, "0 dangling"), "none": ("0", True, "0 dangling")}
+    assert "Join" not in checks._jdf.queryExecution().optimizedPlan().toString() and [r.observed for r in certify.elements_known(refs, "l", known, "k", "e").collect()] == ["1"]
