@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -510,6 +511,20 @@ def test_rates_meet_targets(spark, docs, empty):
     assert mixing.mix(empty, domains).count() == 0 and mixing.mix(own, domains.limit(0)).where("rate = 1").count() == len(rows)
 
 
+def test_filters_of_whole_texts_hold_a_slice_of_a_batch(spark, monkeypatch):
+    """Spark gives batches of up to 10,000 rows and 64 MB: a worker passes them on in slices, and loses no row."""
+    rnd = random.Random(5)
+    docs = spark.createDataFrame([(i, prose(rnd, EN if i % 2 else DE, 30), "en" if i % 2 else "de") for i in range(1000)], "doc_id long, text string, lang string")
+    domains = spark.createDataFrame([(i, "en" if i % 2 else "de") for i in range(0, 1000, 3)], "doc_id long, domain string")
+    real, seen = type(docs).mapInArrow, []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, *a, **b: seen.append(run) or real(self, run, *a, **b))
+    for left in (mixing.mixed(docs, domains, {"en": 0.5, "de": 0.5}), language_id.recognised(docs)):
+        whole = pa.Table.from_pandas(docs.toPandas(), preserve_index=False).combine_chunks().to_batches()
+        out = list(seen[-1](iter(whole)))
+        assert len(whole) == 1 and max(b.num_rows for b in out) <= common.PART_ROWS
+        assert sorted(i for b in out for i in b.column("doc_id").to_pylist()) == sorted(r["doc_id"] for r in left.collect())
+
+
 def test_rates_equal_projected_gradient_over_all_rows(spark, monkeypatch):
     """Three domains; rounds enough for the table of rates to be written anew twice."""
     monkeypatch.setattr(mixing, "CLOSE", 0.0)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, hashed_sample, kept, let_go, texts, utf8, written
+from .common import drop, hashed_sample, kept, let_go, parts, texts, utf8, written
 
 FIT_ROWS, BITS, STEPS, RIDGE = 3000, 14, 80, 1e-3
 ROUNDS, REWRITE, CLOSE, STILL, DAMP = 60, 12, 0.01, 1e-3, 1e-3
@@ -117,7 +117,7 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     def run(batches):
         let_go()
         m = known.value
-        for b in batches:
+        for b in parts(batches):
             n_tokens, p = [], []
             for t in utf8(b.column("text")):  # one text's features at a time
                 n, at, w = features(t)
@@ -240,8 +240,9 @@ def mixed(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        let_go()
         m = known.value
-        for b in batches:
+        for b in parts(batches):
             own = [x or b"" for x in utf8(b.column("text"))]
             p = np.array([m.posterior(*features(t)[1:]) for t in own], np.float64).reshape(len(own), -1)
             draw = np.array([xxhash.xxh64_intdigest(str(d).encode() if d is not None else t, seed=11) / 2.0**64 for d, t in zip(b.column("doc_id").to_pylist(), own, strict=True)])
