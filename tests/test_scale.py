@@ -24,6 +24,44 @@ def test_both_yaml_loaders_agree():
     assert type(files.composed_yaml("a: 1\n")) is type(yaml.compose("a: 1\n")) and "CSafeLoader" in repr(files._by_yaml(lambda _, loader: loader, "a", "SafeLoader"))
 
 
+def test_plain_files_are_read_as_the_loaders_read_them():
+    """Plain YAML, JSON entries and numbers of pipelines give what the loaders and the syntax tree give, or are left to them."""
+    import random
+
+    import yaml
+
+    rnd, plain, edited = random.Random(6), 0, 0
+    lines = ["a:", "b: c", "a: 'x # y'  # kept", 'd: "q"', "# top", "", "  - f: col_1  # kept", "    g: not_null", "  - f: 'col_2'", "    f: e", "- f: z", "  g: w", "on: x", "b: yes", "b: No", "b: null", "b: y", "b: x: y", "b:x", "   - f: u", "  # in", "      h: i", "b: 1", "b: _1", "b: 'it''s'", "b: é", "---", "a: &x b", "b: *x", "b:  two", "b: c d", "b: ''", "  "]
+    for k in range(9000):
+        text = "\n".join(rnd.choice(lines[: 13 if k % 3 else None]) for _ in range(rnd.randint(1, 7))) + "\n" * (k % 2)
+        spans = {}
+        found = files.plain_yaml(text, spans)
+        if found is None:
+            continue
+        assert found == yaml.safe_load(text), text
+        plain += 1
+        for place, value in files.flattened(found):
+            start, end, read = spans.pop(tuple(repair.tokens(place)))
+            assert read == value and yaml.safe_load(text[start:end]) == value
+        assert not spans
+        todo = [(p, v, rnd.choice(["new", "on", "it's", "a b"])) for p, v in files.flattened(found) if rnd.random() < 0.5]
+        own = repair.edit_yaml_spans(text, todo)
+        keep, repair.plain_yaml = repair.plain_yaml, lambda *_: None
+        try:
+            assert repair.edit_yaml_spans(text, todo) == own
+            edited += bool(todo)
+        finally:
+            repair.plain_yaml = keep
+    assert plain > 300 and edited > 200
+    source = "balance = -12.50\nn = 7\nt1 = Task(task_id=\"t1\", field=\"col_1\")\n"
+    assert files._plain_structure(source) == files.parsed_structure(source) and files._plain_structure("n = 08\n") is None
+    own = repair.json_scalars('{"a" : "x", "b":{"c": "\\u0041", "d": 1}, "e": ["f", {"g":"h"}]}')
+    assert {k: v[3] for k, v in own.items()} == {("a",): "x", ("b", "c"): "A", ("b", "d"): 1, ("e", 0): "f", ("e", 1, "g"): "h"}
+    for bad in ('{"a": "x", "a": "y"}', '{"a": "x",}', '{"a": "x" "b": "y"}', '{"a": "x"'):
+        with pytest.raises(repair.EditError):
+            repair.json_scalars(bad)
+
+
 def test_plans_are_applied_in_batches(spark):
     own = spark.createDataFrame([("a", "x: 1\n"), ("b", "x: p # k\n"), ("c", "x: q\n")], "path string, content string")
     todo = spark.createDataFrame([("b", 2, "yaml", "$.x", "q", "r"), ("b", 1, "yaml", "$.x", "p", "q"), ("c", 1, "yaml", "$.x", "no", "r"), ("gone", 1, "yaml", "$.x", "no", "r")], "path string, position int, editor string, location string, current string, future string")
